@@ -8,9 +8,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tramline.operators import latest, rollups, timetable
+from tramline.config import StuckConfig
+from tramline.functions import bands, geo, times
+from tramline.functions.numbers import round_int
+from tramline.operators import filters, latest, nearest, rollups, timetable
 from tramline.operators.upsert import upsert_ridership
-from tramline.plans import reports
+from tramline.plans import alerts, board, explorer, network, reports, timeline
 from tramline.plans import standins as data
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -239,9 +242,388 @@ def _(spark, folder):
 
 @query("upsert_monthly")
 def _(spark, folder):
+    """Stored months up to 1998 meet a load that starts in 1997."""
     months = data.ridership(spark, folder)
-    old = months.filter(F.col("route_id").cast("int") % 2 == 0)
-    new = months.filter(F.col("route_id").cast("int") % 3 == 0).withColumn(
+    old = months.filter(F.col("month") < dt.date(1999, 1, 1))
+    new = months.filter(F.col("month") >= dt.date(1997, 1, 1)).withColumn(
         "boardings", F.col("boardings") + 1000
     )
     return upsert_ridership(old, new)
+
+
+# Positions, the live board, alerts.
+
+WINDOW = (
+    dt.datetime(2023, 12, 31, tzinfo=dt.timezone.utc),
+    dt.datetime(2024, 2, 1, tzinfo=dt.timezone.utc),
+)
+NOW = dt.datetime(2024, 1, 31, tzinfo=dt.timezone.utc)
+DAY = 86_400
+# Event positions are hours apart and scattered, so the stuck rule gets wide limits.
+STUCK = StuckConfig(threshold_seconds=DAY, tolerance_deg=0.15, terminal_radius_m=5000.0)
+
+
+@query("latest_position")
+def _(spark, folder):
+    return latest.latest_positions(data.positions(spark, folder))
+
+
+@query("latest_delay")
+def _(spark, folder):
+    return latest.latest_feed_delays(data.updates(spark, folder))
+
+
+@query("latest_known_delay")
+def _(spark, folder):
+    return latest.latest_known_delays(
+        data.updates(spark, folder), *WINDOW, data.positions(spark, folder).select("trip_id")
+    )
+
+
+@query("dedupe_batch")
+def _(spark, folder):
+    """Positions of one hour count as one poll."""
+    rows = data.positions(spark, folder).withColumn("poll", F.date_trunc("hour", "timestamp"))
+    rows = rows.withColumn("latitude", F.round("latitude", 1)).withColumn("longitude", F.round("longitude", 1))
+    return latest.dedupe_poll(rows.withColumn("vehicle_id", F.col("route_id")), "poll")
+
+
+def _live(spark, folder):
+    return board.live_board(
+        data.positions(spark, folder),
+        data.updates(spark, folder),
+        data.event_routes(spark, folder),
+        data.nation_stops(spark, folder),
+    )
+
+
+@query("live_board")
+def live_board(spark, folder):
+    return _live(spark, folder)
+
+
+@query("snapshot_headways")
+def _(spark, folder):
+    return board.snapshot_headways(latest.latest_positions(data.positions(spark, folder)))
+
+
+@query("board_bands")
+def _(spark, folder):
+    return board.with_bands(_live(spark, folder)).select(
+        "vehicle_id", "mode", "vehicle_key", "headway_band", "occupancy_key", "punctuality_band",
+        "movement_band",
+    )
+
+
+@query("board_facets")
+def _(spark, folder):
+    return board.board_facets(board.with_bands(_live(spark, folder)))
+
+
+@query("board_filtered")
+def _(spark, folder):
+    wanted = filters.LiveFilter(
+        punctuality=["late", "very_late", "early"], occupancy=["FULL", "EMPTY", "UNKNOWN"],
+        movement=["stopped", "in_transit"],
+    )
+    return wanted.apply(board.with_bands(_live(spark, folder))).select(
+        "vehicle_id", "route_id", "punctuality_band", "occupancy_key", "movement_band"
+    )
+
+
+@query("active_routes")
+def _(spark, folder):
+    return board.active_routes(board.with_bands(_live(spark, folder)), "line")
+
+
+@query("outside_downtown")
+def _(spark, folder):
+    rows = data.positions(spark, folder)
+    away = geo.outside_disc(F.col("latitude"), F.col("longitude"), (39.75, -105.15), 0.1)
+    return rows.filter(away).select("id", "latitude", "longitude")
+
+
+@query("stationary_streak")
+def _(spark, folder):
+    return alerts.stationary_streaks(data.positions(spark, folder), cfg=STUCK).select(
+        "vehicle", "trip_id", "stuck_since", "streak_rows", "only_stopped"
+    )
+
+
+def _event_trips(spark, folder):
+    rows = data.positions(spark, folder)
+    return rows.groupBy("trip_id").agg(F.min("route_id").alias("route_id"))
+
+
+@query("stuck_vehicles")
+def _(spark, folder):
+    ends = timetable.trip_endpoints(data.timepoints(spark, folder))
+    return alerts.stuck_vehicles(
+        data.positions(spark, folder), NOW, ends,
+        timetable.route_terminals(ends, _event_trips(spark, folder)),
+        data.nation_stops(spark, folder), data.event_routes(spark, folder), STUCK,
+        whole_history=True,
+    ).drop("latitude", "longitude")
+
+
+# Trip explorer, history, timeline.
+
+
+def _window(spark, folder):
+    return explorer.window_trips(
+        data.positions(spark, folder), data.timed_events(spark, folder), *WINDOW
+    )
+
+
+@query("trip_window_agg")
+def _(spark, folder):
+    return _window(spark, folder)
+
+
+@query("trip_delay_stats")
+def _(spark, folder):
+    return explorer.trip_arrivals(data.stop_events(spark, folder))
+
+
+def _described(spark, folder):
+    return explorer.describe_trips(
+        _window(spark, folder),
+        data.event_routes(spark, folder),
+        data.nation_stops(spark, folder),
+        timetable.trip_endpoints(data.timepoints(spark, folder)),
+        dt.datetime(2024, 1, 30, 20, 0, tzinfo=dt.timezone.utc),
+    )
+
+
+@query("trip_explorer")
+def trip_explorer(spark, folder):
+    return _described(spark, folder)
+
+
+@query("trip_explorer_page")
+def _(spark, folder):
+    page = explorer.page(_described(spark, folder), limit=15, offset=15)
+    return explorer.page_delays(page, data.updates(spark, folder), *WINDOW).select(
+        "trip_id", "vehicle_label", "start_time", "trip_status", "last_delay_seconds"
+    )
+
+
+@query("trip_explorer_filtered")
+def _(spark, folder):
+    wanted = filters.TripFilter(
+        statuses=["complete", "incomplete"], occupancy=["UNKNOWN", "FULL", "EMPTY"],
+        avg_delay=(-200.0, 300.0), on_time=(20.0, None), duration=(600.0, None),
+    )
+    return wanted.apply(_described(spark, folder)).select(
+        "trip_id", "trip_status", "avg_delay_seconds", "on_time_pct", "duration_minutes"
+    )
+
+
+@query("trip_facets")
+def _(spark, folder):
+    return explorer.trip_facets(_described(spark, folder))
+
+
+@query("trip_facet_totals")
+def _(spark, folder):
+    return explorer.facet_totals(_described(spark, folder))
+
+
+@query("vehicle_routes")
+def _(spark, folder):
+    return explorer.vehicle_routes(_described(spark, folder))
+
+
+@query("history_page")
+def _(spark, folder):
+    return explorer.history_page(
+        data.positions(spark, folder), data.updates(spark, folder),
+        data.event_routes(spark, folder), *WINDOW,
+    ).select("id", "trip_id", "route_short_name", "timestamp", "delay_seconds")
+
+
+@query("bounded_count")
+def _(spark, folder):
+    return explorer.bounded_count(data.positions(spark, folder))
+
+
+def _later_events(spark, folder):
+    """Events moved three hours on, so that none falls on a position's instant."""
+    return data.timed_events(spark, folder).select(
+        "id", F.col("stop_id").alias("vehicle_id"),
+        times.shift(F.col("timestamp"), 10_800).alias("at"),
+    )
+
+
+@query("nearest_status_at_event")
+def _(spark, folder):
+    return nearest.nearest_label(
+        _later_events(spark, folder), data.positions(spark, folder), ["vehicle_id"], "at", ["id"],
+        "occupancy_status", block_seconds=5 * DAY,
+    )
+
+
+@query("interpolated_position")
+def _(spark, folder):
+    found = nearest.position_at(
+        _later_events(spark, folder), data.positions(spark, folder), ["vehicle_id"], "at", ["id"],
+        block_seconds=5 * DAY,
+    )
+    return found.select(
+        "id", "vehicle_id", "at",
+        *[F.round(c, 6).alias(c) for c in ("at_lat", "at_lon", "at_bearing")],
+    )
+
+
+def _timeline(spark, folder):
+    """Each user-week's eight timepoints against the events seen at stops 1 to 10."""
+    plan = data.timepoints(spark, folder).withColumns(
+        {
+            "stop_name": F.concat(F.lit("Stop "), F.col("stop_id")),
+            "stop_headsign": F.lit(None).cast("string"),
+            "is_timepoint": F.lit(True),
+            "pickup_type": F.lit("0"),
+            "drop_off_type": F.lit("0"),
+        }
+    )
+    events = data.timed_events(spark, folder).select(
+        "trip_id", "stop_sequence",
+        F.concat(F.lit("NATION_"), F.col("stop_sequence").cast("string")).alias("stop_id"),
+        times.shift(F.col("timestamp"), -F.col("delay_seconds")).alias("scheduled_time"),
+        F.col("timestamp").alias("actual_time"), "delay_seconds",
+        *[F.lit(None).cast("double").alias(c) for c in ("actual_lat", "actual_lon", "actual_bearing")],
+        F.lit("geofence").alias("detection_method"),
+    )
+    origins = plan.groupBy("trip_id").agg(F.min("stop_sequence").alias("stop_sequence"))
+    return timeline.trip_timeline(
+        plan, events, data.positions(spark, folder), origins, data.nation_stops(spark, folder),
+        block_seconds=5 * DAY,
+    )
+
+
+@query("trip_timeline")
+def trip_timeline(spark, folder):
+    return _timeline(spark, folder).select(
+        "trip_id", "stop_sequence", "stop_id", "stop_name", "scheduled_time", "observed",
+        "event_type", "actual_time", "delay_seconds", "occupancy_status",
+    )
+
+
+@query("trip_timeline_totals")
+def _(spark, folder):
+    return timeline.timeline_totals(_timeline(spark, folder))
+
+
+# Clock arithmetic on whole columns.
+
+
+@query("service_date_pick")
+def _(spark, folder):
+    rows = data.timed_events(spark, folder)
+    secs = F.pmod(F.col("id") * 7919, F.lit(108_000)).cast("int")
+    day = times.service_day(F.col("timestamp"), secs)
+    return rows.select("id", day.alias("d")).select(
+        "id", "d.service_date", "d.scheduled_time", round_int(F.col("d.delay")).alias("delay_seconds")
+    )
+
+
+@query("scheduled_instant")
+def _(spark, folder):
+    """Order dates run through many clock changes."""
+    orders = data.table(spark, folder, "orders")
+    secs = F.pmod(F.col("o_orderkey") * 977, F.lit(108_000)).cast("int")
+    return orders.select(
+        "o_orderkey", times.scheduled_instant(F.to_date("o_orderdate"), secs).alias("scheduled")
+    )
+
+
+# Timetable tables.
+
+
+@query("cumulative_distance")
+def _(spark, folder):
+    rows = timetable.with_distance(data.located_lines(spark, folder))
+    return rows.select("trip_id", "stop_sequence", "stop_id", F.round("dist_m", 3).alias("dist_m"))
+
+
+@query("neighbour_gap_filter")
+def _(spark, folder):
+    rows = timetable.with_distance(data.located_lines(spark, folder))
+    return timetable.drop_close_neighbours(rows, 20_000.0).select("trip_id", "stop_sequence", "stop_id")
+
+
+@query("trip_endpoints")
+def _(spark, folder):
+    return timetable.trip_endpoints(data.timetable_lines(spark, folder))
+
+
+@query("trip_ends_timepoints")
+def _(spark, folder):
+    ends = timetable.ends_of_trips(data.timepoints(spark, folder))
+    return ends.select(
+        "trip_id",
+        F.col("origin.stop_id").alias("origin_stop"), F.col("origin.arrival_secs").alias("origin_secs"),
+        F.col("terminus.stop_id").alias("terminus_stop"),
+        F.col("terminus.arrival_secs").alias("terminus_secs"),
+    )
+
+
+@query("route_terminals")
+def _(spark, folder):
+    ends = timetable.trip_endpoints(data.timetable_lines(spark, folder))
+    return timetable.route_terminals(ends, data.order_trips(spark, folder))
+
+
+@query("route_stops")
+def _(spark, folder):
+    return timetable.route_stops(
+        data.timetable_lines(spark, folder), data.order_trips(spark, folder),
+        data.part_stops(spark, folder),
+    ).drop("stop_lat", "stop_lon")
+
+
+@query("stop_routes")
+def _(spark, folder):
+    table = timetable.route_stops(
+        data.timetable_lines(spark, folder), data.order_trips(spark, folder),
+        data.part_stops(spark, folder),
+    )
+    routes = data.supplier_routes(spark, folder).withColumns(
+        {"route_long_name": F.lit(None).cast("string"), "route_color": F.lit(None).cast("string")}
+    )
+    return timetable.stop_routes(table, routes)
+
+
+@query("stop_slots")
+def _(spark, folder):
+    points = data.timetable_lines(spark, folder).withColumn(
+        "arrival_secs", F.col("stop_sequence") * 600
+    )
+    return timetable.stop_slots(points, data.order_trips(spark, folder))
+
+
+@query("direction_headsign")
+def _(spark, folder):
+    return timetable.route_directions(data.order_trips(spark, folder))
+
+
+@query("stop_search")
+def _(spark, folder):
+    return network.search_stops(data.part_stops(spark, folder), "ol", 40).select(
+        "stop_id", "stop_name", "is_rail"
+    )
+
+
+@query("route_list")
+def _(spark, folder):
+    return network.route_list(
+        data.event_routes(spark, folder).withColumn("agency_id", F.lit("A"))
+    )
+
+
+@query("delay_bands")
+def _(spark, folder):
+    rows = data.timed_events(spark, folder)
+    return rows.groupBy(bands.punctuality_band(F.col("delay_seconds")).alias("band")).agg(
+        F.count(F.lit(1)).alias("n")
+    )

@@ -470,7 +470,384 @@ SQL["upsert_monthly"] = sql(
                    ELSE 'updated' END AS outcome
        FROM old o FULL OUTER JOIN new n ON o.route_id = n.route_id AND o.month = n.month""",
     "rider",
-    old="SELECT route_id, month, boardings FROM rider WHERE CAST(route_id AS INTEGER) % 2 = 0",
+    old="SELECT route_id, month, boardings FROM rider WHERE month < DATE '1999-01-01'",
     new="""SELECT route_id, month, boardings + 1000 AS boardings FROM rider
-           WHERE CAST(route_id AS INTEGER) % 3 = 0""",
+           WHERE month >= DATE '1997-01-01'""",
+)
+
+
+def haversine(lat1: str, lon1: str, lat2: str, lon2: str) -> str:
+    return (
+        f"2 * 6371000.0::DOUBLE * asin(sqrt(pow(sin(radians({lat2} - {lat1}) / 2), 2)"
+        f" + cos(radians({lat1})) * cos(radians({lat2})) * pow(sin(radians({lon2} - {lon1}) / 2), 2)))"
+    )
+
+
+POS_COLUMNS = """id, trip_id, route_id, vehicle_id, vehicle_label, lat AS latitude, lon AS longitude, bearing,
+    current_stop_sequence, status AS current_status, stop_id, occ AS occupancy_status, ts AS "timestamp" """
+LATEST = """SELECT * FROM pos QUALIFY row_number() OVER (
+              PARTITION BY coalesce(vehicle_id, trip_id) ORDER BY ts DESC, id DESC) = 1"""
+FEED_DELAY = """SELECT trip_id, arrival_delay AS delay_seconds FROM (
+      SELECT *, row_number() OVER (PARTITION BY trip_id ORDER BY ts DESC, (arrival_delay IS NULL)::INT,
+                                   stop_sequence NULLS LAST, id) AS rn FROM upd)
+    WHERE rn = 1 AND arrival_delay IS NOT NULL"""
+KNOWN_DELAY = """SELECT trip_id, arrival_delay AS last_delay_seconds FROM upd
+    WHERE arrival_delay IS NOT NULL
+    QUALIFY row_number() OVER (PARTITION BY trip_id ORDER BY ts DESC, id DESC) = 1"""
+
+SQL["latest_position"] = sql(f"SELECT {POS_COLUMNS} FROM l", "pos", l=LATEST)
+SQL["latest_delay"] = sql(FEED_DELAY, "upd")
+SQL["latest_known_delay"] = sql(KNOWN_DELAY, "upd")
+SQL["dedupe_batch"] = sql(
+    """SELECT id, trip_id, route_id, route_id AS vehicle_id, vehicle_label, la AS latitude, lo AS longitude,
+              bearing, current_stop_sequence, status AS current_status, stop_id, occ AS occupancy_status,
+              ts AS "timestamp", poll
+       FROM (SELECT *, date_trunc('hour', ts) AS poll, round(lat, 1) AS la, round(lon, 1) AS lo FROM pos)
+       QUALIFY row_number() OVER (PARTITION BY poll, route_id, la, lo ORDER BY id) = 1""",
+    "pos",
+)
+
+_BOARD = dict(
+    l=LATEST,
+    hw=f"""SELECT route_id, CASE WHEN count(*) >= 2 THEN {r1('120.0 / count(*)')} ELSE 0.0 END
+             AS headway_minutes FROM l GROUP BY 1""",
+    fd=FEED_DELAY,
+    b="""SELECT l.*, hw.headway_minutes, fd.delay_seconds, s.stop_name,
+           coalesce(r.route_short_name, l.route_id) AS route_short_name,
+           coalesce(r.route_long_name, '') AS route_long_name,
+           coalesce(r.route_color, '888888') AS route_color, coalesce(r.route_type, '') AS route_type
+         FROM l LEFT JOIN hw USING (route_id) LEFT JOIN fd ON fd.trip_id = l.trip_id
+         LEFT JOIN nstops s ON s.stop_id = l.stop_id LEFT JOIN ev_routes r ON r.route_id = l.route_id
+         WHERE lat IS NOT NULL AND lon IS NOT NULL""",
+    bb="""SELECT *, CASE WHEN route_type IN ('0', '1', '2') THEN 'rail' WHEN route_type = '3' THEN 'bus' ELSE 'other' END AS mode,
+            CASE WHEN coalesce(headway_minutes, 0) = 0 THEN 'unknown' WHEN headway_minutes < 15 THEN 'under15'
+              WHEN headway_minutes < 30 THEN 'to30' WHEN headway_minutes < 60 THEN 'to60' ELSE 'over60' END AS headway_band,
+            coalesce(occ, 'UNKNOWN') AS occupancy_key, vehicle_label AS vehicle_key,
+            CASE WHEN delay_seconds IS NULL THEN 'unknown' WHEN delay_seconds < -300 THEN 'early'
+              WHEN delay_seconds <= 300 THEN 'on_time' WHEN delay_seconds <= 900 THEN 'late'
+              ELSE 'very_late' END AS punctuality_band,
+            CASE status WHEN 0 THEN 'incoming' WHEN 1 THEN 'stopped' WHEN 2 THEN 'in_transit'
+              ELSE 'unknown' END AS movement_band FROM b""",
+)
+_BOARD_TABLES = ("pos", "upd", "nstops", "ev_routes")
+SQL["live_board"] = sql(
+    f"""SELECT {POS_COLUMNS}, headway_minutes, delay_seconds, stop_name, route_short_name, route_long_name,
+               route_color, route_type, delay_seconds > 300 AS is_late,
+               CASE status WHEN 1 THEN 'STOPPED_AT' WHEN 2 THEN 'IN_TRANSIT_TO' END AS current_status_label
+        FROM b""",
+    *_BOARD_TABLES, **_BOARD,
+)
+SQL["snapshot_headways"] = sql("SELECT * FROM hw", "pos", l=_BOARD["l"], hw=_BOARD["hw"])
+SQL["board_bands"] = sql(
+    "SELECT vehicle_id, mode, vehicle_key, headway_band, occupancy_key, punctuality_band, movement_band FROM bb",
+    *_BOARD_TABLES, **_BOARD,
+)
+_OPTIONS = """SELECT * FROM (VALUES ('mode', 'rail'), ('mode', 'bus'), ('mode', 'other'),
+  ('headway', 'under15'), ('headway', 'to30'), ('headway', 'to60'), ('headway', 'over60'), ('headway', 'unknown'),
+  ('punctuality', 'early'), ('punctuality', 'on_time'), ('punctuality', 'late'), ('punctuality', 'very_late'),
+  ('punctuality', 'unknown'), ('movement', 'stopped'), ('movement', 'in_transit'), ('movement', 'incoming'),
+  ('movement', 'unknown')) v(facet, value)"""
+SQL["board_facets"] = sql(
+    """SELECT facet, value, CAST(sum(n) AS BIGINT) AS n FROM (
+         SELECT 'mode' AS facet, mode AS value, 1 AS n FROM bb
+         UNION ALL SELECT 'route', route_id, 1 FROM bb UNION ALL SELECT 'headway', headway_band, 1 FROM bb
+         UNION ALL SELECT 'occupancy', occupancy_key, 1 FROM bb
+         UNION ALL SELECT 'punctuality', punctuality_band, 1 FROM bb
+         UNION ALL SELECT 'movement', movement_band, 1 FROM bb UNION ALL SELECT 'vehicle', vehicle_key, 1 FROM bb
+         UNION ALL SELECT facet, value, 0 FROM opt) GROUP BY 1, 2""",
+    *_BOARD_TABLES, **_BOARD, opt=_OPTIONS,
+)
+SQL["board_filtered"] = sql(
+    """SELECT vehicle_id, route_id, punctuality_band, occupancy_key, movement_band FROM bb
+       WHERE punctuality_band IN ('late', 'very_late', 'early') AND occupancy_key IN ('FULL', 'EMPTY', 'UNKNOWN')
+         AND movement_band IN ('stopped', 'in_transit')""",
+    *_BOARD_TABLES, **_BOARD,
+)
+SQL["active_routes"] = sql(
+    """SELECT DISTINCT route_id, route_short_name, route_long_name, mode, vehicle_key, vehicle_label AS label
+       FROM bb WHERE route_id IN (
+         SELECT route_id FROM bb WHERE contains(lower(route_short_name), 'line')
+           OR contains(lower(route_long_name), 'line') OR contains(lower(vehicle_label), 'line'))""",
+    *_BOARD_TABLES, **_BOARD,
+)
+SQL["outside_downtown"] = sql(
+    """SELECT id, lat AS latitude, lon AS longitude FROM pos
+       WHERE NOT ((lat - 39.75::DOUBLE) * (lat - 39.75::DOUBLE)
+         + (lon - (-105.15::DOUBLE)) * (lon - (-105.15::DOUBLE)) < 0.1::DOUBLE * 0.1::DOUBLE)""",
+    "pos",
+)
+
+_STREAK = dict(
+    numbered="SELECT *, row_number() OVER (PARTITION BY vehicle_id ORDER BY ts DESC, id DESC) AS rn FROM pos",
+    newest="SELECT * FROM numbered WHERE rn = 1",
+    marked="""SELECT n.*, abs(f.lat - n.lat) < 0.15 AND abs(f.lon - n.lon) < 0.15 AS same
+              FROM numbered n JOIN newest f USING (vehicle_id)""",
+    cut="SELECT vehicle_id, coalesce(min(rn) FILTER (WHERE NOT same), 1000000000) AS stop_at, count(*) AS n FROM marked GROUP BY 1",
+    streak="""SELECT m.vehicle_id, min(ts) AS stuck_since, count(*) AS streak_rows,
+                bool_and(status = 1) AS only_stopped
+              FROM marked m JOIN cut USING (vehicle_id) WHERE rn < stop_at AND n >= 2 GROUP BY 1""",
+)
+SQL["stationary_streak"] = sql(
+    """SELECT s.vehicle_id AS vehicle, f.trip_id, stuck_since, streak_rows, only_stopped
+       FROM streak s JOIN newest f USING (vehicle_id)""",
+    "pos", **_STREAK,
+)
+SQL["stuck_vehicles"] = sql(
+    f"""SELECT f.vehicle_id, f.vehicle_label, f.route_id, coalesce(r.route_short_name, f.route_id) AS route_short_name,
+               f.stop_id, st.stop_name, stuck_since,
+               {r1("date_diff('microsecond', stuck_since, TIMESTAMP '2024-01-31') / 1000000.0::DOUBLE / 60")} AS minutes_stuck
+        FROM streak s JOIN newest f USING (vehicle_id) LEFT JOIN ev_routes r ON r.route_id = f.route_id
+        LEFT JOIN nstops st ON st.stop_id = f.stop_id
+        WHERE date_diff('microsecond', stuck_since, TIMESTAMP '2024-01-31') >= 86400000000 AND NOT only_stopped
+          AND NOT EXISTS (SELECT 1 FROM tp t JOIN (SELECT trip_id, min(stop_sequence) AS a, max(stop_sequence) AS b
+                                                   FROM tp GROUP BY 1) e ON e.trip_id = t.trip_id
+                          WHERE t.trip_id = f.trip_id AND t.stop_sequence IN (e.a, e.b)
+                            AND (t.stop_id = f.stop_id
+                              OR {haversine('f.lat', 'f.lon', 't.stop_lat', 't.stop_lon')} < 5000))""",
+    "pos", "tp", "ev_routes", "nstops", **_STREAK,
+)
+
+LEGS = """SELECT vehicle_label, trip_id, min(ts) AS start_time, max(ts) AS end_time, count(*) AS observation_count
+          FROM pos GROUP BY 1, 2 HAVING count(*) >= 10"""
+
+
+def arrivals(source: str) -> str:
+    return f"""SELECT trip_id, count(*) AS stop_arrival_count, max(stop_sequence) AS max_stop_sequence,
+        {r1('sum(delay) / CAST(count(delay) AS DOUBLE)')} AS avg_delay_seconds,
+        {r1('sum(CASE WHEN abs(delay) <= 300 THEN 1 ELSE 0 END) / CAST(count(*) AS DOUBLE) * 100')} AS on_time_pct
+        FROM {source} GROUP BY 1"""
+
+
+_TRIPS = dict(
+    legs=LEGS,
+    lastrow="SELECT * FROM pos QUALIFY row_number() OVER (PARTITION BY vehicle_label, trip_id ORDER BY ts DESC, id DESC) = 1",
+    ar=arrivals("evd"),
+    w="""SELECT legs.*, x.route_id, x.vehicle_id, x.lat AS latitude, x.lon AS longitude, x.occ AS occupancy_status,
+           ar.stop_arrival_count, ar.max_stop_sequence, ar.avg_delay_seconds, ar.on_time_pct
+         FROM legs JOIN lastrow x ON x.vehicle_label = legs.vehicle_label AND x.trip_id = legs.trip_id
+         JOIN ar ON ar.trip_id = legs.trip_id WHERE stop_arrival_count > 1""",
+    ends="""SELECT trip_id, max(stop_sequence) AS max_sequence, arg_min(stop_id, stop_sequence) AS a,
+              arg_max(stop_id, stop_sequence) AS b FROM tp GROUP BY 1""",
+    d=f"""SELECT w.vehicle_label, w.vehicle_id, w.trip_id, w.route_id, r.route_short_name, r.route_color, r.route_type,
+            CASE WHEN r.route_type IN ('0', '1', '2') THEN 'rail' WHEN r.route_type = '3' THEN 'bus' ELSE 'other' END AS mode,
+            start_time, end_time,
+            {r1("date_diff('microsecond', start_time, end_time) / 1000000.0::DOUBLE / 60")} AS duration_minutes,
+            s1.stop_name AS start_stop_name, s2.stop_name AS end_stop_name,
+            e.max_sequence IS NULL OR coalesce(max_stop_sequence >= e.max_sequence, FALSE) AS reached_terminus,
+            end_time >= TIMESTAMP '2024-01-30 19:58:30' AS in_progress,
+            CASE WHEN end_time >= TIMESTAMP '2024-01-30 19:58:30' THEN 'in_progress'
+                 WHEN e.max_sequence IS NULL OR coalesce(max_stop_sequence >= e.max_sequence, FALSE) THEN 'complete'
+                 ELSE 'incomplete' END AS trip_status,
+            latitude AS last_latitude, longitude AS last_longitude, occupancy_status AS last_occupancy_status,
+            avg_delay_seconds, on_time_pct, observation_count, stop_arrival_count
+          FROM w LEFT JOIN ev_routes r ON r.route_id = w.route_id LEFT JOIN ends e ON e.trip_id = w.trip_id
+          LEFT JOIN nstops s1 ON s1.stop_id = e.a LEFT JOIN nstops s2 ON s2.stop_id = e.b""",
+)
+_TRIP_TABLES = ("pos", "evd", "tp", "ev_routes", "nstops")
+SQL["trip_window_agg"] = sql("SELECT * FROM w", *_TRIP_TABLES, **{k: _TRIPS[k] for k in ("legs", "lastrow", "ar", "w")})
+SQL["trip_delay_stats"] = sql(arrivals("arr"), "arr")
+SQL["trip_explorer"] = sql("SELECT * FROM d", *_TRIP_TABLES, **_TRIPS)
+SQL["trip_explorer_page"] = sql(
+    """SELECT p.trip_id, vehicle_label, start_time, trip_status, last_delay_seconds
+       FROM (SELECT * FROM d ORDER BY start_time, route_id NULLS LAST, vehicle_label, trip_id LIMIT 15 OFFSET 15) p
+       LEFT JOIN kd ON kd.trip_id = p.trip_id""",
+    *_TRIP_TABLES, "upd", **_TRIPS,
+    pg="SELECT * FROM d ORDER BY start_time, route_id NULLS LAST, vehicle_label, trip_id LIMIT 15 OFFSET 15",
+    kd="""SELECT trip_id, arrival_delay AS last_delay_seconds FROM upd
+          WHERE arrival_delay IS NOT NULL AND route_id IN (SELECT route_id FROM pg)
+          QUALIFY row_number() OVER (PARTITION BY trip_id ORDER BY ts DESC, id DESC) = 1""",
+)
+SQL["trip_explorer_filtered"] = sql(
+    """SELECT trip_id, trip_status, avg_delay_seconds, on_time_pct, duration_minutes FROM d
+       WHERE trip_status IN ('complete', 'incomplete')
+         AND coalesce(last_occupancy_status, 'UNKNOWN') IN ('UNKNOWN', 'FULL', 'EMPTY')
+         AND avg_delay_seconds BETWEEN -200 AND 300 AND on_time_pct >= 20 AND duration_minutes >= 600""",
+    *_TRIP_TABLES, **_TRIPS,
+)
+SQL["trip_facets"] = sql(
+    """SELECT facet, value, CAST(sum(n) AS BIGINT) AS n FROM (
+         SELECT 'status' AS facet, trip_status AS value, 1 AS n FROM d UNION ALL SELECT 'mode', mode, 1 FROM d
+         UNION ALL SELECT 'occupancy', coalesce(last_occupancy_status, 'UNKNOWN'), 1 FROM d
+         UNION ALL SELECT 'route', route_id, 1 FROM d UNION ALL SELECT 'vehicle', vehicle_label, 1 FROM d
+         UNION ALL SELECT * FROM (VALUES ('status', 'in_progress', 0), ('status', 'complete', 0),
+           ('status', 'incomplete', 0), ('mode', 'rail', 0), ('mode', 'bus', 0), ('mode', 'other', 0)))
+       GROUP BY 1, 2""",
+    *_TRIP_TABLES, **_TRIPS,
+)
+SQL["trip_facet_totals"] = sql(
+    "SELECT count(*) AS trip_count, coalesce(max(duration_minutes), 0.0) AS max_duration_minutes FROM d",
+    *_TRIP_TABLES, **_TRIPS,
+)
+SQL["vehicle_routes"] = sql(
+    """SELECT vehicle_label, route_short_name, min(start_time) AS first_seen, count(*) AS trip_count
+       FROM d GROUP BY 1, 2""",
+    *_TRIP_TABLES, **_TRIPS,
+)
+SQL["history_page"] = sql(
+    """SELECT p.id, p.trip_id, r.route_short_name, p.ts AS "timestamp", kd.last_delay_seconds AS delay_seconds
+       FROM pg p LEFT JOIN ev_routes r ON r.route_id = p.route_id LEFT JOIN kd ON kd.trip_id = p.trip_id""",
+    "pos", "upd", "ev_routes",
+    pg="SELECT * FROM pos ORDER BY ts DESC, id DESC LIMIT 200",
+    kd="""SELECT trip_id, arrival_delay AS last_delay_seconds FROM upd
+          WHERE arrival_delay IS NOT NULL AND route_id IN (SELECT route_id FROM pg)
+          QUALIFY row_number() OVER (PARTITION BY trip_id ORDER BY ts DESC, id DESC) = 1""",
+)
+SQL["bounded_count"] = "SELECT count(*) AS total FROM (SELECT 1 FROM events LIMIT 50000)"
+
+_TARGETS = 'SELECT id, stop_id AS vehicle_id, ts + INTERVAL 3 HOUR AS "at" FROM evd'
+SQL["nearest_status_at_event"] = sql(
+    """SELECT t.id, t.vehicle_id, t."at", p.occ AS occupancy_status FROM t JOIN pos p ON p.vehicle_id = t.vehicle_id
+       WHERE p.occ IS NOT NULL
+       QUALIFY row_number() OVER (PARTITION BY t.id ORDER BY abs(date_diff('microsecond', p.ts, t."at")), p.ts, p.id) = 1""",
+    "pos", "evd", t=_TARGETS,
+)
+_DLON = "radians(b.lon - a.lon)"
+_BEARING = f"""CASE WHEN a.lat = b.lat AND a.lon = b.lon THEN a.bearing ELSE
+    fmod(degrees(atan2(sin({_DLON}) * cos(radians(b.lat)), cos(radians(a.lat)) * sin(radians(b.lat))
+      - sin(radians(a.lat)) * cos(radians(b.lat)) * cos({_DLON}))) + 360.0, 360.0) END"""
+_SHARE = """(date_diff('microsecond', a.ts, "at") / CAST(date_diff('microsecond', a.ts, b.ts) AS DOUBLE))"""
+SQL["interpolated_position"] = sql(
+    f"""SELECT m.id, m.vehicle_id, "at",
+          round(CASE WHEN a.id IS NULL THEN b.lat WHEN b.id IS NULL THEN a.lat
+                ELSE a.lat + (b.lat - a.lat) * {_SHARE} END, 6) AS at_lat,
+          round(CASE WHEN a.id IS NULL THEN b.lon WHEN b.id IS NULL THEN a.lon
+                ELSE a.lon + (b.lon - a.lon) * {_SHARE} END, 6) AS at_lon,
+          round(CASE WHEN a.id IS NULL THEN b.bearing WHEN b.id IS NULL THEN a.bearing ELSE {_BEARING} END, 6) AS at_bearing
+        FROM m LEFT JOIN pos a ON a.id = m.before_id LEFT JOIN pos b ON b.id = m.after_id""",
+    "pos", "evd", t=_TARGETS,
+    m="""SELECT t.id, t.vehicle_id, t."at", arg_max(p.id, (p.ts, p.id)) FILTER (WHERE p.ts < t."at") AS before_id,
+           arg_min(p.id, (p.ts, p.id)) FILTER (WHERE p.ts >= t."at") AS after_id
+         FROM t JOIN pos p ON p.vehicle_id = t.vehicle_id GROUP BY 1, 2, 3""",
+)
+
+_LINE = dict(
+    seen="""SELECT trip_id, stop_sequence, arg_max(ts, (ts, id)) AS actual_time, arg_max(delay, (ts, id)) AS delay_seconds
+            FROM evd GROUP BY 1, 2""",
+    ob="""SELECT *, actual_time - to_seconds(delay_seconds) AS scheduled_time,
+            'NATION_' || CAST(stop_sequence AS VARCHAR) AS stop_id FROM seen""",
+    anchor0="""SELECT tp.trip_id, arg_min(scheduled_time - to_seconds(arrival_secs), tp.stop_sequence) AS exact
+               FROM tp JOIN ob ON ob.trip_id = tp.trip_id AND ob.stop_sequence = tp.stop_sequence GROUP BY 1""",
+    track="SELECT trip_id, min(ts) AS t0 FROM pos GROUP BY 1",
+    guess=f"""SELECT trip_id, mid AS guess FROM (
+                SELECT trip_id, t0, o, {utc(f"CAST(CAST({local('t0')} AS DATE) + o AS TIMESTAMP)")} AS mid
+                FROM track, (VALUES (0), (-1), (1)) v(o))
+              QUALIFY row_number() OVER (PARTITION BY trip_id ORDER BY abs(date_diff('microsecond', mid, t0)),
+                                         CASE o WHEN 0 THEN 0 WHEN -1 THEN 1 ELSE 2 END) = 1""",
+    occ1="""SELECT ob.trip_id, ob.stop_sequence, p.occ FROM ob JOIN pos p ON p.trip_id = ob.trip_id WHERE p.occ IS NOT NULL
+            QUALIFY row_number() OVER (PARTITION BY ob.trip_id, ob.stop_sequence
+              ORDER BY abs(date_diff('microsecond', p.ts, ob.actual_time)), p.ts, p.id) = 1""",
+    line="""SELECT coalesce(tp.trip_id, ob.trip_id) AS trip_id, coalesce(tp.stop_sequence, ob.stop_sequence) AS stop_sequence,
+              CASE WHEN tp.trip_id IS NULL THEN ob.stop_id ELSE tp.stop_id END AS stop_id,
+              CASE WHEN tp.trip_id IS NULL THEN ns.stop_name ELSE 'Stop ' || tp.stop_id END AS stop_name,
+              coalesce(ob.scheduled_time, coalesce(exact, guess) + to_seconds(tp.arrival_secs)) AS scheduled_time,
+              ob.trip_id IS NOT NULL AS observed,
+              CASE WHEN ob.trip_id IS NOT NULL THEN CASE WHEN ob.stop_sequence = 1 THEN 'departure' ELSE 'arrival' END END AS event_type,
+              ob.actual_time, ob.delay_seconds, occ1.occ AS occupancy_status
+            FROM tp FULL OUTER JOIN ob ON ob.trip_id = tp.trip_id AND ob.stop_sequence = tp.stop_sequence
+            LEFT JOIN anchor0 ON anchor0.trip_id = coalesce(tp.trip_id, ob.trip_id)
+            LEFT JOIN guess ON guess.trip_id = coalesce(tp.trip_id, ob.trip_id)
+            LEFT JOIN nstops ns ON ns.stop_id = ob.stop_id
+            LEFT JOIN occ1 ON occ1.trip_id = ob.trip_id AND occ1.stop_sequence = ob.stop_sequence""",
+)
+SQL["trip_timeline"] = sql("SELECT * FROM line", "pos", "evd", "tp", "nstops", **_LINE)
+SQL["trip_timeline_totals"] = sql(
+    f"""SELECT trip_id, count(*) AS scheduled_stop_count, count(*) FILTER (WHERE observed) AS observed_stop_count,
+          avg(delay_seconds) AS avg_delay_seconds,
+          CASE WHEN count(delay_seconds) > 0 THEN
+            {r1('count(*) FILTER (WHERE abs(delay_seconds) <= 300) / CAST(count(delay_seconds) AS DOUBLE) * 100')} END AS on_time_pct
+        FROM line GROUP BY 1""",
+    "pos", "evd", "tp", "nstops", **_LINE,
+)
+
+
+def schedule_at(day: str, secs: str) -> str:
+    """Of the two readings of an hour that occurs twice the earlier one is meant."""
+    wall = f"(CAST({day} AS TIMESTAMP) + to_seconds({secs}))"
+    late, early = utc(wall), f"({utc(wall)} - INTERVAL 1 HOUR)"
+    return f"CASE WHEN {local(early)} = {wall} THEN {early} ELSE {late} END"
+
+
+SQL["service_date_pick"] = sql(
+    """SELECT id, CASE WHEN abs(d0) <= abs(d1) THEN day ELSE day - 1 END AS service_date,
+              CASE WHEN abs(d0) <= abs(d1) THEN s0 ELSE s1 END AS scheduled_time,
+              CAST(round_even(CASE WHEN abs(d0) <= abs(d1) THEN d0 ELSE d1 END / 1000000.0::DOUBLE, 0) AS BIGINT) AS delay_seconds
+       FROM (SELECT *, date_diff('microsecond', s0, ts) AS d0, date_diff('microsecond', s1, ts) AS d1 FROM x)""",
+    "evd",
+    x0=f"SELECT id, ts, CAST({local('ts')} AS DATE) AS day, (id * 7919) % 108000 AS secs FROM evd",
+    x=f"SELECT *, {schedule_at('day', 'secs')} AS s0, {schedule_at('(day - 1)', 'secs')} AS s1 FROM x0",
+)
+SQL["scheduled_instant"] = f"""SELECT o_orderkey, {schedule_at('CAST(o_orderdate AS DATE)', '((o_orderkey * 977) % 108000)')} AS scheduled
+    FROM orders"""
+
+_LOCATED = "SELECT lines.*, stop_lat, stop_lon FROM lines JOIN pstops USING (stop_id)"
+_HOPS = f"""SELECT *, coalesce({haversine('plat', 'plon', 'stop_lat', 'stop_lon')}, 0) AS hop,
+              {haversine('stop_lat', 'stop_lon', 'nlat', 'nlon')} AS hop_next, plat IS NULL OR nlat IS NULL AS is_end
+            FROM (SELECT *, lag(stop_lat) OVER w AS plat, lag(stop_lon) OVER w AS plon,
+                         lead(stop_lat) OVER w AS nlat, lead(stop_lon) OVER w AS nlon
+                  FROM located WINDOW w AS (PARTITION BY trip_id ORDER BY stop_sequence))"""
+SQL["cumulative_distance"] = sql(
+    """SELECT trip_id, stop_sequence, stop_id,
+              round(sum(hop) OVER (PARTITION BY trip_id ORDER BY stop_sequence), 3) AS dist_m FROM hops""",
+    "lines", "pstops", located=_LOCATED, hops=_HOPS,
+)
+SQL["neighbour_gap_filter"] = sql(
+    "SELECT trip_id, stop_sequence, stop_id FROM hops WHERE is_end OR least(hop, hop_next) >= 20000",
+    "lines", "pstops", located=_LOCATED, hops=_HOPS,
+)
+_ENDS = """SELECT trip_id, min(stop_sequence) AS min_sequence, max(stop_sequence) AS max_sequence,
+             arg_min(stop_id, stop_sequence) AS first_stop_id, arg_max(stop_id, stop_sequence) AS last_stop_id
+           FROM lines GROUP BY 1"""
+SQL["trip_endpoints"] = sql(_ENDS, "lines")
+SQL["trip_ends_timepoints"] = sql(
+    """SELECT trip_id, arg_min(stop_id, stop_sequence) AS origin_stop, arg_min(arrival_secs, stop_sequence) AS origin_secs,
+              arg_max(stop_id, stop_sequence) AS terminus_stop, arg_max(arrival_secs, stop_sequence) AS terminus_secs
+       FROM tp GROUP BY 1""",
+    "tp",
+)
+SQL["route_terminals"] = sql(
+    """SELECT route_id, first_stop_id AS stop_id FROM e JOIN otrips USING (trip_id)
+       UNION SELECT route_id, last_stop_id FROM e JOIN otrips USING (trip_id)""",
+    "lines", "otrips", e=_ENDS,
+)
+_ROUTE_STOPS = """SELECT route_id, stop_id, min(stop_sequence) AS stop_sequence FROM lines JOIN otrips USING (trip_id) GROUP BY 1, 2"""
+SQL["route_stops"] = sql(
+    "SELECT stop_id, route_id, stop_sequence, stop_name FROM rs JOIN pstops USING (stop_id)",
+    "lines", "otrips", "pstops", rs=_ROUTE_STOPS,
+)
+SQL["stop_routes"] = sql(
+    """SELECT route_id, stop_id, coalesce(route_short_name, '') AS short_name, '' AS long_name, '888888' AS color,
+              coalesce(route_type, '3') AS route_type
+       FROM rs JOIN pstops USING (stop_id) LEFT JOIN sup_routes USING (route_id)""",
+    "lines", "otrips", "pstops", "sup_routes", rs=_ROUTE_STOPS,
+)
+SQL["stop_slots"] = sql(
+    """SELECT DISTINCT route_id, stop_id, CAST(stop_sequence * 600 AS INTEGER) AS arrival_secs, trip_id
+       FROM lines JOIN otrips USING (trip_id)""",
+    "lines", "otrips",
+)
+SQL["direction_headsign"] = sql(
+    """SELECT route_id, direction_id, trips, headsign FROM (
+         SELECT route_id, direction_id, trip_headsign AS headsign, count(*) AS n, min(trip_id) AS first_seen,
+                CAST(sum(count(*)) OVER (PARTITION BY route_id, direction_id) AS BIGINT) AS trips
+         FROM otrips GROUP BY 1, 2, 3)
+       QUALIFY row_number() OVER (PARTITION BY route_id, direction_id ORDER BY n DESC, first_seen) = 1""",
+    "otrips",
+)
+SQL["stop_search"] = sql(
+    """SELECT stop_id, stop_name, is_rail FROM pstops WHERE contains(lower(stop_name), 'ol')
+       ORDER BY CASE WHEN starts_with(lower(stop_name), 'ol') THEN 0 ELSE 1 END, CASE WHEN is_rail THEN 0 ELSE 1 END,
+                lower(stop_name), stop_id LIMIT 40""",
+    "pstops",
+)
+SQL["route_list"] = sql(
+    """SELECT route_id, route_short_name AS short_name, route_long_name AS long_name, route_type,
+              CASE route_type WHEN '0' THEN 'light_rail' WHEN '1' THEN 'heavy_rail' WHEN '2' THEN 'commuter_rail'
+                WHEN '3' THEN 'bus' ELSE 'other' END AS type_name, route_color AS color, 'A' AS agency_id
+       FROM ev_routes""",
+    "ev_routes",
+)
+SQL["delay_bands"] = sql(
+    """SELECT CASE WHEN delay < -300 THEN 'early' WHEN delay <= 300 THEN 'on_time' WHEN delay <= 900 THEN 'late'
+                   ELSE 'very_late' END AS band, count(*) AS n FROM evd GROUP BY 1""",
+    "evd",
 )
