@@ -69,19 +69,26 @@ def along_leg(lat: Column, lon: Column, leg: Column) -> Column:
 
 
 def project_on_legs(lat: Column, lon: Column, legs: Column) -> Column:
-    """Nearest leg of an array: struct(term, leg, share); the first minimum wins."""
+    """Nearest leg of an array, the first of equals.
+
+    struct(term, a_no, adist, bdist, proj): ``term`` is the half-chord term of the
+    distance to the leg, ``proj`` the route distance of the projected point.
+    """
 
     def step(best: Column, leg: Column) -> Column:
         share = along_leg(lat, lon, leg)
         clat = leg["alat"] + share * (leg["blat"] - leg["alat"])
         clon = leg["alon"] + share * (leg["blon"] - leg["alon"])
         term = haversine_term(lat, lon, clat, clon)
-        found = F.struct(term.alias("term"), leg["a_no"].alias("a_no"), share.alias("share"))
+        found = F.struct(
+            term.alias("term"),
+            leg["a_no"].alias("a_no"),
+            leg["adist"].alias("adist"),
+            leg["bdist"].alias("bdist"),
+            (leg["adist"] + share * (leg["bdist"] - leg["adist"])).alias("proj"),
+        )
         return F.when(best["term"].isNull() | (term < best["term"]), found).otherwise(best)
 
-    start = F.struct(
-        F.lit(None).cast("double").alias("term"),
-        F.lit(None).cast("int").alias("a_no"),
-        F.lit(None).cast("double").alias("share"),
-    )
+    kinds = {"term": "double", "a_no": "int", "adist": "double", "bdist": "double", "proj": "double"}
+    start = F.struct(*[F.lit(None).cast(kind).alias(name) for name, kind in kinds.items()])
     return F.aggregate(legs, start, step)

@@ -8,10 +8,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tramline.config import StuckConfig
+from tramline.config import DetectionConfig, StuckConfig
 from tramline.functions import bands, geo, times
 from tramline.functions.numbers import round_int
-from tramline.operators import filters, latest, nearest, rollups, timetable
+from tramline.operators import detect, filters, latest, nearest, rollups, timetable
 from tramline.operators.upsert import upsert_ridership
 from tramline.plans import alerts, board, explorer, network, reports, timeline
 from tramline.plans import standins as data
@@ -627,3 +627,132 @@ def _(spark, folder):
     return rows.groupBy(bands.punctuality_band(F.col("delay_seconds")).alias("band")).agg(
         F.count(F.lit(1)).alias("n")
     )
+
+
+# Arrival detection. Event positions are about seven hours and kilometres apart, so
+# the limits are scaled up; the rules are the same.
+
+DETECTION = DetectionConfig(
+    radius=15_000.0, radius_rail=20_000.0, segment_max_gap=DAY, origin_radius=12_000.0,
+    origin_silence=2 * DAY, terminus_radius=40_000.0, terminus_radius_rail=60_000.0,
+    terminus_silence=2 * DAY, max_delay=21_600, alias_min_delay=600, alias_max_gap=3_600,
+    alias_active_window=DAY,
+)
+
+
+def _points(spark, folder):
+    return timetable.with_distance(data.timepoints(spark, folder)).drop("hop_prev", "hop_next")
+
+
+def _projected(spark, folder):
+    lines = detect.trip_lines(_points(spark, folder))
+    routes = data.event_routes(spark, folder)
+    return detect.project(data.positions(spark, folder), lines, routes, DETECTION), lines
+
+
+def _second(name: str):
+    """Interpolated instants carry the last bits of a division; a second is enough."""
+    return F.date_trunc("second", times.shift(F.col(name), 0.5)).alias(name)
+
+
+def _by_rule(spark, folder, rule):
+    fixes, lines = _projected(spark, folder)
+    found = detect.candidates(fixes, DETECTION).filter(F.col("method") == rule)
+    return detect.with_stops(found, lines, DETECTION).select(
+        "trip_id", "route_id", "stop_id", "stop_sequence", "service_date", "scheduled_time",
+        _second("actual_time"), _second("emit_time"),
+        F.round("actual_lat", 6).alias("actual_lat"), F.round("actual_lon", 6).alias("actual_lon"),
+    )
+
+
+@query("route_projection")
+def _(spark, folder):
+    fixes, _ = _projected(spark, folder)
+    return fixes.select(
+        "id", F.round("lateral", 2).alias("off_route"), F.round("proj", 2).alias("proj"), "passed",
+        "geofence_no",
+    )
+
+
+@query("geofence_arrivals")
+def _(spark, folder):
+    return _by_rule(spark, folder, detect.GEOFENCE)
+
+
+@query("segment_arrivals")
+def _(spark, folder):
+    return _by_rule(spark, folder, detect.SEGMENT)
+
+
+@query("origin_departure")
+def _(spark, folder):
+    return _by_rule(spark, folder, detect.ORIGIN)
+
+
+@query("terminus_fallback")
+def _(spark, folder):
+    return _by_rule(spark, folder, detect.TERMINUS)
+
+
+def _found(spark, folder):
+    fixes, lines = _projected(spark, folder)
+    return detect.with_stops(detect.candidates(fixes, DETECTION), lines, DETECTION)
+
+
+def _guarded(spark, folder):
+    slots = timetable.stop_slots(_points(spark, folder), _event_trips(spark, folder))
+    seen = detect.activity(data.positions(spark, folder), DETECTION)
+    return detect.alias_guard(_found(spark, folder), slots, seen, DETECTION)
+
+
+def _event_key(df):
+    return df.select(
+        "trip_id", "stop_sequence", "service_date", "detection_method", _second("actual_time")
+    )
+
+
+@query("alias_guard")
+def _(spark, folder):
+    return _event_key(_guarded(spark, folder))
+
+
+@query("trip_activity_bins")
+def _(spark, folder):
+    return detect.activity(data.positions(spark, folder), DETECTION)
+
+
+@query("first_event_per_key")
+def _(spark, folder):
+    return _event_key(detect.first_per_stop(_guarded(spark, folder)))
+
+
+@query("closed_runs")
+def _(spark, folder):
+    return _event_key(detect.close_runs(detect.first_per_stop(_guarded(spark, folder))))
+
+
+@query("detect_arrivals")
+def detect_all(spark, folder):
+    points = _points(spark, folder)
+    events = detect.detect_arrivals(
+        data.positions(spark, folder), points,
+        timetable.stop_slots(points, _event_trips(spark, folder)),
+        data.event_routes(spark, folder), DETECTION,
+    )
+    return events.select(
+        "trip_id", "route_id", "stop_id", "stop_sequence", "scheduled_time", _second("actual_time"),
+        "delay_seconds", "service_date", "detection_method",
+        F.round("actual_lat", 6).alias("actual_lat"), F.round("actual_lon", 6).alias("actual_lon"),
+    )
+
+
+@query("detected_punctuality")
+def _(spark, folder):
+    """From positions to a report: detection, hourly rollup, share by route."""
+    points = _points(spark, folder)
+    events = detect.detect_arrivals(
+        data.positions(spark, folder), points,
+        timetable.stop_slots(points, _event_trips(spark, folder)),
+        data.event_routes(spark, folder), DETECTION,
+    )
+    return reports.ontime_by_route(rollups.ontime_hourly(events), *EVENT_DAYS)

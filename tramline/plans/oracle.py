@@ -851,3 +851,185 @@ SQL["delay_bands"] = sql(
                    ELSE 'very_late' END AS band, count(*) AS n FROM evd GROUP BY 1""",
     "evd",
 )
+
+
+# Detection, told once more as plain windows and joins over whole trips. The limits
+# are those of ``catalog.DETECTION``.
+
+
+def nearest_day(ts: str, secs: str, prefix: str) -> str:
+    """Columns <prefix>_date, <prefix>_at: today's or yesterday's schedule, the nearer one."""
+    day = f"CAST({local(ts)} AS DATE)"
+    s0, s1 = schedule_at(day, secs), schedule_at(f"({day} - 1)", secs)
+    today = f"abs(date_diff('microsecond', {s0}, {ts})) <= abs(date_diff('microsecond', {s1}, {ts}))"
+    return (
+        f"CASE WHEN {today} THEN {day} ELSE {day} - 1 END AS {prefix}_date,"
+        f" CASE WHEN {today} THEN {s0} ELSE {s1} END AS {prefix}_at"
+    )
+
+
+def second(x: str) -> str:
+    return f"date_trunc('second', {x} + INTERVAL 500 MILLISECOND)"
+
+
+TWO_DAYS = "172800000000"
+_RAIL = "(r.route_type IN ('0', '1', '2'))"
+_DETECT = dict(
+    tpd=f"""SELECT *, sum(hop) OVER (PARTITION BY trip_id ORDER BY stop_sequence) AS dist FROM (
+              SELECT *, coalesce({haversine('lag(stop_lat) OVER w', 'lag(stop_lon) OVER w', 'stop_lat', 'stop_lon')}, 0) AS hop
+              FROM tp WINDOW w AS (PARTITION BY trip_id ORDER BY stop_sequence))""",
+    legs="""SELECT trip_id, stop_sequence AS a_no, stop_lat AS alat, stop_lon AS alon, dist AS adist,
+              lead(stop_lat) OVER w AS blat, lead(stop_lon) OVER w AS blon, lead(dist) OVER w AS bdist
+            FROM tpd WINDOW w AS (PARTITION BY trip_id ORDER BY stop_sequence) QUALIFY blat IS NOT NULL""",
+    shares="""SELECT p.id, l.*, lat, lon, greatest(0, least(1, ((lon - alon) * (blon - alon) + (lat - alat) * (blat - alat))
+                / ((blon - alon) * (blon - alon) + (blat - alat) * (blat - alat)))) AS t
+              FROM pos p JOIN legs l ON l.trip_id = p.trip_id""",
+    pr=f"""SELECT id, adist + t * (bdist - adist) AS proj,
+             {haversine('lat', 'lon', '(alat + t * (blat - alat))', '(alon + t * (blon - alon))')} AS off_route
+           FROM shares QUALIFY row_number() OVER (PARTITION BY id ORDER BY
+             {haversine('lat', 'lon', '(alat + t * (blat - alat))', '(alon + t * (blon - alon))')}, a_no) = 1""",
+    fx=f"""SELECT p.*, proj, off_route, coalesce({_RAIL}, FALSE) AS rail,
+             CASE WHEN {_RAIL} THEN 20000 ELSE 15000 END AS radius, o.stop_lat AS olat, o.stop_lon AS olon,
+             o.arrival_secs AS osecs, z.stop_lat AS zlat, z.stop_lon AS zlon, z.arrival_secs AS zsecs,
+             z.dist AS zdist, y.dist AS ydist
+           FROM pos p JOIN pr USING (id) LEFT JOIN ev_routes r ON r.route_id = p.route_id
+           JOIN tpd o ON o.trip_id = p.trip_id AND o.stop_sequence = 1
+           JOIN tpd z ON z.trip_id = p.trip_id AND z.stop_sequence = 8
+           JOIN tpd y ON y.trip_id = p.trip_id AND y.stop_sequence = 7""",
+    fixes=f"""SELECT *, {haversine('lat', 'lon', 'olat', 'olon')} AS od, {haversine('lat', 'lon', 'zlat', 'zlon')} AS zd,
+                {nearest_day('ts', 'osecs', 'o')}, {nearest_day('ts', 'zsecs', 'z')} FROM fx""",
+    near="""SELECT f.id, t.stop_sequence AS no, abs(f.proj - t.dist) AS gap FROM fixes f
+            JOIN tpd t ON t.trip_id = f.trip_id AND t.stop_sequence <> 1
+            QUALIFY row_number() OVER (PARTITION BY f.id ORDER BY abs(f.proj - t.dist), t.stop_sequence) = 1""",
+    geo="""SELECT trip_id, route_id, no AS seq, ts AS actual, lat, lon, ts AS emit, 0 AS phase, f.id AS row_id,
+             2 AS rank, 'geofence' AS method
+           FROM fixes f JOIN near USING (id) WHERE off_route <= radius AND gap <= radius""",
+    hist="""SELECT *, lag(ts) OVER w AS pts, lag(lat) OVER w AS plat, lag(lon) OVER w AS plon,
+              lag(proj) OVER w AS pproj, lag(off_route) OVER w AS poff_route
+            FROM fixes WINDOW w AS (PARTITION BY trip_id ORDER BY ts, id)""",
+    seg="""SELECT h.trip_id, h.route_id, t.stop_sequence AS seq,
+             pts + to_microseconds(CAST(round(date_diff('microsecond', pts, ts) * ((t.dist - pproj) / (proj - pproj))) AS BIGINT)) AS actual,
+             plat + (lat - plat) * ((t.dist - pproj) / (proj - pproj)) AS lat,
+             plon + (lon - plon) * ((t.dist - pproj) / (proj - pproj)) AS lon,
+             ts AS emit, 0 AS phase, h.id AS row_id, 1 AS rank, 'segment' AS method
+           FROM hist h JOIN tpd t ON t.trip_id = h.trip_id AND t.stop_sequence <> 1 AND t.dist > pproj AND t.dist <= proj
+           WHERE ts > pts AND date_diff('microsecond', pts, ts) <= 86400000000
+             AND poff_route <= radius * 3 AND off_route <= radius * 3""",
+    o1="""SELECT *, od <= 12000 AS inside,
+            sum(CASE WHEN od <= 12000 THEN 1 ELSE 0 END) OVER (PARTITION BY trip_id, o_date ORDER BY ts, id ROWS UNBOUNDED PRECEDING) AS epoch
+          FROM fixes""",
+    o2="SELECT * FROM o1 WHERE inside",
+    o3=f"""SELECT i.trip_id, i.o_date, i.epoch, any_value(i.ts) AS t_in, any_value(i.od) AS d_in,
+             any_value(i.lat) AS lat, any_value(i.lon) AS lon, any_value(i.route_id) AS route_id,
+             arg_min(x.ts, (x.ts, x.id)) AS t_out, arg_min(x.od, (x.ts, x.id)) AS d_out,
+             arg_min(x.ts, (x.ts, x.id)) FILTER (WHERE x.proj >= 6000) AS t_ok,
+             arg_min(x.id, (x.ts, x.id)) FILTER (WHERE x.proj >= 6000) AS id_ok,
+             count(x.id) FILTER (WHERE x.proj < 6000) AS fails
+           FROM o2 i LEFT JOIN o1 x ON x.trip_id = i.trip_id AND x.o_date = i.o_date AND x.epoch = i.epoch AND NOT x.inside
+             AND x.current_stop_sequence > 1 AND date_diff('microsecond', i.ts, x.ts) <= {TWO_DAYS}
+           GROUP BY 1, 2, 3""",
+    o4="SELECT *, lead(t_in) OVER (PARTITION BY trip_id, o_date ORDER BY epoch) AS back FROM o3",
+    org=f"""SELECT trip_id, route_id, 1 AS seq,
+              CASE WHEN t_ok IS NULL THEN t_in WHEN d_out <= d_in THEN t_out ELSE t_in + to_microseconds(CAST(round(
+                date_diff('microsecond', t_in, t_out) * greatest(0, least(1, (12000 - d_in) / (d_out - d_in)))) AS BIGINT)) END AS actual,
+              lat, lon, CASE WHEN t_ok IS NULL THEN t_in + INTERVAL 2 DAY ELSE t_ok END AS emit,
+              CASE WHEN t_ok IS NULL THEN 1 ELSE 0 END AS phase, coalesce(id_ok, 0) AS row_id, 0 AS rank,
+              'origin_departure' AS method
+            FROM o4 WHERE t_ok IS NOT NULL
+              OR (fails = 0 AND coalesce(date_diff('microsecond', t_in, back) > {TWO_DAYS}, TRUE))
+            QUALIFY row_number() OVER (PARTITION BY trip_id, o_date ORDER BY epoch) = 1""",
+    z1=f"""SELECT *, zd <= radius AS arrived,
+             zd > radius AND zd <= least(CASE WHEN rail THEN 60000 ELSE 40000 END, (zdist - ydist) / 2) AND proj >= ydist AS cand,
+             coalesce(date_diff('microsecond', lag(ts) OVER w, ts) > {TWO_DAYS}, FALSE) AS broken
+           FROM fixes WINDOW w AS (PARTITION BY trip_id, z_date ORDER BY ts, id)""",
+    z2="""SELECT *, sum(broken::INT) OVER (PARTITION BY trip_id, z_date ORDER BY ts, id ROWS UNBOUNDED PRECEDING) AS spell FROM z1""",
+    z3="SELECT trip_id, z_date, min(spell) AS hit FROM z2 WHERE cand GROUP BY 1, 2",
+    z4="""SELECT z2.*, max(ts) OVER (PARTITION BY z2.trip_id, z2.z_date) AS quiet FROM z2
+          JOIN z3 ON z3.trip_id = z2.trip_id AND z3.z_date = z2.z_date AND spell = hit
+          WHERE NOT EXISTS (SELECT 1 FROM z2 a WHERE a.trip_id = z2.trip_id AND a.z_date = z2.z_date AND a.spell <= hit AND a.arrived)""",
+    trm="""SELECT trip_id, route_id, 8 AS seq, ts AS actual, lat, lon, quiet + INTERVAL 2 DAY AS emit, 1 AS phase, 0 AS row_id,
+             3 AS rank, 'terminus_fallback' AS method
+           FROM z4 WHERE cand QUALIFY row_number() OVER (PARTITION BY trip_id, z_date ORDER BY zd, ts, id) = 1""",
+    allc="SELECT * FROM geo UNION ALL SELECT * FROM seg UNION ALL SELECT * FROM org UNION ALL SELECT * FROM trm",
+    ev0=f"""SELECT c.*, t.stop_id, {nearest_day('actual', 't.arrival_secs', 's')} FROM allc c
+            JOIN tpd t ON t.trip_id = c.trip_id AND t.stop_sequence = c.seq""",
+    ev="""SELECT *, date_diff('microsecond', s_at, actual) / 1000000.0::DOUBLE AS delay FROM ev0
+          WHERE abs(date_diff('microsecond', s_at, actual)) <= 21600000000""",
+    slots="""SELECT DISTINCT t.route_id, tp.stop_id, tp.arrival_secs, tp.trip_id FROM tp
+             JOIN (SELECT trip_id, min(route_id) AS route_id FROM pos GROUP BY 1) t ON t.trip_id = tp.trip_id""",
+    es=f"""SELECT *, row_number() OVER () AS n,
+             date_diff('microsecond', CAST(s_date AS TIMESTAMP), {local('actual')}) / 1000000.0::DOUBLE AS wall FROM ev""",
+    alias="""SELECT es.n, s.trip_id AS other, es.actual, es.emit FROM es JOIN slots s ON s.route_id = es.route_id AND s.stop_id = es.stop_id
+             AND s.trip_id <> es.trip_id AND abs(s.arrival_secs - es.wall) <= 3600 WHERE abs(es.delay) >= 600""",
+    bad="""SELECT n FROM alias GROUP BY 1 EXCEPT
+           SELECT a.n FROM alias a JOIN pos p ON p.trip_id = a.other AND p.ts >= a.actual - INTERVAL 1 DAY
+             AND p.ts <= least(a.emit, a.actual + INTERVAL 1 DAY)""",
+    good="SELECT * FROM es WHERE n NOT IN (SELECT n FROM bad)",
+    firsts="""SELECT * FROM good QUALIFY row_number() OVER (PARTITION BY trip_id, seq, s_date
+                ORDER BY emit, phase, row_id, rank, seq) = 1""",
+    kept="""SELECT *, row_number() OVER (PARTITION BY trip_id, s_date ORDER BY emit, phase, row_id, rank, seq) AS o FROM firsts""",
+    fin="""SELECT * FROM (SELECT *, min(o) FILTER (WHERE seq = 8) OVER (PARTITION BY trip_id, s_date) AS last_o FROM kept)
+           WHERE last_o IS NULL OR o <= last_o""",
+)
+_DETECT_TABLES = ("pos", "tp", "ev_routes")
+
+
+def detect_sql(body: str, last: str) -> str:
+    names = list(_DETECT)
+    return sql(body, *_DETECT_TABLES, **{k: _DETECT[k] for k in names[: names.index(last) + 1]})
+
+
+def _rule(rule: str) -> str:
+    return detect_sql(
+        f"""SELECT trip_id, route_id, stop_id, CAST(seq AS INTEGER) AS stop_sequence, s_date AS service_date,
+              s_at AS scheduled_time, {second('actual')} AS actual_time, {second('emit')} AS emit_time,
+              round(lat, 6) AS actual_lat, round(lon, 6) AS actual_lon FROM ev WHERE method = '{rule}'""",
+        "ev",
+    )
+
+
+def _keys(table: str) -> str:
+    return detect_sql(
+        f"""SELECT trip_id, CAST(seq AS INTEGER) AS stop_sequence, s_date AS service_date,
+              method AS detection_method, {second('actual')} AS actual_time FROM {table}""",
+        table,
+    )
+
+
+SQL["route_projection"] = detect_sql(
+    """SELECT f.id, round(off_route, 2) AS off_route, round(proj, 2) AS proj,
+         (SELECT CAST(count(*) AS INTEGER) FROM tpd t WHERE t.trip_id = f.trip_id AND t.dist <= f.proj) AS passed,
+         CASE WHEN off_route <= radius AND gap <= radius THEN no END AS geofence_no
+       FROM fixes f JOIN near USING (id)""",
+    "near",
+)
+SQL["geofence_arrivals"] = _rule("geofence")
+SQL["segment_arrivals"] = _rule("segment")
+SQL["origin_departure"] = _rule("origin_departure")
+SQL["terminus_fallback"] = _rule("terminus_fallback")
+SQL["alias_guard"] = _keys("good")
+SQL["first_event_per_key"] = _keys("firsts")
+SQL["closed_runs"] = _keys("fin")
+SQL["trip_activity_bins"] = sql(
+    """SELECT trip_id, CAST(floor(epoch_us(ts) / 86400000000) AS BIGINT) AS bin, min(ts) AS first_seen,
+              max(ts) AS last_seen FROM pos GROUP BY 1, 2""",
+    "pos",
+)
+SQL["detect_arrivals"] = detect_sql(
+    f"""SELECT trip_id, route_id, stop_id, CAST(seq AS INTEGER) AS stop_sequence, s_at AS scheduled_time,
+          {second('actual')} AS actual_time, CAST(round_even(delay, 0) AS INTEGER) AS delay_seconds,
+          s_date AS service_date, method AS detection_method, round(lat, 6) AS actual_lat, round(lon, 6) AS actual_lon
+        FROM fin""",
+    "fin",
+)
+SQL["detected_punctuality"] = sql(
+    f"""SELECT route_id, on_time, late, early, observations, delay_sum,
+               CASE WHEN overall THEN {pct('on_time', 'observations')}
+                    ELSE {pct('on_time', '(on_time + late + early)')} END AS on_time_pct,
+               {avg('delay_sum', 'observations')} AS avg_delay_seconds, overall
+        FROM (SELECT route_id, FALSE AS overall, {FOLD} FROM h WHERE {EV_RANGE} GROUP BY route_id
+              UNION ALL SELECT NULL, TRUE, {FOLD} FROM h WHERE {EV_RANGE}) x""",
+    *_DETECT_TABLES, **_DETECT,
+    det="SELECT route_id, actual AS ts, CAST(round_even(delay, 0) AS INTEGER) AS delay FROM fin",
+    h=hourly("det"),
+)
