@@ -55,40 +55,40 @@ def outside_disc(lat: Column, lon: Column, centre: tuple[float, float], radius_d
     return ~(dlat * dlat + dlon * dlon < F.lit(radius_deg * radius_deg))
 
 
-def along_leg(lat: Column, lon: Column, leg: Column) -> Column:
-    """Share of a straight leg at which a point projects, clamped to [0, 1].
+def leg(lat_a: Column, lon_a: Column, dist_a: Column, lat_b: Column, lon_b: Column, dist_b: Column) -> Column:
+    """A straight leg as start, direction and inverse squared length, all in degrees."""
+    dlat, dlon = lat_b - lat_a, lon_b - lon_a
+    square = dlat * dlat + dlon * dlon
+    return F.struct(
+        lat_a.alias("lat"), lon_a.alias("lon"), dlat.alias("dlat"), dlon.alias("dlon"),
+        F.when(square > 1e-18, 1 / square).otherwise(F.lit(0.0)).alias("inverse"),
+        dist_a.alias("dist"), dist_b.alias("end_dist"),
+    )
+
+
+def along_leg(lat: Column, lon: Column, on: Column) -> Column:
+    """Share of a leg at which a point projects, clamped to [0, 1].
 
-    Planar in degrees without latitude scaling. ``leg`` has alat, alon, blat, blon.
+    Planar in degrees, without latitude scaling.
     """
-    dx, dy = leg["blon"] - leg["alon"], leg["blat"] - leg["alat"]
-    length = dx * dx + dy * dy
-    share = ((lon - leg["alon"]) * dx + (lat - leg["alat"]) * dy) / length
-    return F.when(
-        length > 1e-18, F.greatest(F.lit(0.0), F.least(F.lit(1.0), share))
-    ).otherwise(F.lit(0.0))
+    share = ((lon - on["lon"]) * on["dlon"] + (lat - on["lat"]) * on["dlat"]) * on["inverse"]
+    return F.greatest(F.lit(0.0), F.least(F.lit(1.0), share))
 
 
-def project_on_legs(lat: Column, lon: Column, legs: Column) -> Column:
-    """Nearest leg of an array, the first of equals.
+def leg_terms(lat: Column, lon: Column, cos_lat: Column, legs: Column) -> Column:
+    """Half-chord term of the distance to each leg of an array.
 
-    struct(term, a_no, adist, bdist, proj): ``term`` is the half-chord term of the
-    distance to the leg, ``proj`` the route distance of the projected point.
+    Lambdas are interpreted, so the share is bound once per leg and the cosine of
+    the point's latitude comes in as a column.
     """
 
-    def step(best: Column, leg: Column) -> Column:
-        share = along_leg(lat, lon, leg)
-        clat = leg["alat"] + share * (leg["blat"] - leg["alat"])
-        clon = leg["alon"] + share * (leg["blon"] - leg["alon"])
-        term = haversine_term(lat, lon, clat, clon)
-        found = F.struct(
-            term.alias("term"),
-            leg["a_no"].alias("a_no"),
-            leg["adist"].alias("adist"),
-            leg["bdist"].alias("bdist"),
-            (leg["adist"] + share * (leg["bdist"] - leg["adist"])).alias("proj"),
-        )
-        return F.when(best["term"].isNull() | (term < best["term"]), found).otherwise(best)
-
-    kinds = {"term": "double", "a_no": "int", "adist": "double", "bdist": "double", "proj": "double"}
-    start = F.struct(*[F.lit(None).cast(kind).alias(name) for name, kind in kinds.items()])
-    return F.aggregate(legs, start, step)
+    def term(on: Column, share: Column) -> Column:
+        clat = on["lat"] + share * on["dlat"]
+        dphi = F.sin(F.radians(clat - lat) / 2)
+        dlam = F.sin(F.radians(on["lon"] + share * on["dlon"] - lon) / 2)
+        return F.pow(dphi, 2.0) + cos_lat * F.cos(F.radians(clat)) * F.pow(dlam, 2.0)
+
+    return F.transform(
+        legs,
+        lambda on: F.transform(F.array(along_leg(lat, lon, on)), lambda share: term(on, share))[0],
+    )

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from tramline.config import DetectionConfig
 from tramline.functions.bands import is_rail
-from tramline.functions.geo import haversine_m, metres_of_term, project_on_legs
+from tramline.functions.geo import along_leg, haversine_m, leg, leg_terms, metres_of_term
 from tramline.functions.numbers import round_int
 from tramline.functions.times import (
     instant,
@@ -36,8 +36,9 @@ from tramline.functions.times import (
     shift,
     wall_seconds,
 )
-from tramline.operators.blocks import bracket, range_block, running_total
+from tramline.operators.blocks import range_block, walk
 from tramline.operators.timetable import SEQUENCE_BLOCK
+from tramline.session import stored
 
 GEOFENCE, SEGMENT = "geofence", "segment"
 ORIGIN, TERMINUS = "origin_departure", "terminus_fallback"
@@ -56,15 +57,18 @@ class TripLines:
     numbered: DataFrame
     legs: DataFrame
 
+    def stored(self) -> TripLines:
+        """The same, computed once: several branches of the job read them."""
+        return TripLines(stored(self.numbered, "timepoints"), stored(self.legs, "legs"))
+
 
 def trip_lines(points: DataFrame) -> TripLines:
     """``points``: trip_id, stop_sequence, stop_id, arrival_secs, stop_lat, stop_lon, dist_m."""
-    block = range_block(F.col("stop_sequence"), SEQUENCE_BLOCK)
-    numbered = running_total(
-        points, ["trip_id"], ["stop_sequence"], block, {"tp_no": F.lit(1)}
+    around = walk(
+        points, ["trip_id"], ["stop_sequence"], range_block(F.col("stop_sequence"), SEQUENCE_BLOCK),
+        F.struct("stop_lat", "stop_lon", "dist_m"), {"tp_no": F.lit(1)},
     ).withColumn("tp_no", F.col("tp_no").cast("int"))
     place = F.struct("stop_lat", "stop_lon", "dist_m")
-    around = bracket(numbered, ["trip_id"], ["tp_no"], range_block(F.col("tp_no"), SEQUENCE_BLOCK), place)
     end = F.struct("stop_sequence", "arrival_secs", "stop_lat", "stop_lon", "dist_m")
     heads = around.groupBy("trip_id").agg(
         F.max("tp_no").alias("n_tp"),
@@ -74,20 +78,22 @@ def trip_lines(points: DataFrame) -> TripLines:
     )
     single = F.col("prev_sample").isNull() & F.col("next_sample").isNull()
     other = F.coalesce("next_sample", place)
-    leg = F.struct(
-        F.col("tp_no").alias("a_no"),
-        F.col("stop_lat").alias("alat"), F.col("stop_lon").alias("alon"),
-        F.col("dist_m").alias("adist"),
-        other["stop_lat"].alias("blat"), other["stop_lon"].alias("blon"),
-        other["dist_m"].alias("bdist"),
+    numbered_leg = F.struct(
+        "tp_no",
+        leg(
+            F.col("stop_lat"), F.col("stop_lon"), F.col("dist_m"),
+            other["stop_lat"], other["stop_lon"], other["dist_m"],
+        ).alias("leg"),
     )
     legs = (
         around.filter(F.col("next_sample").isNotNull() | single)
         .groupBy("trip_id", range_block(F.col("tp_no") - 1, LEGS_PER_ROW).alias("chunk"))
-        .agg(F.array_sort(F.collect_list(leg)).alias("legs"))
+        .agg(F.sort_array(F.collect_list(numbered_leg)).alias("n"))
+        .select("trip_id", "chunk", "n.leg", F.col("n")[0]["tp_no"].alias("first_no"))
+        .withColumnRenamed("leg", "legs")
         .join(heads, "trip_id")
     )
-    return TripLines(numbered, legs)
+    return TripLines(around.drop("prev_sample", "next_sample"), legs)
 
 
 FIX = [
@@ -113,37 +119,49 @@ def project(
         rail = routes.select("route_id", is_rail(F.col("route_type")).alias("rail"))
         fixes = fixes.join(rail, "route_id", "left").fillna(False, ["rail"])
     lat, lon = F.col("latitude"), F.col("longitude")
-    placed = lat.isNotNull() & lon.isNotNull()
-    met = fixes.join(lines.legs, "trip_id").withColumn(
-        "hit", F.when(placed, project_on_legs(lat, lon, F.col("legs")))
-    ).drop("legs")
+    met = (
+        fixes.join(lines.legs, "trip_id")
+        .withColumn("_cos", F.cos(F.radians(lat)))
+        .withColumn("_terms", F.when(lat.isNotNull() & lon.isNotNull(), leg_terms(lat, lon, F.col("_cos"), F.col("legs"))))
+        .withColumn("term", F.array_min("_terms"))
+        .withColumn("_at", F.array_position("_terms", F.col("term")).cast("int"))
+        .withColumn("on", F.element_at("legs", F.col("_at")))
+        .withColumn("a_no", F.col("first_no") + F.col("_at") - 1)
+        .drop("legs", "_cos", "_terms", "_at", "first_no")
+    )
     if chunked is None:
         chunked = not lines.legs.filter(F.col("chunk") > 0).isEmpty()
     if chunked:
-        best = F.struct(F.coalesce("hit.term", F.lit(0.0)), F.col("chunk"))
+        best = F.struct(F.coalesce("term", F.lit(0.0)), F.col("chunk"))
+        rest = [c for c in met.columns if c not in ("trip_id", "id")]
         met = (
             met.groupBy("trip_id", "id")
-            .agg(F.min_by(F.struct(*[c for c in met.columns if c not in ("trip_id", "id")]), best).alias("r"))
+            .agg(F.min_by(F.struct(*rest), best).alias("r"))
             .select("trip_id", "id", "r.*")
         )
     radius = F.when(F.col("rail"), F.lit(cfg.radius_rail)).otherwise(F.lit(cfg.radius))
     wide = F.when(F.col("rail"), F.lit(cfg.terminus_radius_rail)).otherwise(F.lit(cfg.terminus_radius))
     many = F.col("n_tp") >= 2
-    a_no, proj = F.col("hit.a_no"), F.col("hit.proj")
-    gap_a = F.abs(proj - F.col("hit.adist"))
-    gap_b = F.abs(proj - F.col("hit.bdist"))
+    on, a_no, proj = F.col("on"), F.col("a_no"), F.col("proj")
+    met = met.withColumn("_share", along_leg(lat, lon, on)).withColumn(
+        "proj",
+        F.when(F.col("_share") >= 1, on["end_dist"]).otherwise(
+            on["dist"] + F.col("_share") * (on["end_dist"] - on["dist"])
+        ),
+    )
+    leg_end = on["end_dist"]
+    gap_a, gap_b = F.abs(proj - on["dist"]), F.abs(proj - leg_end)
     use_a = (a_no != 1) & (gap_a <= gap_b)
     nearest = F.when(use_a, F.struct(a_no.alias("no"), gap_a.alias("gap"))).when(
         many, F.struct((a_no + 1).alias("no"), gap_b.alias("gap"))
     )
-    lateral = metres_of_term(F.col("hit.term"))
+    lateral = metres_of_term(F.col("term"))
     near_end = F.least(wide, (F.col("terminus.dist_m") - F.col("before_last_m")) / 2)
     columns = {
         "lateral": lateral,
-        "proj": proj,
         "radius": radius,
         # Timepoints at or before the projected point.
-        "passed": F.when(many & (proj >= F.col("hit.bdist")), a_no + 1).otherwise(a_no),
+        "passed": F.when(many & (proj >= leg_end), a_no + 1).otherwise(a_no),
         "geofence_no": F.when((lateral <= radius) & (nearest["gap"] <= radius), nearest["no"]),
         "origin_m": haversine_m(lat, lon, F.col("origin.stop_lat"), F.col("origin.stop_lon")),
         "past_origin": F.col("current_stop_sequence").isNull()
@@ -163,7 +181,7 @@ def project(
     return (
         met.withColumns(columns)
         .withColumns(days)
-        .select(*FIX, "n_tp", *columns, *days)
+        .select(*FIX, "n_tp", "proj", *columns, *days)
     )
 
 
@@ -474,7 +492,7 @@ def detect_arrivals(
     ``points`` is ``timetable.detection_timetable``, ``slots`` is
     ``timetable.stop_slots``.
     """
-    lines = trip_lines(points)
+    lines = trip_lines(points).stored()
     found = with_stops(candidates(project(positions, lines, routes, cfg), cfg, watermark), lines, cfg)
     guarded = alias_guard(found, slots, activity(positions, cfg), cfg)
     return as_events(close_runs(first_per_stop(guarded)))

@@ -15,6 +15,7 @@ from tramline.operators import detect, filters, latest, nearest, rollups, timeta
 from tramline.operators.upsert import upsert_ridership
 from tramline.plans import alerts, board, explorer, network, reports, timeline
 from tramline.plans import standins as data
+from tramline.session import stored
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -633,19 +634,22 @@ def _(spark, folder):
 # the limits are scaled up; the rules are the same.
 
 DETECTION = DetectionConfig(
-    radius=15_000.0, radius_rail=20_000.0, segment_max_gap=DAY, origin_radius=12_000.0,
-    origin_silence=2 * DAY, terminus_radius=40_000.0, terminus_radius_rail=60_000.0,
+    radius=2_000.0, radius_rail=3_000.0, segment_max_gap=DAY, origin_radius=4_000.0,
+    origin_silence=2 * DAY, terminus_radius=5_000.0, terminus_radius_rail=6_000.0,
     terminus_silence=2 * DAY, max_delay=21_600, alias_min_delay=600, alias_max_gap=3_600,
     alias_active_window=DAY,
 )
 
 
 def _points(spark, folder):
-    return timetable.with_distance(data.timepoints(spark, folder)).drop("hop_prev", "hop_next")
+    """The detection timetable, computed once as a job of its own would."""
+    rows = timetable.with_distance(data.timepoints(spark, folder))
+    return stored(rows.drop("hop_prev", "hop_next"), "timetable")
 
 
-def _projected(spark, folder):
-    lines = detect.trip_lines(_points(spark, folder))
+def _projected(spark, folder, points=None):
+    points = _points(spark, folder) if points is None else points
+    lines = detect.trip_lines(points).stored()
     routes = data.event_routes(spark, folder)
     return detect.project(data.positions(spark, folder), lines, routes, DETECTION), lines
 
@@ -694,15 +698,13 @@ def _(spark, folder):
     return _by_rule(spark, folder, detect.TERMINUS)
 
 
-def _found(spark, folder):
-    fixes, lines = _projected(spark, folder)
-    return detect.with_stops(detect.candidates(fixes, DETECTION), lines, DETECTION)
-
-
 def _guarded(spark, folder):
-    slots = timetable.stop_slots(_points(spark, folder), _event_trips(spark, folder))
+    points = _points(spark, folder)
+    fixes, lines = _projected(spark, folder, points)
+    found = detect.with_stops(detect.candidates(fixes, DETECTION), lines, DETECTION)
+    slots = timetable.stop_slots(points, _event_trips(spark, folder))
     seen = detect.activity(data.positions(spark, folder), DETECTION)
-    return detect.alias_guard(_found(spark, folder), slots, seen, DETECTION)
+    return detect.alias_guard(found, slots, seen, DETECTION)
 
 
 def _event_key(df):

@@ -90,7 +90,7 @@ CTE = {
         SELECT trip_id, CAST(n_nationkey + 1 AS INTEGER) AS stop_sequence, n_name AS stop_id,
                CAST(n_nationkey * 10800 AS INTEGER) AS arrival_secs,
                39.5::DOUBLE + n_nationkey / 15.0::DOUBLE AS stop_lat,
-               -105.2::DOUBLE + n_nationkey / 20.0::DOUBLE AS stop_lon
+               -105.2::DOUBLE + n_nationkey / 100.0::DOUBLE AS stop_lon
         FROM (SELECT DISTINCT {TRIP} AS trip_id FROM events) t
         JOIN nation ON n_nationkey < 8""",
     "lines": """
@@ -601,9 +601,10 @@ SQL["stuck_vehicles"] = sql(
         WHERE date_diff('microsecond', stuck_since, TIMESTAMP '2024-01-31') >= 86400000000 AND NOT only_stopped
           AND NOT EXISTS (SELECT 1 FROM tp t JOIN (SELECT trip_id, min(stop_sequence) AS a, max(stop_sequence) AS b
                                                    FROM tp GROUP BY 1) e ON e.trip_id = t.trip_id
+                          JOIN nstops ts ON ts.stop_id = t.stop_id
                           WHERE t.trip_id = f.trip_id AND t.stop_sequence IN (e.a, e.b)
                             AND (t.stop_id = f.stop_id
-                              OR {haversine('f.lat', 'f.lon', 't.stop_lat', 't.stop_lon')} < 5000))""",
+                              OR {haversine('f.lat', 'f.lon', 'ts.stop_lat', 'ts.stop_lon')} < 5000))""",
     "pos", "tp", "ev_routes", "nstops", **_STREAK,
 )
 
@@ -889,7 +890,7 @@ _DETECT = dict(
            FROM shares QUALIFY row_number() OVER (PARTITION BY id ORDER BY
              {haversine('lat', 'lon', '(alat + t * (blat - alat))', '(alon + t * (blon - alon))')}, a_no) = 1""",
     fx=f"""SELECT p.*, proj, off_route, coalesce({_RAIL}, FALSE) AS rail,
-             CASE WHEN {_RAIL} THEN 20000 ELSE 15000 END AS radius, o.stop_lat AS olat, o.stop_lon AS olon,
+             CASE WHEN {_RAIL} THEN 3000 ELSE 2000 END AS radius, o.stop_lat AS olat, o.stop_lon AS olon,
              o.arrival_secs AS osecs, z.stop_lat AS zlat, z.stop_lon AS zlon, z.arrival_secs AS zsecs,
              z.dist AS zdist, y.dist AS ydist
            FROM pos p JOIN pr USING (id) LEFT JOIN ev_routes r ON r.route_id = p.route_id
@@ -915,23 +916,23 @@ _DETECT = dict(
            FROM hist h JOIN tpd t ON t.trip_id = h.trip_id AND t.stop_sequence <> 1 AND t.dist > pproj AND t.dist <= proj
            WHERE ts > pts AND date_diff('microsecond', pts, ts) <= 86400000000
              AND poff_route <= radius * 3 AND off_route <= radius * 3""",
-    o1="""SELECT *, od <= 12000 AS inside,
-            sum(CASE WHEN od <= 12000 THEN 1 ELSE 0 END) OVER (PARTITION BY trip_id, o_date ORDER BY ts, id ROWS UNBOUNDED PRECEDING) AS epoch
+    o1="""SELECT *, od <= 4000 AS inside,
+            sum(CASE WHEN od <= 4000 THEN 1 ELSE 0 END) OVER (PARTITION BY trip_id, o_date ORDER BY ts, id ROWS UNBOUNDED PRECEDING) AS epoch
           FROM fixes""",
     o2="SELECT * FROM o1 WHERE inside",
     o3=f"""SELECT i.trip_id, i.o_date, i.epoch, any_value(i.ts) AS t_in, any_value(i.od) AS d_in,
              any_value(i.lat) AS lat, any_value(i.lon) AS lon, any_value(i.route_id) AS route_id,
              arg_min(x.ts, (x.ts, x.id)) AS t_out, arg_min(x.od, (x.ts, x.id)) AS d_out,
-             arg_min(x.ts, (x.ts, x.id)) FILTER (WHERE x.proj >= 6000) AS t_ok,
-             arg_min(x.id, (x.ts, x.id)) FILTER (WHERE x.proj >= 6000) AS id_ok,
-             count(x.id) FILTER (WHERE x.proj < 6000) AS fails
+             arg_min(x.ts, (x.ts, x.id)) FILTER (WHERE x.proj >= 2000) AS t_ok,
+             arg_min(x.id, (x.ts, x.id)) FILTER (WHERE x.proj >= 2000) AS id_ok,
+             count(x.id) FILTER (WHERE x.proj < 2000) AS fails
            FROM o2 i LEFT JOIN o1 x ON x.trip_id = i.trip_id AND x.o_date = i.o_date AND x.epoch = i.epoch AND NOT x.inside
              AND x.current_stop_sequence > 1 AND date_diff('microsecond', i.ts, x.ts) <= {TWO_DAYS}
            GROUP BY 1, 2, 3""",
     o4="SELECT *, lead(t_in) OVER (PARTITION BY trip_id, o_date ORDER BY epoch) AS back FROM o3",
     org=f"""SELECT trip_id, route_id, 1 AS seq,
               CASE WHEN t_ok IS NULL THEN t_in WHEN d_out <= d_in THEN t_out ELSE t_in + to_microseconds(CAST(round(
-                date_diff('microsecond', t_in, t_out) * greatest(0, least(1, (12000 - d_in) / (d_out - d_in)))) AS BIGINT)) END AS actual,
+                date_diff('microsecond', t_in, t_out) * greatest(0, least(1, (4000 - d_in) / (d_out - d_in)))) AS BIGINT)) END AS actual,
               lat, lon, CASE WHEN t_ok IS NULL THEN t_in + INTERVAL 2 DAY ELSE t_ok END AS emit,
               CASE WHEN t_ok IS NULL THEN 1 ELSE 0 END AS phase, coalesce(id_ok, 0) AS row_id, 0 AS rank,
               'origin_departure' AS method
@@ -939,7 +940,7 @@ _DETECT = dict(
               OR (fails = 0 AND coalesce(date_diff('microsecond', t_in, back) > {TWO_DAYS}, TRUE))
             QUALIFY row_number() OVER (PARTITION BY trip_id, o_date ORDER BY epoch) = 1""",
     z1=f"""SELECT *, zd <= radius AS arrived,
-             zd > radius AND zd <= least(CASE WHEN rail THEN 60000 ELSE 40000 END, (zdist - ydist) / 2) AND proj >= ydist AS cand,
+             zd > radius AND zd <= least(CASE WHEN rail THEN 6000 ELSE 5000 END, (zdist - ydist) / 2) AND proj >= ydist AS cand,
              coalesce(date_diff('microsecond', lag(ts) OVER w, ts) > {TWO_DAYS}, FALSE) AS broken
            FROM fixes WINDOW w AS (PARTITION BY trip_id, z_date ORDER BY ts, id)""",
     z2="""SELECT *, sum(broken::INT) OVER (PARTITION BY trip_id, z_date ORDER BY ts, id ROWS UNBOUNDED PRECEDING) AS spell FROM z1""",

@@ -140,7 +140,7 @@ def timepoints(spark: SparkSession, folder: str) -> DataFrame:
         F.col("n_name").alias("stop_id"),
         (key * 10800).alias("arrival_secs"),
         (F.lit(39.5) + key / 15.0).alias("stop_lat"),
-        (F.lit(-105.2) + key / 20.0).alias("stop_lon"),
+        (F.lit(-105.2) + key / 100.0).alias("stop_lon"),
     )
     return numbered.join(places, "n").drop("n")
 

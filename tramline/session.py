@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Adaptive execution picks broadcast joins from measured sizes, splits skewed
 # join partitions and merges small shuffle partitions, so no job hints any of it.
@@ -12,6 +13,7 @@ SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
+    "spark.sql.adaptive.coalescePartitions.parallelismFirst": "false",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
 }
@@ -57,8 +59,13 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
-def cut_lineage(df):
-    """Write ``df`` to the shared folder and read it back."""
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` once to the shared folder and go on from the table.
+
+    For small inputs that several branches read: they are computed once, their size
+    is known to the planner, and a lost executor costs a re-read, not a re-run.
+    """
     spark = df.sparkSession
-    spark.sparkContext.setCheckpointDir(shared_folder(spark))
-    return df.checkpoint()
+    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
