@@ -11,11 +11,12 @@ from pyspark.sql import functions as F
 from tramline.config import DetectionConfig, StuckConfig
 from tramline.functions import bands, geo, times
 from tramline.functions.numbers import round_int
-from tramline.operators import detect, filters, latest, nearest, rollups, timetable
+from tramline.operators import detect, filters, latest, nearest, rollups, shapes, sinks, timetable
 from tramline.operators.upsert import upsert_ridership
-from tramline.plans import alerts, board, explorer, network, reports, timeline
+from tramline.plans import alerts, board, explorer, games, network, reports, timeline
 from tramline.plans import standins as data
 from tramline.session import stored
+from tramline.sources import realtime_feed
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -758,3 +759,74 @@ def _(spark, folder):
         data.event_routes(spark, folder), DETECTION,
     )
     return reports.ontime_by_route(rollups.ontime_hourly(events), *EVENT_DAYS)
+
+
+# Feeds, exports, games, shapes.
+
+
+@query("nested_feed_flatten")
+def _(spark, folder):
+    return realtime_feed.vehicle_positions(data.vehicle_entities(spark, folder)).drop("id")
+
+
+@query("trip_update_flatten")
+def _(spark, folder):
+    return realtime_feed.trip_updates(data.update_entities(spark, folder)).drop("id")
+
+
+@query("route_occupancy_summary")
+def _(spark, folder):
+    """The status map is unfolded into rows to be comparable."""
+    summary = realtime_feed.route_summary(
+        data.positions(spark, folder), data.event_routes(spark, folder)
+    )
+    return summary.select(
+        "mode", "route_id", "route_short_name", "total_vehicles",
+        F.explode("occupancy_levels").alias("status", "n"),
+    )
+
+
+@query("export_page")
+def _(spark, folder):
+    rows = sinks.export_rows(data.positions(spark, folder), *WINDOW)
+    return rows.select("vehicle_id", "trip_id", "route_id", "stop_id", "timestamp")
+
+
+@query("gtfs_time_parse")
+def _(spark, folder):
+    """Order keys spelled as timetable times, some past midnight, some malformed."""
+    key = F.col("o_orderkey")
+    text = F.format_string(
+        "%02d:%02d:%02d", (key % 30).cast("int"), (key % 60).cast("int"), (key % 7).cast("int")
+    )
+    spelled = F.when(key % 13 == 0, F.substring(text, 1, 5)).otherwise(text)
+    secs = times.gtfs_seconds(spelled)
+    return data.table(spark, folder, "orders").select(
+        "o_orderkey", secs.alias("seconds"), times.hour_minute(secs).alias("clock")
+    )
+
+
+@query("month_parse")
+def _(spark, folder):
+    """Order months in seven spellings and counts with thousands separators."""
+    day, key = F.to_date("o_orderdate"), F.col("o_orderkey")
+    spellings = [F.date_format(day, f) for f in
+                 ("yyyy-MM-dd", "yyyy-MM", "yyyy/MM", "MM/yyyy", "MMM yyyy", "MMMM yyyy", "yyyyMM")]
+    text = F.element_at(F.array(*spellings), (key % 7).cast("int") + 1)
+    return data.table(spark, folder, "orders").select(
+        "o_orderkey",
+        times.parse_month(text).alias("month"),
+        times.parse_count(F.format_number(key * 37, 0)).alias("boardings"),
+    )
+
+
+@query("games_board")
+def _(spark, folder):
+    return games.games_history(data.scoreboard_polls(spark, folder)).select(
+        "event_id", "team_key", "state", "start", "end", "team_score", "opponent_score", "result"
+    )
+
+
+@query("shape_simplify")
+def _(spark, folder):
+    return shapes.simplify_shapes(data.shape_points(spark, folder), 0.02)

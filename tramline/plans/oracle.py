@@ -1034,3 +1034,62 @@ SQL["detected_punctuality"] = sql(
     det="SELECT route_id, actual AS ts, CAST(round_even(delay, 0) AS INTEGER) AS delay FROM fin",
     h=hourly("det"),
 )
+
+
+SQL["nested_feed_flatten"] = sql(
+    f"""SELECT trip_id, route_id, CASE WHEN k % 7 <> 0 THEN vehicle_id END AS vehicle_id,
+               CASE WHEN k % 7 <> 0 THEN vehicle_label END AS vehicle_label,
+               CASE WHEN k % 13 <> 0 THEN lat END AS latitude, CASE WHEN k % 13 <> 0 THEN lon END AS longitude,
+               CASE WHEN k % 13 <> 0 THEN bearing END AS bearing, current_stop_sequence, status AS current_status,
+               stop_id, coalesce(occ, 'UNKNOWN') AS occupancy_status, date_trunc('hour', ts) AS "timestamp"
+        FROM pos JOIN (SELECT event_id, {K} AS k FROM events) e ON e.event_id = pos.id
+        WHERE k % 10 <> 3 AND k % 11 <> 0""",
+    "pos",
+)
+SQL["trip_update_flatten"] = sql(
+    """SELECT trip_id, route_id, CASE WHEN n % 2 = 1 THEN 'S' END AS stop_id, nullif(n, 0) AS stop_sequence,
+              arrival_delay + 30 * i AS arrival_delay, CASE WHEN n > 3 THEN 0 END AS departure_delay,
+              CAST(NULL AS BIGINT) AS arrival_time, CASE WHEN n > 3 THEN CAST(n AS BIGINT) END AS departure_time,
+              CASE WHEN s > 5 THEN ts - INTERVAL 60 SECOND ELSE ts END AS "timestamp"
+       FROM (SELECT *, coalesce(stop_sequence, 0) AS s, coalesce(stop_sequence, 0) + i AS n
+             FROM upd, (VALUES (0), (1)) v(i))""",
+    "upd",
+)
+SQL["route_occupancy_summary"] = sql(
+    """SELECT CASE route_type WHEN '0' THEN 'light_rail' WHEN '1' THEN 'heavy_rail' WHEN '2' THEN 'commuter_rail'
+                WHEN '3' THEN 'bus' ELSE 'other' END AS mode, route_id, route_short_name,
+              CAST(sum(count(*)) OVER (PARTITION BY route_id) AS BIGINT) AS total_vehicles,
+              coalesce(occ, 'UNKNOWN') AS status, count(*) AS n
+       FROM pos LEFT JOIN ev_routes USING (route_id) GROUP BY 1, 2, 3, coalesce(occ, 'UNKNOWN')""",
+    "pos", "ev_routes",
+)
+SQL["export_page"] = sql(
+    'SELECT vehicle_id, trip_id, route_id, stop_id, ts AS "timestamp" FROM pos ORDER BY ts, id LIMIT 5000', "pos"
+)
+SQL["gtfs_time_parse"] = """
+    SELECT o_orderkey, s AS seconds, printf('%02d:%02d', (s // 3600) % 24, (s % 3600) // 60) AS clock
+    FROM (SELECT o_orderkey, CASE WHEN o_orderkey % 13 <> 0 THEN
+            CAST((o_orderkey % 30) * 3600 + (o_orderkey % 60) * 60 + o_orderkey % 7 AS INTEGER) END AS s FROM orders)"""
+SQL["month_parse"] = """
+    SELECT o_orderkey, CAST(date_trunc('month', o_orderdate) AS DATE) AS month,
+           CAST(o_orderkey * 37 AS INTEGER) AS boardings FROM orders"""
+SQL["games_board"] = sql(
+    """SELECT event_id, team_key, state, start, "end", team_score, opponent_score,
+              CASE WHEN state = 'post' THEN CASE WHEN team_score > opponent_score THEN 'win'
+                WHEN team_score < opponent_score THEN 'loss' ELSE 'draw' END END AS result
+       FROM (SELECT g.*, CASE WHEN state = 'post' THEN CASE WHEN seen <= poll THEN seen
+                           ELSE start + to_minutes(typical) END END AS "end"
+             FROM g LEFT JOIN fin ON fin.event_id = g.event_id)
+       QUALIFY row_number() OVER (PARTITION BY event_id ORDER BY poll DESC) = 1""",
+    g0=f"""SELECT event_id AS n, CAST(user_id AS VARCHAR) || '-' || strftime(ts, '%Y%m%d') AS event_id,
+             date_trunc('hour', ts) AS poll, user_id % 6 AS club, CAST({K} // 10 AS INTEGER) AS team_score,
+             CAST({K} % 10 AS INTEGER) AS opponent_score,
+             CASE WHEN extract(hour FROM ts) < 8 THEN 'pre' WHEN extract(hour FROM ts) < 16 THEN 'in' ELSE 'post' END AS state,
+             date_trunc('day', ts) + INTERVAL 10 HOUR AS start
+           FROM events WHERE user_id % 5 <> 0
+           QUALIFY row_number() OVER (PARTITION BY user_id, date_trunc('hour', ts) ORDER BY event_id DESC) = 1""",
+    g="""SELECT g0.*, team_key, typical FROM g0 JOIN (VALUES (0, 'avalanche', 150), (1, 'nuggets', 145), (2, 'rockies', 180),
+           (3, 'broncos', 195), (4, 'rapids', 115), (5, 'summit', 115)) c(club, team_key, typical) USING (club)""",
+    fin="""SELECT p.event_id, min(p.poll) AS seen FROM g p JOIN g l ON l.event_id = p.event_id
+           WHERE p.state = 'post' AND l.state = 'in' AND l.poll < p.poll GROUP BY 1""",
+)

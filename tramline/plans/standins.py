@@ -202,6 +202,101 @@ def ridership(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def vehicle_entities(spark: SparkSession, folder: str) -> DataFrame:
+    """Positions packed as decoded feed entities; some lack a vehicle, place or route."""
+    p, k = positions(spark, folder).withColumn("k", (F.col("bearing") / 3.6).cast("int")), F.col("k")
+    body = F.struct(
+        F.struct(
+            "trip_id", F.when(F.pmod(k, F.lit(11)) == 0, "").otherwise(F.col("route_id")).alias("route_id")
+        ).alias("trip"),
+        F.when(F.pmod(k, F.lit(7)) != 0, F.struct(F.col("vehicle_id").alias("id"), F.col("vehicle_label").alias("label"))).alias("vehicle"),
+        F.when(F.pmod(k, F.lit(13)) != 0, F.struct("latitude", "longitude", "bearing")).alias("position"),
+        "current_stop_sequence", "current_status", "stop_id", "occupancy_status",
+        F.unix_seconds("timestamp").alias("timestamp"),
+    )
+    return p.select(
+        F.col("id").cast("string").alias("entity_id"),
+        F.date_trunc("hour", "timestamp").alias("poll_time"),
+        F.when(F.pmod(k, F.lit(10)) != 3, body).alias("vehicle"),
+    )
+
+
+def update_entities(spark: SparkSession, folder: str) -> DataFrame:
+    """Updates packed as decoded feed entities with two stops each."""
+    u = updates(spark, folder)
+    seq, delay = F.coalesce("stop_sequence", F.lit(0)), F.col("arrival_delay")
+
+    def stop(number: Column, late: Column) -> Column:
+        return F.struct(
+            F.when(number % 2 == 0, "").otherwise("S").alias("stop_id"),
+            number.alias("stop_sequence"),
+            F.when(delay.isNotNull(), F.struct(late.alias("delay"), F.lit(0).cast("long").alias("time"))).alias("arrival"),
+            F.when(number > 3, F.struct(F.lit(None).cast("int").alias("delay"), number.cast("long").alias("time"))).alias("departure"),
+        )
+
+    body = F.struct(
+        F.struct("trip_id", "route_id").alias("trip"),
+        F.when(seq > 5, F.unix_seconds("timestamp") - 60).otherwise(F.lit(0)).alias("timestamp"),
+        F.array(stop(seq, delay), stop(seq + 1, delay + 30)).alias("stop_time_update"),
+    )
+    return u.select(
+        F.col("id").cast("string").alias("entity_id"), F.col("timestamp").alias("poll_time"),
+        body.alias("trip_update"),
+    )
+
+
+def scoreboard_polls(spark: SparkSession, folder: str) -> DataFrame:
+    """User events as scoreboard polls: user and day are a game, the hour its phase."""
+    k, hour = k_of(), F.hour("ts")
+    club = F.pmod("user_id", F.lit(6)).cast("int")
+    leagues = F.array(*[F.lit(x) for x in ("NHL", "NBA", "MLB", "NFL", "MLS", "NWSL")])
+    names = F.array(*[F.lit(x) for x in ("Avalanche", "Nuggets", "Rockies", "Broncos", "Rapids", "Summit")])
+    kind = F.struct(
+        F.struct(
+            F.when(hour < 8, "PRE").when(hour < 16, "in").otherwise("post").alias("state"),
+            F.lit("detail").alias("shortDetail"), F.lit("").alias("detail"), F.lit("").alias("description"),
+        ).alias("type")
+    )
+
+    def side(place: str, name: Column, score: Column) -> Column:
+        fields = [F.lit(None).cast("string").alias(c) for c in
+                  ("shortDisplayName", "name", "location", "nickname", "abbreviation", "color", "alternateColor")]
+        return F.struct(
+            F.lit(place).alias("homeAway"), score.cast("string").alias("score"),
+            F.lit(None).cast("boolean").alias("winner"),
+            F.struct(name.alias("displayName"), *fields).alias("team"),
+        )
+
+    ours = F.element_at(names, club + 1)
+    home = F.when(F.pmod("user_id", F.lit(5)) == 0, "Visitors").otherwise(ours)
+    game = F.struct(
+        F.lit(None).cast("string").alias("id"),
+        F.date_format("ts", "yyyy-MM-dd'T'10:00'Z'").alias("date"), kind.alias("status"),
+        F.struct(F.lit("Park").alias("fullName")).alias("venue"),
+        F.array(
+            side("away", F.lit("Guests"), F.pmod(k, F.lit(10))),
+            side("home", home, F.floor(k / 10)),
+        ).alias("competitors"),
+    )
+    event = F.struct(
+        F.concat_ws("-", F.col("user_id").cast("string"), F.date_format("ts", "yyyyMMdd")).alias("id"),
+        F.lit(None).cast("string").alias("date"), kind.alias("status"), F.array(game).alias("competitions"),
+    )
+    return table(spark, folder, "events").select(
+        F.date_trunc("hour", "ts").cast("timestamp").alias("poll_time"),
+        F.element_at(leagues, club + 1).alias("league"),
+        F.col("event_id").cast("int").alias("day_order"), F.array(event).alias("events"),
+    )
+
+
+def shape_points(spark: SparkSession, folder: str) -> DataFrame:
+    """Each user's positions in time order as the points of a shape."""
+    return positions(spark, folder).select(
+        F.col("vehicle_id").alias("shape_id"), F.col("id").alias("seq"),
+        F.col("latitude").alias("lat"), F.col("longitude").alias("lon"),
+    )
+
+
 def naive(df: DataFrame) -> DataFrame:
     """Instants as zone-less UTC readings, the form of the supplied tables."""
     return df.select(
