@@ -149,6 +149,8 @@ class TripDetector(StatefulProcessor):
         # A trip with several leg rows meets each fix more than once: the nearest counts.
         fixes = fixes.sort_values(["t", "id", "lateral"]).drop_duplicates("id")
         for row in fixes.to_dict("records"):
+            # Nulls in the column turn its integers into floats.
+            row["passed"] = None if _missing(row["passed"]) else int(row["passed"])
             self._settle_origin(trip, state, row["t"], out, closed=False)
             if not _missing(row["lat"]) and not _missing(row["lon"]):
                 self._settle_ending(trip, state, row["t"], out, closed=False)
