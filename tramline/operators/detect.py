@@ -414,42 +414,53 @@ def alias_guard(
     named = slots.select(
         F.col("route_id").alias("s_route"), F.col("stop_id").alias("s_stop"),
         F.col("trip_id").alias("s_trip"), F.col("arrival_secs").alias("s_secs"),
-        _bins(F.col("arrival_secs"), reach, width).alias("s_bin"),
     )
-    running = named.join(
+    # Another trip than the event's own is due at a time if the first or the last
+    # of the trips due then is another one.
+    due_at = named.groupBy("s_route", "s_stop", "s_secs").agg(
+        F.min("s_trip").alias("s_first"), F.max("s_trip").alias("s_last")
+    ).withColumn("s_bin", _bins(F.col("s_secs"), reach, width))
+    running = named.withColumn("s_bin", _bins(F.col("s_secs"), reach, width)).join(
         seen.select(
             F.col("trip_id").alias("s_trip"), "first_seen", "last_seen",
             F.explode(F.sequence(F.col("bin") - 1, F.col("bin") + 1)).alias("seen_bin"),
         ),
         "s_trip",
     )
-    probes = events.withColumns(
+    # Trusted events must match nothing: they get bins no slot has, spread evenly.
+    trusted = F.abs("delay") < cfg.alias_min_delay
+    nowhere = -1_000_000 - F.pmod(F.xxhash64("trip_id", "emit_time", "row_id"), F.lit(1_000_000))
+    secs = wall_seconds(F.col("actual_time"), F.col("service_date"), cfg.zone)
+    seen_at = F.floor(micros(F.col("actual_time")) / F.lit(window * 1_000_000))
+    probes = events.withColumn("_secs", secs).withColumns(
         {
-            "_secs": wall_seconds(F.col("actual_time"), F.col("service_date"), cfg.zone),
-            "_seen_bin": F.floor(micros(F.col("actual_time")) / F.lit(window * 1_000_000)),
+            "_bin": F.when(trusted, nowhere).otherwise(F.floor(F.col("_secs") / width)),
+            "_seen_bin": F.when(trusted, nowhere).otherwise(seen_at),
         }
-    ).withColumn("_bin", F.floor(F.col("_secs") / width)).alias("e")
+    ).alias("e")
 
     def same_slot(table: str) -> Column:
         return (
             (F.col(f"{table}.s_route") == F.col("e.route_id").outer())
             & (F.col(f"{table}.s_stop") == F.col("e.stop_id").outer())
             & (F.col(f"{table}.s_bin") == F.col("e._bin").outer())
-            & (F.col(f"{table}.s_trip") != F.col("e.trip_id").outer())
             & (F.abs(F.col(f"{table}.s_secs") - F.col("e._secs").outer()) <= reach)
         )
 
+    own = F.col("e.trip_id").outer()
     at = F.col("e.actual_time").outer()
     until = F.least(F.col("e.emit_time").outer(), shift(at, window))
-    due = named.alias("s").where(same_slot("s")).exists()
+    due = due_at.alias("s").where(
+        same_slot("s") & ((F.col("s.s_first") != own) | (F.col("s.s_last") != own))
+    ).exists()
     out = running.alias("r").where(
         same_slot("r")
+        & (F.col("r.s_trip") != own)
         & (F.col("r.seen_bin") == F.col("e._seen_bin").outer())
         & (F.col("r.last_seen") >= shift(at, -window))
         & (F.col("r.first_seen") <= until)
     ).exists()
-    trusted = F.abs(F.col("e.delay")) < cfg.alias_min_delay
-    return probes.where(trusted | ~due | out).drop("_secs", "_seen_bin", "_bin")
+    return probes.where(~due | out).drop("_secs", "_seen_bin", "_bin")
 
 
 def first_per_stop(events: DataFrame) -> DataFrame:
