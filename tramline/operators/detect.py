@@ -437,7 +437,10 @@ def alias_guard(
             "_bin": F.when(trusted, nowhere).otherwise(F.floor(F.col("_secs") / width)),
             "_seen_bin": F.when(trusted, nowhere).otherwise(seen_at),
         }
-    ).alias("e")
+    )
+    # The shuffle of the second join, asked for here so that the bins are columns by
+    # then and not expressions evaluated at every comparison of its sort.
+    probes = probes.repartition("route_id", "stop_id", "_bin", "_seen_bin").alias("e")
 
     def same_slot(table: str) -> Column:
         return (
