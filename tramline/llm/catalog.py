@@ -1,10 +1,12 @@
 """The queries of this folder and their check SQL."""
 
-from tramline.llm import chat, mixing
+from tramline.llm import chat, imatch, mixing, packing
 
 QUERIES = {
+    "op2_imatch": imatch.op2_imatch,
     "op5_chat_format": chat.op5_chat_format,
     "op6_mix_sources": mixing.op6_mix_sources,
+    "op10_packing": packing.op10_packing,
 }
 
 SQL = {

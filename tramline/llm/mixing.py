@@ -29,7 +29,7 @@ REPEATS = 2      # times a source's words at most
 SEED = 7
 KEY_BITS = 60
 ROWS_A_RANGE = 20_000
-LEAST_RANGES = 16
+LEAST_RANGES = 256
 
 
 def words(column: str = "text") -> Column:
