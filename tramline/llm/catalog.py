@@ -1,15 +1,18 @@
 """The queries of this folder and their check SQL."""
 
-from tramline.llm import chat, imatch, mixing, packing
+from tramline.llm import chat, imatch, langid, mixing, packing, partenum
 
 QUERIES = {
     "op2_imatch": imatch.op2_imatch,
     "op5_chat_format": chat.op5_chat_format,
     "op6_mix_sources": mixing.op6_mix_sources,
+    "op8_partenum_join": partenum.op8_partenum_join,
+    "op9_language_id": langid.op9_language_id,
     "op10_packing": packing.op10_packing,
 }
 
 SQL = {
     "op5_chat_format": chat.SQL,
     "op6_mix_sources": mixing.SQL,
+    "op8_partenum_join": partenum.SQL,
 }
