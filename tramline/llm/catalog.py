@@ -1,8 +1,9 @@
 """The queries of this folder and their check SQL."""
 
-from tramline.llm import chat, imatch, langid, mixing, packing, partenum
+from tramline.llm import chat, imatch, langid, mixing, packing, partenum, pii
 
 QUERIES = {
+    "op1_pii": pii.op1_pii,
     "op2_imatch": imatch.op2_imatch,
     "op5_chat_format": chat.op5_chat_format,
     "op6_mix_sources": mixing.op6_mix_sources,
