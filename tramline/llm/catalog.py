@@ -1,12 +1,13 @@
 """The queries of this folder and their check SQL."""
 
-from tramline.llm import chat, imatch, langid, mixing, packing, partenum, pii
+from tramline.llm import chat, imatch, langid, mixing, packing, partenum, pii, quality
 
 QUERIES = {
     "op1_pii": pii.op1_pii,
     "op2_imatch": imatch.op2_imatch,
     "op5_chat_format": chat.op5_chat_format,
     "op6_mix_sources": mixing.op6_mix_sources,
+    "op7_quality": quality.op7_quality,
     "op8_partenum_join": partenum.op8_partenum_join,
     "op9_language_id": langid.op9_language_id,
     "op10_packing": packing.op10_packing,

@@ -17,7 +17,8 @@ BLOCK = 1 << 20
 
 SPACE = np.zeros(256, dtype=bool)
 SPACE[[9, 10, 11, 12, 13, 32]] = True
-LOWER = np.arange(256, dtype=np.uint64) + np.uint64(1)
+EXACT = np.arange(256, dtype=np.uint64) + np.uint64(1)
+LOWER = EXACT.copy()
 LOWER[65:91] += np.uint64(32)
 BASE = np.uint64(0x9E3779B97F4A7C15)
 PLACES = np.array([0xBF58476D1CE4E5B9 + 2 * k * 0x94D049BB133111EB & 0xFFFFFFFFFFFFFFFF
@@ -39,7 +40,8 @@ def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(values, dtype=np.uint8) if values else np.zeros(0, np.uint8), places
 
 
-def word_hashes(values: np.ndarray, offsets: np.ndarray, block: int = BLOCK) -> tuple[np.ndarray, np.ndarray]:
+def word_hashes(values: np.ndarray, offsets: np.ndarray, block: int = BLOCK,
+                letters: np.ndarray = LOWER) -> tuple[np.ndarray, np.ndarray]:
     """Hash of each word and the row it is in, in order."""
     hashes, starts = [], []
     at, end = int(offsets[0]), int(offsets[-1])
@@ -66,7 +68,7 @@ def word_hashes(values: np.ndarray, offsets: np.ndarray, block: int = BLOCK) ->
             place = body - first[run]
             powers = np.multiply.accumulate(np.full(int(place.max()) + 1, BASE, dtype=np.uint64))
             hashes.append(mixed(np.add.reduceat(
-                LOWER[data[body]] * powers[place], np.flatnonzero(begin[body]))))
+                letters[data[body]] * powers[place], np.flatnonzero(begin[body]))))
             starts.append(first + at)
         at = stop
     if not hashes:
