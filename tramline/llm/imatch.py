@@ -3,7 +3,7 @@
 ``lexicon`` counts in how many documents each term stands and keeps those within a band of
 inverse document frequency. A document's terms in that lexicon are made distinct, sorted, and
 hashed: once whole, and for several random subsets of the lexicon (each keeps one term in
-4, 16, 64, 256 or 1024). A document and its edited copy agree on a subset if the edit touched
+8, 32, 128, 512 or 2048). A document and its edited copy agree on a subset if the edit touched
 none of its terms; sparse subsets tell long texts apart from others, dense ones short texts.
 
 ``likeness`` of two fingerprints: for each density, the share of equal hashes among subsets
@@ -31,8 +31,9 @@ from pyspark.sql.window import Window as W
 
 from tramline.llm.common import kept, table, text_of
 
-LOW_IDF, HIGH_IDF = 2.0, 7.5
-DENSITIES, SUBSETS = (4, 16, 64, 256, 1024), 10
+LOW_IDF, HIGH_IDF = 4.0, 7.0
+DENSITIES = (8, 32, 128, 512, 2048)   # a subset holds one term in so many
+SUBSETS = (8, 12, 12, 12, 12)         # subsets of each density
 LEAST_COMPARED = 4
 BROADCAST_TERMS = 2_000_000
 ROWS_A_BLOCK = 20_000
@@ -56,19 +57,30 @@ def lexicon(docs: DataFrame, text: str = "text", low: float = LOW_IDF, high: flo
     )
 
 
-def signatures(found: Column, whole: Column) -> Column:
-    """Array of 1 + len(DENSITIES) * SUBSETS hashes below 2**32, null where a subset is empty."""
-    subsets = F.array(*[
-        F.struct(F.lit(31 * d + s).alias("seed"), F.lit(d).cast("bigint").alias("one_in"))
-        for d in DENSITIES for s in range(SUBSETS)])
+def signatures(rows: DataFrame, found: str, whole: str, into: str) -> DataFrame:
+    """Adds 1 + sum(SUBSETS) hashes below 2**32, null where a subset is empty.
+
+    ``found`` is a column of sorted distinct terms. A term is a hash, so some of its bits, others
+    for each density, draw the lexicon class it is in; the first few classes are the subsets.
+    """
     low_half = lambda h: h.bitwiseAND(F.lit(0xFFFFFFFF).cast("bigint"))
-    ordered = F.array_sort(found)
-    some = F.transform(subsets, lambda s: F.filter(
-        ordered, lambda t: F.pmod(F.xxhash64(t, s["seed"]), s["one_in"]) == 0))
-    hashes = F.transform(F.concat(F.array(ordered), some), lambda a: F.when(
-        F.size(a) > 0, low_half(F.xxhash64(a))))
-    return F.when(F.size(found) > 0, hashes).otherwise(
-        F.array_repeat(low_half(whole), 1 + len(DENSITIES) * SUBSETS))
+    hashed = lambda a: F.when(F.size(a) > 0, low_half(F.xxhash64(a)))
+
+    def drawn(term: Column, i: int) -> Column:
+        return F.shiftright(term, 11 * i).bitwiseAND(F.lit(DENSITIES[i] - 1).cast("bigint"))
+
+    def some(i: int) -> Column:
+        return F.filter(found, lambda t: drawn(t, i) < SUBSETS[i])
+
+    def subset(i: int, j: int) -> Column:
+        return F.filter(f"{into}_{i}", lambda t: drawn(t, i) == j)
+
+    # Each density's terms are a column of their own, so they are picked out once.
+    rows = rows.select("*", *[some(i).alias(f"{into}_{i}") for i in range(len(DENSITIES))])
+    hashes = F.array(hashed(F.col(found)), *[
+        hashed(subset(i, j)) for i, n in enumerate(SUBSETS) for j in range(n)])
+    return rows.withColumn(into, F.when(F.size(found) > 0, hashes).otherwise(
+        F.array_repeat(low_half(F.col(whole)), 1 + sum(SUBSETS))))
 
 
 def shown(signature: Column) -> Column:
@@ -81,7 +93,7 @@ def likeness(a: Column, b: Column) -> Column:
     told = lambda part: F.size(F.filter(part, lambda p: p["a"].isNotNull() | p["b"].isNotNull()))
     same = lambda part: F.size(F.filter(part, lambda p: p["a"] == p["b"]))
     parts = [F.slice(pairs, 1, 1)] + [
-        F.slice(pairs, 2 + i * SUBSETS, SUBSETS) for i in range(len(DENSITIES))]
+        F.slice(pairs, 2 + sum(SUBSETS[:i]), n) for i, n in enumerate(SUBSETS)]
     shares = [F.when(told(p) >= (1 if i == 0 else LEAST_COMPARED), same(p) / told(p)) for i, p in enumerate(parts)]
     best = F.greatest(*shares)
     return F.when(a == b, 1.0).when(
@@ -119,11 +131,14 @@ def fingerprints(rows: DataFrame, words: DataFrame, texts: dict[str, str], key:
                   for c in [*carried, *[f"whole_{i}" for i in range(len(texts))]]])
         .join(words, "term")
     )
+    carried = [*carried, *[f"whole_{i}" for i in range(len(texts))]]
     gathered = hits.groupBy(key).agg(
-        *[F.max(F.when(once, F.col(c))).alias(c) for c in [*carried, *[f"whole_{i}" for i in range(len(texts))]]],
-        *[F.collect_list(F.when(F.col("side") == i, F.col("term"))).alias(f"terms_{i}") for i in range(len(texts))])
-    return gathered.select(key, *carried, *[
-        signatures(F.col(f"terms_{i}"), F.col(f"whole_{i}")).alias(name) for i, name in enumerate(texts.values())])
+        *[F.max(F.when(once, F.col(c))).alias(c) for c in carried],
+        *[F.sort_array(F.collect_list(F.when(F.col("side") == i, F.col("term")))).alias(f"terms_{i}")
+          for i in range(len(texts))])
+    for i, name in enumerate(texts.values()):
+        gathered = signatures(gathered, f"terms_{i}", f"whole_{i}", name)
+    return gathered.select(key, *carried[:-len(texts)], *texts.values())
 
 
 def with_next(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
