@@ -109,9 +109,8 @@ def take(mixed: DataFrame, text: str = "text", chars: str = "n_chars", into: str
     The only texts cut are those on which a source's budget ends, one at most per source.
     ``chars``, where there is such a column, follows a cut text.
     """
-    cut = F.regexp_extract(
-        F.col(text), F.concat(F.lit(rf"^[\x20\x09-\x0D]*(?:{WORD}[\x20\x09-\x0D]*+){{"),
-                              F.col(f"{into}.extra").cast("string"), F.lit("}")), 0)
+    spaced_words = F.regexp_extract_all(F.col(text), F.lit(r"[\x20\x09-\x0D]*" + WORD), F.lit(0))
+    cut = F.array_join(F.slice(spaced_words, 1, F.col(f"{into}.extra").cast("int")), "")
     whole = F.col(f"{into}.extra") >= F.col(f"{into}.size")
     repeat = F.col(f"{into}.epochs") + F.when(
         (F.col(f"{into}.extra") > 0) & whole, 1).otherwise(0)
