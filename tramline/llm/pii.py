@@ -266,7 +266,7 @@ def other_value(rng: random.Random) -> str:
 def examples(contexts: list[str], n: int = EXAMPLES) -> tuple[np.ndarray, np.ndarray, list[str]]:
     """Features, truth and kind of the candidates in texts that hold known values."""
     rng = random.Random(SEED)
-    contexts = [c for c in contexts if c and not DIGIT.search(c) and "@" not in c] or ["so it was then, and they went on to say that it is."]
+    contexts = [c for c in contexts if c and "@" not in c and not DIGIT.search(c) and not candidates(c)] or ["so it was then, and they went on to say that it is."]
     rows, truth, kinds = [], [], []
     while len(rows) < n:
         words = rng.choice(contexts).split(" ")
