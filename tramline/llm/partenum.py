@@ -14,11 +14,11 @@ empty partition, that partition's signature is refined by each of its first floo
 shingles in hash order, of which similar sets share one; for larger sets the chance that all
 undivided partitions are empty is under 1e-10, and they are left out.
 
-Signatures are sorted; a bucket is those who share one. First each document is compared with
-the least member of its buckets, by its whole text. Then, for every bucket whose members are
+Signatures are sorted; a bucket is those who share one. First each document is compared, by
+its whole text, with the one that is the least member of most of its buckets. Then, for every bucket whose members are
 not yet in one component, all pairs between different components are taken up: large buckets
-in blocks (so no task holds more than two blocks), and pairs whose shingle counts in 256
-partitions alone differ by more than two similar sets may are passed over. What is left is
+in pairs of blocks, and pairs whose counts of shingles by ranges of a hash alone (the
+sketches) differ by more than two similar sets may are passed over. What is left is
 compared by whole text. All links between different classes are thus either found or between
 documents that other links already join, so components are exact.
 
@@ -33,7 +33,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -46,8 +45,9 @@ from tramline.llm.shingles import mixed
 
 SIMILAR = (75, 100)
 SMALL = 128
-SKETCH = 256
+SKETCH_BITS = (7, 13)
 BLOCK_ROWS = 512
+PAIRS_AT_ONCE = 1 << 20
 
 U = np.uint64
 SALTS = [U(0xA0761D6478BD642F), U(0xE7037ED1A0B428DB), U(0x8EBC6AF09C88C6E3), U(0x589965CC75374CC3)]
@@ -74,13 +74,19 @@ def class_of(hashes: np.ndarray, begin: np.ndarray) -> tuple[np.ndarray, np.ndar
             sums(mixed(hashes ^ SALTS[1]), of, len(begin) - 1).view(np.int64))
 
 
-def sketches(hashes: np.ndarray, begin: np.ndarray) -> np.ndarray:
-    """Number of shingles of each set in each of SKETCH partitions (at most 65,535 each)."""
-    rows = len(begin) - 1
-    of = np.repeat(np.arange(rows), np.diff(begin))
-    cells = of * SKETCH + (mixed(hashes ^ SALTS[2]) >> U(56)).astype(np.int64)
-    found = np.bincount(cells, minlength=rows * SKETCH)
-    return np.minimum(found, 65_535).astype("<u2").reshape(rows, SKETCH)
+def sketches(hashes: np.ndarray, begin: np.ndarray) -> list[bytes]:
+    """Of each set, how many shingles are in each of 2**b partitions (at most 255 each).
+
+    Partitions are ranges of a hash, at least two for each shingle within the limits, so the
+    sketch of a larger set is folded to that of a smaller one by adding neighbours.
+    """
+    spread = mixed(hashes ^ SALTS[2])
+    out = []
+    for at, end in zip(begin[:-1], begin[1:]):
+        bits = min(max(int(2 * (end - at) - 1).bit_length(), SKETCH_BITS[0]), SKETCH_BITS[1])
+        found = np.bincount((spread[at:end] >> U(64 - bits)).astype(np.int64), minlength=1 << bits)
+        out.append(np.minimum(found, 255).astype(np.uint8).tobytes())
+    return out
 
 
 def member_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -88,7 +94,7 @@ def member_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in shingles.slices(batch, 1):
             hashes, begin = shingles.sets(part.column(1))
             high, low = class_of(hashes, begin)
-            sketch = [s.tobytes() for s in sketches(hashes, begin)]
+            sketch = sketches(hashes, begin)
             yield pa.RecordBatch.from_arrays(
                 [part.column(0).cast(pa.int64()), pa.array(np.diff(begin)), pa.array(high), pa.array(low),
                  pa.array(sketch, pa.binary())], names=["doc_id", "n_shingles", "high", "low", "sketch"])
@@ -166,35 +172,111 @@ def similar_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             [batch.column(0), batch.column(1)], names=["u", "v"]).filter(pa.array(keep))
 
 
-def block_pairs(group: pd.DataFrame) -> pd.DataFrame:
-    """Pairs of different components, from two blocks of a bucket, that sketches allow."""
-    one, two = group["one"].iat[0], group["two"].iat[0]
-    side = lambda block: group[group["block"] == block].drop_duplicates("id")
-    a, b = side(one), side(two)
-    first = np.stack([np.frombuffer(s, "<u2") for s in a["sketch"]]).astype(np.int32) if len(a) else None
-    u, v = [], []
-    if first is not None:
-        component, size, ids = a["component"].to_numpy(), a["n_shingles"].to_numpy(), a["id"].to_numpy()
-        for key, comp, n, sketch in zip(b["id"], b["component"], b["n_shingles"], b["sketch"]):
-            may = (component != comp) & ((ids < key) if one == two else (ids != key))
-            may &= (SIMILAR[0] * np.maximum(size, n) <= SIMILAR[1] * np.minimum(size, n))
-            where = np.flatnonzero(may)
-            if len(where):
-                apart = np.abs(first[where] - np.frombuffer(sketch, "<u2").astype(np.int32)).sum(axis=1)
-                where = where[7 * apart <= size[where] + n]
-                u += ids[where].tolist()
-                v += [key] * len(where)
-    return pd.DataFrame({"u": np.minimum(u, v).astype(np.int64), "v": np.maximum(u, v).astype(np.int64)})
-
-
-def members_of(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_shingles, representative, sketch) per row; sketches at representatives only."""
+class Sketches:
+    """Sketches of a batch by row, folded to any smaller size once."""
+
+    def __init__(self, column: pa.Array):
+        self.own = [np.frombuffer(b, np.uint8) for b in column.to_pylist()]
+        self.bits = np.array([len(b).bit_length() - 1 for b in self.own])
+        self.folded: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+
+    def at(self, bits: int) -> tuple[np.ndarray, np.ndarray]:
+        """Matrix of all sketches of ``bits`` or more, and each row's place in it."""
+        if bits not in self.folded:
+            rows = np.flatnonzero(self.bits >= bits)
+            place = np.full(len(self.own), -1)
+            place[rows] = np.arange(len(rows))
+            self.folded[bits] = np.stack([
+                self.own[r].reshape(1 << bits, -1).sum(axis=1, dtype=np.int16) for r in rows]), place
+        return self.folded[bits]
+
+    def apart(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """A lower bound of the number of shingles in one of two sets only."""
+        out = np.zeros(len(a), dtype=np.int64)
+        least = np.minimum(self.bits[a], self.bits[b])
+        for bits in np.unique(least):
+            table_, place = self.at(int(bits))
+            where = np.flatnonzero(least == bits)
+            step = max(1, (1 << 22) >> int(bits))
+            for i in range(0, len(where), step):
+                w = where[i:i + step]
+                out[w] = np.abs(table_[place[a[w]]] - table_[place[b[w]]]).sum(axis=1, dtype=np.int64)
+        return out
+
+
+def pairs_within(batch: pa.RecordBatch) -> pa.RecordBatch:
+    """Pairs of different components in each group of rows (bucket, one, two) that may link."""
+    column = {n: batch.column(n).to_numpy() for n in ("bucket", "one", "two", "block", "id", "component", "n_shingles")}
+    size, n = column["n_shingles"], len(batch)
+    new = np.ones(n, dtype=bool)
+    new[1:] = np.any([column[c][1:] != column[c][:-1] for c in ("bucket", "one", "two")], axis=0)
+    first = np.flatnonzero(new)
+    end = np.concatenate([first[1:], [n]])[np.cumsum(new) - 1]
+    ids, known = np.unique(column["id"], return_index=True)
+    of = np.searchsorted(ids, column["id"])
+    sketch = Sketches(batch.column("sketch").take(pa.array(known)))
+    size_of = size[known]
+    u, v, waiting, count = [], [], [], 0
+
+    def settle() -> None:
+        both = np.unique(np.concatenate(waiting))
+        a, b = both // len(ids), both % len(ids)
+        near = 7 * sketch.apart(a, b) <= size_of[a] + size_of[b]
+        u.append(ids[a[near]])
+        v.append(ids[b[near]])
+        waiting.clear()
+
+    active = np.arange(n)
+    for step in range(1, n):
+        active = active[active + step < end[active]]
+        if not len(active):
+            break
+        other = active + step
+        may = (column["component"][active] != column["component"][other]) & (
+            (column["one"][active] == column["two"][active]) | (column["block"][active] != column["block"][other]))
+        may &= SIMILAR[0] * np.maximum(size[active], size[other]) <= SIMILAR[1] * np.minimum(size[active], size[other])
+        a, b = of[active[may]], of[other[may]]
+        waiting.append(np.minimum(a, b) * len(ids) + np.maximum(a, b))
+        count += len(a)
+        if count > PAIRS_AT_ONCE:
+            settle()
+            count = 0
+    if waiting:
+        settle()
+    whole = lambda parts: np.concatenate(parts) if parts else np.zeros(0, np.int64)
+    return pa.RecordBatch.from_arrays([pa.array(whole(u)), pa.array(whole(v))], names=["u", "v"])
+
+
+def pair_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``pairs_within`` of a sorted stream; a group that a batch cuts waits for its rest."""
+    rest = None
+    for batch in batches:
+        if rest is not None:
+            batch = pa.Table.from_batches([rest, batch]).combine_chunks().to_batches()[0]
+        if not len(batch):
+            continue
+        last = {n: batch.column(n)[len(batch) - 1].as_py() for n in ("bucket", "one", "two")}
+        same = np.all([batch.column(n).to_numpy() == x for n, x in last.items()], axis=0)
+        cut = len(batch) - int(same.sum())
+        if cut:
+            yield pairs_within(batch.slice(0, cut))
+        rest = batch.slice(cut)
+    if rest is not None:
+        yield pairs_within(rest)
+
+
+def members_of(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, n_shingles, representative) per row; (id, n_shingles, sketch) per representative."""
     rows = kept(docs.mapInArrow(member_rows, MEMBERS), "join-members")
     some = rows.filter("n_shingles > 0")
     classes = some.groupBy("n_shingles", "high", "low").agg(F.min("doc_id").alias("representative"))
-    return rows.join(classes, ["n_shingles", "high", "low"], "left").select(
-        "doc_id", "n_shingles", F.coalesce("representative", "doc_id").alias("representative"),
-        F.when(F.col("representative") == F.col("doc_id"), F.col("sketch")).alias("sketch"))
+    members = kept(rows.join(classes, ["n_shingles", "high", "low"], "left").select(
+        "doc_id", "n_shingles", F.coalesce("representative", "doc_id").alias("representative")), "join-classes")
+    sketched = (
+        some.join(classes, ["n_shingles", "high", "low"]).filter("doc_id = representative")
+        .select(F.col("doc_id").alias("id"), "n_shingles", "sketch").dropDuplicates(["id"])
+    )
+    return members, sketched
 
 
 def buckets_of(docs: DataFrame, members: DataFrame) -> DataFrame:
@@ -238,28 +320,31 @@ def labelled(buckets: DataFrame, edges: DataFrame, name: str) -> DataFrame:
 def join(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
     """Per row: doc_id, n_shingles, component_id (least doc_id that links lead to)."""
     docs = docs.select(F.col(key).cast("bigint").alias("doc_id"), F.col(text).alias("text"))
-    members = kept(members_of(docs), "join-classes")
+    members, sketched = members_of(docs)
     buckets = buckets_of(docs, members)
     lead = buckets.groupBy("bucket").agg(F.min("id").alias("lead"))
     nearest = (
-        buckets.join(lead, "bucket").filter("id != lead")
-        .groupBy("id").agg(F.min("lead").alias("u")).select("u", F.col("id").alias("v"))
+        buckets.join(lead, "bucket").filter("id != lead").groupBy("id", "lead").count()
+        .groupBy("id").agg(F.max_by("lead", F.struct("count", -F.col("lead"))).alias("u"))
+        .select("u", F.col("id").alias("v"))
     )
+    nearest = kept(nearest, "join-pairs")
     ids = W.partitionBy("doc_id")
     repeated = members.filter("doc_id is not null").select("doc_id", "representative").withColumn(
         "u", F.min("representative").over(ids)).filter("u != representative").select(
         "u", F.col("representative").alias("v")).distinct()
-    links = kept(similar(kept(nearest, "join-pairs"), docs).unionByName(repeated), "join-links")
-    open_rows = kept(labelled(buckets, links, "join-first"), "join-open").join(
-        members.filter("sketch is not null").select(
-            F.col("doc_id").alias("id"), "n_shingles", "sketch").dropDuplicates(["id"]), "id")
+    links = kept(similar(nearest, docs).unionByName(repeated), "join-links")
     blocks = F.ceil(F.col("rows") / BLOCK_ROWS).cast("int")
     dealt = (
-        open_rows.withColumn("block", F.pmod(F.xxhash64("id"), blocks).cast("int"))
+        kept(labelled(buckets, links, "join-first"), "join-open")
+        .withColumn("block", F.pmod(F.xxhash64("id"), blocks).cast("int"))
         .withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-        .withColumn("one", F.least("block", "other")).withColumn("two", F.greatest("block", "other"))
+        .select("bucket", F.least("block", "other").alias("one"), F.greatest("block", "other").alias("two"),
+                "block", "id", "component")
+        .join(sketched, "id")
     )
-    more = dealt.groupBy("bucket", "one", "two").applyInPandas(block_pairs, "u bigint, v bigint").distinct()
+    sorted_groups = dealt.repartition("bucket", "one", "two").sortWithinPartitions("bucket", "one", "two", "id")
+    more = sorted_groups.mapInArrow(pair_rows, "u bigint, v bigint").distinct()
     more = kept(more.join(nearest, ["u", "v"], "left_anti"), "join-more")
     links = kept(links.unionByName(similar(more, docs)), "join-all-links")
     found = components(links, "join-components")
