@@ -13,24 +13,26 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from tramline.llm import langid, mixing, packing, partenum, pii
-from tramline.llm.common import kept, table
+from tramline.llm.common import free_name, kept, table
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
     """Documents whose text is near enough to a learned language; the others go."""
-    found = langid.predict(docs, langid.fit(docs))
-    return found.filter(~F.col("rejected")).select(*docs.columns)
+    names = tuple(free_name(docs, n) for n in ("lang_pred", "lang_score", "lang_rejected"))
+    found = langid.predict(docs, langid.fit(docs), into=names)
+    return found.filter(~F.col(names[2])).select(*docs.columns)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
     """Of each group of linked documents, the one with the least id; rows without an id stay."""
     first = partenum.join(docs).filter("doc_id = component_id").select("doc_id").distinct()
     one = W.partitionBy("doc_id").orderBy(F.xxhash64("text"))
+    place = free_name(docs, "row_of_id")
     named = (
         docs.join(first, "doc_id", "left_semi")
-        .withColumn("row_of_id", F.row_number().over(one)).filter("row_of_id = 1")
+        .withColumn(place, F.row_number().over(one)).filter(F.col(place) == 1)
     )
     return named.select(*docs.columns).unionByName(docs.filter("doc_id is null"))
 
@@ -42,7 +44,8 @@ def redact_personal_data(spark: SparkSession, docs: DataFrame, folder: str) -> D
 
 def mix_sources(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
     """Documents repeated, left out or, one per source, cut to meet each source's target."""
-    return mixing.take(mixing.mix(docs)).select(*docs.columns)
+    into = free_name(docs, "mix")
+    return mixing.take(mixing.mix(docs, into=into), into=into).select(*docs.columns)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:

@@ -34,6 +34,14 @@ def text_of(column: str | Column) -> Column:
     return F.coalesce(F.col(column) if isinstance(column, str) else column, F.lit(""))
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """The name, or one made of it that ``df`` doesn't have."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def hash_key(column: str, seed: int, bits: int = 60) -> Column:
     """A random-looking key below 2**bits that DuckDB computes alike (from MD5)."""
     shown = F.coalesce(F.col(column).cast("string"), F.lit(""))

@@ -8,7 +8,8 @@ cosine is under the language's limit (``REJECT`` times the low end of its traini
 
 Document frequencies count every training document. The centroids are fitted on a bounded
 sample: at most ``SAMPLE`` documents in all and ``PER_LANGUAGE`` of one language, chosen by a
-hash of the id (``rate`` of each language from its count, so a handful more may come).
+hash of the id (each language at a rate from its count, so a handful more may come); of more
+than ``SAMPLE`` languages the largest are learned.
 
 Defined cases: null texts and texts without a letter are ``und``, score 0, and rejected; if
 nothing is labelled, every text is; null labels are not learned from; repeated rows count
@@ -149,10 +150,10 @@ def fit(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc
         F.col(text).alias("text"), F.col(lang).alias("lang"), hash_key(key, SEED).alias("draw"))
     frequency, n = document_frequencies(rows.select("text"))
     idf = (np.log((1 + n) / (1 + frequency)) + 1).astype(np.float32)
-    sizes = rows.groupBy("lang").count()
+    sizes = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(sample)
     most = min(per_language, max(1, sample // max(1, sizes.count())))
     drawn = (
-        rows.join(sizes, "lang")
+        rows.join(F.broadcast(sizes), "lang")   # `sample` rows at most
         .filter(F.col("draw") < F.least(F.lit(1.0), F.lit(float(most)) / F.col("count")) * F.lit(float(1 << 60)))
         .select("lang", "text")
     )
@@ -183,9 +184,10 @@ def fit(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc
     return Model(idf, languages, np.concatenate(centres).astype(np.float32), np.array(limits))
 
 
-def predict(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
-    """All rows and columns, with ``lang_pred``, ``score`` and ``rejected``."""
-    added = [("lang_pred", T.StringType()), ("score", T.DoubleType()), ("rejected", T.BooleanType())]
+def predict(docs: DataFrame, model: Model, text: str = "text",
+            into: tuple[str, str, str] = ("lang_pred", "score", "rejected")) -> DataFrame:
+    """All rows and columns, with the language, its cosine, and whether it is rejected."""
+    added = list(zip(into, (T.StringType(), T.DoubleType(), T.BooleanType())))
     docs = docs.drop(*[name for name, _ in added])
     place = docs.columns.index(text)
     schema = T.StructType([*docs.schema.fields, *[T.StructField(n, t) for n, t in added]])

@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from tramline.llm.common import WORD, hash_key, power_of_two, table, text_of
+from tramline.llm.common import WORD, free_name, hash_key, power_of_two, table, text_of
 
 WEIGHTS = (5, 2, 1)
 SHARE = 1.5      # of all words
@@ -118,12 +118,12 @@ def take(mixed: DataFrame, text: str = "text", chars: str = "n_chars", into: str
         F.array_repeat(F.lit(True), repeat.cast("int")),
         F.when((F.col(f"{into}.extra") > 0) & ~whole, F.array(F.lit(False))).otherwise(
             F.array().cast("array<boolean>")))
-    rows = mixed.withColumn("copy_is_whole", F.explode(copies))
-    rows = rows.withColumn(text, F.when(F.col("copy_is_whole"), F.col(text)).otherwise(cut))
+    flag = free_name(mixed, "copy_is_whole")
+    rows = mixed.withColumn(flag, F.explode(copies))
+    rows = rows.withColumn(text, F.when(F.col(flag), F.col(text)).otherwise(cut))
     if chars in mixed.columns:
-        rows = rows.withColumn(chars, F.when(F.col("copy_is_whole"), F.col(chars)).otherwise(
-            F.char_length(text)))
-    return rows.drop("copy_is_whole", into)
+        rows = rows.withColumn(chars, F.when(F.col(flag), F.col(chars)).otherwise(F.char_length(text)))
+    return rows.drop(flag, into)
 
 
 def op6_mix_sources(spark, folder: str) -> DataFrame:
