@@ -52,3 +52,9 @@ def hash_key(column: str, seed: int, bits: int = 60) -> Column:
 def power_of_two(n: float) -> int:
     """Exponent of the smallest power of two that is at least n."""
     return max(0, int(n - 1).bit_length()) if n > 1 else 0
+
+
+def drawn(df: DataFrame, key: str, seed: int, most: int) -> DataFrame:
+    """About ``most`` rows (twice as many at most), chosen by a hash of the key."""
+    share = min(1.0, most / max(1, df.count()))
+    return df.filter(hash_key(key, seed) < F.lit(int(share * (1 << 60)))).limit(2 * most)

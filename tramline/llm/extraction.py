@@ -6,7 +6,7 @@ place, share of the text its parent
 element holds, telling words). A linear-chain CRF labels the blocks as main text or not, decoded by
 Viterbi; consecutive blocks of one parent element have transition weights of their own.
 
-It is trained on labelled pages: at most ``PAGES`` pages of the corpus that hold one
+It is trained on labelled pages: about ``PAGES`` pages of the corpus (twice as many at most) that hold one
 ``<article>``, whose blocks it labels, and ``COMPOSED`` pages composed from the texts of those
 in layouts of many kinds (other containers, menus, sidebars, notices, adverts, forms, reader
 comments), some of them with text in every part. So tags help where they are and text and
@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tramline.llm import crf, dom
-from tramline.llm.common import hash_key, table
+from tramline.llm.common import drawn, table
 
 PAGES, COMPOSED, SEED = 150, 450, 3
 LONGEST = 80            # blocks of a page to learn from
@@ -180,12 +180,9 @@ def labelled(pages: list[str]) -> list[tuple[list[dom.Block], list[int]]]:
 
 
 def trained(pages: DataFrame, html: str = "html", key: str = "page_id", most: int = PAGES) -> crf.Chain:
-    drawn = (
-        pages.filter(F.col(html).isNotNull() & (F.char_length(html) < 200_000))
-        .select(hash_key(key, SEED).alias("draw"), F.col(html).alias("html"))
-        .orderBy("draw", "html").limit(most)
-    )
-    rows = labelled([r["html"] for r in drawn.collect()])
+    fit_for_it = pages.filter(F.col(html).isNotNull() & (F.char_length(html) < 200_000))
+    some = drawn(fit_for_it, key, SEED, most).select(F.col(html).alias("html")).collect()
+    rows = labelled(sorted(r["html"] for r in some))
     return crf.fit([(*features(found), marks) for found, marks in rows], SIZE, KINDS)
 
 

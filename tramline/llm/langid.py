@@ -36,7 +36,7 @@ BINS = 1 << 13
 GRAMS = (1, 2, 3)
 MULTIPLIERS = (2654435761, 2246822519, 3266489917)
 SLICE = 1 << 20
-CENTROIDS, ROUNDS = 3, 12
+CENTROIDS, ROUNDS, LEAST_SHARE = 3, 12, 0.02   # smaller clusters are strays
 SAMPLE, PER_LANGUAGE, SEED = 4000, 400, 9
 REJECT, LOW_END = 0.3, 0.01
 UNKNOWN = "und"
@@ -117,7 +117,8 @@ def clustered(rows: np.ndarray, k: int = CENTROIDS, rounds: int = ROUNDS) -> np.
         centres = np.stack([
             unit(rows[mine == i].sum(axis=0, keepdims=True))[0] if (mine == i).any() else centres[i]
             for i in range(len(centres))])
-    return centres
+    share = np.bincount((rows @ centres.T).argmax(axis=1), minlength=len(centres)) / len(rows)
+    return centres[share >= min(LEAST_SHARE, share.max())]
 
 
 def held_out(key: str = "doc_id") -> Column:

@@ -9,8 +9,8 @@ into probabilities, and each kind has the least threshold that kept ``PRECISION`
 overlapping spans the likelier stays; none that touches a base span does.
 
 The trees learn from at most ``EXAMPLES`` labelled rows: true and false values (dates, prices,
-versions, order numbers) written into surroundings taken from at most ``CONTEXTS`` texts of the
-corpus, chosen by a hash of the id.
+versions, order numbers) written into surroundings taken from about ``CONTEXTS`` texts of the
+corpus (twice as many at most), chosen by a hash of the id.
 
 Defined cases: null and empty texts have no spans; texts of any length are searched whole, in
 time linear in their length; repeated rows and ids are searched each; an empty table gives no
@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tramline.llm import boosting
-from tramline.llm.common import hash_key, table
+from tramline.llm.common import drawn, table
 
 BASE = ("email", "ip", "card", "phone")
 KINDS = (*BASE, "id", "birth", "secret")
@@ -327,12 +327,9 @@ def touches(spans: list[tuple[int, int]], other: Span) -> bool:
 
 def trained(docs: DataFrame, text: str = "text", key: str = "doc_id", contexts: int = CONTEXTS) -> Judge:
     """A judge whose examples stand in surroundings from this corpus."""
-    drawn = (
-        docs.filter(F.col(text).isNotNull())
-        .select(hash_key(key, SEED).alias("draw"), F.substring(text, 1, 2000).alias("text"))
-        .orderBy("draw", "text").limit(contexts)
-    )
-    rows, truth, kinds = examples([s for r in drawn.collect() for s in r["text"].split("\n")])
+    some = drawn(docs.filter(F.col(text).isNotNull()), key, SEED, contexts)
+    some = some.select(F.substring(text, 1, 2000).alias("text")).collect()
+    rows, truth, kinds = examples([s for r in some for s in r["text"].split("\n")])
     held = np.arange(len(rows)) % 4 == 0
     trees = boosting.fit(rows[~held], truth[~held])
     score = trees.score(rows[held])
