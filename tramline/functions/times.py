@@ -29,12 +29,12 @@ def shift(ts: Column, seconds: Column | int | float) -> Column:
 
 
 def gtfs_seconds(text: Column) -> Column:
-    """'HH:MM:SS' to seconds; hours may pass 24, anything malformed is null."""
+    """'HH:MM:SS' to seconds; hours may pass 24, anything malformed or past 32 bits is null."""
     parts = F.split(F.trim(text), ":")
-    number = [F.trim(F.try_element_at(parts, F.lit(i))).try_cast("int") for i in (1, 2, 3)]
+    number = [F.trim(F.try_element_at(parts, F.lit(i))).try_cast("int").cast("long") for i in (1, 2, 3)]
     return F.when(
         F.size(parts) == 3, number[0] * 3600 + number[1] * 60 + number[2]
-    )
+    ).try_cast("int")
 
 
 def hour_minute(seconds: Column) -> Column:
@@ -173,12 +173,9 @@ def parse_month(text: Column) -> Column:
 
 
 def parse_count(text: Column) -> Column:
-    """'1,234' or '12.5' to a rounded integer, or null."""
-    return round_half_even(F.trim(F.regexp_replace(text, ",", "")).try_cast("double"))
-
-
-def round_half_even(value: Column) -> Column:
-    return F.rint(value).cast("int")
+    """'1,234' or '12.5' to a rounded whole number, or null; NaN and infinities are null."""
+    value = F.rint(F.trim(F.regexp_replace(text, ",", "")).try_cast("double"))
+    return F.when(~F.isnan(value), value).try_cast("long")
 
 
 def parse_iso(text: Column) -> Column:

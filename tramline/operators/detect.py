@@ -404,66 +404,50 @@ def alias_guard(
     """Drop very late or early events that fall on another trip's slot at the same
     stop, unless such a trip was itself reported around then.
 
-    Sightings count up to the moment the event became known. Two existence joins;
-    their keys contain time bins, each slot being listed under every bin it can
-    answer for, so an event probes one bin and no pair is ever emitted.
+    Sightings count up to the moment the event became known. The work starts from the
+    suspicious events: their distinct (trip, route, stop, day, times) meet the slots
+    of that stop and time bin, each slot being listed under every bin it can answer
+    for; the few trips found there meet their own sightings of three time bins; one
+    verdict per suspicious key then removes events. Trusted events take no part in it.
     """
+    keys = ["trip_id", "route_id", "stop_id", "service_date", "actual_time", "emit_time"]
     reach = cfg.alias_max_gap
     width = 2 * reach
     window = cfg.alias_active_window
-    named = slots.select(
-        F.col("route_id").alias("s_route"), F.col("stop_id").alias("s_stop"),
-        F.col("trip_id").alias("s_trip"), F.col("arrival_secs").alias("s_secs"),
-    )
-    # Another trip than the event's own is due at a time if the first or the last
-    # of the trips due then is another one.
-    due_at = named.groupBy("s_route", "s_stop", "s_secs").agg(
-        F.min("s_trip").alias("s_first"), F.max("s_trip").alias("s_last")
-    ).withColumn("s_bin", _bins(F.col("s_secs"), reach, width))
-    running = named.withColumn("s_bin", _bins(F.col("s_secs"), reach, width)).join(
-        seen.select(
-            F.col("trip_id").alias("s_trip"), "first_seen", "last_seen",
-            F.explode(F.sequence(F.col("bin") - 1, F.col("bin") + 1)).alias("seen_bin"),
-        ),
-        "s_trip",
-    )
-    # Trusted events must match nothing: they get bins no slot has, spread evenly.
-    trusted = F.abs("delay") < cfg.alias_min_delay
-    nowhere = -1_000_000 - F.pmod(F.xxhash64("trip_id", "emit_time", "row_id"), F.lit(1_000_000))
     secs = wall_seconds(F.col("actual_time"), F.col("service_date"), cfg.zone)
-    seen_at = F.floor(micros(F.col("actual_time")) / F.lit(window * 1_000_000))
-    probes = events.withColumn("_secs", secs).withColumns(
-        {
-            "_bin": F.when(trusted, nowhere).otherwise(F.floor(F.col("_secs") / width)),
-            "_seen_bin": F.when(trusted, nowhere).otherwise(seen_at),
-        }
+    suspects = (
+        events.alias("e").filter(suspicious_of("e", cfg)).select(*keys).distinct()
+        .withColumn("_secs", secs)
+        .withColumn("s_bin", F.floor(F.col("_secs") / width))
     )
-    # The shuffle of the second join, asked for here so that the bins are columns by
-    # then and not expressions evaluated at every comparison of its sort.
-    probes = probes.repartition("route_id", "stop_id", "_bin", "_seen_bin").alias("e")
+    due = slots.select(
+        "route_id", "stop_id", F.col("trip_id").alias("s_trip"), F.col("arrival_secs").alias("s_secs"),
+        _bins(F.col("arrival_secs"), reach, width).alias("s_bin"),
+    )
+    rivals = (
+        suspects.join(due, ["route_id", "stop_id", "s_bin"])
+        .filter((F.col("s_trip") != F.col("trip_id")) & (F.abs(F.col("s_secs") - F.col("_secs")) <= reach))
+        .select(*keys, "s_trip").distinct()
+    )
+    at_bin = F.floor(micros(F.col("actual_time")) / F.lit(window * 1_000_000))
+    asked = rivals.withColumn("bin", F.explode(F.sequence(at_bin - 1, at_bin + 1)))
+    sightings = seen.select(F.col("trip_id").alias("s_trip"), "bin", "first_seen", "last_seen")
+    around = (F.col("last_seen") >= shift(F.col("actual_time"), -window)) & (
+        F.col("first_seen") <= F.least("emit_time", shift(F.col("actual_time"), window)))
+    aliases = (
+        asked.join(sightings, ["s_trip", "bin"], "left")
+        .groupBy(*keys).agg(F.max(F.coalesce(around, F.lit(False))).alias("out"))
+        .filter(~F.col("out"))
+    )
+    # A trusted event may share a suspicious one's key (a stop served twice), so the delay
+    # is part of the condition.
+    e, a = events.alias("e"), aliases.alias("a")
+    same = [F.col(f"e.{k}") == F.col(f"a.{k}") for k in keys]
+    return e.join(a, [suspicious_of("e", cfg), *same], "left_anti")
 
-    def same_slot(table: str) -> Column:
-        return (
-            (F.col(f"{table}.s_route") == F.col("e.route_id").outer())
-            & (F.col(f"{table}.s_stop") == F.col("e.stop_id").outer())
-            & (F.col(f"{table}.s_bin") == F.col("e._bin").outer())
-            & (F.abs(F.col(f"{table}.s_secs") - F.col("e._secs").outer()) <= reach)
-        )
 
-    own = F.col("e.trip_id").outer()
-    at = F.col("e.actual_time").outer()
-    until = F.least(F.col("e.emit_time").outer(), shift(at, window))
-    due = due_at.alias("s").where(
-        same_slot("s") & ((F.col("s.s_first") != own) | (F.col("s.s_last") != own))
-    ).exists()
-    out = running.alias("r").where(
-        same_slot("r")
-        & (F.col("r.s_trip") != own)
-        & (F.col("r.seen_bin") == F.col("e._seen_bin").outer())
-        & (F.col("r.last_seen") >= shift(at, -window))
-        & (F.col("r.first_seen") <= until)
-    ).exists()
-    return probes.where(~due | out).drop("_secs", "_seen_bin", "_bin")
+def suspicious_of(table: str, cfg: DetectionConfig) -> Column:
+    return F.coalesce(F.abs(F.col(f"{table}.delay")) >= cfg.alias_min_delay, F.lit(True))
 
 
 def first_per_stop(events: DataFrame) -> DataFrame:
@@ -488,12 +472,12 @@ def close_runs(events: DataFrame) -> DataFrame:
     return closed.filter(F.col("_end").isNull() | (place <= F.col("_end"))).drop("_end")
 
 
-def as_events(events: DataFrame) -> DataFrame:
+def as_events(events: DataFrame, *more: str) -> DataFrame:
     return events.select(
         "trip_id", "route_id", "stop_id", "stop_sequence", "scheduled_time", "actual_time",
         round_int(F.col("delay")).cast("int").alias("delay_seconds"), "service_date",
         F.col("actual_time").alias("timestamp"), "actual_lat", "actual_lon", "actual_bearing",
-        "detection_method",
+        "detection_method", *more,
     )
 
 

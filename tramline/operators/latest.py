@@ -6,8 +6,9 @@ import datetime as dt
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
-from tramline.functions.times import micros
+from tramline.functions.times import instant, micros, shift
 from tramline.operators.filters import closed
 
 LAST_SEQUENCE = 2_147_483_647
@@ -56,21 +57,45 @@ def latest_feed_delays(
 def latest_known_delays(
     updates: DataFrame, low: dt.datetime, high: dt.datetime, trips: DataFrame | None = None
 ) -> DataFrame:
-    """Newest non-null delay per trip in a closed time span, for the given trips.
-
-    ``trips`` may carry ``route_id`` too; the pair is then matched on both, which
-    lets row groups sorted by route be skipped.
-    """
+    """Newest non-null delay per trip in a closed time span, for the given trips."""
     rows = closed(updates, "timestamp", low, high).filter(F.col("arrival_delay").isNotNull())
     if trips is not None:
         ids = trips.select("trip_id").filter(F.col("trip_id").isNotNull()).distinct()
         rows = rows.join(ids, "trip_id", "left_semi")
-        if "route_id" in trips.columns:
-            on = trips.select("route_id").filter(F.col("route_id").isNotNull()).distinct()
-            rows = rows.join(on, "route_id", "left_semi")
-    order = F.struct("timestamp", "id")
+    return _newest_delay(rows)
+
+
+def page_known_delays(
+    updates: DataFrame, page: DataFrame, first: str, last: str, margin: dt.timedelta,
+    low: dt.datetime, high: dt.datetime,
+) -> DataFrame:
+    """Newest non-null delay of each trip on a page, from the span the page covers.
+
+    The span goes from the page's earliest ``first`` to its latest ``last``, widened by
+    ``margin`` and clamped to ``low`` and ``high``: trip ids recur every day, and another
+    day's delay is not this trip's. When all rows have a route, only updates of the
+    page's routes count. A page is as large as a request asks for, so its keys are
+    broadcast, and the windows over it see no other rows.
+    """
+    rows = W.partitionBy(F.lit(0))
+    routed = F.coalesce(F.col("route_id"), F.lit("")) != ""
+    keys = page.select(
+        F.col("trip_id").alias("k_trip"),
+        F.greatest(shift(F.min(first).over(rows), -margin.total_seconds()), instant(low)).alias("k_low"),
+        F.least(shift(F.max(last).over(rows), margin.total_seconds()), instant(high)).alias("k_high"),
+        F.collect_set("route_id").over(rows).alias("k_routes"),
+        F.min(routed).over(rows).alias("k_routed"),
+    ).filter(F.coalesce(F.col("k_trip"), F.lit("")) != "").dropDuplicates(["k_trip"])
+    known = closed(updates, "timestamp", low, high).filter(F.col("arrival_delay").isNotNull())
+    return _newest_delay(known.join(
+        F.broadcast(keys),
+        (F.col("trip_id") == F.col("k_trip")) & F.col("timestamp").between(F.col("k_low"), F.col("k_high"))
+        & (~F.col("k_routed") | F.expr("array_contains(k_routes, route_id)"))))
+
+
+def _newest_delay(rows: DataFrame) -> DataFrame:
     return rows.groupBy("trip_id").agg(
-        F.max_by("arrival_delay", order).alias("last_delay_seconds")
+        F.max_by("arrival_delay", F.struct("timestamp", "id")).alias("last_delay_seconds")
     )
 
 

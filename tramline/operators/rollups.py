@@ -192,38 +192,48 @@ def build_rollup(
     return spec.build(raw)
 
 
-def write_rollup(rollup: DataFrame, path: str) -> None:
-    """Store a rollup by bucket day, so a refresh replaces whole days."""
-    (
+def by_bucket_day(rollup: DataFrame) -> DataFrame:
+    """Dealt out by bucket day; adaptive execution splits large days and merges small ones."""
+    return (
         rollup.withColumn("bucket_date", F.to_date("bucket"))
-        .repartition("bucket_date", F.floor(F.rand(7) * 4))
-        .sortWithinPartitions("route_id", "bucket")
-        .write.mode("overwrite")
-        .partitionBy("bucket_date")
-        .parquet(path)
+        .hint("rebalance", "bucket_date")
+        .sortWithinPartitions("bucket_date", "route_id", "bucket")
     )
 
 
+def write_rollup(rollup: DataFrame, path: str) -> None:
+    """Store a rollup by bucket day, so a refresh replaces whole days."""
+    by_bucket_day(rollup).write.mode("overwrite").partitionBy("bucket_date").parquet(path)
+
+
 def refresh_rollup(raw: DataFrame, spec: RollupSpec, path: str, now: dt.datetime) -> None:
     """Recompute the buckets of the refresh span and replace them.
 
     Whole bucket days are rebuilt, from the day the span starts in to the last
     complete bucket before ``now - end_offset``; buckets after that stay out and
-    are answered from the raw rows (``with_live_tail``).
+    are answered from the raw rows (``with_live_tail``). Days of the span that have
+    no raw rows any more lose their buckets.
     """
     first = floor_to(now - spec.start_offset, "day")
     last = floor_to(now - spec.end_offset, spec.unit)
     rows = since(raw, first).filter(F.col("timestamp") < instant(last))
+    fresh = spec.build(rows)
     (
-        spec.build(rows)
-        .withColumn("bucket_date", F.to_date("bucket"))
-        .repartition("bucket_date")
-        .sortWithinPartitions("route_id", "bucket")
-        .write.mode("overwrite")
+        by_bucket_day(fresh).write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
         .partitionBy("bucket_date")
         .parquet(path)
     )
+    spark = raw.sparkSession
+    filled = {r[0] for r in fresh.select(F.to_date("bucket")).distinct().collect()}   # days of the span
+    root = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = root.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+    day = first.date()
+    while day <= (last - dt.timedelta(microseconds=1)).date():
+        old = spark._jvm.org.apache.hadoop.fs.Path(root, f"bucket_date={day.isoformat()}")
+        if day not in filled and files.exists(old):
+            files.delete(old, True)
+        day += dt.timedelta(days=1)
 
 
 def with_live_tail(

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -21,9 +22,9 @@ ISO = "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"
 
 def export_rows(
     positions: DataFrame, start: dt.datetime, end: dt.datetime, route_id: str | None = None,
-    limit: int | None = 5_000,
+    limit: int | None = None,
 ) -> DataFrame:
-    """Positions of a time span, oldest first; ``limit`` is the request's page size."""
+    """Positions of a time span, oldest first; ``limit`` is a request's page size, if it has one."""
     rows = closed(positions, "timestamp", start, end)
     if route_id is not None:
         rows = rows.filter(F.col("route_id") == route_id)
@@ -50,17 +51,14 @@ def write_by_mode(vehicles: DataFrame, path: str) -> None:
     vehicles.write.mode("overwrite").partitionBy("mode").json(path)
 
 
-def write_cold(facts: DataFrame, path: str, ts: str = "timestamp", files_per_day: int = 8) -> None:
+def write_cold(facts: DataFrame, path: str, ts: str = "timestamp") -> None:
     """By day, sorted by route and newest first, so row groups can be skipped by route.
 
-    A day is spread over several files by hash of the whole row, because one route
-    may hold a large part of it.
+    Adaptive execution splits a large day over several files and merges small days.
     """
-    day = F.to_date(ts).alias("date")
-    salt = F.pmod(F.xxhash64(*facts.columns), F.lit(files_per_day))
     (
-        facts.withColumn("date", day)
-        .repartition("date", salt)
+        facts.withColumn("date", F.to_date(ts))
+        .hint("rebalance", "date")
         .sortWithinPartitions("date", "route_id", F.desc(ts))
         .write.mode("overwrite")
         .partitionBy("date")
@@ -94,25 +92,27 @@ def rebuild_events(
 ) -> str:
     """Replace the live events up to the newest staged one and return the new version.
 
+    The staged rows are written to the version's folder first, once, and judged there.
     Refuses an empty result, and one with less than half of the rows it replaces
-    unless forced. Later live rows are kept. The version is complete before a reader
-    is pointed at it.
+    unless forced; the folder then stays unnamed. Later live rows are added. The version
+    is complete before it is named; readers take the last name (``current_events``).
     """
-    rows, newest, before = rebuild_guard(staged, live, ts)
+    spark = staged.sparkSession
+    path = f"{root}/version={uuid.uuid4().hex}"
+    staged.write.parquet(path)
+    written = spark.read.schema(staged.schema).parquet(path)
+    rows, newest, before = rebuild_guard(written, live, ts)
     if rows == 0:
         raise RebuildRefused("the rebuild produced no events")
     if before and rows * 2 < before and not force:
         raise RebuildRefused(f"the rebuild produced {rows} events where {before} are stored")
-    columns = staged.columns
-    later = live.filter(F.col(ts) > instant(newest)).select(*columns)
-    path = f"{root}/version={uuid.uuid4().hex}"
-    staged.unionByName(later).write.parquet(path)
-    spark = staged.sparkSession
-    spark.createDataFrame([(path,)], "path string").coalesce(1).write.mode("overwrite").json(f"{root}/current")
+    live.filter(F.col(ts) > instant(newest)).select(*staged.columns).write.mode("append").parquet(path)
+    named = spark.createDataFrame([(path, time.time_ns())], "path string, named_at bigint")
+    named.coalesce(1).write.mode("append").json(f"{root}/current")
     return path
 
 
 def current_events(spark: SparkSession, root: str) -> DataFrame:
-    """The version the pointer names."""
-    path = spark.read.schema("path string").json(f"{root}/current").first()[0]
-    return spark.read.parquet(path)
+    """The version named last."""
+    names = spark.read.schema("path string, named_at bigint").json(f"{root}/current")
+    return spark.read.parquet(names.agg(F.max_by("path", "named_at")).first()[0])

@@ -788,18 +788,19 @@ def _(spark, folder):
 
 @query("export_page")
 def _(spark, folder):
-    rows = sinks.export_rows(data.positions(spark, folder), *WINDOW)
+    rows = sinks.export_rows(data.positions(spark, folder), *WINDOW, limit=5_000)
     return rows.select("vehicle_id", "trip_id", "route_id", "stop_id", "timestamp")
 
 
 @query("gtfs_time_parse")
 def _(spark, folder):
-    """Order keys spelled as timetable times, some past midnight, some malformed."""
+    """Order keys spelled as timetable times, some past midnight, malformed or beyond 32 bits."""
     key = F.col("o_orderkey")
     text = F.format_string(
         "%02d:%02d:%02d", (key % 30).cast("int"), (key % 60).cast("int"), (key % 7).cast("int")
     )
-    spelled = F.when(key % 13 == 0, F.substring(text, 1, 5)).otherwise(text)
+    spelled = F.when(key % 13 == 0, F.substring(text, 1, 5)).when(
+        key % 19 == 0, "999999:00:00").otherwise(text)
     secs = times.gtfs_seconds(spelled)
     return data.table(spark, folder, "orders").select(
         "o_orderkey", secs.alias("seconds"), times.hour_minute(secs).alias("clock")
@@ -808,7 +809,7 @@ def _(spark, folder):
 
 @query("month_parse")
 def _(spark, folder):
-    """Order months in seven spellings and counts with thousands separators."""
+    """Order months in seven spellings; counts with thousands separators, beyond 32 bits, or no number."""
     day, key = F.to_date("o_orderdate"), F.col("o_orderkey")
     spellings = [F.date_format(day, f) for f in
                  ("yyyy-MM-dd", "yyyy-MM", "yyyy/MM", "MM/yyyy", "MMM yyyy", "MMMM yyyy", "yyyyMM")]
@@ -816,7 +817,8 @@ def _(spark, folder):
     return data.table(spark, folder, "orders").select(
         "o_orderkey",
         times.parse_month(text).alias("month"),
-        times.parse_count(F.format_number(key * 37, 0)).alias("boardings"),
+        times.parse_count(F.when(key % 11 == 0, "NaN").when(key % 17 == 0, "3,000,000,000").otherwise(
+            F.format_number(key * 37, 0))).alias("boardings"),
     )
 
 

@@ -12,11 +12,14 @@ from tramline.functions.bands import mode_of, natural_key, occupancy_key
 from tramline.functions.numbers import round1
 from tramline.functions.times import instant, seconds_between
 from tramline.operators.filters import closed, on_routes, within_window
-from tramline.operators.latest import latest_known_delays
+from tramline.operators.latest import page_known_delays
 from tramline.plans.board import count_facets
 
 MAX_TRIP = dt.timedelta(hours=3)
 LIVE = dt.timedelta(seconds=90)
+# How far around a page's rows its delays are looked for.
+PAGE_MARGIN = dt.timedelta(minutes=5)
+LONGEST_TRIP = dt.timedelta(hours=3)
 MIN_POSITIONS = 10
 
 # Options listed with a zero count.
@@ -182,11 +185,13 @@ def page(trips: DataFrame, limit: int = 15, offset: int = 0) -> DataFrame:
 
 
 def page_delays(trips_page: DataFrame, updates: DataFrame, low: dt.datetime, high: dt.datetime) -> DataFrame:
-    """The page with each trip's newest known delay."""
-    return trips_page.join(
-        latest_known_delays(updates, low, high, trips_page.select("trip_id", "route_id")),
-        "trip_id", "left",
-    )
+    """The page with each trip's newest delay within the span of the page's trips.
+
+    The page feeds two branches and is kept in memory (it has a request's page size).
+    """
+    one = trips_page.persist()
+    known = page_known_delays(updates, one, "start_time", "end_time", PAGE_MARGIN, low, high)
+    return one.join(known, "trip_id", "left")
 
 
 def history_page(
@@ -198,8 +203,8 @@ def history_page(
     if route_id is not None:
         rows = rows.filter(F.col("route_id") == route_id)
     newest = [F.desc("timestamp"), F.desc("id")]
-    one = rows.orderBy(*newest).offset((page_no - 1) * limit).limit(limit)
-    delays = latest_known_delays(updates, start, end, one.select("trip_id", "route_id"))
+    one = rows.orderBy(*newest).offset((page_no - 1) * limit).limit(limit).persist()
+    delays = page_known_delays(updates, one, "timestamp", "timestamp", LONGEST_TRIP, start, end)
     return (
         one.join(routes.select("route_id", "route_short_name"), "route_id", "left")
         .join(delays.withColumnRenamed("last_delay_seconds", "delay_seconds"), "trip_id", "left")

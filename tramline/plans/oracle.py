@@ -656,6 +656,8 @@ SQL["trip_explorer_page"] = sql(
     pg="SELECT * FROM d ORDER BY start_time, route_id NULLS LAST, vehicle_label, trip_id LIMIT 15 OFFSET 15",
     kd="""SELECT trip_id, arrival_delay AS last_delay_seconds FROM upd
           WHERE arrival_delay IS NOT NULL AND route_id IN (SELECT route_id FROM pg)
+            AND ts >= (SELECT min(start_time) FROM pg) - INTERVAL 5 MINUTE
+            AND ts <= (SELECT max(end_time) FROM pg) + INTERVAL 5 MINUTE
           QUALIFY row_number() OVER (PARTITION BY trip_id ORDER BY ts DESC, id DESC) = 1""",
 )
 SQL["trip_explorer_filtered"] = sql(
@@ -691,6 +693,7 @@ SQL["history_page"] = sql(
     pg="SELECT * FROM pos ORDER BY ts DESC, id DESC LIMIT 200",
     kd="""SELECT trip_id, arrival_delay AS last_delay_seconds FROM upd
           WHERE arrival_delay IS NOT NULL AND route_id IN (SELECT route_id FROM pg)
+            AND ts >= (SELECT min(ts) FROM pg) - INTERVAL 3 HOUR AND ts <= (SELECT max(ts) FROM pg) + INTERVAL 3 HOUR
           QUALIFY row_number() OVER (PARTITION BY trip_id ORDER BY ts DESC, id DESC) = 1""",
 )
 SQL["bounded_count"] = "SELECT count(*) AS total FROM (SELECT 1 FROM events LIMIT 50000)"
@@ -1068,11 +1071,12 @@ SQL["export_page"] = sql(
 )
 SQL["gtfs_time_parse"] = """
     SELECT o_orderkey, s AS seconds, printf('%02d:%02d', (s // 3600) % 24, (s % 3600) // 60) AS clock
-    FROM (SELECT o_orderkey, CASE WHEN o_orderkey % 13 <> 0 THEN
+    FROM (SELECT o_orderkey, CASE WHEN o_orderkey % 13 <> 0 AND o_orderkey % 19 <> 0 THEN
             CAST((o_orderkey % 30) * 3600 + (o_orderkey % 60) * 60 + o_orderkey % 7 AS INTEGER) END AS s FROM orders)"""
 SQL["month_parse"] = """
     SELECT o_orderkey, CAST(date_trunc('month', o_orderdate) AS DATE) AS month,
-           CAST(o_orderkey * 37 AS INTEGER) AS boardings FROM orders"""
+           CASE WHEN o_orderkey % 11 = 0 THEN NULL WHEN o_orderkey % 17 = 0 THEN 3000000000
+                ELSE o_orderkey * 37 END::BIGINT AS boardings FROM orders"""
 SQL["games_board"] = sql(
     """SELECT event_id, team_key, state, start, "end", team_score, opponent_score,
               CASE WHEN state = 'post' THEN CASE WHEN team_score > opponent_score THEN 'win'

@@ -8,6 +8,7 @@ alias guard and first-per-stop steps as in the batch job, once per micro-batch.
 
 from __future__ import annotations
 
+import datetime as dt
 import json
 from collections.abc import Iterator
 
@@ -240,6 +241,11 @@ def settle_batch(
         fresh = detect.first_per_stop(detect.alias_guard(found, slots, seen(), cfg))
         known = read_events(batch.sparkSession, path)
         if known is not None:
+            days = batch.agg(F.min("actual_time"), F.max("actual_time")).first()
+            if days[0] is not None:
+                # A service date is at most two days from the time of its events.
+                known = known.filter(F.col("service_date").between(
+                    F.lit(days[0].date() - dt.timedelta(days=2)), F.lit(days[1].date() + dt.timedelta(days=2))))
             known = known.filter(F.col("batch_id") != batch_id)
             fresh = fresh.join(
                 known.select("trip_id", "stop_sequence", "service_date"),
@@ -248,17 +254,13 @@ def settle_batch(
                 known.filter("is_last").select("trip_id", "service_date"),
                 ["trip_id", "service_date"], "left_anti",
             )
-        kept = detect.close_runs(fresh).persist()
-        flags = kept.select("trip_id", "stop_sequence", "service_date", "is_last")
         (
-            detect.as_events(kept)
-            .join(flags, ["trip_id", "stop_sequence", "service_date"])
+            detect.as_events(detect.close_runs(fresh), "is_last")
             .withColumn("batch_id", F.lit(batch_id))
             .write.mode("overwrite")
             .option("partitionOverwriteMode", "dynamic")
             .partitionBy("service_date", "batch_id")
             .parquet(path)
         )
-        kept.unpersist()
 
     return settle

@@ -8,9 +8,14 @@ from pyspark.sql import functions as F
 from tramline.operators.rollups import PROFILES
 
 
-def hourly_stream(events: DataFrame, lateness: str = "30 minutes", profile: str = "five_minutes") -> DataFrame:
-    """Band counts per route and hour; detection reports up to 15 minutes late, so the
-    watermark has to allow more than that."""
+def hourly_stream(events: DataFrame, lateness: str = "36 hours", profile: str = "five_minutes") -> DataFrame:
+    """Band counts per route and hour.
+
+    A terminus fallback is dated at the closest approach but comes out 15 minutes after
+    the trip's last sighting, which may be hours later when a vehicle keeps reporting
+    short of its terminus. A trip ends within its service day, so the watermark allows a
+    day and a half; with less, such events are dropped.
+    """
     d = F.col("delay_seconds")
     return (
         events.withWatermark("timestamp", lateness)
