@@ -15,10 +15,12 @@ shingles in hash order, of which similar sets share one; for larger sets the cha
 undivided partitions are empty is under 1e-10, and they are left out.
 
 Signatures are sorted; a bucket is those who share one. First each document is compared, by
-its whole text, with the one that is the least member of most of its buckets. Then, for every bucket whose members are
+its whole text, with the one that is the least member of most of its buckets (if sizes and
+sketches, see below, allow it). Then, for every bucket whose members are
 not yet in one component, all pairs between different components are taken up: large buckets
 in pairs of blocks, and pairs whose counts of shingles by ranges of a hash alone (the
-sketches) differ by more than two similar sets may are passed over. What is left is
+sketches) differ by more than two similar sets may are passed over: that difference is never
+larger than the true one. What is left is
 compared by whole text. All links between different classes are thus either found or between
 documents that other links already join, so components are exact.
 
@@ -75,20 +77,24 @@ def class_of(hashes: np.ndarray, begin: np.ndarray) -> tuple[np.ndarray, np.ndar
 
 
 def sketches(hashes: np.ndarray, begin: np.ndarray) -> list[bytes]:
-    """Of each set, how many shingles are in each of 2**b partitions (at most 255 each).
+    """Of each set, how many shingles are in each of 2**b partitions, two bits each (3 or more: 3).
 
-    Partitions are ranges of a hash, at least two for each shingle within the limits, so the
+    Partitions are ranges of a hash, at least one for each shingle within the limits, so the
     sketch of a larger set is folded to that of a smaller one by adding neighbours.
     """
     spread = mixed(hashes ^ SALTS[2])
     out = []
     for at, end in zip(begin[:-1], begin[1:]):
-        bits = min(max(int(2 * (end - at) - 1).bit_length(), SKETCH_BITS[0]), SKETCH_BITS[1])
+        bits = min(max(int(end - at - 1).bit_length(), SKETCH_BITS[0]), SKETCH_BITS[1])
         found = np.bincount((spread[at:end] >> U(64 - bits)).astype(np.int64), minlength=1 << bits)
-        out.append(np.minimum(found, 255).astype(np.uint8).tobytes())
+        four = np.minimum(found, 3).astype(np.uint8).reshape(-1, 4)
+        out.append((four[:, 0] | four[:, 1] << 2 | four[:, 2] << 4 | four[:, 3] << 6).tobytes())
     return out
 
 
+UNPACKED = (np.arange(256)[:, None] >> np.array([0, 2, 4, 6]) & 3).astype(np.uint8)
+
+
 def member_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for part in shingles.slices(batch, 1):
@@ -177,7 +183,7 @@ class Sketches:
 
     def __init__(self, column: pa.Array):
         self.own = [np.frombuffer(b, np.uint8) for b in column.to_pylist()]
-        self.bits = np.array([len(b).bit_length() - 1 for b in self.own])
+        self.bits = np.array([len(b).bit_length() + 1 for b in self.own])
         self.folded: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
     def at(self, bits: int) -> tuple[np.ndarray, np.ndarray]:
@@ -187,7 +193,7 @@ class Sketches:
             place = np.full(len(self.own), -1)
             place[rows] = np.arange(len(rows))
             self.folded[bits] = np.stack([
-                self.own[r].reshape(1 << bits, -1).sum(axis=1, dtype=np.int16) for r in rows]), place
+                UNPACKED[self.own[r]].reshape(1 << bits, -1).sum(axis=1, dtype=np.int16) for r in rows]), place
         return self.folded[bits]
 
     def apart(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -247,6 +253,17 @@ def pairs_within(batch: pa.RecordBatch) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(whole(u)), pa.array(whole(v))], names=["u", "v"])
 
 
+def allowed_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs (u, v, n_u, n_v, sketch_u, sketch_v) that sizes and sketches allow, as (u, v)."""
+    for batch in batches:
+        n = len(batch)
+        a, b = batch.column(2).to_numpy(), batch.column(3).to_numpy()
+        both = Sketches(pa.chunked_array([batch.column(4), batch.column(5)]).combine_chunks())
+        keep = SIMILAR[0] * np.maximum(a, b) <= SIMILAR[1] * np.minimum(a, b)
+        keep &= 7 * both.apart(np.arange(n), np.arange(n) + n) <= a + b
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["u", "v"]).filter(pa.array(keep))
+
+
 def pair_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """``pairs_within`` of a sorted stream; a group that a batch cuts waits for its rest."""
     rest = None
@@ -301,12 +318,23 @@ def buckets_of(docs: DataFrame, members: DataFrame) -> DataFrame:
 
 def similar(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     """Those of the pairs (u, v) that link, judged on whole texts."""
-    u = docs.select(F.col("doc_id").alias("u"), F.col("text").alias("text_u"))
-    v = docs.select(F.col("doc_id").alias("v"), F.col("text").alias("text_v"))
+    ids = pairs.select(F.explode(F.array("u", "v")).alias("doc_id")).distinct()
+    texts = docs.join(ids, "doc_id", "left_semi")
+    u = texts.select(F.col("doc_id").alias("u"), F.col("text").alias("text_u"))
+    v = texts.select(F.col("doc_id").alias("v"), F.col("text").alias("text_v"))
     both = pairs.join(u, "u").join(v, "v").select("u", "v", "text_u", "text_v")
     return both.mapInArrow(similar_rows, "u bigint, v bigint").distinct()
 
 
+def allowed(pairs: DataFrame, sketched: DataFrame) -> DataFrame:
+    """Those of the pairs (u, v) that may link by sizes and sketches."""
+    side = lambda x: sketched.select(
+        F.col("id").alias(x), F.col("n_shingles").alias(f"n_{x}"), F.col("sketch").alias(f"sketch_{x}"))
+    both = pairs.join(side("u"), "u").join(side("v"), "v")
+    return both.select("u", "v", "n_u", "n_v", "sketch_u", "sketch_v").mapInArrow(
+        allowed_rows, "u bigint, v bigint")
+
+
 def labelled(buckets: DataFrame, edges: DataFrame, name: str) -> DataFrame:
     """Buckets whose members are in several components, with each member's component."""
     found = buckets.join(components(edges, name), "id", "left").withColumn(
@@ -333,7 +361,8 @@ def join(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
     repeated = members.filter("doc_id is not null").select("doc_id", "representative").withColumn(
         "u", F.min("representative").over(ids)).filter("u != representative").select(
         "u", F.col("representative").alias("v")).distinct()
-    links = kept(similar(nearest, docs).unionByName(repeated), "join-links")
+    near = kept(allowed(nearest, sketched), "join-near")
+    links = kept(similar(near, docs).unionByName(repeated), "join-links")
     blocks = F.ceil(F.col("rows") / BLOCK_ROWS).cast("int")
     dealt = (
         kept(labelled(buckets, links, "join-first"), "join-open")
