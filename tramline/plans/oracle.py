@@ -87,12 +87,11 @@ CTE = {
                39.0::DOUBLE + (p_partkey % 1000) / 1000.0::DOUBLE AS stop_lat,
                -105.0::DOUBLE + p_size / 100.0::DOUBLE AS stop_lon, p_size <= 10 AS is_rail FROM part""",
     "tp": f"""
-        SELECT trip_id, CAST(n_nationkey + 1 AS INTEGER) AS stop_sequence, n_name AS stop_id,
-               CAST(n_nationkey * 10800 AS INTEGER) AS arrival_secs,
-               39.5::DOUBLE + n_nationkey / 15.0::DOUBLE AS stop_lat,
-               -105.2::DOUBLE + n_nationkey / 100.0::DOUBLE AS stop_lon
-        FROM (SELECT DISTINCT {TRIP} AS trip_id FROM events) t
-        JOIN nation ON n_nationkey < 8""",
+        SELECT trip_id, CAST(n + 1 AS INTEGER) AS stop_sequence, n_name AS stop_id,
+               CAST(n * 10800 AS INTEGER) AS arrival_secs,
+               39.5::DOUBLE + n / 15.0::DOUBLE AS stop_lat, -105.2::DOUBLE + n / 100.0::DOUBLE AS stop_lon
+        FROM (SELECT DISTINCT {TRIP} AS trip_id FROM events) t, range(8) r(n)
+        JOIN nation ON n_nationkey = (n + 5 * (ascii(right(trip_id, 1)) % 5)) % 25""",
     "lines": """
         SELECT CAST(l_orderkey AS VARCHAR) AS trip_id, CAST(l_linenumber AS INTEGER) AS stop_sequence,
                CAST(min(l_partkey) AS VARCHAR) AS stop_id
