@@ -16,7 +16,8 @@ undivided partitions are empty is under 1e-10, and they are left out.
 
 Signatures are sorted; a bucket is those who share one. First each document is compared, by
 its whole text, with the one that is the least member of most of its buckets (if sizes and
-sketches, see below, allow it). Then, for every bucket whose members are
+sketches, see below, allow it), then, in a few rounds, with one of another component of its
+buckets. Then, for every bucket whose members are
 not yet in one component, all pairs between different components are taken up: large buckets
 in pairs of blocks, and pairs whose counts of shingles by ranges of a hash alone (the
 sketches) differ by more than two similar sets may are passed over: that difference is never
@@ -47,7 +48,8 @@ from tramline.llm.shingles import mixed
 
 SIMILAR = (75, 100)
 SMALL = 128
-SKETCH_BITS = (7, 13)
+SKETCH_BITS = (10, 14)
+STAR_ROUNDS = 2
 BLOCK_ROWS = 512
 PAIRS_AT_ONCE = 1 << 20
 
@@ -79,13 +81,13 @@ def class_of(hashes: np.ndarray, begin: np.ndarray) -> tuple[np.ndarray, np.ndar
 def sketches(hashes: np.ndarray, begin: np.ndarray) -> list[bytes]:
     """Of each set, how many shingles are in each of 2**b partitions, two bits each (3 or more: 3).
 
-    Partitions are ranges of a hash, at least one for each shingle within the limits, so the
+    Partitions are ranges of a hash, at least two for each shingle within the limits, so the
     sketch of a larger set is folded to that of a smaller one by adding neighbours.
     """
     spread = mixed(hashes ^ SALTS[2])
     out = []
     for at, end in zip(begin[:-1], begin[1:]):
-        bits = min(max(int(end - at - 1).bit_length(), SKETCH_BITS[0]), SKETCH_BITS[1])
+        bits = min(max(int(2 * (end - at) - 1).bit_length(), SKETCH_BITS[0]), SKETCH_BITS[1])
         found = np.bincount((spread[at:end] >> U(64 - bits)).astype(np.int64), minlength=1 << bits)
         four = np.minimum(found, 3).astype(np.uint8).reshape(-1, 4)
         out.append((four[:, 0] | four[:, 1] << 2 | four[:, 2] << 4 | four[:, 3] << 6).tobytes())
@@ -345,6 +347,20 @@ def labelled(buckets: DataFrame, edges: DataFrame, name: str) -> DataFrame:
     return found.join(several, "bucket")
 
 
+def across(open_rows: DataFrame) -> DataFrame:
+    """For each id the other component's member to try: the least of the first or the last
+    component of a bucket, the one that stands so in most of the id's buckets; as pairs (u, v)."""
+    ends = open_rows.groupBy("bucket").agg(
+        F.min(F.struct("component", "id")).alias("low"),
+        F.max(F.struct("component", (-F.col("id")).alias("minus"))).alias("high"))
+    other = F.when(F.col("low.component") != F.col("component"), F.col("low.id")).otherwise(-F.col("high.minus"))
+    chosen = (
+        open_rows.join(ends, "bucket").select("id", other.alias("other")).groupBy("id", "other").count()
+        .groupBy("id").agg(F.max_by("other", F.struct("count", -F.col("other"))).alias("other"))
+    )
+    return chosen.select(F.least("id", "other").alias("u"), F.greatest("id", "other").alias("v")).distinct()
+
+
 def join(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
     """Per row: doc_id, n_shingles, component_id (least doc_id that links lead to)."""
     docs = docs.select(F.col(key).cast("bigint").alias("doc_id"), F.col(text).alias("text"))
@@ -363,9 +379,15 @@ def join(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
         "u", F.col("representative").alias("v")).distinct()
     near = kept(allowed(nearest, sketched), "join-near")
     links = kept(similar(near, docs).unionByName(repeated), "join-links")
+    tried = nearest
+    for _ in range(STAR_ROUNDS):
+        pairs = kept(across(kept(labelled(buckets, links, "join-star"), "join-open")), "join-pairs")
+        near = kept(allowed(pairs.join(tried, ["u", "v"], "left_anti"), sketched), "join-near")
+        links = kept(links.unionByName(similar(near, docs)), "join-links")
+        tried = tried.unionByName(pairs)
     blocks = F.ceil(F.col("rows") / BLOCK_ROWS).cast("int")
     dealt = (
-        kept(labelled(buckets, links, "join-first"), "join-open")
+        kept(labelled(buckets, links, "join-last"), "join-open")
         .withColumn("block", F.pmod(F.xxhash64("id"), blocks).cast("int"))
         .withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
         .select("bucket", F.least("block", "other").alias("one"), F.greatest("block", "other").alias("two"),
@@ -374,7 +396,7 @@ def join(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
     )
     sorted_groups = dealt.repartition("bucket", "one", "two").sortWithinPartitions("bucket", "one", "two", "id")
     more = sorted_groups.mapInArrow(pair_rows, "u bigint, v bigint").distinct()
-    more = kept(more.join(nearest, ["u", "v"], "left_anti"), "join-more")
+    more = kept(more.join(tried, ["u", "v"], "left_anti"), "join-more")
     links = kept(links.unionByName(similar(more, docs)), "join-all-links")
     found = components(links, "join-components")
     return members.join(
