@@ -118,3 +118,11 @@ def test_natural_order(spark):
     names = ["15", "A", "120", "2", None, "FF1"]
     df = spark.createDataFrame([(n,) for n in names], "x string")
     assert [r.x for r in df.orderBy(*bands.natural_key(F.col("x"))).collect()] == ["2", "15", "120", None, "A", "FF1"]
+
+
+def test_parsers_never_throw(spark):
+    texts = ["999999:00:00", "-1:00:00", "99999999999:00:00", "1:2", ":::", "25:00:01"]
+    assert column(spark, texts, "string", times.gtfs_seconds)[5] == 90_001
+    assert column(spark, texts, "string", times.gtfs_seconds)[0] is None
+    counts = ["NaN", "Infinity", "3000000000", "1e30", "-", "7"]
+    assert column(spark, counts, "string", times.parse_count) == [None, None, 3_000_000_000, None, None, 7]

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tramline.config import StuckConfig
 from tramline.operators import blocks, filters, latest, nearest, rollups, shapes, sinks, timetable, upsert
-from tramline.plans import alerts, board, games, network, reports, timeline
+from tramline.plans import alerts, board, explorer, games, network, reports, timeline
 from tramline.schemas import POSITIONS, SCOREBOARD_POLL, UPDATE_ENTITY, VEHICLE_ENTITY
 from tramline.sources import realtime_feed, ridership, static_feed
 from tramline.streaming import ingest, rollup_stream
@@ -378,3 +378,53 @@ def test_board_facets_and_search(spark):
     assert filters.LiveFilter(stuck_only=True).apply(banded).count() == 1
     assert board.active_routes(banded, "l1").count() == 1 and board.active_routes(banded, "zz").count() == 0
     assert board.at_stop(banded, "S1").count() == 1
+
+
+def test_ridership_folder_reads_each_header(spark, tmp_path):
+    (tmp_path / "f").mkdir()
+    (tmp_path / "f" / "a.csv").write_text("route,month,boardings\nR1,2026-04,10\nR3,2026-04,NaN\nR4,2026-04,3000000000\n")
+    (tmp_path / "f" / "b.csv").write_text("\ufeffRiders,note,Period,LINE\n20,\"x,y\",2026-05,R2\n")
+    rows = {r.route_id: r for r in ridership.read_ridership(spark, str(tmp_path / "f")).collect()}
+    assert {k: (r.month, r.boardings, r.source) for k, r in rows.items()} == {
+        "R1": (dt.date(2026, 4, 1), 10, "a"), "R2": (dt.date(2026, 5, 1), 20, "b"), "R4": (dt.date(2026, 4, 1), 3_000_000_000, "a")}
+
+
+def test_refresh_drops_days_without_rows(spark, tmp_path):
+    spec = rollups.ROLLUPS["trip_ontime_hourly"]
+    rows = [("R1", "S", NOW - dt.timedelta(hours=h), 100) for h in range(120)]
+    events = spark.createDataFrame(rows, "route_id string, stop_id string, timestamp timestamp, delay_seconds int")
+    path, gone = str(tmp_path / "r"), (NOW - dt.timedelta(days=2)).date()
+    rollups.write_rollup(spec.build(events), path)
+    rollups.refresh_rollup(events.filter(F.to_date("timestamp") != gone), spec, path, NOW)
+    days = {r[0] for r in spark.read.parquet(path).select("bucket_date").distinct().collect()}
+    assert gone not in days and gone - dt.timedelta(days=1) in days and gone - dt.timedelta(days=2) in days
+
+
+def test_exports_are_whole_by_default(spark):
+    rows = positions(spark, [position(i % 7, minutes_ago=i % 1000) for i in range(5_100)])
+    assert sinks.export_rows(rows, NOW - dt.timedelta(days=9), NOW).count() == 5_100
+
+
+def test_page_delays_stay_within_the_page(spark):
+    """A trip id recurs every day; another day's delay is not this page's."""
+    day = dt.timedelta(days=1)
+    page = spark.createDataFrame(
+        [("T1", "R1", NOW - day, NOW - day + dt.timedelta(hours=1)), ("T2", "R1", NOW - day, NOW - day)],
+        "trip_id string, route_id string, start_time timestamp, end_time timestamp")
+    updates = spark.createDataFrame(
+        [(1, "T1", "R1", 60, NOW - day), (2, "T1", "R1", 999, NOW), (3, "T1", "R1", 70, NOW - day + dt.timedelta(minutes=64)),
+         (4, "T1", "R2", 500, NOW - day + dt.timedelta(minutes=65)), (5, "T2", "R1", 80, NOW - day - dt.timedelta(minutes=6))],
+        "id bigint, trip_id string, route_id string, arrival_delay int, timestamp timestamp")
+    got = explorer.page_delays(page, updates, NOW - 2 * day, NOW).collect()
+    assert {r.trip_id: r.last_delay_seconds for r in got} == {"T1": 70, "T2": None}
+
+
+def test_rebuild_judges_what_it_wrote(spark, tmp_path):
+    schema = "id bigint, timestamp timestamp"
+    live = spark.createDataFrame([(i, NOW - dt.timedelta(hours=i)) for i in range(10)], schema)
+    few = spark.createDataFrame([(1, NOW)], schema)
+    with pytest.raises(sinks.RebuildRefused):
+        sinks.rebuild_events(few, live, str(tmp_path / "v"))
+    sinks.rebuild_events(live.filter("id > 2"), live, str(tmp_path / "v"))
+    sinks.rebuild_events(live.filter("id > 4"), live, str(tmp_path / "v"), force=True)
+    assert {r.id for r in sinks.current_events(spark, str(tmp_path / "v")).collect()} == set(range(10))

@@ -12,7 +12,6 @@ from tramline.config import ROUTE_TYPE_NAMES
 from tramline.functions import bands
 from tramline.functions.times import day_bounds, instant
 
-LONG_LIST = 200
 
 
 def split_csv(text: str | None) -> list[str]:
@@ -42,15 +41,15 @@ def local_days(df: DataFrame, column: str, start: dt.date, end: dt.date) -> Data
 
 
 def on_routes(df: DataFrame, routes: DataFrame | list[str] | None) -> DataFrame:
-    """Keep the rows of the given routes; None keeps all."""
+    """Keep the rows of the given routes; None keeps all.
+
+    A list is what a request names; ids that come from data are a frame.
+    """
     if routes is None:
         return df
     if isinstance(routes, DataFrame):
         return df.join(routes.select("route_id").distinct(), "route_id", "left_semi")
-    if len(routes) <= LONG_LIST:
-        return df.filter(F.col("route_id").isin(routes))
-    listed = df.sparkSession.createDataFrame([(r,) for r in routes], "route_id string")
-    return df.join(listed.distinct(), "route_id", "left_semi")
+    return df.filter(F.col("route_id").isin(routes))
 
 
 def route_scope(

@@ -59,10 +59,6 @@ PROFILES = {
 BAND_NAMES = [band.name for band in PROFILES["five_minutes"]]
 
 
-def profile_named(name: str) -> list[Band]:
-    return PROFILES[name]
-
-
 def bucket(ts: str, unit: str) -> Column:
     return F.date_trunc(unit, F.col(ts)).alias("bucket")
 

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from tramline.config import FEED_FOLDERS, WEEKDAYS
 from tramline.operators import filters, latest, rollups, shapes, sinks, timetable
-from tramline.plans import board, reports
+from tramline.plans import board, network, reports
 from tramline.plans import standins as data
 from tramline.plans.catalog import NOW, WINDOW, query
 from tramline.session import shared_folder
@@ -237,3 +237,25 @@ def _(spark, folder):
     hourly = events.groupBy("route_id", F.hour("timestamp").alias("hour")).agg(
         F.count(F.lit(1)).alias("headway_minutes"))
     return reports.route_headways(hourly.filter("hour % 5 != 0"), "view")
+
+
+@query("route_detail")
+def _(spark, folder):
+    routes = data.event_routes(spark, folder).withColumn("agency_id", F.lit("A"))
+    return network.route_detail(routes, "view")
+
+
+@query("ordered_route_stops")
+def _(spark, folder):
+    """One route's stops."""
+    table = timetable.route_stops(
+        data.timetable_lines(spark, folder), data.order_trips(spark, folder), data.part_stops(spark, folder))
+    return network.ordered_route_stops(table, "3").select("route_id", "stop_sequence", "stop_id")
+
+
+@query("schedule_frequency")
+def _(spark, folder):
+    trips = data.order_trips(spark, folder)
+    summary = timetable.schedule_summary(
+        trips.drop("departure_secs"), data.priority_calendar(spark, folder), trips.select("trip_id", "departure_secs"))
+    return reports.schedule_frequency(summary).select("route_id", "weekday_trips", "span_start", "span_end")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from tramline.plans import oracle
 from tramline.plans.oracle import BANDS, sql
 
 SQL: dict[str, str] = {}
@@ -94,3 +95,7 @@ SQL["route_headways"] = """
     SELECT CAST(h AS INTEGER) AS hour, n AS headway_minutes FROM range(24) r(h) LEFT JOIN (
       SELECT extract(hour FROM ts) AS hour, count(*) AS n FROM events
       WHERE event_type = 'view' AND extract(hour FROM ts) % 5 <> 0 GROUP BY 1) x ON x.hour = r.h"""
+SQL["route_detail"] = f"SELECT * FROM ({oracle.SQL['route_list']}) WHERE route_id = 'view'"
+SQL["ordered_route_stops"] = f"SELECT route_id, stop_sequence, stop_id FROM ({oracle.SQL['route_stops']}) WHERE route_id = '3'"
+SQL["schedule_frequency"] = f"""
+    SELECT route_id, weekday_trips, span_start, span_end FROM ({oracle.SQL['schedule_summary']}) WHERE weekday_trips > 0"""

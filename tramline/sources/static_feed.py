@@ -78,13 +78,6 @@ def last_wins(df: DataFrame, key: str) -> DataFrame:
     )
 
 
-def first_wins(df: DataFrame, key: str) -> DataFrame:
-    rest = [c for c in df.columns if c not in (key, "source")]
-    return df.groupBy(key).agg(F.min_by(F.struct(*rest), F.col("source")).alias("r")).select(
-        key, "r.*"
-    )
-
-
 def routes(spark: SparkSession, root: str) -> DataFrame:
     """Routes, later folders winning and the fixed overrides last."""
     files = read_table(spark, root, "routes", ROUTE_COLUMNS).filter(present("route_id"))

@@ -31,8 +31,3 @@ def append_facts(path: str, ts: str = "timestamp"):
         )
 
     return append
-
-
-def numbered(rows: DataFrame, order: list[str]) -> DataFrame:
-    """A sortable 64-bit row id from the given columns, for ordering and ties."""
-    return rows.withColumn("id", F.xxhash64(*order))
