@@ -1,11 +1,12 @@
 """The queries of this folder and their check SQL."""
 
-from tramline.llm import chat, extraction, imatch, langid, mixing, packing, partenum, pii, quality
+from tramline.llm import chat, extraction, imatch, langid, mixing, packing, partenum, pii, quality, suffixes
 
 QUERIES = {
     "op1_pii": pii.op1_pii,
     "op2_imatch": imatch.op2_imatch,
     "op3_html_extraction": extraction.op3_html_extraction,
+    "op4_suffix_passages": suffixes.op4_suffix_passages,
     "op5_chat_format": chat.op5_chat_format,
     "op6_mix_sources": mixing.op6_mix_sources,
     "op7_quality": quality.op7_quality,
