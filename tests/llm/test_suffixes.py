@@ -89,3 +89,22 @@ def test_odd_rows(spark, odd, empty):
     rows = plain(QUERIES["op4_suffix_passages"](spark, odd))
     assert {r["doc_id"] for r in rows} <= {k for k, *_ in odd_rows() if k is not None}
     assert plain(QUERIES["op4_suffix_passages"](spark, empty)) == [] and len(words(PROSE)) < suffixes.LEAST
+
+
+def exactly(spark, documents, texts):
+    rows = plain(QUERIES["op4_suffix_passages"](spark, documents([(k, t, "en", "a") for k, t in texts.items()])))
+    assert covered(rows, texts) == expected(texts)
+    return rows
+
+
+def test_block_repeated_in_one_document(spark, documents):
+    """Copies inside a document don't hide it from another one."""
+    rng = random.Random(8)
+    fresh = lambda n: " ".join(f"o{rng.randrange(10**6)}" for _ in range(n))
+    block = fresh(55)
+    often = " ".join(f"{block} {fresh(5)}" for _ in range(40))
+    rows = exactly(spark, documents, {
+        1: often, 2: f"{fresh(30)} {block} {fresh(30)} {block}", 3: " ".join([block] * 100), 4: " ".join([block] * 100),
+        5: "same " * 300, 6: "same " * 200, 7: fresh(200)})
+    assert {r["doc_id"]: r["n_words"] for r in rows if r["doc_id"] in (3, 4, 5, 6)} == {3: 5500, 4: 5500, 5: 300, 6: 200}
+    assert {r["doc_id"]: r["partner"] for r in rows if r["doc_id"] in (1, 2, 6)} == {1: 2, 2: 1, 6: 5}

@@ -1,22 +1,22 @@
-"""Repeated passages by sparse suffix arrays.
+"""Repeated passages by sparse suffixes.
 
-Texts are words, lower-cased in A-Z. In every stretch of ``LEAST`` words the ``GRAM`` words
-with the least hash are kept (minimisers): the choice follows the content, so a passage of
-``LEAST`` words or more keeps the same places wherever it stands. The suffixes that start at
-kept places are dealt out by their first gram and sorted twice, by what follows and by what
-goes before (nearest word first). In both orders each suffix is compared with its next
-``NEIGHBOURS`` neighbours of other documents, and the match is extended right and left, up to
-``LEAST - 1`` words each way. Matches of ``LEAST`` words or more are repeated passages. Longer
-passages are joined up from the matches of their minimisers, which overlap: the ends of a
-passage are less than ``LEAST`` words from its outermost minimisers.
+Texts are words, lower-cased in A-Z. In every stretch (window) of ``LEAST`` words the ``GRAM``
+words with the least hash are kept (minimisers, the first of equals): the choice follows the
+content, so equal windows keep the same suffix. A kept suffix carries the hashes of the
+windows it was kept for. Suffixes whose first gram stands in one document only are dropped;
+of the others, each window's hash is grouped over all documents, and windows that two
+documents or more hold are repeated. No number of copies, in one document or in many, and no
+other context of the same gram takes a window out of that comparison. Windows that overlap or
+touch are joined into passages.
 
-A suffix carries its surroundings as 16-bit word hashes, so in one of 65,536 comparisons a
-passage seems longer by a word; grams are 64-bit hashes.
+Grams and windows are 64-bit hashes; equal hashes count as equal words. Counts per gram and
+per window are combined before the shuffle, so a gram or window that very many rows hold is
+one row of each task.
 
 Defined cases: null, empty and shorter texts have no passages; documents without an id take
 no part; rows that share an id are no partners of each other, and show the union of their
-passages; runs of one gram (a word said again and again) keep their first place only; an
-empty table gives no rows; other columns are not looked at; texts of any length count whole.
+passages; an empty table gives no rows; other columns are not looked at; texts of any length
+count whole.
 """
 
 from __future__ import annotations
@@ -33,16 +33,15 @@ from tramline.llm import shingles
 from tramline.llm.common import kept, table
 from tramline.llm.shingles import PLACES, mixed
 
-LEAST, GRAM, NEIGHBOURS = 50, 10, 3
-REACH = LEAST - 1
+LEAST, GRAM = 50, 10
 CHUNK = 1 << 18
 
-SUFFIXES = "gram bigint, doc_id bigint, place bigint, after binary, before binary"
-FOUND = "doc_id bigint, start bigint, stop bigint, partner bigint"
+GRAMS = "gram bigint, doc_id bigint"
+SUFFIXES = "gram bigint, doc_id bigint, start bigint, windows array<bigint>"
 
 
 def minimisers(grams: np.ndarray) -> np.ndarray:
-    """Places of the least gram of each window of LEAST words, the first of equals."""
+    """Place of the least gram of each window of LEAST words, the first of equals."""
     width = LEAST - GRAM + 1
     if len(grams) < width:
         return np.zeros(0, np.int64)
@@ -50,107 +49,83 @@ def minimisers(grams: np.ndarray) -> np.ndarray:
     for at in range(0, len(grams) - width + 1, CHUNK):
         part = grams[at:at + CHUNK + width - 1]
         windows = np.lib.stride_tricks.sliding_window_view(part, width)
-        picked.append(np.unique(windows.argmin(axis=1) + np.arange(len(windows))) + at)
-    places = np.unique(np.concatenate(picked))
-    return places[(places == 0) | (grams[places] != grams[np.maximum(places - 1, 0)])]
+        picked.append(windows.argmin(axis=1) + np.arange(at, at + len(windows)))
+    return np.concatenate(picked)
+
+
+def summed(hashes: np.ndarray, n: int, step: int = 1) -> np.ndarray:
+    """Hash of each n values that stand ``step`` apart."""
+    count = max(0, len(hashes) - (n - 1) * step)
+    total = np.zeros(count, dtype=np.uint64)
+    for k in range(n):
+        total += hashes[k * step:k * step + count] * PLACES[k]
+    return mixed(total)
 
 
 def suffixes_of(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Gram, place, and surroundings after and before, of one text's kept suffixes."""
-    none = np.zeros((0, REACH), np.uint16)
-    n = len(hashes) - GRAM + 1
-    if len(hashes) < LEAST:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64), none, none
-    grams = np.zeros(n, dtype=np.uint64)
-    for k in range(GRAM):
-        grams += hashes[k:k + n] * PLACES[k]
-    grams = mixed(grams)
-    places = minimisers(grams)
-    short = np.zeros(len(hashes) + 2 * REACH, dtype=np.uint16)      # 0: beyond the text
-    short[REACH:-REACH] = np.maximum((hashes >> np.uint64(48)).astype(np.uint16), 1)
-    steps = np.arange(REACH)
-    return (grams[places], places, short[places[:, None] + REACH + GRAM + steps],
-            short[places[:, None] + REACH - 1 - steps])
-
-
-def suffix_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Gram, place and first window of one text's kept suffixes, and hashes of all windows."""
+    grams = summed(hashes, GRAM)
+    places, starts = np.unique(minimisers(grams), return_index=True)
+    return grams[places], places, starts, summed(grams, LEAST // GRAM, GRAM)
+
+
+def suffix_rows(batches: Iterator[pa.RecordBatch], windows: bool) -> Iterator[pa.RecordBatch]:
+    """Kept suffixes: gram and document, and with ``windows`` their windows from ``start``."""
     for batch in batches:
         for part in shingles.slices(batch, 1, 1 << 21):
             values, offsets = shingles.buffers(part.column(1))
             hashed, row = shingles.word_hashes(values, offsets)
             first = np.concatenate([[0], np.cumsum(np.bincount(row, minlength=len(part)))])
-            out: list[list] = [[], [], [], [], []]
+            out: list[list] = [[], [], [], []]
+            sizes = []
             for i, key in enumerate(part.column(0).to_pylist()):
                 if key is not None and first[i + 1] - first[i] >= LEAST:
-                    grams, places, after, before = suffixes_of(hashed[first[i]:first[i + 1]])
+                    grams, _, starts, held = suffixes_of(hashed[first[i]:first[i + 1]])
+                    if not windows:
+                        grams = np.unique(grams)
                     out[0].append(grams.view(np.int64))
-                    out[1].append(np.full(len(places), key, dtype=np.int64))
-                    out[2].append(places)
-                    out[3] += [a.tobytes() for a in after]
-                    out[4] += [b.tobytes() for b in before]
+                    out[1].append(np.full(len(grams), key, dtype=np.int64))
+                    out[2].append(starts)
+                    out[3].append(held.view(np.int64))
+                    sizes.append(np.diff(starts, append=len(held)))
             if out[0]:
-                yield pa.RecordBatch.from_arrays(
-                    [*[pa.array(np.concatenate(c)) for c in out[:3]], pa.array(out[3], pa.binary()), pa.array(out[4], pa.binary())],
-                    names=["gram", "doc_id", "place", "after", "before"])
-
+                columns = [pa.array(np.concatenate(c)) for c in out[:2]]
+                if windows:
+                    ends = np.concatenate([[0], np.cumsum(np.concatenate(sizes))]).astype(np.int32)
+                    columns += [pa.array(np.concatenate(out[2]).astype(np.int64)),
+                                pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(out[3])))]
+                yield pa.RecordBatch.from_arrays(columns, names=["gram", "doc_id", "start", "windows"][:len(columns)])
 
-def matrix(column: pa.Array) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), dtype=np.uint16).reshape(len(column), REACH)
 
-
-def shared(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """How many leading words two surroundings have in common."""
-    apart = (a != b) | (a == 0)
-    return np.where(apart.any(axis=1), apart.argmax(axis=1), a.shape[1])
-
-
-def neighbour_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Matches of sorted suffixes with their next neighbours: one row per matched suffix."""
-    rest = None
-    for batch in batches:
-        if rest is not None:
-            batch = pa.Table.from_batches([rest, batch]).combine_chunks().to_batches()[0]
-        rest = batch.slice(max(0, len(batch) - NEIGHBOURS))
-        n = len(batch)
-        if n < 2:
-            continue
-        gram, doc, place = (batch.column(i).to_numpy() for i in range(3))
-        start, stop = np.full(n, np.iinfo(np.int64).max), np.full(n, -1, dtype=np.int64)
-        partner = np.full(n, np.iinfo(np.int64).max)
-        after, before = matrix(batch.column(3)), matrix(batch.column(4))
-        for step in range(1, min(NEIGHBOURS, n - 1) + 1):
-            i = np.flatnonzero((gram[step:] == gram[:-step]) & (doc[step:] != doc[:-step]))
-            right, left = shared(after[i], after[i + step]), shared(before[i], before[i + step])
-            hit = left + GRAM + right >= LEAST
-            i, right, left = i[hit], right[hit], left[hit]
-            for me, other in ((i, i + step), (i + step, i)):
-                start[me] = np.minimum(start[me], place[me] - left)
-                stop[me] = np.maximum(stop[me], place[me] + GRAM + right)
-                partner[me] = np.minimum(partner[me], doc[other])
-        hit = np.flatnonzero(stop >= 0)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(doc[hit]), pa.array(start[hit]), pa.array(stop[hit]), pa.array(partner[hit])],
-            names=["doc_id", "start", "stop", "partner"])
+def in_two(rows: DataFrame, by: str) -> DataFrame:
+    """Values of ``by`` that two documents or more hold, and the least of these."""
+    held = rows.groupBy(by).agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most"))
+    return held.filter(F.col("least") < F.col("most")).select(by, "least")
 
 
 def passages(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
     """(doc_id, start, stop, n_words, partner): repeated stretches of words (from 0, end
-    exclusive), not overlapping, and the least other document seen to hold a part of each."""
+    exclusive), not overlapping, and the least other document that holds a part of each."""
     rows = docs.select(F.col(key).cast("bigint").alias("doc_id"), F.col(text).alias("text"))
-    dealt = rows.mapInArrow(suffix_rows, SUFFIXES).repartition("gram")
-    matches = None
-    for order in (["after", "before"], ["before", "after"]):
-        one = dealt.sortWithinPartitions("gram", *order, "doc_id", "place").mapInArrow(neighbour_rows, FOUND)
-        matches = one if matches is None else matches.unionByName(one)
-    matches = kept(matches.groupBy("doc_id", "start", "stop").agg(F.min("partner").alias("partner")), "passages")
-    before = W.partitionBy("doc_id").orderBy("start", "stop").rowsBetween(W.unboundedPreceding, -1)
-    upto = W.partitionBy("doc_id").orderBy("start", "stop").rowsBetween(W.unboundedPreceding, 0)
-    new = F.coalesce(F.col("start") > F.max("stop").over(before), F.lit(True))
+    grams = in_two(rows.mapInArrow(lambda b: suffix_rows(b, False), GRAMS), "gram")
+    suffixes = kept(
+        rows.mapInArrow(lambda b: suffix_rows(b, True), SUFFIXES)
+        .join(grams, "gram", "left_semi").select("doc_id", "start", "windows"), "suffixes")
+    windows = suffixes.select("doc_id", "start", F.posexplode("windows").alias("at", "window")).select(
+        "doc_id", (F.col("start") + F.col("at")).alias("start"), "window")
+    hits = kept(windows.join(in_two(windows, "window"), "window"), "windows")
+    # The least holder's partner is the next one.
+    second = hits.filter(F.col("doc_id") != F.col("least")).groupBy("window").agg(F.min("doc_id").alias("partner"))
+    matches = hits.filter(F.col("doc_id") == F.col("least")).join(second, "window").select(
+        "doc_id", "start", "partner").unionByName(
+        hits.filter(F.col("doc_id") != F.col("least")).select("doc_id", "start", F.col("least").alias("partner")))
+    order = W.partitionBy("doc_id").orderBy("start")
+    new = F.coalesce(F.col("start") > F.lag("start").over(order) + LEAST, F.lit(True))
     return (
         matches.withColumn("new", new.cast("int"))
-        .withColumn("passage", F.sum("new").over(upto))
+        .withColumn("passage", F.sum("new").over(order))
         .groupBy("doc_id", "passage")
-        .agg(F.min("start").alias("start"), F.max("stop").alias("stop"), F.min("partner").alias("partner"))
+        .agg(F.min("start").alias("start"), (F.max("start") + LEAST).alias("stop"), F.min("partner").alias("partner"))
         .select("doc_id", "start", "stop", (F.col("stop") - F.col("start")).alias("n_words"), "partner")
     )
 
