@@ -108,3 +108,19 @@ def test_block_repeated_in_one_document(spark, documents):
         5: "same " * 300, 6: "same " * 200, 7: fresh(200)})
     assert {r["doc_id"]: r["n_words"] for r in rows if r["doc_id"] in (3, 4, 5, 6)} == {3: 5500, 4: 5500, 5: 300, 6: 200}
     assert {r["doc_id"]: r["partner"] for r in rows if r["doc_id"] in (1, 2, 6)} == {1: 2, 2: 1, 6: 5}
+
+
+def test_frequent_gram_with_contexts_of_one_side(spark, documents):
+    """Documents that share more words on one side only don't hide a passage around a frequent gram."""
+    rng = random.Random(9)
+    fresh = lambda n: [f"o{rng.randrange(10**6)}" for _ in range(n)]
+    left, gram, right = fresh(20), fresh(10), fresh(20)
+    texts = {1: fresh(40) + left + gram + right + fresh(40), 2: fresh(40) + left + gram + right + fresh(40)}
+    for i in range(60):
+        one = fresh(39 - i // 2) + left[-(i // 3 + 1):] + gram + fresh(60)
+        other = fresh(60) + gram + right[:i // 3 + 1] + fresh(39)
+        texts |= {10 + 2 * i: one, 11 + 2 * i: other}
+    for i in range(12):                                                  # right side whole, and left side whole
+        texts |= {200 + i: fresh(60) + gram + right + fresh(40), 300 + i: fresh(40) + left + gram + fresh(60)}
+    rows = exactly(spark, documents, {k: " ".join(t) for k, t in texts.items()})
+    assert {1, 2} <= {r["doc_id"] for r in rows}
