@@ -80,3 +80,15 @@ def test_assign_follows_the_rule():
 
 def test_empty(spark, empty):
     assert plain(QUERIES["op10_packing"](spark, empty)) == []
+
+
+def test_added_tokens_as_by_the_library(spark, documents):
+    """The ids of the query are those of the tokenizers library's defaults."""
+    library = Tokenizer.from_file(packing.vocabulary())
+    texts = {1: "a <|endoftext|> b", 2: "<|endoftext|>", 3: "x<|endoftext|><|endoftext|>y " * 40, 4: "<|endoftext> |", 5: "plain"}
+    folder = documents([(k, t, "en", "a") for k, t in texts.items()])
+    rows = {r["doc_id"]: r for r in plain(QUERIES["op10_packing"](spark, folder))}
+    for key, text in texts.items():
+        ids = [*library.encode(text, add_special_tokens=False).ids, packing.END_ID]
+        assert rows[key]["doc_tokens"] == len(ids) == rows[key]["length"]
+        assert rows[key]["ids_crc32"] == zlib.crc32(np.array(ids, "<u4").tobytes())

@@ -15,8 +15,8 @@ characters, so a shard's rows stay about ``rows_a_shard`` at any input size.
 
 Defined cases: null and empty texts are the end id alone; repeated rows and ids are packed
 each on their own; null ids are kept; an empty table gives no rows; other columns are not
-looked at. Strings that name special tokens are ordinary text. The vocabulary has to have
-at most 65,536 ids.
+looked at. Strings that name added tokens of the file become those tokens' ids, as by the
+tokenizers library's own defaults. The vocabulary has to have at most 65,536 ids.
 """
 
 from __future__ import annotations
@@ -24,6 +24,7 @@ from __future__ import annotations
 import functools
 import heapq
 import json
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -76,8 +77,23 @@ def encoder(path: str):
             r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"))
 
 
-def token_ids(text: str | None, path: str) -> np.ndarray:
-    found = encoder(path).encode_ordinary(text) if text else []
+@functools.lru_cache(maxsize=2)
+def added(path: str):
+    """A pattern of the file's added tokens (None without any) and the tokenizers library's own encoder."""
+    from tokenizers import Tokenizer
+
+    with open(path, encoding="utf-8") as file:
+        names = [re.escape(t["content"]) for t in json.load(file).get("added_tokens", ())]
+    return re.compile("|".join(names)) if names else None, Tokenizer.from_file(path)
+
+
+def token_ids(text: str | None, path: str, special: bool = False) -> np.ndarray:
+    """Ids and the end id; ``special``: names of added tokens in the text are those tokens."""
+    known, library = added(path) if special else (None, None)
+    if text and known and known.search(text):
+        found = library.encode(text, add_special_tokens=False).ids
+    else:
+        found = encoder(path).encode_ordinary(text) if text else []
     return np.array([*found, END_ID], dtype="<u4")
 
 
@@ -90,7 +106,7 @@ def pieces_of(batches: Iterator[pa.RecordBatch], path: str, capacity: int,
     for batch in batches:
         out: list[tuple] = []
         for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            ids = token_ids(text, path)
+            ids = token_ids(text, path, special=True)
             for start in range(0, len(ids), capacity):
                 part = ids[start:start + capacity]
                 raw = part.tobytes()
