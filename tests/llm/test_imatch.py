@@ -80,3 +80,11 @@ def test_shuffled_lexicon_gives_the_same(spark, documents, monkeypatch):
     before = plain(QUERIES["op2_imatch"](spark, folder))
     monkeypatch.setattr(imatch, "BROADCAST_TERMS", -1)
     assert plain(QUERIES["op2_imatch"](spark, folder)) == before
+
+
+def test_short_documents_of_common_words_are_fingerprinted(spark, documents):
+    """Words in one document of twenty carry: a short text of such words has terms, and its copy is like it."""
+    texts = {i: " ".join(f"w{(i * 12 + k * 7) % 240}" for k in range(12)) for i in range(200)}
+    rows = plain(QUERIES["op2_imatch"](spark, documents([(k, v, "en", "a") for k, v in texts.items()])))
+    assert all(len(set(r["fingerprint"].split("."))) > 1 for r in rows)
+    assert sum(r["near_edited"] for r in rows) > 0.2 * len(rows)

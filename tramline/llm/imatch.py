@@ -3,7 +3,7 @@
 ``lexicon`` counts in how many documents each term stands and keeps those within a band of
 inverse document frequency. A document's terms in that lexicon are made distinct, sorted, and
 hashed: once whole, and for several random subsets of the lexicon (each keeps one term in
-8, 32, 128, 512 or 2048). A document and its edited copy agree on a subset if the edit touched
+4, 16, 64, 256 or 1024). A document and its edited copy agree on a subset if the edit touched
 none of its terms; sparse subsets tell long texts apart from others, dense ones short texts.
 
 ``likeness`` of two fingerprints: for each density, the share of equal hashes among subsets
@@ -31,9 +31,9 @@ from pyspark.sql.window import Window as W
 
 from tramline.llm.common import kept, table, text_of
 
-LOW_IDF, HIGH_IDF = 4.0, 7.0
-DENSITIES = (8, 32, 128, 512, 2048)   # a subset holds one term in so many
-SUBSETS = (8, 12, 12, 12, 12)         # subsets of each density
+LOW_IDF, HIGH_IDF = 2.0, 7.5
+DENSITIES = (4, 16, 64, 256, 1024)   # a subset holds one term in so many
+SUBSETS = (4, 12, 12, 12, 12)        # subsets of each density
 LEAST_COMPARED = 4
 BROADCAST_TERMS = 2_000_000
 ROWS_A_BLOCK = 20_000
