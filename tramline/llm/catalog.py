@@ -1,6 +1,6 @@
 """The queries of this folder and their check SQL."""
 
-from tramline.llm import chat, extraction, imatch, langid, mixing, packing, partenum, pii, quality, suffixes
+from tramline.llm import chat, extraction, imatch, langid, mixing, packing, partenum, pii, quality, relative_lz, suffixes
 
 QUERIES = {
     "op1_pii": pii.op1_pii,
@@ -13,10 +13,12 @@ QUERIES = {
     "op8_partenum_join": partenum.op8_partenum_join,
     "op9_language_id": langid.op9_language_id,
     "op10_packing": packing.op10_packing,
+    "op11_relative_lz": relative_lz.op11_relative_lz,
 }
 
 SQL = {
     "op5_chat_format": chat.SQL,
     "op6_mix_sources": mixing.SQL,
     "op8_partenum_join": partenum.SQL,
+    "op11_relative_lz": relative_lz.SQL,
 }
