@@ -1,6 +1,9 @@
 """The queries of this folder and their check SQL."""
 
-from tramline.llm import chat, extraction, imatch, langid, mixing, packing, partenum, pii, quality, relative_lz, suffixes
+from tramline.llm import (
+    chat, extraction, imatch, langid, mixing, packing, partenum, pii, quality, ranked_search, relative_lz,
+    repair, suffixes,
+)
 
 QUERIES = {
     "op1_pii": pii.op1_pii,
@@ -14,6 +17,8 @@ QUERIES = {
     "op9_language_id": langid.op9_language_id,
     "op10_packing": packing.op10_packing,
     "op11_relative_lz": relative_lz.op11_relative_lz,
+    "op12_auction_repair": repair.op12_auction_repair,
+    "op13_ranked_search": ranked_search.op13_ranked_search,
 }
 
 SQL = {
@@ -21,4 +26,6 @@ SQL = {
     "op6_mix_sources": mixing.SQL,
     "op8_partenum_join": partenum.SQL,
     "op11_relative_lz": relative_lz.SQL,
+    "op12_auction_repair": repair.SQL,
+    "op13_ranked_search": ranked_search.SQL,
 }
