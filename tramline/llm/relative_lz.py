@@ -14,8 +14,8 @@ factor is stepped over by one word.
 
 A block knows how often each seed stands in the corpus. Seeds of more than ``HOT`` phrases,
 and seeds whose phrases lie in more than one task, are left to a second way that holds no
-group together: their windows are counted by (seed, window hash), combined before the shuffle,
-and those counted twice are duplicate spans. Both ways are exact but for 64-bit hashes of
+group together: like phrases are counted, combined before the shuffle, and those counted twice
+are duplicate spans; of the unlike ones the windows are counted alike. Both ways are exact but for 64-bit hashes of
 seeds and 48-bit hashes of windows within one seed.
 
 Defined cases: null, empty and short texts lose nothing; rows that share an id are documents of
@@ -217,14 +217,27 @@ def repeated_spans(rows: DataFrame) -> DataFrame:
     found = kept(
         rows.mapInArrow(phrase_rows, PHRASES).join(twice.hint("shuffle_merge"), "seed")
         .select("seed", "row", "at", "windows", "n").mapInArrow(parse_blocks, FOUND), "factors")
-    windows = found.filter("windows is not null").select(
-        "row", "start", "seed", F.posexplode(F.transform(
-            F.sequence(F.lit(0), F.expr(f"cast(octet_length(windows) div {HASH_BYTES} as int) - 1")),
-            lambda i: F.substring("windows", i * HASH_BYTES + 1, HASH_BYTES))).alias("on", "window"))
-    often = windows.groupBy("seed", "window").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
-    single = windows.join(often, ["seed", "window"]).select(
+    spans, rest = found.filter("windows is null").select("row", "start", "stop"), found.filter("windows is not null")
+    return spans.unionByName(counted_spans(rest.select("row", "start", "seed", "windows")))
+
+
+def counted_spans(rest: DataFrame) -> DataFrame:
+    """The second way, for phrases (row, start, seed, windows): their spans from counts.
+
+    Phrases that stand twice are spans whole. Each unlike phrase brings its windows once.
+    """
+    size = F.expr(f"cast(octet_length(windows) div {HASH_BYTES} as int)")
+    # The only phrase's own place goes along.
+    unlike = rest.groupBy("seed", "windows").agg(
+        F.count(F.lit(1)).alias("n"), F.min("row").alias("row"), F.min("start").alias("start"))
+    whole = rest.join(unlike.filter("n > 1").select("seed", "windows"), ["seed", "windows"], "left_semi").select(
+        "row", "start", (F.col("start") + size + WINDOW - 1).alias("stop"))
+    windows = unlike.select("row", "start", "seed", "n", F.posexplode(F.transform(
+        F.sequence(F.lit(0), size - 1), lambda i: F.substring("windows", i * HASH_BYTES + 1, HASH_BYTES))).alias("on", "window"))
+    often = windows.groupBy("seed", "window").agg(F.count(F.lit(1)).alias("phrases")).filter("phrases > 1").select("seed", "window")
+    single = windows.filter("n = 1").join(often, ["seed", "window"], "left_semi").select(
         "row", (F.col("start") + F.col("on")).alias("start"), (F.col("start") + F.col("on") + WINDOW).alias("stop"))
-    return found.filter("windows is null").select("row", "start", "stop").unionByName(single)
+    return whole.unionByName(single)
 
 
 def cleaned_rows(batches: Iterator[pa.RecordBatch], texts: bool) -> Iterator[pa.RecordBatch]:
