@@ -1,6 +1,7 @@
 import hashlib
 import random
 import re
+import time
 
 from llm_helpers import odd_rows, plain
 from tramline.llm import boosting, pii
@@ -64,6 +65,42 @@ def test_added_spans_and_redaction(spark, documents):
     assert done[10]["text"] == clean[10]
 
 
+def test_generators_cover_whole_texts():
+    """Values without a digit near their start, and of any length, are proposed whole."""
+    token = "token=" + "ab" * 150
+    values = {"aa:bb:cc:0d:ee:1f": "id", "aa:bb:cc:dd:ee:ff": "id", "fd:abcd:ef01:2345:6789:abcd:ef01:2345": "ip",
+              "password: correcthorsebattery": "secret", token: "secret", "f0" * 90: "secret", "AKIA" + "Z" * 200 + "7": "secret"}
+    for value, kind in values.items():
+        for text in (value, f"mac {value} here", "x" * 500 + f" {value}\n" + "y" * 500):
+            start = text.index(value)
+            assert (start, start + len(value), kind) in pii.candidates(text), text[:60]
+
+
+def test_redacts_long_credentials(spark, documents):
+    token = "token=" + "".join(random.Random(2).choice("0123456789abcdef") for _ in range(300))
+    folder = documents([(1, f"set {token} now", "en", "a"), (2, "plain words only, as they were before.", "en", "a")])
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    done = {r["doc_id"]: r["text"] for r in pii.redact(docs, pii.trained(docs)).collect()}
+    assert done[1] in ("set [SECRET] now", "set token=[SECRET] now") and done[2].startswith("plain words only")
+
+
+def test_long_runs_take_linear_time():
+    judge = pii.Judge(boosting.fit(np.zeros((40, len(pii.features("1", (0, 1, "id"))))), np.zeros(40)), 1.0, 0.0,
+                      dict.fromkeys(pii.KINDS, 0.99))
+    for run in ("0", "7", "+1 ", " ", "a", ":", "a:", "token:", "1.", "1-", "00:", "A1 ", "@", "a@"):
+        text = run * (200_000 // len(run))
+        began = time.process_time()
+        base = pii.base_spans(text)
+        judge.added(text, base)
+        assert time.process_time() - began < 4, run
+    assert pii.base_spans("0" * 5000 + ".1.1.1") == [(0, 5006, "ip")] == pii.base_spans("0" * 5000 + ".1.1.1x")
+
+
+def test_long_base_span_keeps_others_out():
+    base = [(0, 100, "email"), *[(i, i + 2, "ip") for i in range(1, 40, 2)]]
+    assert pii.touches(pii.joined(base), (90, 95, "id")) and not pii.touches(pii.joined(base), (100, 105, "id"))
+
+
 def test_odd_rows(spark, odd, empty):
     rows = plain(QUERIES["op1_pii"](spark, odd))
     assert len(rows) == len(odd_rows())

@@ -43,6 +43,8 @@ CHARS_A_TOKEN = 2.5   # only for the number of shards
 END_ID = 0
 
 LEAST_CUT = 64
+# Tiktoken's pattern recurses on white space, so longer runs of it go to the tokenizers library.
+LONG_SPACE = re.compile(r"\s{10000}")
 
 PIECES = ("doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, "
           "ordinal bigint, ids binary")
@@ -89,8 +91,8 @@ def added(path: str):
 
 def token_ids(text: str | None, path: str, special: bool = False) -> np.ndarray:
     """Ids and the end id; ``special``: names of added tokens in the text are those tokens."""
-    known, library = added(path) if special else (None, None)
-    if text and known and known.search(text):
+    known, library = added(path)
+    if text and (special and known and known.search(text) or LONG_SPACE.search(text)):
         found = library.encode(text, add_special_tokens=False).ids
     else:
         found = encoder(path).encode_ordinary(text) if text else []

@@ -9,8 +9,9 @@ into probabilities, and each kind has the least threshold that kept ``PRECISION`
 overlapping spans the likelier stays; none that touches a base span does.
 
 The trees learn from at most ``EXAMPLES`` labelled rows: true and false values (dates, prices,
-versions, order numbers) written into surroundings taken from about ``CONTEXTS`` texts of the
-corpus (twice as many at most), chosen by a hash of the id.
+versions, order numbers) written into surroundings taken from the first ``CONTEXT_CHARS``
+characters of about ``CONTEXTS`` texts of the corpus (twice as many at most), chosen by a hash
+of the id.
 
 Defined cases: null and empty texts have no spans; texts of any length are searched whole, in
 time linear in their length; repeated rows and ids are searched each; an empty table gives no
@@ -37,7 +38,7 @@ from tramline.llm.common import drawn, table
 
 BASE = ("email", "ip", "card", "phone")
 KINDS = (*BASE, "id", "birth", "secret")
-CONTEXTS, EXAMPLES, SEED = 400, 6000, 1
+CONTEXTS, CONTEXT_CHARS, EXAMPLES, SEED = 400, 2000, 6000, 1
 PRECISION, LEAST_PROBABILITY = 0.98, 0.5
 SAME = 0.6   # shared part of a candidate and a known value that makes it right
 NEAR = 32    # characters of context on either side
@@ -78,7 +79,8 @@ def mails(text: str) -> Iterator[tuple[int, int]]:
 def base_spans(text: str) -> list[Span]:
     found: list[Span] = [(s, e, "email") for s, e in mails(text)]
     for m in IP.finditer(text):
-        if all(len(p.lstrip("0")) < 4 and int(p) <= 255 for p in m[0].split(".")):
+        parts = [p.lstrip("0") for p in m[0].split(".")]
+        if all(len(p) < 4 and int(p or 0) <= 255 for p in parts):
             found.append((m.start(), m.end(), "ip"))
     for m in CARD.finditer(text):
         digits = digits_of(m[0])
@@ -102,45 +104,84 @@ NAME_DOT = r"(?:\s?[(\[{]\s?(?:dot|DOT)\s?[)\]}]\s?|\s(?:dot|DOT)\s)"
 HIDDEN_MAIL = re.compile(rf"(?<![\w.+-])[\w.+-]{{1,64}}(?:{NAME_DOT}[\w+-]{{1,32}}){{0,2}}{AT}[\w-]{{1,63}}(?:{DOT}[\w-]{{2,63}}){{1,4}}")
 HIDING = ("(at)", "[at]", "{at}", " at ", " AT ", "(AT)", "[AT]", "( at )", "[ at ]", "@ ")
 HIDDEN_DOT = ("(dot)", "[dot]", "{dot}", " dot ", " DOT ", "(DOT)", "[DOT]", "[ dot ]", "( dot )", "@ ", "(at)", "[at]", "{at}")
-DIGIT = re.compile(r"[0-9]")
-AROUND_A_DIGIT = [
+DIGIT, DIGITS = re.compile(r"[0-9]"), re.compile(r"[0-9]++")
+# Each of these begins at most 4 characters before its first digit and ends at most 44 after its last.
+AROUND_DIGITS = [
     ("phone", re.compile(r"(?<![\w.])(?:(?:\+|00)[1-9][0-9]{0,2}[ .-]?)?\(?[0-9]{2,5}\)?(?:[ ./-]{1,2}[0-9]{2,5}){1,5}(?!\w)")),
     ("phone", re.compile(r"(?<![\w.])0?[1-9][0-9]{8,11}(?!\w)")),
     ("card", re.compile(r"(?<!\w)[0-9](?:[ ./-]?[0-9]){11,18}(?!\w)")),
     ("id", re.compile(r"(?<![\w-])[0-9]{3}[ -][0-9]{2}[ -][0-9]{4}(?![\w-])")),
     ("id", re.compile(r"(?<!\w)[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{2,4}){3,8}(?!\w)")),
     ("id", re.compile(r"(?<!\w)[A-Z]{1,3}[ -]?[0-9]{6,10}[A-Z]?(?!\w)")),
+    ("birth", re.compile(r"(?<!\w)(?:[0-9]{1,2}[./-][0-9]{1,2}[./-](?:19|20)[0-9]{2}|(?:19|20)[0-9]{2}-[0-9]{2}-[0-9]{2})(?!\w)")),
+]
+BEFORE_DIGITS, BEYOND_DIGITS = 4, 48
+ADDRESSES = [
     ("id", re.compile(r"(?<![\w:])(?:[0-9A-Fa-f]{2}[:-]){5}[0-9A-Fa-f]{2}(?![\w:])")),
     ("ip", re.compile(r"(?<![\w:])(?:[0-9A-Fa-f]{1,4}:){2,7}:?[0-9A-Fa-f]{1,4}(?![\w:])")),
-    ("birth", re.compile(r"(?<!\w)(?:[0-9]{1,2}[./-][0-9]{1,2}[./-](?:19|20)[0-9]{2}|(?:19|20)[0-9]{2}-[0-9]{2}-[0-9]{2})(?!\w)")),
-    ("secret", re.compile(r"(?:pass|pwd|secret|token|key|auth)[\w-]{0,12}[\"']?\s{0,2}[:=]\s{0,2}[\"']?[^\s\"',;]{6,128}", re.I)),
-    ("secret", re.compile(r"(?<![\w-])[A-Za-z0-9_-]{16,128}(?![\w-])")),
 ]
-REACH = 160
+# A credential: its name, which ends at a sign, and its value, which ends where the token does.
+SIGN = re.compile(r"[:=]")
+NAMED = re.compile(r"(?:pass|pwd|secret|token|key|auth)[\w-]{0,12}[\"']?\s{0,2}\Z", re.I)
+LONGEST_NAME = 24
+VALUE = re.compile(r"\s{0,2}[\"']?[^\s\"',;]{6,}+")
+TOKEN_LETTER = frozenset("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789_-")
+TOKEN = re.compile(r"(?<![\w-])[A-Za-z0-9_-]{16,}+(?!\w)")
+
+
+def zones(text: str) -> Iterator[tuple[int, int]]:
+    """Stretches around digits that lie close together."""
+    first = last = None
+    for run in DIGITS.finditer(text):
+        if first is not None and run.start() - last > BEYOND_DIGITS:
+            yield max(0, first - BEFORE_DIGITS), last + BEYOND_DIGITS
+            first = None
+        first, last = run.start() if first is None else first, run.end()
+    if first is not None:
+        yield max(0, first - BEFORE_DIGITS), last + BEYOND_DIGITS
+
+
+def secrets(text: str) -> Iterator[tuple[int, int]]:
+    """Named credentials, and tokens that hold a digit; whole, however long."""
+    at = 0
+    while sign := SIGN.search(text, at):
+        at = sign.end()
+        low = max(0, sign.start() - LONGEST_NAME)
+        name = NAMED.search(text[low:sign.start()])
+        value = VALUE.match(text, at) if name else None
+        if value:
+            yield low + name.start(), value.end()
+            at = value.end()
+    done = 0
+    while digit := DIGIT.search(text, done):
+        start = digit.start()
+        while start > done and text[start - 1] in TOKEN_LETTER:
+            start -= 1
+        token = TOKEN.match(text, start)
+        if token:
+            yield start, token.end()
+        done = token.end() if token else digit.end()
+        while done < len(text) and text[done] in TOKEN_LETTER:
+            done += 1
 
 
 def candidates(text: str) -> list[Span]:
-    """Overlapping spans that may be private, each once."""
+    """Overlapping spans that may be private, each once, from the whole text.
+
+    Patterns with digits look at the surroundings of all digits, hardware and IPv6 addresses and
+    credentials at those of all signs that they need.
+    """
     found: set[Span] = set()
     if any(h in text for h in HIDING) and any(d in text for d in HIDDEN_DOT):
         found.update((m.start(), m.end(), "email") for m in HIDDEN_MAIL.finditer(text)
                      if not MAIL.fullmatch(m[0]))
-    at = 0
-    while m := DIGIT.search(text, at):
-        here = m.start()
-        reach = here + 1
-        for kind, pattern in AROUND_A_DIGIT:
-            lo = max(0, here - REACH if kind == "secret" else here - 4, at - 4)
-            for hit in pattern.finditer(text, lo, here + REACH):
-                if hit.start() > here:
-                    break
-                if hit.end() > here:
-                    found.add((hit.start(), hit.end(), kind))
-                    reach = max(reach, hit.end())
-                    break
-        while reach < len(text) and "0" <= text[reach] <= "9":
-            reach += 1
-        at = reach
+    for low, high in zones(text):
+        for kind, pattern in AROUND_DIGITS:
+            found.update((m.start(), m.end(), kind) for m in pattern.finditer(text, low, high))
+    if text.count(":") >= 2 or text.count("-") >= 5:
+        for kind, pattern in ADDRESSES:
+            found.update((m.start(), m.end(), kind) for m in pattern.finditer(text))
+    found.update((*span, "secret") for span in secrets(text))
     return sorted(found, key=lambda s: (s[0], s[1], KINDS.index(s[2])))
 
 
@@ -243,7 +284,8 @@ def private_value(rng: random.Random) -> tuple[str, str]:
         "birth": [f"{rng.randint(1, 28):02d}.{rng.randint(1, 12):02d}.19{n(2)}", f"19{n(2)}-{rng.randint(10, 12)}-{rng.randint(10, 28)}",
                   f"{rng.randint(1, 12)}/{rng.randint(1, 28)}/19{n(2)}"],
         "secret": [f"password={hexes(18)}", f"password: {w((4, 8))}{n(3)}!", f'token = "{hexes(40)}"', f"api_key={code(rng, 32, 'abcdefghijkABCDEFGHIJK0123456789')}",
-                   f"secret_key: {hexes(32)}", f"AKIA{code(rng, 16, 'ABCDEFGHJKLMNPQRSTUVWXYZ23456789')}", f"pwd={w((5, 8))}{n(2)}"],
+                   f"secret_key: {hexes(32)}", f"AKIA{code(rng, 16, 'ABCDEFGHJKLMNPQRSTUVWXYZ23456789')}", f"pwd={w((5, 8))}{n(2)}",
+                   f"password: {w((10, 20))}", f"passphrase={w((10, 20))}", f"token={hexes(rng.choice([64, 128, 256]))}"],
     }
     return kind, rng.choice(values[kind])
 
@@ -303,8 +345,8 @@ class Judge:
     def added(self, text: str, base: list[Span]) -> list[tuple[int, int, str, float]]:
         """Spans beyond the base ones, with their probability."""
         found = candidates(text)
-        starts = sorted((s, e) for s, e, _ in base)
-        found = [c for c in found if not touches(starts, c)]
+        fixed = joined(base)
+        found = [c for c in found if not touches(fixed, c)]
         if not found:
             return []
         rows = np.array([features(text, c) for c in found])
@@ -319,16 +361,28 @@ class Judge:
         return out
 
 
+def joined(spans: list[Span]) -> list[tuple[int, int]]:
+    """Sorted stretches that the spans cover, none overlapping another."""
+    out: list[tuple[int, int]] = []
+    for start, end, _ in sorted(spans):
+        if out and start < out[-1][1]:
+            out[-1] = (out[-1][0], max(end, out[-1][1]))
+        else:
+            out.append((start, end))
+    return out
+
+
 def touches(spans: list[tuple[int, int]], other: Span) -> bool:
-    """Whether ``other`` overlaps one of the sorted spans (which may overlap one another)."""
+    """Whether ``other`` overlaps one of the sorted spans, none of which overlaps another."""
     i = bisect.bisect_left(spans, (other[1], -1))
-    return any(e > other[0] for _, e in spans[max(0, i - 8):i])
+    return i > 0 and spans[i - 1][1] > other[0]
 
 
-def trained(docs: DataFrame, text: str = "text", key: str = "doc_id", contexts: int = CONTEXTS) -> Judge:
+def trained(docs: DataFrame, text: str = "text", key: str = "doc_id", contexts: int = CONTEXTS,
+            context_chars: int = CONTEXT_CHARS) -> Judge:
     """A judge whose examples stand in surroundings from this corpus."""
     some = drawn(docs.filter(F.col(text).isNotNull()), key, SEED, contexts)
-    some = some.select(F.substring(text, 1, 2000).alias("text")).collect()
+    some = some.select(F.substring(text, 1, context_chars).alias("text")).collect()
     rows, truth, kinds = examples([s for r in some for s in r["text"].split("\n")])
     held = np.arange(len(rows)) % 4 == 0
     trees = boosting.fit(rows[~held], truth[~held])
