@@ -88,3 +88,20 @@ def test_short_documents_of_common_words_are_fingerprinted(spark, documents):
     rows = plain(QUERIES["op2_imatch"](spark, documents([(k, v, "en", "a") for k, v in texts.items()])))
     assert all(len(set(r["fingerprint"].split("."))) > 1 for r in rows)
     assert sum(r["near_edited"] for r in rows) > 0.2 * len(rows)
+
+
+def test_any_ids(spark, documents, monkeypatch):
+    """Ids far from all others or 2**64 apart: the next document is right, and blocks stay even."""
+    monkeypatch.setattr(imatch, "LEAST_BLOCKS", 16)
+    for name, ids in (("far", [*range(1000), 2**62]), ("wide", [*range(0, 3000, 3), -2**63, -2**62 - 5, 2**62 + 7, 2**63 - 1])):
+        texts = {k: f"{PROSE[:i % 90]} w{i} u{i % 7}" for i, k in enumerate(ids)}
+        folder = documents([(k, v, "en", "a") for k, v in texts.items()], name)
+        got = {r["doc_id"]: r for r in plain(QUERIES["op2_imatch"](spark, folder))}
+        order = sorted(texts, reverse=True)
+        for i, key in enumerate(order):
+            text, after = texts[key], texts[order[(i + 1) % len(order)]]
+            third = len(text) // 3
+            assert got[key]["edited_sha256"] == hashlib.sha256((text[:len(text) - third] + after[:third]).encode()).hexdigest()
+        docs = spark.read.parquet(f"{folder}/documents.parquet")
+        sizes = [r["count"] for r in docs.select(imatch.block_of(docs, "doc_id").alias("b")).groupBy("b").count().collect()]
+        assert len(sizes) >= 14 and max(sizes) < 100

@@ -92,3 +92,11 @@ def test_added_tokens_as_by_the_library(spark, documents):
         ids = [*library.encode(text, add_special_tokens=False).ids, packing.END_ID]
         assert rows[key]["doc_tokens"] == len(ids) == rows[key]["length"]
         assert rows[key]["ids_crc32"] == zlib.crc32(np.array(ids, "<u4").tobytes())
+
+
+def test_long_runs(tokenizer):
+    """Runs of one character that are longer than a pattern's stack, as by the library's defaults."""
+    plain_library = Tokenizer.from_file(packing.vocabulary())
+    for text in (" " * 1_500_000, "a " + " \n" * 400_000 + "b", "7" * 500_000, "x" * 500_000, "!" * 500_000, "\t" * 9_999 + "y"):
+        assert packing.token_ids(text, packing.vocabulary(), special=True).tolist() == [
+            *plain_library.encode(text, add_special_tokens=False).ids, packing.END_ID]

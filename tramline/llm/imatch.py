@@ -37,7 +37,7 @@ SUBSETS = (4, 12, 12, 12, 12)        # subsets of each density
 LEAST_COMPARED = 4
 BROADCAST_TERMS = 2_000_000
 ROWS_A_BLOCK = 20_000
-LEAST_BLOCKS = 200
+LEAST_BLOCKS, MOST_BLOCKS = 200, 10_000
 END = "\u0000"   # is no term; stands in every document's list to keep its row
 
 
@@ -102,11 +102,12 @@ def likeness(a: Column, b: Column) -> Column:
 
 
 def fingerprints(rows: DataFrame, words: DataFrame, texts: dict[str, str], key: str,
-                 carried: list[str]) -> DataFrame:
+                 carried: list[str], by: tuple[str, ...] = ()) -> DataFrame:
     """Signatures of each text column in ``texts`` (column to result name), with ``carried``.
 
     Each row's term lists are exploded, kept where the lexicon has the term, and gathered per
-    row again; only terms of the lexicon are shuffled.
+    row again; only terms of the lexicon are shuffled, and none where the lexicon is broadcast and
+    rows already lie by the columns ``by``, which the key determines.
     """
     words = kept(words, "lexicon")
     known = words.count()
@@ -124,15 +125,15 @@ def fingerprints(rows: DataFrame, words: DataFrame, texts: dict[str, str], key:
     once = F.col("side") == -1
     sums = {c: F.xxhash64(text_of(c)) for c in texts}
     hits = (
-        rows.select(key, *carried, *[h.alias(f"whole_{i}") for i, h in enumerate(sums.values())],
+        rows.select(*by, key, *carried, *[h.alias(f"whole_{i}") for i, h in enumerate(sums.values())],
                     F.explode(lists).alias("entry"))
-        .select(key, "entry.side", F.xxhash64("entry.word").alias("term"),
+        .select(*by, key, "entry.side", F.xxhash64("entry.word").alias("term"),
                 *[F.when(F.col("entry.side") == -1, F.col(c)).alias(c)
                   for c in [*carried, *[f"whole_{i}" for i in range(len(texts))]]])
         .join(words, "term")
     )
     carried = [*carried, *[f"whole_{i}" for i in range(len(texts))]]
-    gathered = hits.groupBy(key).agg(
+    gathered = hits.groupBy(*by, key).agg(
         *[F.max(F.when(once, F.col(c))).alias(c) for c in carried],
         *[F.sort_array(F.collect_list(F.when(F.col("side") == i, F.col("term")))).alias(f"terms_{i}")
           for i in range(len(texts))])
@@ -141,31 +142,48 @@ def fingerprints(rows: DataFrame, words: DataFrame, texts: dict[str, str], key:
     return gathered.select(key, *carried[:-len(texts)], *texts.values())
 
 
+def block_of(rows: DataFrame, key: str) -> Column:
+    """Blocks of about equal size in descending order of ``key``, nulls last; equal keys share one.
+
+    Edges are approximate quantiles, so ids far from all others don't matter. A row's edge is
+    looked up among every few edges first, then among the few between two of these.
+    """
+    count = rows.count()
+    wanted = min(MOST_BLOCKS, max(LEAST_BLOCKS, count // ROWS_A_BLOCK))
+    found = rows.agg(F.percentile_approx(key, [i / wanted for i in range(1, wanted)], 10_000)).first()[0]
+    edges = sorted(set(found or ()))
+    step = max(1, math.isqrt(len(edges)))
+    groups = [edges[i:i + step] for i in range(0, len(edges), step)]
+    if not groups:
+        return F.lit(1)
+    below = lambda some: F.size(F.filter(some, lambda e: e <= F.col(key)))
+    literal = lambda some: F.array(*[F.lit(e).cast("bigint") for e in some])
+    group = below(literal([g[0] for g in groups]))
+    place = F.when(group == 0, 0).otherwise(
+        (group - 1) * step + below(F.element_at(F.array(*[literal(g) for g in groups]), F.greatest(group, F.lit(1)))))
+    return F.when(F.col(key).isNull(), len(edges) + 1).otherwise(len(edges) - place).cast("bigint")
+
+
 def with_next(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Rows (place, key, text, next_place, next_text) in descending order of ``key``.
+    """Rows (block, place, key, text, next_place, next_text) in descending order of ``key``.
 
-    Rows are cut into blocks of equal ranges of ids; a window looks one row ahead inside each
+    Rows are cut into blocks of ranges of ids; a window looks one row ahead inside each
     block and the last row of a block gets the first row of the next block that has rows.
     """
     rows = docs.select(F.col(key).alias("id"), text_of(text).alias("text"))
-    least, most, count = rows.agg(F.min("id"), F.max("id"), F.count(F.lit(1))).first()
-    blocks = max(LEAST_BLOCKS, count // ROWS_A_BLOCK)
-    width = ((most or 0) - (least or 0)) // blocks + 1
-    rows = rows.withColumn("block", F.coalesce(
-        F.expr(f"({most or 0}L - id) div {width}L"), F.lit(blocks + 1)).cast("bigint"))
+    block = block_of(rows, "id")
+    heads = (
+        rows.withColumn("block", block)
+        .groupBy("block").agg(F.min_by("text", F.struct(
+            F.col("id").isNull(), F.bitwise_not(F.coalesce("id", F.lit(0))), F.xxhash64("text"))).alias("head_text"))
+    )
     order = W.partitionBy("block").orderBy(F.desc_nulls_last("id"), F.xxhash64("text"))
     rows = (
-        rows.withColumn("at", F.row_number().over(order))
+        rows.withColumn("block", block)
+        .withColumn("at", F.row_number().over(order))
         .withColumn("next_at", F.lead(F.lit(1)).over(order))
         .withColumn("inside_text", F.lead("text").over(order))
     )
-    heads = (
-        docs.select(F.col(key).alias("id"), text_of(text).alias("head_text"))
-        .withColumn("block", F.coalesce(
-            F.expr(f"({most or 0}L - id) div {width}L"), F.lit(blocks + 1)).cast("bigint"))
-        .groupBy("block").agg(F.min_by("head_text", F.struct(
-            F.col("id").isNull(), -F.coalesce("id", F.lit(0)), F.xxhash64("head_text"))).alias("head_text"))
-    )
     following = W.orderBy("block")
     whole = following.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
     steps = heads.select("block").select(
@@ -174,7 +192,7 @@ def with_next(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataF
         heads.select(F.col("block").alias("next_block"), "head_text"), "next_block")
     place = lambda block, at: F.shiftleft(block, 32) + at
     return rows.join(heads, "block").select(
-        place(F.col("block"), F.col("at")).alias("place"), F.col("id").alias(key), "text",
+        "block", place(F.col("block"), F.col("at")).alias("place"), F.col("id").alias(key), "text",
         F.when(F.col("next_at").isNotNull(), place(F.col("block"), F.col("at") + 1)).otherwise(
             place(F.col("next_block"), F.lit(1))).alias("next_place"),
         F.when(F.col("next_at").isNotNull(), F.col("inside_text")).otherwise(
@@ -186,13 +204,13 @@ def op2_imatch(spark, folder: str) -> DataFrame:
     chars = F.char_length("text")
     third = F.floor(chars / 3).cast("int")
     rows = with_next(docs).select(
-        "place", "next_place", "doc_id", "text", chars.cast("bigint").alias("n_chars"),
+        "block", "place", "next_place", "doc_id", "text", chars.cast("bigint").alias("n_chars"),
         F.concat(F.substring("text", F.lit(1), chars - third),
                  F.substring("next_text", F.lit(1), third)).alias("edited"))
     rows = rows.withColumn("edited_sha256", F.sha2(F.col("edited").cast("binary"), 256))
     marks = kept(fingerprints(
         rows, lexicon(docs), {"text": "mark", "edited": "edited_mark"}, "place",
-        ["next_place", "doc_id", "n_chars", "edited_sha256"]), "imatch")
+        ["next_place", "doc_id", "n_chars", "edited_sha256"], ("block",)), "imatch")
     after = marks.select(F.col("place").alias("next_place"), F.col("mark").alias("next_mark"))
     return marks.join(after, "next_place").select(
         "doc_id", "n_chars", "edited_sha256", shown(F.col("mark")).alias("fingerprint"),
