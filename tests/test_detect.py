@@ -167,6 +167,22 @@ def test_random_tracks_match_the_loop(spark, seed):
     same(got, want)
 
 
+def test_one_day_of_one_trip_with_a_third_of_all_fixes(spark, monkeypatch):
+    """Its stretches of hours are windowed apart, and no window holds a whole day of a trip."""
+    monkeypatch.setattr(detect, "TIME_BLOCK", 600)
+    fixes, points, slots = random_world(6)
+    n, at, lat, rng = 10_000, NOON - timedelta(hours=2), 39.7290, random.Random(60)
+    for _ in range(420):
+        n, at = n + 1, at + timedelta(seconds=rng.choice([10, 30, 60, 200, 950]))
+        lat = 39.7300 if rng.random() < 0.1 else lat + rng.choice([0, 0.001, 0.003, -0.002])
+        fixes.append(fix(n, "T0", at, lat, -104.99, "R0"))
+    same(run(spark, fixes, points, slots), naive.detect(fixes, points, slots, set(), CFG))
+    positions, tp, _ = frames(spark, fixes, points, slots)
+    plan = detect.candidates(detect.project(positions, detect.trip_lines(tp), None, CFG), CFG)._jdf.queryExecution().optimizedPlan().toString()
+    windows = [w for w in plan.split("\n") if "Window" in w and "timestamp" in w]
+    assert windows and all("block" in w for w in windows)
+
+
 def test_long_trips_are_met_in_chunks(spark, monkeypatch):
     monkeypatch.setattr(detect, "LEGS_PER_ROW", 2)
     fixes, points, slots = random_world(4)

@@ -4,16 +4,16 @@ Shape of the job
 ----------------
 1. ``project``: one row-level pass per fix (no shuffle beyond the join with the
    timetable): route distance, nearest timepoint, distances to both ends.
-2. One shuffle by (trip, service day). A fix is copied to a further day only where
-   a rule needs it there: as predecessor of the next day's first fix, or because
-   the far end of the trip assigns it to another day than the origin does.
-3. Windows inside (trip, service day) for the four rules, all over that one
-   partitioning; the candidates of a row are exploded from one array.
+2. One shuffle by (trip, stretch of hours). No rule looks further than the longest silence,
+   so the fixes near the ends of a stretch are copied to the ones beside it.
+3. Windows inside (trip, stretch) for the wanted rules, all over that one partitioning; the
+   candidates of a row are exploded from one array. A trip's departure and its terminus
+   fallback of a service day are picked by an aggregate over few rows.
 4. ``settle``: stop details by equi-join, delay limit, alias guard by existence
    joins, then first event per stop and closing of finished runs.
 
-No rule looks at more than one day of one trip at a time, so a trip that fills a
-third of the table is spread over its days.
+A trip that fills a third of the table is spread over its stretches of hours, also where all
+its fixes are of one day.
 """
 
 from __future__ import annotations
@@ -42,7 +42,15 @@ from tramline.session import stored
 
 GEOFENCE, SEGMENT = "geofence", "segment"
 ORIGIN, TERMINUS = "origin_departure", "terminus_fallback"
+METHODS = (GEOFENCE, SEGMENT, ORIGIN, TERMINUS)
 LEGS_PER_ROW = 512
+# Seconds of a trip's fixes that lie together, four times the longest silence at least.
+TIME_BLOCK = 14_400
+CLOSEST = (
+    "struct<terminus_m:double,timestamp:timestamp,id:bigint,latitude:double,longitude:double,"
+    "bearing:double,route_id:string,n_tp:int>"
+)
+SPELL = f"struct<block:bigint,spell:bigint,closest:{CLOSEST},arrived:boolean,last:timestamp>"
 
 # Order of candidates within one instant: first those a row brings, in row order
 # and by rule, then those brought by silence.
@@ -173,9 +181,6 @@ def project(
     }
     days = {
         "origin_day": service_day(F.col("timestamp"), F.col("origin.arrival_secs"), cfg.zone)["service_date"],
-        "next_day": service_day(
-            shift(F.col("timestamp"), cfg.segment_max_gap), F.col("origin.arrival_secs"), cfg.zone
-        )["service_date"],
         "terminus_day": service_day(F.col("timestamp"), F.col("terminus.arrival_secs"), cfg.zone)["service_date"],
     }
     return (
@@ -185,20 +190,6 @@ def project(
     )
 
 
-def by_service_day(projected: DataFrame) -> DataFrame:
-    """Copy each fix to the service days that need it and mark what for."""
-    days = F.array_distinct(
-        F.concat(F.sequence("origin_day", F.greatest("origin_day", "next_day")), F.array("terminus_day"))
-    )
-    return projected.withColumn("day", F.explode(days)).withColumns(
-        {
-            "main": F.col("day") == F.col("origin_day"),
-            "ending": (F.col("day") == F.col("terminus_day")) & F.col("latitude").isNotNull()
-            & F.col("longitude").isNotNull(),
-        }
-    )
-
-
 def _candidate(method: str, when: Column, **fields: Column) -> Column:
     """A candidate struct, null unless ``when`` holds."""
     defaults = {
@@ -214,93 +205,90 @@ def _candidate(method: str, when: Column, **fields: Column) -> Column:
         "rank": F.lit(RANK[method]),
         "from": F.lit(None).cast("struct<timestamp:timestamp,latitude:double,longitude:double,proj:double>"),
         "to_proj": F.lit(None).cast("double"),
+        "route_id": F.col("route_id"),
+        "n_tp": F.col("n_tp"),
+        "fix_time": F.col("timestamp"),
+        "fix_id": F.col("id"),
+        "day": F.col("day"),
+        "part": F.lit(None).cast(SPELL),
     }
     body = {**defaults, **fields}
     return F.when(when, F.struct(*[value.alias(name) for name, value in body.items()]))
 
 
-def candidates(
-    projected: DataFrame, cfg: DetectionConfig = DetectionConfig(),
-    watermark: dt.datetime | None = None,
-) -> DataFrame:
-    """Possible events of all four rules, not yet checked against each other.
+def placed() -> Column:
+    return F.col("latitude").isNotNull() & F.col("longitude").isNotNull()
 
-    With a watermark only silences that had passed by then are resolved; without
-    one the end of the data resolves everything.
-    """
-    keys = ["trip_id", "day"]
-    rows = by_service_day(projected)
-    series = Window.partitionBy(*keys).orderBy("timestamp", "id")
-    so_far = series.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    earlier = series.rowsBetween(Window.unboundedPreceding, -1)
-    whole = Window.partitionBy(*keys)
-    run = Window.partitionBy(*keys, "epoch")
-    main, ending, ts = F.col("main"), F.col("ending"), F.col("timestamp")
-    placed = F.col("latitude").isNotNull() & F.col("longitude").isNotNull()
-    here = F.struct("timestamp", "latitude", "longitude", "proj", "lateral", "passed")
-    at_origin = main & F.coalesce(F.col("origin_m") <= cfg.origin_radius, F.lit(False))
 
-    rows = rows.withColumn("at_origin", at_origin).withColumns(
-        {
-            "prev": F.lag(here).over(series),
-            "next_time": F.lead("timestamp").over(series),
-            "next_at_origin": F.lead("at_origin").over(series),
-            "epoch": F.sum(F.col("at_origin").cast("int")).over(so_far),
-            "last_ending": F.last(F.when(ending, ts), ignorenulls=True).over(earlier),
-        }
-    )
+def in_blocks(projected: DataFrame, cfg: DetectionConfig) -> DataFrame:
+    """Fixes by trip and stretch of time; ``own`` are a block's fixes.
 
-    # A terminus approach lasts as long as the trip keeps reporting: a longer
-    # silence ends the spell, and the first spell with an approach decides.
-    broken = ending & (
-        F.col("last_ending").isNotNull()
-        & (seconds_between(ts, F.col("last_ending")) > cfg.terminus_silence)
-    )
-    arrived = ending & (F.col("terminus_m") <= F.col("radius"))
-    approach = ending & ~arrived & (F.col("terminus_m") <= F.col("end_radius")) & F.col("approached")
-    rows = rows.withColumn("spell", F.sum(broken.cast("int")).over(so_far)).withColumns(
-        {"arrived": F.coalesce(arrived, F.lit(False)), "approach": F.coalesce(approach, F.lit(False))}
+    No rule looks further back or ahead than the longest silence, so each block also gets the
+    fixes that near its two ends from the blocks beside it, and no row needs more.
+    """
+    reach = max(cfg.origin_silence, cfg.terminus_silence, cfg.segment_max_gap) * 1_000_000
+    width = max(TIME_BLOCK * 1_000_000, 4 * reach)
+    at = micros(F.col("timestamp"))
+    block = F.floor(at / F.lit(width))
+    into = at - block * F.lit(width)
+    beside = F.array_compact(F.array(
+        block, F.when(into <= reach, block - 1), F.when(F.lit(width) - into <= reach, block + 1)))
+    return (
+        projected.withColumn("_home", block).withColumn("block", F.explode(beside))
+        .withColumn("own", F.col("block") == F.col("_home")).drop("_home")
+        .repartition("trip_id", "block")
     )
-    rows = rows.withColumn("spell_hit", F.min(F.when(F.col("approach"), F.col("spell"))).over(whole))
-    in_spell = F.col("spell") == F.col("spell_hit")
-    rows = rows.withColumns(
-        {
-            "spell_done": F.max(F.col("arrived") & (F.col("spell") <= F.col("spell_hit"))).over(whole),
-            "closest": F.min(
-                F.when(F.col("approach") & in_spell, F.struct("terminus_m", "timestamp", "id"))
-            ).over(whole),
-            "silent_from": F.max(F.when(ending & in_spell, ts)).over(whole),
-        }
+
+
+def _with_crossings(rows: DataFrame, cfg: DetectionConfig) -> tuple[DataFrame, Column]:
+    """Timepoints passed between two fixes in the corridor."""
+    series = Window.partitionBy("trip_id", "block").orderBy("timestamp", "id")
+    here = F.struct("timestamp", "latitude", "longitude", "proj", "lateral", "passed")
+    rows = rows.withColumn("prev", F.lag(here).over(series))
+    gap = seconds_between(F.col("timestamp"), F.col("prev.timestamp"))
+    corridor = F.col("radius") * cfg.corridor_factor
+    moved = (
+        F.col("own") & placed() & (gap > 0) & (gap <= cfg.segment_max_gap)
+        & (F.col("prev.lateral") <= corridor) & (F.col("lateral") <= corridor)
+        & (F.col("proj") > F.col("prev.proj")) & (F.col("passed") > F.col("prev.passed"))
     )
+    first = F.greatest(F.col("prev.passed") + 1, F.lit(2))
+    numbers = F.when(moved & (F.col("passed") >= first), F.sequence(first, F.col("passed")))
+    origin = F.struct(*[F.col(f"prev.{c}").alias(c) for c in ("timestamp", "latitude", "longitude", "proj")])
+    return rows, F.transform(numbers, lambda no: _candidate(
+        SEGMENT, F.lit(True), tp_no=no, to_proj=F.col("proj"), **{"from": origin}))
+
 
-    # Origin: each fix inside the circle opens an epoch; what follows it until the
-    # next one either confirms the departure, denies it, or says nothing.
+def _with_departures(rows: DataFrame, cfg: DetectionConfig, watermark: dt.datetime | None) -> tuple[DataFrame, Column]:
+    """Each fix inside the origin's circle opens an epoch; what follows it until the next one
+    either confirms the departure, denies it, or says nothing."""
+    keys = ["trip_id", "origin_day", "block"]
+    series = Window.partitionBy(*keys).orderBy("timestamp", "id")
+    run = Window.partitionBy(*keys, "epoch")
+    ts = F.col("timestamp")
+    at_origin = F.coalesce(F.col("origin_m") <= cfg.origin_radius, F.lit(False))
+    rows = rows.withColumn("at_origin", at_origin).withColumns({
+        "next_time": F.lead("timestamp").over(series),
+        "next_at_origin": F.lead("at_origin").over(series),
+        "epoch": F.sum(F.col("at_origin").cast("int")).over(series.rowsBetween(Window.unboundedPreceding, 0)),
+    })
     rows = rows.withColumn("inside_time", F.min(F.when(F.col("at_origin"), ts)).over(run))
     outside = (
-        main & placed & ~F.col("at_origin") & (F.col("epoch") > 0) & F.col("past_origin")
+        placed() & ~F.col("at_origin") & (F.col("epoch") > 0) & F.col("past_origin")
         & (seconds_between(ts, F.col("inside_time")) <= cfg.origin_silence)
     )
     rows = rows.withColumn("outside", F.coalesce(outside, F.lit(False)))
-    rows = rows.withColumns(
-        {
-            "first_out": F.min(F.when(F.col("outside"), F.struct("timestamp", "id", "origin_m"))).over(run),
-            "confirm": F.min(
-                F.when(F.col("outside") & F.col("progressed"), F.struct("timestamp", "id"))
-            ).over(run),
-            "denied": F.max(F.col("outside") & ~F.col("progressed")).over(run),
-            "back_at": F.max(F.when(F.col("next_at_origin"), F.col("next_time"))).over(run),
-        }
-    )
+    rows = rows.withColumns({
+        "first_out": F.min(F.when(F.col("outside"), F.struct("timestamp", "id", "origin_m"))).over(run),
+        "confirm": F.min(F.when(F.col("outside") & F.col("progressed"), F.struct("timestamp", "id"))).over(run),
+        "denied": F.max(F.col("outside") & ~F.col("progressed")).over(run),
+        "back_at": F.max(F.when(F.col("next_at_origin"), F.col("next_time"))).over(run),
+    })
     confirmed = F.col("confirm").isNotNull()
-    back = F.coalesce(
-        seconds_between(F.col("back_at"), ts) <= cfg.origin_silence, F.lit(False)
-    )
+    back = F.coalesce(seconds_between(F.col("back_at"), ts) <= cfg.origin_silence, F.lit(False))
     quiet = ~confirmed & ~back & ~F.coalesce("denied", F.lit(False))
     if watermark is not None:
         quiet = quiet & (shift(ts, cfg.origin_silence) <= instant(watermark))
-    rows = rows.withColumn("leaves", F.col("at_origin") & (confirmed | quiet))
-    rows = rows.withColumn("first_leave", F.min(F.when(F.col("leaves"), F.col("epoch"))).over(whole))
-
     span = F.col("first_out.origin_m") - F.col("origin_m")
     share = F.greatest(
         F.lit(0.0), F.least(F.lit(1.0), (F.lit(cfg.origin_radius) - F.col("origin_m")) / span)
@@ -308,48 +296,120 @@ def candidates(
     crossing = F.when(span <= 0, F.col("first_out.timestamp")).otherwise(
         shift(ts, seconds_between(F.col("first_out.timestamp"), ts) * share)
     )
-    departure = _candidate(
+    return rows, F.array(_candidate(
         ORIGIN,
-        F.col("leaves") & (F.col("epoch") == F.col("first_leave")),
+        F.col("own") & F.col("at_origin") & (confirmed | quiet),
         tp_no=F.lit(1),
         actual_time=F.when(confirmed, crossing).otherwise(ts),
         emit_time=F.when(confirmed, F.col("confirm.timestamp")).otherwise(shift(ts, cfg.origin_silence)),
         phase=F.when(confirmed, 0).otherwise(1),
         row_id=F.when(confirmed, F.col("confirm.id")).otherwise(F.lit(0)).cast("long"),
-    )
-    fenced = _candidate(GEOFENCE, main & F.col("geofence_no").isNotNull(), tp_no=F.col("geofence_no"))
-    ended = ~F.coalesce("spell_done", F.lit(False)) & ending & (F.col("closest.id") == F.col("id"))
-    if watermark is not None:
-        ended = ended & (shift(F.col("silent_from"), cfg.terminus_silence) <= instant(watermark))
-    fallback = _candidate(
-        TERMINUS, ended, tp_no=F.col("n_tp"),
-        emit_time=shift(F.col("silent_from"), cfg.terminus_silence), phase=F.lit(1), row_id=F.lit(0).cast("long"),
-    )
+        day=F.col("origin_day"),
+    ))
 
-    gap = seconds_between(ts, F.col("prev.timestamp"))
-    corridor = F.col("radius") * cfg.corridor_factor
-    moved = (
-        main & placed & (gap > 0) & (gap <= cfg.segment_max_gap)
-        & (F.col("prev.lateral") <= corridor) & (F.col("lateral") <= corridor)
-        & (F.col("proj") > F.col("prev.proj")) & (F.col("passed") > F.col("prev.passed"))
-    )
-    first = F.greatest(F.col("prev.passed") + 1, F.lit(2))
-    numbers = F.when(moved & (F.col("passed") >= first), F.sequence(first, F.col("passed")))
-    crossed = F.transform(
-        numbers,
-        lambda no: _candidate(
-            SEGMENT, F.lit(True), tp_no=no, **{"from": F.struct(
-                F.col("prev.timestamp").alias("timestamp"), F.col("prev.latitude").alias("latitude"),
-                F.col("prev.longitude").alias("longitude"), F.col("prev.proj").alias("proj"),
-            )}, to_proj=F.col("proj"),
-        ),
-    )
-    own = F.array(departure, fenced, fallback)
-    found = F.array_compact(F.when(crossed.isNull(), own).otherwise(F.concat(own, crossed)))
-    return (
-        rows.select("trip_id", "route_id", "n_tp", F.explode(found).alias("c"))
-        .select("trip_id", "route_id", "n_tp", "c.*")
-    )
+
+def _with_approaches(rows: DataFrame, cfg: DetectionConfig) -> tuple[DataFrame, Column]:
+    """A terminus approach lasts as long as the trip keeps reporting: a longer silence ends the
+    spell. Of each block's part of a spell its last fix carries the summary."""
+    keys = ["trip_id", "terminus_day", "block"]
+    series = Window.partitionBy(*keys).orderBy("timestamp", "id")
+    spell = Window.partitionBy(*keys, "spell")
+    ts = F.col("timestamp")
+    rows = rows.withColumn(
+        "last_ending", F.last(F.when(placed(), ts), ignorenulls=True).over(series.rowsBetween(Window.unboundedPreceding, -1)))
+    starts = F.col("own") & placed() & F.coalesce(
+        seconds_between(ts, F.col("last_ending")) > cfg.terminus_silence, F.lit(True))
+    own = F.col("own") & placed()
+    arrived = own & (F.col("terminus_m") <= F.col("radius"))
+    approach = own & ~arrived & (F.col("terminus_m") <= F.col("end_radius")) & F.col("approached")
+    rows = rows.withColumns({
+        "spell": F.sum(starts.cast("int")).over(series.rowsBetween(Window.unboundedPreceding, 0)),
+        "arrived": F.coalesce(arrived, F.lit(False)), "approach": F.coalesce(approach, F.lit(False)),
+    })
+    closest = F.struct("terminus_m", "timestamp", "id", "latitude", "longitude", "bearing", "route_id", "n_tp")
+    rows = rows.withColumns({
+        "spell_closest": F.min(F.when(F.col("approach"), closest)).over(spell),
+        "spell_arrived": F.max("arrived").over(spell),
+        "spell_last": F.max(F.when(own, F.struct("timestamp", "id"))).over(spell),
+    })
+    part = F.struct(
+        "block", "spell", F.col("spell_closest").alias("closest"), F.col("spell_arrived").alias("arrived"),
+        F.col("spell_last.timestamp").alias("last"))
+    return rows, F.array(_candidate(
+        TERMINUS, own & (F.col("spell_last.id") == F.col("id")) & (F.col("spell_last.timestamp") == ts),
+        day=F.col("terminus_day"), part=part))
+
+
+def _first_spell(parts: Column, cfg: DetectionConfig, watermark: dt.datetime | None) -> Column:
+    """The fallback of a trip's day, from the summaries of its spells in order of time.
+
+    The first spell with an approach decides; an arrival up to its end rules the fallback out.
+    """
+    none = F.struct(
+        F.lit(False).alias("over"), F.lit(None).cast(CLOSEST).alias("closest"),
+        F.lit(False).alias("arrived"), F.lit(None).cast("timestamp").alias("last"))
+
+    def add(so_far: Column, part: Column) -> Column:
+        over = so_far["over"] | ((part["spell"] > 0) & so_far["closest"].isNotNull())
+        return F.struct(
+            over.alias("over"),
+            F.when(over, so_far["closest"]).otherwise(F.least(so_far["closest"], part["closest"])).alias("closest"),
+            F.when(over, so_far["arrived"]).otherwise(so_far["arrived"] | part["arrived"]).alias("arrived"),
+            F.when(over, so_far["last"]).otherwise(part["last"]).alias("last"))
+
+    def event(hit: Column) -> Column:
+        best = hit["closest"]
+        ended = best.isNotNull() & ~hit["arrived"]
+        if watermark is not None:
+            ended = ended & (shift(hit["last"], cfg.terminus_silence) <= instant(watermark))
+        return _candidate(
+            TERMINUS, ended, tp_no=best["n_tp"], actual_time=best["timestamp"], lat=best["latitude"], lon=best["longitude"],
+            bearing=best["bearing"], route_id=best["route_id"], n_tp=best["n_tp"], fix_time=best["timestamp"],
+            fix_id=best["id"], day=F.lit(None).cast("date"),
+            emit_time=shift(hit["last"], cfg.terminus_silence), phase=F.lit(1), row_id=F.lit(0).cast("long"))
+
+    return F.transform(F.array(F.aggregate(F.sort_array(parts), none, add)), event)[0]
+
+
+def candidates(
+    projected: DataFrame, cfg: DetectionConfig = DetectionConfig(),
+    watermark: dt.datetime | None = None, methods: tuple[str, ...] = METHODS,
+) -> DataFrame:
+    """Possible events of the wanted rules, not yet checked against each other.
+
+    With a watermark only silences that had passed by then are resolved; without
+    one the end of the data resolves everything.
+
+    One shuffle brings a trip's stretches of time together; departures and terminus fallbacks,
+    of which a trip has one a day, are then picked by an aggregate over the few fixes that may
+    be one and over one summary for each spell and stretch.
+    """
+    rows, found = projected.withColumn("day", F.lit(None).cast("date")), []
+    if methods != (GEOFENCE,):
+        rows = in_blocks(rows, cfg)
+    own = F.col("own") if methods != (GEOFENCE,) else F.lit(True)
+    if GEOFENCE in methods:
+        found.append(F.array(_candidate(
+            GEOFENCE, own & placed() & F.col("geofence_no").isNotNull(), tp_no=F.col("geofence_no"))))
+    if SEGMENT in methods:
+        rows, crossed = _with_crossings(rows, cfg)
+        found.append(F.coalesce(crossed, F.array()))
+    if ORIGIN in methods:
+        rows, left = _with_departures(rows, cfg, watermark)
+        found.append(left)
+    if TERMINUS in methods:
+        rows, spells = _with_approaches(rows, cfg)
+        found.append(spells)
+    told = rows.select("trip_id", F.explode(F.array_compact(F.concat(*found))).alias("c"))
+    if ORIGIN in methods or TERMINUS in methods:
+        once = F.col("c.method").isin(ORIGIN, TERMINUS)
+        told = told.groupBy(
+            "trip_id", "c.method", "c.day", F.when(~once, F.col("c.row_id")).alias("row"), F.when(~once, F.col("c.tp_no")).alias("no"),
+        ).agg(F.min_by("c", F.struct("c.fix_time", "c.fix_id")).alias("c"), F.collect_list("c.part").alias("parts"))
+        told = told.select("trip_id", F.when(
+            F.col("c.method") == TERMINUS, _first_spell(F.col("parts"), cfg, watermark),
+        ).otherwise(F.col("c")).alias("c")).filter(F.col("c").isNotNull())
+    return told.select("trip_id", "c.*").drop("day", "part", "fix_time", "fix_id")
 
 
 def with_stops(found: DataFrame, lines: TripLines, cfg: DetectionConfig = DetectionConfig()) -> DataFrame:

@@ -662,7 +662,7 @@ def _second(name: str):
 
 def _by_rule(spark, folder, rule):
     fixes, lines = _projected(spark, folder)
-    found = detect.candidates(fixes, DETECTION).filter(F.col("method") == rule)
+    found = detect.candidates(fixes, DETECTION, methods=(rule,))
     return detect.with_stops(found, lines, DETECTION).select(
         "trip_id", "route_id", "stop_id", "stop_sequence", "service_date", "scheduled_time",
         _second("actual_time"), _second("emit_time"),
