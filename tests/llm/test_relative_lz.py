@@ -3,6 +3,7 @@ import random
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from llm_helpers import odd_rows, plain, same
@@ -76,27 +77,22 @@ def test_second_way_alone(spark, documents, monkeypatch):
 
 def test_seeds_split_between_tasks():
     """A block that lacks phrases of a seed hands the others on."""
-    rng = np.random.default_rng(5)
-    words = rng.integers(0, 2**63, 300).astype(np.uint64)
-    row = np.zeros(300, np.int64)
-    seeds = relative_lz.phrases_of(np.concatenate([words, words]), np.concatenate([row, row + 1]))
-    import pyarrow as pa
-
-    sizes = seeds[4]
-    raw = seeds[5].view(np.uint8).reshape(-1, 8)[:, :6]
-    ends = np.concatenate([[0], np.cumsum(sizes)])
-    batch = pa.RecordBatch.from_arrays([
-        pa.array(seeds[0].view(np.int64)), pa.array(seeds[1]), pa.array(seeds[2] % 300 << 5 | seeds[3]),
-        pa.array([raw[a:b].tobytes() for a, b in zip(ends, ends[1:])], pa.binary()),
-        pa.array(np.full(len(sizes), 2))], names=["seed", "row", "at", "windows", "n"])
-    half = batch.filter(pa.array(seeds[1] == 0))
-    out = pa.Table.from_batches(relative_lz.parse_blocks(iter([half]))).to_pylist()
-    assert len(out) == len(half) and all(r["windows"] for r in out)
-    order = pa.array(np.argsort(batch.column("seed").to_numpy(), kind="stable"))
-    whole = pa.Table.from_batches(relative_lz.parse_blocks(iter([batch.take(order)]))).to_pylist()
+    rng = random.Random(5)
+    text = " ".join(f"o{rng.randrange(10**6)}" for _ in range(300))
+    parts = [pa.RecordBatch.from_pydict({"row": [k], "text": [text]}) for k in (0, 1)]
+    told = [pa.Table.from_batches(relative_lz.phrase_rows(iter([p]))) for p in parts]
+
+    def block(tables):
+        rows = pa.concat_tables(tables).sort_by("seed")
+        n = len(rows)
+        return rows.append_column("n", pa.array([2] * n)).append_column("records", pa.array([2] * n)).combine_chunks().to_batches()
+
+    out = pa.Table.from_batches(relative_lz.parse_blocks(iter(block(told[:1])))).to_pylist()
+    assert len(out) == len(told[0]) and all(r["windows"] for r in out)
+    whole = pa.Table.from_batches(relative_lz.parse_blocks(iter(block(told)))).to_pylist()
     assert not any(r["windows"] for r in whole)
     for key in (0, 1):
-        covered = {i for r in whole if r["row"] == key for i in range(r["start"], r["stop"])}
+        covered = {i for r in whole if r["row"] == key for at in r["ats"] for i in range(at, at + r["size"])}
         assert covered == set(range(300))
 
 

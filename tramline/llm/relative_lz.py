@@ -2,17 +2,19 @@
 
 The whole corpus is the reference. In every window of ``WINDOW`` words the ``SEED`` words with
 the least hash (the first of equals) are its seed: equal windows have the same seed in the
-same place. The windows of one seed are a phrase. Phrases are dealt by their seed to reference
-blocks, and only those whose seed stands twice or more in the corpus meet there.
+same place. The windows of one seed are a phrase. Like phrases of a part of the texts are one
+record with all their places, so a very common passage is a few records of each task. Phrases
+are dealt by their seed to reference blocks, and only those whose seed stands twice or more in
+the corpus meet there.
 
-In its block each phrase is parsed greedily from the left. The index of a block is the sorted
+A phrase that stands twice is one factor. In its block each other phrase is parsed greedily from the left. The index of a block is the sorted
 order of all phrases from each place on, so the longest match of a phrase at a place is with a
 neighbour in that order. A match of ``WINDOW`` words or more is a factor and becomes a
 duplicate span. The parse then goes on at the window that crosses the factor's end: a copy that
 begins inside one factor and goes on past it is found in another source. A place without a
 factor is stepped over by one word.
 
-A block knows how often each seed stands in the corpus. Seeds of more than ``HOT`` phrases,
+A block knows how often each seed stands in the corpus. Seeds of more than ``HOT`` records,
 and seeds whose phrases lie in more than one task, are left to a second way that holds no
 group together: like phrases are counted, combined before the shuffle, and those counted twice
 are duplicate spans; of the unlike ones the windows are counted alike. Both ways are exact but for 64-bit hashes of
@@ -42,15 +44,16 @@ PLACES = WINDOW - SEED + 1       # places a seed can have in a window
 HOT = 4096
 ROWS_A_BLOCK = 1 << 16
 HASH_BYTES = 6
-AHEAD_BITS = 5
 
 BASE = np.uint64(0xD1342543DE82EF95)
 INVERSE = np.uint64(pow(int(BASE), -1, 1 << 64))
 
-SEEDS = "seed bigint, n bigint"
-PHRASES = "seed bigint, row bigint, at bigint, windows binary"
-FOUND = "row bigint, start bigint, stop bigint, seed bigint, windows binary"
+PLACE = "struct<row:bigint,ats:array<bigint>>"
+SEEDS = "seed bigint, n bigint, records bigint"
+PHRASES = f"seed bigint, ahead int, windows binary, times bigint, held array<{PLACE}>"
+FOUND = f"row bigint, ats array<bigint>, size bigint, seed bigint, windows binary, times bigint, held array<{PLACE}>"
 CLEANED = "doc_id bigint, n_words bigint, n_removed bigint, kept_sha256 string"
+HELD = pa.list_(pa.struct([("row", pa.int64()), ("ats", pa.list_(pa.int64()))]))
 
 
 def first_least(values: np.ndarray, width: int) -> np.ndarray:
@@ -66,13 +69,13 @@ def first_least(values: np.ndarray, width: int) -> np.ndarray:
 
 
 def phrases_of(words: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Per phrase: seed, row, first window, seed's distance from it, number of windows; all windows' hashes.
+    """Per phrase: seed, hash, row, first window, seed's distance from it, number of windows; all windows' hashes.
 
     ``words`` are hashes of the words of several texts, ``row`` the text of each.
     """
     count = len(words) - WINDOW + 1
     if count < 1:
-        return tuple(np.zeros(0, t) for t in (np.uint64, *[np.int64] * 4, np.uint64))
+        return tuple(np.zeros(0, t) for t in (np.uint64, np.uint64, *[np.int64] * 4, np.uint64))
     powers = np.multiply.accumulate(np.full(len(words), BASE))
     back = np.multiply.accumulate(np.full(len(words), INVERSE))
     sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(words * powers, dtype=np.uint64)])
@@ -81,9 +84,10 @@ def phrases_of(words: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, ...]:
     inside = np.flatnonzero(row[:count] == row[WINDOW - 1:])
     place = least[inside]
     first = np.flatnonzero(np.diff(place, prepend=-1))
-    at = inside[first]
+    at, sizes = inside[first], np.diff(first, append=len(inside))
     windows = shingles.mixed((sums[WINDOW:][inside] - sums[:-WINDOW][inside]) * back[inside])
-    return seeds[place[first]], row[at], at, place[first] - at, np.diff(first, append=len(inside)), windows
+    whole = shingles.mixed((sums[at + sizes + WINDOW - 1] - sums[at]) * back[at] + sizes.astype(np.uint64))
+    return seeds[place[first]], whole, row[at], at, place[first] - at, sizes, windows
 
 
 def parts_of(batches: Iterator[pa.RecordBatch]):
@@ -96,21 +100,43 @@ def parts_of(batches: Iterator[pa.RecordBatch]):
 
 
 def seed_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """How often each seed stands in a part of the texts, and in how many unlike phrases."""
     for _, words, row, _ in parts_of(batches):
-        seeds, n = np.unique(phrases_of(words, row)[0], return_counts=True)
-        yield pa.RecordBatch.from_arrays([pa.array(seeds.view(np.int64)), pa.array(n.astype(np.int64))], names=["seed", "n"])
+        seeds, whole, *_ = phrases_of(words, row)
+        unlike, first, n = np.unique(whole, return_index=True, return_counts=True)
+        named, of, records = np.unique(seeds[first], return_inverse=True, return_counts=True)
+        yield pa.RecordBatch.from_arrays([
+            pa.array(named.view(np.int64)), pa.array(np.bincount(of, n, len(named)).astype(np.int64)),
+            pa.array(records.astype(np.int64))], names=["seed", "n", "records"])
+
+
+def listed(values: pa.Array, ends: np.ndarray) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), values)
 
 
 def phrase_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One record for each unlike phrase of a part of the texts, with all its places."""
     for part, words, row, begin in parts_of(batches):
-        seeds, of, at, ahead, sizes, windows = phrases_of(words, row)
-        short = np.ascontiguousarray(windows.view(np.uint8).reshape(-1, 8)[:, :HASH_BYTES])
-        ends = (np.concatenate([[0], np.cumsum(sizes)]) * HASH_BYTES).astype(np.int64)
-        held = pa.Array.from_buffers(pa.large_binary(), len(seeds), [None, pa.py_buffer(ends), pa.py_buffer(short)])
+        seeds, whole, of, at, ahead, sizes, windows = phrases_of(words, row)
+        order = np.lexsort((at, of, whole))
+        new = np.diff(whole[order].view(np.int64), prepend=0) != 0
+        new[:1] = True
+        other = new | (np.diff(of[order], prepend=-1) != 0)
+        records, places = np.flatnonzero(new), np.flatnonzero(other)
+        ats = listed(pa.array((at - begin[of])[order]), np.append(places, len(order)))
+        held = listed(pa.StructArray.from_arrays(
+            [part.column(0).take(pa.array(of[order][places])), ats], names=["row", "ats"]),
+            np.searchsorted(places, np.append(records, len(order))))
+        first = order[records]
+        n, starts = sizes[first], (np.cumsum(sizes) - sizes)[first]
+        ends = np.concatenate([[0], np.cumsum(n)])
+        own = windows[np.arange(ends[-1]) - np.repeat(ends[:-1] - starts, n)]
+        short = np.ascontiguousarray(own.view(np.uint8).reshape(-1, 8)[:, :HASH_BYTES])
+        packed = pa.Array.from_buffers(pa.large_binary(), len(n), [
+            None, pa.py_buffer((ends * HASH_BYTES).astype(np.int64)), pa.py_buffer(short)])
         yield pa.RecordBatch.from_arrays([
-            pa.array(seeds.view(np.int64)), part.column(0).take(pa.array(of)),
-            pa.array((at - begin[of]) << AHEAD_BITS | ahead), held.cast(pa.binary())],
-            names=["seed", "row", "at", "windows"])
+            pa.array(seeds[first].view(np.int64)), pa.array(ahead[first].astype(np.int32)), packed.cast(pa.binary()),
+            pa.array(np.diff(np.append(records, len(order)))), held], names=["seed", "ahead", "windows", "times", "held"])
 
 
 def longest_matches(grid: np.ndarray) -> np.ndarray:
@@ -138,13 +164,13 @@ def longest_matches(grid: np.ndarray) -> np.ndarray:
     return longest
 
 
-def factors(grid: np.ndarray, first: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The greedy parse of each row: (row, place, windows) of its factors."""
+def factors(grid: np.ndarray, first: np.ndarray, sizes: np.ndarray, twice: np.ndarray) -> tuple[np.ndarray, ...]:
+    """The greedy parse of each row: (row, place, windows) of its factors; rows that stand ``twice`` are one."""
     longest = longest_matches(grid)
     rows, place, end = np.arange(len(grid)), first.copy(), first + sizes
     out: list[tuple] = []
     while len(rows):
-        n = longest[rows, place].astype(np.int64)
+        n = np.where(twice[rows], sizes[rows], longest[rows, place].astype(np.int64))
         hit = n > 0
         out.append((rows[hit], place[hit], n[hit]))
         place = place + np.maximum(n, 1)
@@ -155,46 +181,48 @@ def factors(grid: np.ndarray, first: np.ndarray, sizes: np.ndarray) -> tuple[np.
 
 def parse_block(block: pa.RecordBatch, whole: np.ndarray) -> pa.RecordBatch:
     """Spans of the phrases in ``whole``; the other phrases as they are, for the second way."""
-    at = block.column("at").to_numpy()
-    start, ahead = at >> AHEAD_BITS, at & ((1 << AHEAD_BITS) - 1)
-    own = block.filter(pa.array(whole))
-    held = own.column("windows").cast(pa.large_binary())
-    _, offsets, data = held.buffers()
-    ends = np.frombuffer(offsets, np.int64)[held.offset:held.offset + len(held) + 1]
-    packed = np.frombuffer(data or b"", np.uint8)[ends[0]:ends[-1]].reshape(-1, HASH_BYTES)
-    hashes = np.zeros((len(packed), 8), np.uint8)
-    hashes[:, :HASH_BYTES] = packed
+    own, rest = block.filter(pa.array(whole)), block.filter(pa.array(~whole))
+    packed = own.column("windows").cast(pa.large_binary())
+    _, offsets, data = packed.buffers()
+    ends = np.frombuffer(offsets, np.int64)[packed.offset:packed.offset + len(packed) + 1]
+    hashes = np.zeros(((ends[-1] - ends[0]) // HASH_BYTES, 8), np.uint8)
+    hashes[:, :HASH_BYTES] = np.frombuffer(data or b"", np.uint8)[ends[0]:ends[-1]].reshape(-1, HASH_BYTES)
     sizes = np.diff(ends) // HASH_BYTES
-    first = PLACES - 1 - ahead[whole]
-    # The upper bits number the seed from 1 (there are two rows a seed or more, so these suffice); 0 is no window.
+    first = PLACES - 1 - own.column("ahead").to_numpy().astype(np.int64)
+    # The upper bits number the seed from 1 (a block has fewer seeds than these count); 0 is no window.
     seeds = np.unique(own.column("seed").to_numpy(), return_inverse=True)[1].astype(np.uint64) + np.uint64(1)
     of = np.repeat(np.arange(len(own)), sizes)
     grid = np.zeros((len(own), PLACES), np.uint64)
-    grid[of, np.arange(len(packed)) - np.repeat(np.cumsum(sizes) - sizes - first, sizes)] = (
+    grid[of, np.arange(len(hashes)) - np.repeat(np.cumsum(sizes) - sizes - first, sizes)] = (
         hashes.view(np.uint64)[:, 0] | seeds[of] << np.uint64(8 * HASH_BYTES))
-    row, place, n = factors(grid, first, sizes)
-    begin = start[whole][row] + place - first[row]
-    rest = block.filter(pa.array(~whole))
-    spans = len(row)
+    record, place, n = factors(grid, first, sizes, own.column("times").to_numpy() > 1)
+    # A factor is a span in every row of its record.
+    held = own.column("held").take(pa.array(record))
+    places = held.flatten()
+    many = np.diff(held.offsets.to_numpy())
+    ats = places.field("ats")
+    moved = np.repeat(np.repeat(place - first[record], many), np.diff(ats.offsets.to_numpy()))
+    spans = len(places)
     return pa.RecordBatch.from_arrays([
-        pa.concat_arrays([own.column("row").take(pa.array(row)), rest.column("row")]),
-        pa.array(np.concatenate([begin, start[~whole]])),
-        pa.array(np.concatenate([begin + n + WINDOW - 1, start[~whole]])),
-        pa.concat_arrays([pa.nulls(spans, pa.int64()), rest.column("seed")]),
-        pa.concat_arrays([pa.nulls(spans, pa.binary()), rest.column("windows")])],
-        names=["row", "start", "stop", "seed", "windows"])
+        pa.concat_arrays([places.field("row"), pa.nulls(len(rest), pa.int64())]),
+        pa.concat_arrays([listed(pa.array(ats.flatten().to_numpy() + moved), ats.offsets.to_numpy() - ats.offsets[0].as_py()),
+                          pa.nulls(len(rest), pa.list_(pa.int64()))]),
+        pa.concat_arrays([pa.array(np.repeat(n + WINDOW - 1, many)), pa.nulls(len(rest), pa.int64())]),
+        *[pa.concat_arrays([pa.nulls(spans, c.type), c]) for c in (rest.column(x) for x in ("seed", "windows", "times", "held"))]],
+        names=["row", "ats", "size", "seed", "windows", "times", "held"])
 
 
 def parse_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Parses phrases (seed, row, at, windows, n) in blocks of whole seeds, as they come sorted by seed."""
+    """Parses phrases (PHRASES, n, records) in blocks of whole seeds, as they come sorted by seed."""
     held: list[pa.RecordBatch] = []
 
     def done(block: pa.RecordBatch) -> pa.RecordBatch:
-        seeds, of, n = np.unique(block.column("seed").to_numpy(), return_inverse=True, return_counts=True)
-        return parse_block(block, n[of] == block.column("n").to_numpy())
+        seeds, of = np.unique(block.column("seed").to_numpy(), return_inverse=True)
+        there = np.bincount(of, block.column("times").to_numpy(), len(seeds)).astype(np.int64)
+        return parse_block(block, there[of] == block.column("n").to_numpy())
 
     for batch in batches:
-        hot = batch.column("n").to_numpy() > HOT
+        hot = batch.column("records").to_numpy() > HOT
         if hot.any():
             yield parse_block(batch.filter(pa.array(hot)), np.zeros(int(hot.sum()), bool))
             batch = batch.filter(pa.array(~hot))
@@ -211,32 +239,34 @@ def parse_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def repeated_spans(rows: DataFrame) -> DataFrame:
-    """(row, start, stop) of words in repeated windows, from rows (row, text); spans may overlap."""
-    twice = rows.mapInArrow(seed_rows, SEEDS).groupBy("seed").agg(F.sum("n").alias("n")).filter("n > 1")
+    """(row, ats, size): spans of repeated windows in rows (row, text), of one size at some places; they may overlap."""
+    twice = rows.mapInArrow(seed_rows, SEEDS).groupBy("seed").agg(
+        F.sum("n").alias("n"), F.sum("records").alias("records")).filter("n > 1")
     # A merge join brings each seed's phrases sorted into one task; skewed ones may be split.
     found = kept(
-        rows.mapInArrow(phrase_rows, PHRASES).join(twice.hint("shuffle_merge"), "seed")
-        .select("seed", "row", "at", "windows", "n").mapInArrow(parse_blocks, FOUND), "factors")
-    spans, rest = found.filter("windows is null").select("row", "start", "stop"), found.filter("windows is not null")
-    return spans.unionByName(counted_spans(rest.select("row", "start", "seed", "windows")))
+        rows.mapInArrow(phrase_rows, PHRASES).join(twice.hint("shuffle_merge"), "seed").mapInArrow(parse_blocks, FOUND),
+        "factors")
+    rest = found.filter("windows is not null").select("seed", "windows", "times", "held")
+    return found.filter("windows is null").select("row", "ats", "size").unionByName(counted_spans(rest))
 
 
 def counted_spans(rest: DataFrame) -> DataFrame:
-    """The second way, for phrases (row, start, seed, windows): their spans from counts.
+    """The second way, for phrases (seed, windows, times, held): their spans from counts.
 
     Phrases that stand twice are spans whole. Each unlike phrase brings its windows once.
     """
     size = F.expr(f"cast(octet_length(windows) div {HASH_BYTES} as int)")
-    # The only phrase's own place goes along.
+    # The only place of a phrase that stands once goes along.
     unlike = rest.groupBy("seed", "windows").agg(
-        F.count(F.lit(1)).alias("n"), F.min("row").alias("row"), F.min("start").alias("start"))
+        F.sum("times").alias("n"), F.min(F.col("held")[0]["row"]).alias("row"), F.min(F.col("held")[0]["ats"][0]).alias("at"))
     whole = rest.join(unlike.filter("n > 1").select("seed", "windows"), ["seed", "windows"], "left_semi").select(
-        "row", "start", (F.col("start") + size + WINDOW - 1).alias("stop"))
-    windows = unlike.select("row", "start", "seed", "n", F.posexplode(F.transform(
+        (size + WINDOW - 1).cast("bigint").alias("size"), F.explode("held").alias("place")).select(
+        "place.row", "place.ats", "size")
+    windows = unlike.select("row", "at", "seed", "n", F.posexplode(F.transform(
         F.sequence(F.lit(0), size - 1), lambda i: F.substring("windows", i * HASH_BYTES + 1, HASH_BYTES))).alias("on", "window"))
     often = windows.groupBy("seed", "window").agg(F.count(F.lit(1)).alias("phrases")).filter("phrases > 1").select("seed", "window")
     single = windows.filter("n = 1").join(often, ["seed", "window"], "left_semi").select(
-        "row", (F.col("start") + F.col("on")).alias("start"), (F.col("start") + F.col("on") + WINDOW).alias("stop"))
+        "row", F.array(F.col("at") + F.col("on")).alias("ats"), F.lit(WINDOW).cast("bigint").alias("size"))
     return whole.unionByName(single)
 
 
@@ -248,8 +278,10 @@ def cleaned_rows(batches: Iterator[pa.RecordBatch], texts: bool) -> Iterator[pa.
             words = (batch.column(1)[i].as_py() or "").encode().split()
             spans, gone = batch.column(2)[i], np.zeros(len(words) + 1, np.int64)
             if spans.is_valid and len(spans.values):
-                np.add.at(gone, spans.values.field(0).to_numpy(), 1)
-                np.add.at(gone, spans.values.field(1).to_numpy(), -1)
+                ats = spans.values.field("ats")
+                at = ats.flatten().to_numpy()
+                np.add.at(gone, at, 1)
+                np.add.at(gone, at + np.repeat(spans.values.field("size").to_numpy(), np.diff(ats.offsets.to_numpy())), -1)
                 stay = np.cumsum(gone)[:-1] == 0
                 left = [w for w, s in zip(words, stay.tolist()) if s]
             else:
@@ -268,7 +300,7 @@ def without_repeats(docs: DataFrame, text: str = "text", key: str = "doc_id", te
     rows = docs.select(F.col(key).cast("bigint").alias("doc_id"), F.col(text).alias("text")).withColumn(
         "row", F.xxhash64("doc_id", "text"))
     spans = repeated_spans(rows.select("row", "text")).groupBy("row").agg(
-        F.collect_set(F.struct("start", "stop")).alias("spans"))
+        F.collect_set(F.struct("ats", "size")).alias("spans"))
     return rows.join(spans, "row", "left").select("doc_id", "text", "spans").mapInArrow(
         lambda b: cleaned_rows(b, texts), CLEANED + (", kept_text string" if texts else ""))
 
