@@ -10,7 +10,8 @@ from tramline.config import DetectionConfig
 from tramline.functions.times import micros
 from tramline.operators import detect
 from tramline.schemas import POSITIONS
-from tramline.streaming.detect_stream import settle_batch, stream_candidates
+from tramline.session import stored
+from tramline.streaming.detect_stream import stream_events, write_events
 from pyspark.sql import functions as F
 
 UTC = timezone.utc
@@ -189,28 +190,55 @@ def test_long_trips_are_met_in_chunks(spark, monkeypatch):
     same(run(spark, fixes, points, slots), naive.detect(fixes, points, slots, set(), CFG))
 
 
-def test_stream_equals_batch(spark, tmp_path):
-    fixes, points, slots = random_world(5)
-    positions, tp, sl = frames(spark, fixes, points, slots)
-    want = run(spark, fixes, points, slots)
+def streamed(spark, folder, parts, points, slots, cfg=CFG):
+    """Events of one batch for each part, and the state rows of both steps after each batch."""
+    positions, tp, sl = frames(spark, parts[0], points, slots)
     lines = detect.trip_lines(tp).stored()
-    # One file per stretch of time, the last one far ahead so that timers fire.
-    end = max(f["timestamp"] for f in fixes) + timedelta(days=1)
-    last = [fix(10_000, "T0", end, None, None)]
-    ordered = sorted(fixes, key=lambda f: f["timestamp"])
-    size = len(ordered) // 2 + 1
-    for part in ([ordered[j : j + size] for j in range(0, len(ordered), size)] + [[f] for f in last]):
+    for i, part in enumerate(parts):
+        # One file a batch; files are taken in the order of their times.
         batch, _, _ = frames(spark, part, points, [])
-        batch.coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
-    stream = spark.readStream.schema(positions.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
-    seen = detect.activity(positions)
+        batch.coalesce(1).write.mode("append").parquet(str(folder / "in"))
+    stream = spark.readStream.schema(positions.schema).option("maxFilesPerTrigger", 1).parquet(str(folder / "in"))
     query = (
-        stream_candidates(stream, lines, None, CFG, "1 second")
-        .writeStream.foreachBatch(settle_batch(lines, sl, lambda: seen, str(tmp_path / "events"), CFG))
-        .option("checkpointLocation", str(tmp_path / "state"))
+        stream_events(stream, lines, stored(sl, "slots"), None, cfg, "1 second")
+        .writeStream.foreachBatch(write_events(str(folder / "events")))
+        .option("checkpointLocation", str(folder / "state"))
         .trigger(availableNow=True)
         .start()
     )
-    query.awaitTermination(300)
+    query.awaitTermination(400)
     assert query.exception() is None
-    same(result(spark.read.parquet(str(tmp_path / "events"))), want)
+    rows = [tuple(o["numRowsTotal"] for o in p["stateOperators"]) for p in query.recentProgress]
+    return spark.read.parquet(str(folder / "events")), rows
+
+
+def test_stream_equals_batch(spark, tmp_path):
+    fixes, points, slots = random_world(5)
+    want = run(spark, fixes, points, slots)
+    # The last file is far ahead so that timers fire.
+    end = max(f["timestamp"] for f in fixes) + timedelta(days=1)
+    ordered = sorted(fixes, key=lambda f: f["timestamp"])
+    size = len(ordered) // 3 + 1
+    parts = [ordered[j : j + size] for j in range(0, len(ordered), size)] + [[fix(10_000, "T0", end, None, None)]]
+    events, _ = streamed(spark, tmp_path, parts, points, slots)
+    same(result(events), want)
+
+
+def test_state_stays_level_over_ten_days_of_new_trips(spark, tmp_path):
+    """Trips that never report again leave no state behind; the events are those of the batch job."""
+    fixes, points, slots, parts = [], [], [], []
+    for day in range(10):
+        trip = f"T{day}"
+        own = line(trip)
+        points += own
+        slots += [dict(route_id="R1", stop_id=p["stop_id"], arrival_secs=p["arrival_secs"], trip_id=trip) for p in own]
+        lats = [39.7300, 39.7301, 39.7325, 39.7370, 39.7420, 39.7465, 39.7490][: 7 if day % 2 else 5]
+        parts.append(ride(own, NOON + timedelta(days=day), lats, trip=trip, first=100 * day))
+        fixes += parts[-1]
+    parts.append([fix(5000, "T9", NOON + timedelta(days=10), None, None)])
+    want = run(spark, fixes, points, slots)
+    events, rows = streamed(spark, tmp_path, parts, points, slots)
+    same(result(events), want)
+    assert len(want) > 20
+    later = rows[5:]
+    assert all(b[i] <= max(r[i] for r in rows[3:6]) for b in later for i in range(2)), rows

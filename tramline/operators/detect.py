@@ -412,13 +412,21 @@ def candidates(
     return told.select("trip_id", "c.*").drop("day", "part", "fix_time", "fix_id")
 
 
-def with_stops(found: DataFrame, lines: TripLines, cfg: DetectionConfig = DetectionConfig()) -> DataFrame:
+def with_stops(
+    found: DataFrame, lines: TripLines, cfg: DetectionConfig = DetectionConfig(), untimed: str | None = None
+) -> DataFrame:
     """Candidates with their stop, interpolated where crossed, on their service date,
-    within the delay limit."""
+    within the delay limit.
+
+    Rows of the method ``untimed`` have no stop and stay.
+    """
     stops = lines.numbered.select(
         "trip_id", "tp_no", "stop_sequence", "stop_id", "arrival_secs", F.col("dist_m").alias("tp_m")
     )
-    rows = found.join(stops, ["trip_id", "tp_no"])
+    rows = found.join(stops, ["trip_id", "tp_no"], "left" if untimed else "inner")
+    stays = F.col("method") == untimed if untimed else F.lit(False)
+    if untimed:
+        rows = rows.filter(stays | F.col("stop_id").isNotNull())
     origin, to = F.col("from"), F.col("to_proj")
     crossed = origin.isNotNull()
     share = (F.col("tp_m") - origin["proj"]) / (to - origin["proj"])
@@ -431,7 +439,7 @@ def with_stops(found: DataFrame, lines: TripLines, cfg: DetectionConfig = Detect
         }
     )
     day = service_day(F.col("actual_time"), F.col("arrival_secs"), cfg.zone)
-    rows = rows.withColumn("_day", day).filter(F.abs("_day.delay") <= cfg.max_delay)
+    rows = rows.withColumn("_day", day).filter(stays | (F.abs("_day.delay") <= cfg.max_delay))
     return rows.select(
         "trip_id", "route_id", "stop_id", "stop_sequence",
         F.col("_day.scheduled_time").alias("scheduled_time"), "actual_time",
