@@ -53,6 +53,14 @@ def mean(total: Column, count: Column) -> Column:
     return round1(ratio(total, count))
 
 
+def mean_half_even(total: Column, count: Column) -> Column:
+    """One-decimal mean of whole numbers, exact, ties to the even tenth; null for none."""
+    rest = F.pmod(total * 10, count)
+    low = ((total * 10 - rest) / count).cast("long")
+    up = (rest * 2 > count) | ((rest * 2 == count) & (F.pmod(low, F.lit(2)) == 1))
+    return F.when(count > 0, (low + up.cast("long")) / 10.0)
+
+
 def population_sd(total: Column, squares: Column, count: Column) -> Column:
     """Population standard deviation from count, sum and sum of squares."""
     avg = ratio(total, count)

@@ -74,8 +74,8 @@ def page_known_delays(
     The span goes from the page's earliest ``first`` to its latest ``last``, widened by
     ``margin`` and clamped to ``low`` and ``high``: trip ids recur every day, and another
     day's delay is not this trip's. When all rows have a route, only updates of the
-    page's routes count. A page is as large as a request asks for, so its keys are
-    broadcast, and the windows over it see no other rows.
+    page's routes count. The windows over a page see its rows only; whether its keys are
+    broadcast is left to the planner, which knows their size.
     """
     rows = W.partitionBy(F.lit(0))
     routed = F.coalesce(F.col("route_id"), F.lit("")) != ""
@@ -88,7 +88,7 @@ def page_known_delays(
     ).filter(F.coalesce(F.col("k_trip"), F.lit("")) != "").dropDuplicates(["k_trip"])
     known = closed(updates, "timestamp", low, high).filter(F.col("arrival_delay").isNotNull())
     return _newest_delay(known.join(
-        F.broadcast(keys),
+        keys,
         (F.col("trip_id") == F.col("k_trip")) & F.col("timestamp").between(F.col("k_low"), F.col("k_high"))
         & (~F.col("k_routed") | F.expr("array_contains(k_routes, route_id)"))))
 

@@ -47,65 +47,42 @@ def _distance_sq() -> Column:
     return F.when(square == 0, px * px + py * py).otherwise(cross * cross / square)
 
 
-def split_long_spans(points: DataFrame, epsilon: float, chunk: int) -> DataFrame:
-    """Give each point the span (``span``) of its shape it can be simplified in alone.
+def _cut(spans: DataFrame, epsilon: float) -> tuple[DataFrame, DataFrame]:
+    """One round over open spans: their halves, and the two ends of those that stay straight.
 
-    The rule cuts a polyline at its farthest point and goes on with both halves, so
-    halves are independent. Spans longer than ``chunk`` points are cut here, one
-    aggregate per round; ``done`` spans need no further point.
+    The rule cuts a polyline at its farthest point, the first of equals, and goes on with both
+    halves, so halves are independent. The cut point belongs to both.
     """
-    spans = points.withColumn("span", F.lit(0).cast("long")).withColumn("done", F.lit(False))
-    while True:
-        sizes = spans.filter(~F.col("done")).groupBy("shape_id", "span").agg(F.count(F.lit(1)).alias("n"))
-        long = sizes.filter(F.col("n") > chunk).select("shape_id", "span")
-        if long.isEmpty():
-            return spans
-        first, last = F.struct("seq", "lat", "lon"), F.struct("seq", "lat", "lon")
-        ends = spans.join(long, ["shape_id", "span"], "left_semi").groupBy("shape_id", "span").agg(
-            F.min(first).alias("a"), F.max(last).alias("b")
-        ).select(
-            "shape_id", "span", F.col("a.seq").alias("seq0"), F.col("a.lat").alias("lat0"),
-            F.col("a.lon").alias("lon0"), F.col("b.seq").alias("seq1"), F.col("b.lat").alias("lat1"),
-            F.col("b.lon").alias("lon1"),
-        )
-        inner = spans.join(ends, ["shape_id", "span"]).filter(
-            (F.col("seq") > F.col("seq0")) & (F.col("seq") < F.col("seq1"))
-        )
-        worst = inner.groupBy("shape_id", "span").agg(
-            F.max(F.struct(_distance_sq().alias("d"), (-F.col("seq")).alias("s"))).alias("w")
-        ).select(
-            "shape_id", "span", (-F.col("w.s")).alias("cut"),
-            (F.col("w.d") > epsilon * epsilon).alias("splits"),
-        )
-        marked = spans.join(worst, ["shape_id", "span"], "left")
-        # The cut point belongs to both halves.
-        parts = F.when(F.col("cut").isNull(), F.array(F.col("span"))).when(
-            ~F.col("splits"), F.array(F.col("span"))
-        ).when(F.col("seq") < F.col("cut"), F.array(F.col("span"))).when(
-            F.col("seq") > F.col("cut"), F.array(F.col("cut"))
-        ).otherwise(F.array(F.col("span"), F.col("cut")))
-        spans = stored(
-            marked.select(
-                "shape_id", "seq", "lat", "lon", F.explode(parts).alias("span"),
-                (F.col("done") | F.coalesce(~F.col("splits"), F.lit(False))).alias("done"),
-            ),
-            "spans",
-        )
+    end = F.struct("seq", "lat", "lon")
+    ends = spans.groupBy("shape_id", "span").agg(F.min(end).alias("a"), F.max(end).alias("b")).select(
+        "shape_id", "span", F.col("a.seq").alias("seq0"), F.col("a.lat").alias("lat0"), F.col("a.lon").alias("lon0"),
+        F.col("b.seq").alias("seq1"), F.col("b.lat").alias("lat1"), F.col("b.lon").alias("lon1"))
+    inner = spans.join(ends, ["shape_id", "span"]).filter((F.col("seq") > F.col("seq0")) & (F.col("seq") < F.col("seq1")))
+    worst = inner.groupBy("shape_id", "span").agg(
+        F.max(F.struct(_distance_sq().alias("d"), (-F.col("seq")).alias("s"))).alias("w")
+    ).select("shape_id", "span", (-F.col("w.s")).alias("cut"), (F.col("w.d") > epsilon * epsilon).alias("splits"))
+    halves = F.when(F.col("seq") < F.col("cut"), F.array("span")).when(
+        F.col("seq") > F.col("cut"), F.array("cut")).otherwise(F.array("span", "cut"))
+    cut = spans.join(worst.filter("splits"), ["shape_id", "span"]).select(
+        "shape_id", "seq", "lat", "lon", F.explode(halves).alias("span"))
+    straight = ends.join(worst.filter("not splits"), ["shape_id", "span"]).select("shape_id", F.explode(F.array(
+        F.struct(F.col("seq0").alias("seq"), F.col("lat0").alias("lat"), F.col("lon0").alias("lon")),
+        F.struct(F.col("seq1").alias("seq"), F.col("lat1").alias("lat"), F.col("lon1").alias("lon")))).alias("p")).select(
+        "shape_id", "p.*")
+    return cut, straight
 
 
 def simplify_shapes(points: DataFrame, epsilon: float = EPSILON_DEG, chunk: int = CHUNK_POINTS) -> DataFrame:
     """Points that remain of each shape: shape_id, seq, lat, lon.
 
-    ``points`` has unique (shape_id, seq). Grouped per span, of which none holds
-    more than ``chunk`` points unless only its two ends stay.
+    ``points`` has unique (shape_id, seq). Spans of up to ``chunk`` points, the memory of a
+    task, are simplified each in one task. Longer ones are a frontier: a round cuts each of them
+    once and hands on their halves only, so a span is written in no round after the one it is
+    short enough in. A shape of n points has n - chunk rounds at most, and about
+    log2(n / chunk) where cuts fall near the middle.
     """
-    rows = points.select(
-        "shape_id", F.col("seq").cast("long").alias("seq"), "lat", "lon"
-    )
-    spans = split_long_spans(rows, epsilon, chunk)
-    settled = spans.filter("done").groupBy("shape_id", "span").agg(
-        F.min(F.struct("seq", "lat", "lon")).alias("a"), F.max(F.struct("seq", "lat", "lon")).alias("b")
-    ).select("shape_id", F.explode(F.array("a", "b")).alias("p")).select("shape_id", "p.*")
+    kind = points.schema["shape_id"].dataType.simpleString()
+    schema = f"shape_id {kind}, seq long, lat double, lon double"
 
     def simplify(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values("seq")
@@ -113,11 +90,22 @@ def simplify_shapes(points: DataFrame, epsilon: float = EPSILON_DEG, chunk: int
             frame = frame[keep_mask(frame[["lat", "lon"]].to_numpy(), epsilon)]
         return frame[["shape_id", "seq", "lat", "lon"]]
 
-    kind = points.schema["shape_id"].dataType.simpleString()
-    kept = spans.filter(~F.col("done")).groupBy("shape_id", "span").applyInPandas(
-        simplify, f"shape_id {kind}, seq long, lat double, lon double"
-    )
-    return kept.unionByName(settled).distinct()
+    spans = points.select("shape_id", F.col("seq").cast("long").alias("seq"), "lat", "lon", F.lit(0).cast("long").alias("span"))
+    found = []
+    while True:
+        long = spans.groupBy("shape_id", "span").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > chunk).select("shape_id", "span")
+        last = long.isEmpty()
+        short = spans if last else spans.join(long, ["shape_id", "span"], "left_anti")
+        found.append(short.groupBy("shape_id", "span").applyInPandas(simplify, schema))
+        if last:
+            break
+        spans, straight = _cut(spans.join(long, ["shape_id", "span"], "left_semi"), epsilon)
+        spans = stored(spans, "spans")
+        found.append(straight)
+    kept = found[0]
+    for more in found[1:]:
+        kept = kept.unionByName(more)
+    return kept.distinct()
 
 
 def shapes_of_routes(trips: DataFrame, points: DataFrame, folders: DataFrame, routes: DataFrame) -> DataFrame:

@@ -9,11 +9,12 @@ from pyspark.sql import functions as F
 
 from tramline.config import ON_TIME_SECONDS
 from tramline.functions.bands import mode_of, natural_key, occupancy_key
-from tramline.functions.numbers import round1
-from tramline.functions.times import instant, seconds_between
+from tramline.functions.numbers import mean_half_even, round1
+from tramline.functions.times import instant, micros, seconds_between
 from tramline.operators.filters import closed, on_routes, within_window
 from tramline.operators.latest import page_known_delays
 from tramline.plans.board import count_facets
+from tramline.session import stored
 
 MAX_TRIP = dt.timedelta(hours=3)
 LIVE = dt.timedelta(seconds=90)
@@ -67,7 +68,7 @@ def trip_arrivals(events: DataFrame) -> DataFrame:
             "trip_id",
             "stop_arrival_count",
             "max_stop_sequence",
-            round1(F.try_divide(F.col("_sum").cast("double"), F.col("_n"))).alias("avg_delay_seconds"),
+            mean_half_even(F.col("_sum"), F.col("_n")).alias("avg_delay_seconds"),
             round1(F.col("_on_time") / F.col("stop_arrival_count") * 100).alias("on_time_pct"),
         )
     )
@@ -187,28 +188,61 @@ def page(trips: DataFrame, limit: int = 15, offset: int = 0) -> DataFrame:
 def page_delays(trips_page: DataFrame, updates: DataFrame, low: dt.datetime, high: dt.datetime) -> DataFrame:
     """The page with each trip's newest delay within the span of the page's trips.
 
-    The page feeds two branches and is kept in memory (it has a request's page size).
+    The page feeds two branches, so its rows (a request's page size) are written once.
     """
-    one = trips_page.persist()
+    one = stored(trips_page, "page")
     known = page_known_delays(updates, one, "start_time", "end_time", PAGE_MARGIN, low, high)
     return one.join(known, "trip_id", "left")
 
 
+def seek(rows: DataFrame, keys: list[str], after: tuple | None, limit: int) -> DataFrame:
+    """The next rows in descending order of ``keys`` (unique together) behind the row ``after``.
+
+    The first key's bound reaches the scan, and each partition hands on its best ``limit`` rows,
+    so a late page reads and sorts no more than an early one.
+    """
+    if after is not None:
+        values = [F.lit(v) if not isinstance(v, dt.datetime) else instant(v) for v in after]
+        behind = F.lit(False)
+        for i in range(len(keys) - 1, -1, -1):
+            behind = (F.col(keys[i]) < values[i]) | ((F.col(keys[i]) == values[i]) & behind)
+        rows = rows.filter(F.col(keys[0]) <= values[0]).filter(behind)
+    return rows.orderBy(*[F.desc(k) for k in keys]).limit(limit)
+
+
+def last_key(rows: DataFrame, keys: list[str]) -> tuple | None:
+    """Key of a page's last row, to seek the next page with; instants as UTC."""
+    shown = [micros(F.col(k)).alias(k) if dict(rows.dtypes)[k] == "timestamp" else F.col(k) for k in keys]
+    row = rows.orderBy(*keys).select(*shown).first()
+    if row is None:
+        return None
+    return tuple(
+        dt.datetime(1970, 1, 1, tzinfo=dt.timezone.utc) + dt.timedelta(microseconds=row[k])
+        if dict(rows.dtypes)[k] == "timestamp" else row[k] for k in keys)
+
+
 def history_page(
     positions: DataFrame, updates: DataFrame, routes: DataFrame, start: dt.datetime,
     end: dt.datetime, route_id: str | None = None, limit: int = 200, page_no: int = 1,
+    after: tuple | None = None,
 ) -> DataFrame:
-    """Stored positions of a time span, newest first, one page with names and delays."""
+    """Stored positions of a time span, newest first, one page with names and delays.
+
+    ``after`` is the (timestamp, id) of the page before (see ``last_key``); with ``page_no`` alone
+    the page is reached by seeking through the pages before it.
+    """
     rows = closed(positions, "timestamp", start, end)
     if route_id is not None:
         rows = rows.filter(F.col("route_id") == route_id)
-    newest = [F.desc("timestamp"), F.desc("id")]
-    one = rows.orderBy(*newest).offset((page_no - 1) * limit).limit(limit).persist()
+    keys = ["timestamp", "id"]
+    for _ in range(page_no - 1):
+        after = last_key(seek(rows.select(*keys), keys, after, limit), keys) or after
+    one = stored(seek(rows, keys, after, limit), "page")
     delays = page_known_delays(updates, one, "timestamp", "timestamp", LONGEST_TRIP, start, end)
     return (
         one.join(routes.select("route_id", "route_short_name"), "route_id", "left")
         .join(delays.withColumnRenamed("last_delay_seconds", "delay_seconds"), "trip_id", "left")
-        .orderBy(*newest)
+        .orderBy(*[F.desc(k) for k in keys])
     )
 
 

@@ -611,9 +611,17 @@ LEGS = """SELECT vehicle_label, trip_id, min(ts) AS start_time, max(ts) AS end_t
           FROM pos GROUP BY 1, 2 HAVING count(*) >= 10"""
 
 
+def mean_half_even(total: str, n: str) -> str:
+    """The decimal mean to one place, ties to the even tenth."""
+    rest = f"(((10 * {total}) % {n} + {n}) % {n})"
+    low = f"((10 * {total} - {rest}) // {n})"
+    return f"""CASE WHEN {n} > 0 THEN CAST({low} + CASE WHEN 2 * {rest} > {n} OR (2 * {rest} = {n} AND {low} % 2 <> 0)
+               THEN 1 ELSE 0 END AS DOUBLE) / 10 END"""
+
+
 def arrivals(source: str) -> str:
     return f"""SELECT trip_id, count(*) AS stop_arrival_count, max(stop_sequence) AS max_stop_sequence,
-        {r1('sum(delay) / CAST(count(delay) AS DOUBLE)')} AS avg_delay_seconds,
+        {mean_half_even('sum(delay)', 'count(delay)')} AS avg_delay_seconds,
         {r1('sum(CASE WHEN abs(delay) <= 300 THEN 1 ELSE 0 END) / CAST(count(*) AS DOUBLE) * 100')} AS on_time_pct
         FROM {source} GROUP BY 1"""
 
