@@ -428,3 +428,127 @@ def test_rebuild_judges_what_it_wrote(spark, tmp_path):
     sinks.rebuild_events(live.filter("id > 2"), live, str(tmp_path / "v"))
     sinks.rebuild_events(live.filter("id > 4"), live, str(tmp_path / "v"), force=True)
     assert {r.id for r in sinks.current_events(spark, str(tmp_path / "v")).collect()} == set(range(10))
+
+
+def test_distances_along_many_blocks(spark, monkeypatch):
+    monkeypatch.setattr(timetable, "SEQUENCE_BLOCK", 4)
+    rng = random.Random(12)
+    rows = []
+    for trip in ("A", "B", "C"):
+        seqs = sorted(rng.sample(range(60), 1 if trip == "C" else 23))
+        rows += [(trip, s, 39.7 + rng.random() / 50, -104.9 + rng.random() / 50) for s in seqs]
+    df = spark.createDataFrame(rows, "trip_id string, stop_sequence int, stop_lat double, stop_lon double")
+    got = {(r.trip_id, r.stop_sequence): r for r in timetable.with_distance(df).collect()}
+    assert len(got) == len(rows)
+
+    def metres(a, b):
+        import math
+        f, g = math.radians(a[2]), math.radians(b[2])
+        h = math.sin((g - f) / 2) ** 2 + math.cos(f) * math.cos(g) * math.sin(math.radians(b[3] - a[3]) / 2) ** 2
+        return 2 * 6_371_000 * math.asin(math.sqrt(h))
+
+    for trip in ("A", "B", "C"):
+        own, total = [r for r in rows if r[0] == trip], 0.0
+        for i, row in enumerate(own):
+            told = got[row[:2]]
+            before = metres(own[i - 1], row) if i else None
+            after = metres(row, own[i + 1]) if i + 1 < len(own) else None
+            total += before or 0.0
+            assert told.hop_prev == (pytest.approx(before) if i else None)
+            assert told.hop_next == (pytest.approx(after) if after is not None else None)
+            assert told.dist_m == pytest.approx(total)
+
+
+def test_terminals_by_cell_equal_all_distances(spark):
+    """Also across the date line and around a pole."""
+    import math
+    rng = random.Random(13)
+    spots = [(39.7, -105.0), (10.0, 179.999), (-20.0, -179.9995), (89.9985, 20.0), (-89.9999, -100.0), (0.001, 0.001)]
+    stops, vehicles, n = [], [], 0
+    for lat, lon in spots:
+        for _ in range(25):
+            n += 1
+            near = lambda v, w=0.006: v + rng.uniform(-w, w)
+            wrap = lambda v: (v + 180) % 360 - 180
+            wide = 0.006 / max(0.02, math.cos(math.radians(lat)))
+            stops.append((f"S{n}", max(-90.0, min(90.0, near(lat))), wrap(near(lon, wide))))
+            vehicles.append((f"V{n}", "T", f"R{n % 2}", max(-90.0, min(90.0, near(lat))), wrap(near(lon, wide)), f"S{n}" if n % 50 == 0 else None))
+    terminals = [(f"R{i % 2}", s[0]) for i, s in enumerate(stops)]
+    got = {r.vehicle for r in alerts.at_terminal(
+        spark.createDataFrame(vehicles, "vehicle string, trip_id string, route_id string, latitude double, longitude double, stop_id string"),
+        spark.createDataFrame([], "trip_id string, first_stop_id string, last_stop_id string"),
+        spark.createDataFrame(terminals, "route_id string, stop_id string"),
+        spark.createDataFrame(stops, "stop_id string, stop_lat double, stop_lon double"), 300.0).collect()}
+
+    def metres(a, b, c, d):
+        f, g = math.radians(a), math.radians(c)
+        h = math.sin((g - f) / 2) ** 2 + math.cos(f) * math.cos(g) * math.sin(math.radians(d - b) / 2) ** 2
+        return 2 * 6_371_000 * math.asin(math.sqrt(min(1.0, h)))
+
+    where = {s[0]: s[1:] for s in stops}
+    want = {v[0] for v in vehicles for r, t in terminals if r == v[2] and (
+        v[5] == t or (0.0 not in where[t] and metres(v[3], v[4], *where[t]) < 300))}
+    assert got == want and 10 < len(want) < len(vehicles)
+
+
+def test_windows_of_a_stream_equal_the_stored_rows(spark, tmp_path):
+    from tramline.streaming import windows
+    rng = random.Random(14)
+    rows = [position(i, rng.randrange(0, 400), trip_id=f"T{rng.randrange(4)}", vehicle_id=f"V{rng.randrange(5)}",
+                     route_id=f"R{rng.randrange(2)}") for i in range(150)]
+    rows.sort(key=lambda r: r[-1])
+    last = [position(999, -3000)]
+    for part in (rows[:70], rows[70:], last, [position(1000, -3001)]):
+        positions(spark, part).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stored_rows = spark.read.parquet(str(tmp_path / "in"))
+    for build in (windows.active_in_window, windows.latest_in_window, windows.trip_sessions):
+        stream = spark.readStream.schema(stored_rows.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+        query = build(stream).writeStream.format("parquet").option("path", str(tmp_path / build.__name__)).option(
+            "checkpointLocation", str(tmp_path / f"c-{build.__name__}")).trigger(availableNow=True).start()
+        query.awaitTermination(200)
+        assert query.exception() is None
+        key = "until" if build is not windows.trip_sessions else "last_seen"
+        done = F.col(key) < F.lit(NOW + dt.timedelta(minutes=2000))
+        shown = lambda df: sorted(map(str, df.filter(done).collect()))
+        got, want = shown(spark.read.parquet(str(tmp_path / build.__name__))), shown(build(stored_rows))
+        assert got == want and len(want) > 10
+
+
+def test_a_poll_landed_twice_counts_once(spark, tmp_path):
+    polls = [[position(i, 10 - p, vehicle_id=f"V{i}") for i in range(5)] for p in range(3)]
+    for part in (polls[0], polls[1], polls[1], polls[2], polls[0]):
+        positions(spark, part).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    schema = spark.read.parquet(str(tmp_path / "in")).schema
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    once = ingest.facts_once(stream, ["vehicle_id", "latitude", "longitude", "timestamp"], lateness="30 minutes")
+    query = once.writeStream.foreachBatch(ingest.append_poll(str(tmp_path / "out"), {
+        "positions": lambda b: b, "labels": lambda b: b.select("route_id", "vehicle_label", "timestamp")})).option(
+        "checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
+    query.awaitTermination(200)
+    assert query.exception() is None
+    for table in ("positions", "labels"):
+        assert ingest.committed(spark, str(tmp_path / "out"), table).count() == 15
+    assert ingest.commits(spark, str(tmp_path / "nothing")).isEmpty()
+
+
+def test_seek_reads_behind_the_key_only(spark):
+    rows = positions(spark, [position(i, i // 3) for i in range(100)])
+    keys, after, seen = ["timestamp", "id"], None, []
+    while True:
+        page = explorer.seek(rows, keys, after, 7)
+        got = page.collect()
+        if not got:
+            break
+        seen += [r.id for r in got]
+        after = explorer.last_key(page, keys)
+    want = sorted(range(100), key=lambda i: (i // 3, -i))
+    assert seen == want
+
+
+def test_decimal_mean_rounds_half_to_even(spark):
+    from decimal import ROUND_HALF_EVEN, Decimal
+    from tramline.functions.numbers import mean_half_even
+    pairs = [(1, 4), (3, 4), (-1, 4), (-3, 4), (5, 20), (15, 100), (25, 100), (0, 3), (-7, 3), (10**12 + 1, 8)]
+    rows = spark.createDataFrame(pairs + [(0, 0)], "s long, n long").select("s", "n", mean_half_even(F.col("s"), F.col("n")).alias("m")).collect()
+    for r in rows:
+        assert r.m == (None if r.n == 0 else float((Decimal(r.s) / r.n).quantize(Decimal("0.1"), ROUND_HALF_EVEN)))

@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tramline.config import DEFAULT_COLOR, WEEKDAYS
 from tramline.functions.geo import haversine_m
 from tramline.functions.numbers import round1
 from tramline.functions.times import hour_minute
-from tramline.operators.blocks import bracket, range_block, running_total
+from tramline.operators.blocks import range_block
 
 MIN_GAP_M = 150.0
 SEQUENCE_BLOCK = 1000
@@ -59,25 +59,37 @@ def stop_list(stop_times: DataFrame, stops: DataFrame, trip_id: str | None = Non
 
 def with_distance(points: DataFrame) -> DataFrame:
     """Add ``dist_m``, the straight-line distance along the trip's timepoints, and the
-    hops ``hop_prev`` / ``hop_next`` to its neighbours (null at the ends)."""
-    block = range_block(F.col("stop_sequence"), SEQUENCE_BLOCK)
-    here = F.struct("stop_lat", "stop_lon")
+    hops ``hop_prev`` / ``hop_next`` to its neighbours (null at the ends).
 
-    def hop(name: str) -> Column:
-        other = F.col(name)
-        return haversine_m(
-            other["stop_lat"], other["stop_lon"], F.col("stop_lat"), F.col("stop_lon")
-        )
+    One walk: a window per block of sequence numbers gives the neighbours and the distance
+    inside the block; a row for each block carries its ends and its length to the others.
+    """
+    part = ["trip_id", "_block"]
+    rows = points.withColumn("_block", range_block(F.col("stop_sequence"), SEQUENCE_BLOCK)).repartition(*part)
+    inside = Window.partitionBy(*part).orderBy("stop_sequence")
+    along = Window.partitionBy("trip_id").orderBy("_block")
+    here = F.struct("stop_lat", "stop_lon")
 
-    hops = (
-        bracket(points, ["trip_id"], ["stop_sequence"], block, here)
-        .withColumn("hop_prev", hop("prev_sample"))
-        .withColumn("hop_next", hop("next_sample"))
-        .drop("prev_sample", "next_sample")
-    )
-    return running_total(
-        hops, ["trip_id"], ["stop_sequence"], block,
-        {"dist_m": F.coalesce("hop_prev", F.lit(0.0))},
+    def hop(other: Column, place: Column) -> Column:
+        return haversine_m(other["stop_lat"], other["stop_lon"], place["stop_lat"], place["stop_lon"])
+
+    rows = rows.withColumns({"_here": here, "_before": F.lag(here).over(inside), "_after": F.lead(here).over(inside)})
+    rows = rows.withColumn("_hop", hop(F.col("_before"), F.col("_here")))
+    blocks = rows.groupBy(*part).agg(
+        F.min_by("_here", "stop_sequence").alias("_first"), F.max_by("_here", "stop_sequence").alias("_last"),
+        F.sum("_hop").alias("_length"))
+    blocks = blocks.select(
+        *part, "_first", "_length", F.lag("_last").over(along).alias("_from"), F.lead("_first").over(along).alias("_to"),
+        F.lag("_length").over(along).alias("_behind"))
+    gap = F.coalesce(hop(F.col("_from"), F.col("_first")), F.lit(0.0))
+    blocks = blocks.select(*part, "_from", "_to", F.sum(F.coalesce("_behind", F.lit(0.0)) + gap).over(along).alias("_offset"))
+    so_far = inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    rows = rows.withColumn("_local", F.sum(F.coalesce("_hop", F.lit(0.0))).over(so_far)).join(blocks, part)
+    return rows.select(
+        *points.columns,
+        F.coalesce("_hop", hop(F.col("_from"), F.col("_here"))).alias("hop_prev"),
+        hop(F.coalesce("_after", "_to"), F.col("_here")).alias("hop_next"),
+        (F.col("_offset") + F.col("_local")).alias("dist_m"),
     )
 
 
