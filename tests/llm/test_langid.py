@@ -1,3 +1,8 @@
+import math
+import random
+
+import numpy as np
+
 from llm_helpers import PROSE, odd_rows, plain
 from tramline.llm import langid
 from tramline.llm.catalog import QUERIES
@@ -31,6 +36,51 @@ def test_distant_text_is_rejected(spark):
     assert list(out) == [True, True, True, False] and names[1:3] == ["und", "und"] and scores[1] == 0
 
 
+UNLEARNED = {
+    "fi": "Kaikki ihmiset syntyvät vapaina ja tasavertaisina arvoltaan ja oikeuksiltaan. Heille on annettu järki ja omatunto, "
+          "ja heidän on toimittava toisiaan kohtaan veljeyden hengessä.",
+    "pl": "Wszyscy ludzie rodzą się wolni i równi pod względem swej godności i swych praw. Są oni obdarzeni rozumem i "
+          "sumieniem i powinni postępować wobec innych w duchu braterstwa.",
+    "nl": "Alle mensen worden vrij en gelijk in waardigheid en rechten geboren. Zij zijn begiftigd met verstand en geweten, "
+          "en behoren zich jegens elkander in een geest van broederschap te gedragen.",
+}
+
+
+def test_unlearned_languages_and_random_letters_are_rejected(spark):
+    """In a script that was learned too; own documents stay."""
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    model = langid.fit(docs)
+    rng = random.Random(3)
+    draw = lambda letters, n: "".join(rng.choice(letters) for _ in range(n))
+    lower = "abcdefghijklmnopqrstuvwxyz"
+    junk = [*UNLEARNED.values(), *[draw(lower + "     ", n) for n in (200, 1000, 5000)],
+            *[draw(lower + lower.upper() + "0123456789+/", n) for n in (300, 3000)]]
+    assert model.judge(junk)[2].all()
+    own = [r["text"] for r in docs.filter(langid.held_out()).filter("lang is not null").select("text").collect()]
+    assert model.judge(own)[2].mean() <= 0.01
+
+
+def test_nearest_centroid_against_plain_cosines(spark):
+    """Every centroid's cosine from plain counts of n-grams; equal cosines go to the first."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    model = langid.fit(docs)
+    texts = [r["text"] for r in docs.filter("text is not null").select("text").collect()][:60]
+    names, scores, out = model.judge(texts)
+    for text, name, score, gone in zip(texts, names, scores, out):
+        grams = langid.counts(text)
+        vector = [math.log1p(int(n)) * float(w) for n, w in zip(grams, model.idf)]
+        size = math.sqrt(sum(v * v for v in vector))
+        if not size:
+            assert name == "und" and gone
+            continue
+        cosines = [sum(v * float(c) for v, c in zip(vector, row) if v) / size for row in model.centroids]
+        best = max(range(len(cosines)), key=lambda i: cosines[i])
+        assert abs(cosines[best] - score) < 1e-5
+        assert cosines[best] - max(c for c, g in zip(cosines, model.languages) if g == name) < 1e-5
+    twice = langid.Model(model.idf, ["aa", "bb"], np.stack([model.centroids[0]] * 2), np.zeros((2, langid.LENGTHS)))
+    assert twice.judge(texts[:5])[0] == ["aa"] * 5
+
+
 def test_odd_rows(spark, odd, empty, documents):
     rows = plain(QUERIES["op9_language_id"](spark, odd))
     assert len(rows) == len(odd_rows())

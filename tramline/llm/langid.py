@@ -4,7 +4,14 @@ Texts become lower-cased letters with single spaces between, their n-grams of on
 letters are hashed into ``BINS`` places, counted, damped (log), weighed by inverse document
 frequency and scaled to length one. Each language has several centroids (spherical k-means).
 A text takes the language of the centroid with the largest cosine, and is rejected when that
-cosine is under the language's limit (``REJECT`` times the low end of its training texts).
+cosine is under the limit for the language and the text's length.
+
+Limits come from a quarter of the sample that the centroids are not fitted on. Its texts are cut
+to lengths that double (``CUTS``). For each length, a cosine that all but one in a hundred
+texts stay under at the centroids of languages they are not in (``OTHERS``) tells nothing of
+a language and is the limit, unless more than ``OWN_LOST`` of the language's own cuts would
+be under it, as among a few letters. So languages that were not learned and random letters
+go, and own texts stay.
 
 Document frequencies count every training document. The centroids are fitted on a bounded
 sample: at most ``SAMPLE`` documents in all and ``PER_LANGUAGE`` of one language, chosen by a
@@ -38,7 +45,10 @@ MULTIPLIERS = (2654435761, 2246822519, 3266489917)
 SLICE = 1 << 20
 CENTROIDS, ROUNDS, LEAST_SHARE = 3, 12, 0.02   # smaller clusters are strays
 SAMPLE, PER_LANGUAGE, SEED = 4000, 400, 9
-REJECT, LOW_END = 0.3, 0.01
+OTHERS, OWN_LOST = 0.99, 0.02
+CUTS = tuple(2 ** k for k in range(3, 13))   # characters
+LENGTHS = 24   # limits by the power of two of the number of n-grams
+ALONE = 0.5    # of the own cosine, where only one language is learned
 UNKNOWN = "und"
 
 
@@ -78,16 +88,22 @@ class Model:
     idf: np.ndarray
     languages: list[str]          # of each centroid
     centroids: np.ndarray
-    limits: np.ndarray            # least cosine of each centroid's language
+    limits: np.ndarray            # least cosine of each centroid's language, by length
+
+    def measured(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """Vectors of the texts and the powers of two of their lengths."""
+        found = np.stack([counts(t) for t in texts])
+        power = np.log2(np.maximum(found.sum(axis=1), 1)).astype(np.int64)
+        return unit(np.log1p(found).astype(np.float32) * self.idf), np.minimum(power, LENGTHS - 1)
 
     def vectors(self, texts: list[str | None]) -> np.ndarray:
-        return unit(np.log1p(np.stack([counts(t) for t in texts])).astype(np.float32) * self.idf)
+        return self.measured(texts)[0]
 
     def judge(self, texts: list[str | None]) -> tuple[list[str], np.ndarray, np.ndarray]:
         """Language, cosine and whether it is rejected, for each text."""
         names, scores, out = [], np.zeros(len(texts)), np.ones(len(texts), dtype=bool)
         for at in range(0, len(texts), 256):
-            vectors = self.vectors(texts[at:at + 256])
+            vectors, length = self.measured(texts[at:at + 256])
             some = vectors.any(axis=1)
             if not len(self.languages):
                 names += [UNKNOWN] * len(vectors)
@@ -97,7 +113,7 @@ class Model:
             score = np.clip(cosines[np.arange(len(best)), best], 0, 1)
             names += [self.languages[b] if s else UNKNOWN for b, s in zip(best, some)]
             scores[at:at + 256] = np.where(some, score, 0)
-            out[at:at + 256] = ~some | (score < self.limits[best])
+            out[at:at + 256] = ~some | (score < self.limits[best, length])
         return names, scores, out
 
 
@@ -156,33 +172,71 @@ def fit(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc
     drawn = (
         rows.join(F.broadcast(sizes), "lang")   # `sample` rows at most
         .filter(F.col("draw") < F.least(F.lit(1.0), F.lit(float(most)) / F.col("count")) * F.lit(float(1 << 60)))
-        .select("lang", "text")
+        .select("lang", "text", (F.pmod("draw", F.lit(4)) == 0).alias("apart"))
     )
-    empty = Model(idf, [], np.zeros((0, BINS), np.float32), np.zeros(0))
+    empty = Model(idf, [], np.zeros((0, BINS), np.float32), np.zeros((0, LENGTHS)))
 
     def vectorized(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column(1).to_pylist()
             if texts:
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0), pa.array([v.astype("<f4").tobytes() for v in empty.vectors(texts)])],
-                    names=["lang", "vector"])
+                    [batch.column(0), pa.array([v.astype("<f4").tobytes() for v in empty.vectors(texts)]), batch.column(2)],
+                    names=["lang", "vector", "apart"])
 
-    got: dict[str, list[bytes]] = {}
-    for row in drawn.mapInArrow(vectorized, "lang string, vector binary").collect():
-        got.setdefault(row["lang"], []).append(bytes(row["vector"]))
-    languages, centres, limits = [], [], []
+    got: dict[str, dict[bool, list[bytes]]] = {}
+    for row in drawn.mapInArrow(vectorized, "lang string, vector binary, apart boolean").collect():
+        got.setdefault(row["lang"], {False: [], True: []})[row["apart"]].append(bytes(row["vector"]))
+    languages, centres = [], []
     for name in sorted(got):
-        points = np.stack([np.frombuffer(v, dtype="<f4") for v in sorted(got[name])])
-        points = points[points.any(axis=1)]
-        if len(points):
-            own = clustered(points)
-            languages += [name] * len(own)
-            centres.append(own)
-            limits += [REJECT * float(np.quantile((points @ own.T).max(axis=1), LOW_END))] * len(own)
+        for held in (got[name][False], got[name][True]):   # a language of a few texts has only others
+            points = np.array([np.frombuffer(v, dtype="<f4") for v in sorted(held)]).reshape(-1, BINS)
+            points = points[points.any(axis=1)]
+            if len(points):
+                own = clustered(points)
+                languages += [name] * len(own)
+                centres.append(own)
+                break
     if not centres:
         return empty
-    return Model(idf, languages, np.concatenate(centres).astype(np.float32), np.array(limits))
+    model = Model(idf, languages, np.concatenate(centres).astype(np.float32), np.zeros((len(languages), LENGTHS)))
+    model.limits = limits(model, drawn.filter("apart").select("lang", "text"))
+    return model
+
+
+def cuts(text: str) -> list[str]:
+    """The text and parts of it of all lengths, from its start and from its middle."""
+    return [text, *[text[at:at + n] for n in CUTS if n < len(text) for at in {0, (len(text) - n) // 2}]]
+
+
+def limits(model: Model, apart: DataFrame) -> np.ndarray:
+    """Least cosine of each centroid's language by length, from texts (lang, text) it was not fitted on."""
+    names = np.array(model.languages)
+
+    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for name, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                vectors, length = model.measured(cuts(text))
+                cosines = vectors @ model.centroids.T
+                best = lambda some: cosines[:, some].max(axis=1, initial=0.0).astype(np.float64)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([name] * len(length)), pa.array(length), pa.array(best(names == name)), pa.array(best(names != name))],
+                    names=["lang", "length", "own", "other"])
+
+    found = apart.mapInArrow(measure, "lang string, length bigint, own double, other double").filter("own > 0").collect()
+    out = np.zeros((len(names), LENGTHS))
+    lang, length = np.array([r["lang"] for r in found]), np.array([r["length"] for r in found], np.int64)
+    own, other = np.array([r["own"] for r in found]), np.array([r["other"] for r in found])
+    alone = len(set(names)) == 1
+    for k in range(LENGTHS if len(found) else 0):
+        # Of lengths that no cut has, the nearest that one has.
+        nearest = length[np.abs(length - k).argmin()]
+        wrong = np.quantile(other[length == nearest], OTHERS)
+        for name in set(names):
+            mine = own[(length == nearest) & (lang == name)]
+            least = np.quantile(mine, OWN_LOST) if len(mine) else wrong
+            out[names == name, k] = ALONE * least if alone else min(wrong, least)
+    return out
 
 
 def predict(docs: DataFrame, model: Model, text: str = "text",
