@@ -130,3 +130,36 @@ def test_frequent_gram_with_contexts_of_one_side(spark, documents):
         texts |= {200 + i: fresh(60) + gram + right + fresh(40), 400 + i: fresh(40) + left + gram + fresh(60)}
     rows = exactly(spark, documents, {k: " ".join(t) for k, t in texts.items()})
     assert {1, 2} <= {r["doc_id"] for r in rows}
+
+
+def test_second_way_gives_the_same(spark, documents, monkeypatch):
+    """Grams of more entries than MOST are counted by window."""
+    rng = random.Random(11)
+    fresh = lambda n: " ".join(f"o{rng.randrange(10**6)}" for _ in range(n))
+    blocks = [fresh(n) for n in (50, 57, 120)]
+    texts = {i: " ".join([fresh(rng.randint(0, 40)), rng.choice(blocks), fresh(20), rng.choice(blocks)]) for i in range(60)}
+    rows = exactly(spark, documents, texts)
+    match = suffixes.match_blocks
+
+    def none_whole(batches):
+        suffixes.MOST = 0
+        return match(batches)
+
+    monkeypatch.setattr(suffixes, "match_blocks", none_whole)
+    again = plain(suffixes.passages(spark.createDataFrame(list(texts.items()), "doc_id bigint, text string")))
+    assert again == rows
+
+
+def test_neighbours_against_all_pairs():
+    rng = np.random.default_rng(8)
+    grid = rng.integers(0, 3, (150, 7)).astype(np.uint64)
+    docs = rng.integers(0, 20, 150)
+    told = np.zeros(grid.shape, np.int64)
+    for i in range(150):
+        for c in range(7):
+            for j in np.flatnonzero(docs != docs[i]):
+                n = 0
+                while c + n < 7 and grid[i, c + n] == grid[j, c + n] != 0:
+                    n += 1
+                told[i, c] = max(told[i, c], n)
+    assert (suffixes.longest_elsewhere(grid, docs) == told).all()

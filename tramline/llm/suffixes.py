@@ -1,17 +1,24 @@
-"""Repeated passages by sparse suffixes.
+"""Repeated passages by sparse suffix arrays.
 
 Texts are words, lower-cased in A-Z. In every stretch (window) of ``LEAST`` words the ``GRAM``
 words with the least hash are kept (minimisers, the first of equals): the choice follows the
-content, so equal windows keep the same suffix. A kept suffix carries the hashes of the
-windows it was kept for. Suffixes whose first gram stands in one document only are dropped;
-of the others, each window's hash is grouped over all documents, and windows that two
-documents or more hold are repeated. No number of copies, in one document or in many, and no
-other context of the same gram takes a window out of that comparison. Windows that overlap or
-touch are joined into passages.
+content, so equal windows keep the same suffix in the same place. A kept suffix carries the
+hashes of the windows it was kept for, so its context on both sides as far as it matters. Like
+suffixes of one document are one entry with all their places and take up one place among the
+neighbours. Suffixes whose first gram stands in one document only are dropped.
 
-Grams and windows are 64-bit hashes; equal hashes count as equal words. Counts per gram and
-per window are combined before the shuffle, so a gram or window that very many rows hold is
-one row of each task.
+A task gets whole grams, sorted. There the suffixes of a gram are extended to the left word by
+word, from no context to all of it, and at each step sorted by what stands from there to the
+right; each is compared with its neighbours, the nearest ones before and after it that are of
+other documents, and extended to the right as far as the better one agrees. In that order no
+other document can agree further, so no match is missed. Windows that match are joined into
+passages where they overlap or touch.
+
+Grams with more than ``MOST`` entries, and grams whose entries lie in more than one task, are
+left to a second way that is as exact and holds no group together: their windows' hashes are
+grouped over all documents, combined before the shuffle.
+
+Grams are 64-bit hashes and windows 48-bit ones within a gram; equal hashes count as equal words.
 
 Defined cases: null, empty and shorter texts have no passages; documents without an id take
 no part; rows that share an id are no partners of each other, and show the union of their
@@ -31,13 +38,21 @@ from pyspark.sql.window import Window as W
 
 from tramline.llm import shingles
 from tramline.llm.common import kept, table
+from tramline.llm.relative_lz import listed
 from tramline.llm.shingles import PLACES, mixed
 
 LEAST, GRAM = 50, 10
 CHUNK = 1 << 18
 
-GRAMS = "gram bigint, doc_id bigint"
-SUFFIXES = "gram bigint, doc_id bigint, start bigint, windows array<bigint>"
+SHARED = LEAST - GRAM + 1       # places a gram can have in a window
+MOST = 4096
+ROWS_A_BLOCK = 1 << 16
+HASH_BYTES = 6
+NOBODY = np.iinfo(np.int64).max
+
+GRAMS = "gram bigint, doc_id bigint, n bigint, entries bigint"
+SUFFIXES = "gram bigint, doc_id bigint, ahead int, windows binary, times bigint, ats array<bigint>"
+FOUND = "doc_id bigint, ats array<bigint>, size bigint, partner bigint, gram bigint, windows binary"
 
 
 def minimisers(grams: np.ndarray) -> np.ndarray:
@@ -69,63 +84,212 @@ def suffixes_of(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray,
     return grams[places], places, starts, summed(grams, LEAST // GRAM, GRAM)
 
 
+def entries_of(hashes: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Unlike suffixes of one text: gram, places, number of windows, first window's place in ``held``
+    and all its places (sorted by suffix, with their ends); and the windows' hashes."""
+    grams, places, starts, held = suffixes_of(hashes)
+    sizes = np.diff(starts, append=len(held))
+    step = np.arange(len(held)) - np.repeat(starts, sizes)
+    whole = np.add.reduceat(mixed(held + step.astype(np.uint64) * shingles.BASE), starts)
+    order = np.lexsort((starts, whole))
+    new = np.flatnonzero(np.concatenate([[True], np.diff(whole[order].view(np.int64)) != 0]))
+    first = order[new]
+    return grams[first], places[first] - starts[first], sizes[first], starts[first], starts[order], np.append(new, len(order)), held
+
+
 def suffix_rows(batches: Iterator[pa.RecordBatch], windows: bool) -> Iterator[pa.RecordBatch]:
-    """Kept suffixes: gram and document, and with ``windows`` their windows from ``start``."""
+    """A document's unlike suffixes (SUFFIXES) or, without ``windows``, how often its grams head one (GRAMS)."""
     for batch in batches:
         for part in shingles.slices(batch, 1, 1 << 21):
             values, offsets = shingles.buffers(part.column(1))
             hashed, row = shingles.word_hashes(values, offsets)
             first = np.concatenate([[0], np.cumsum(np.bincount(row, minlength=len(part)))])
-            out: list[list] = [[], [], [], []]
-            sizes = []
+            out: list[tuple] = []
             for i, key in enumerate(part.column(0).to_pylist()):
-                if key is not None and first[i + 1] - first[i] >= LEAST:
-                    grams, _, starts, held = suffixes_of(hashed[first[i]:first[i + 1]])
-                    if not windows:
-                        grams = np.unique(grams)
-                    out[0].append(grams.view(np.int64))
-                    out[1].append(np.full(len(grams), key, dtype=np.int64))
-                    out[2].append(starts)
-                    out[3].append(held.view(np.int64))
-                    sizes.append(np.diff(starts, append=len(held)))
-            if out[0]:
-                columns = [pa.array(np.concatenate(c)) for c in out[:2]]
+                if key is None or first[i + 1] - first[i] < LEAST:
+                    continue
+                grams, ahead, sizes, at, ats, ends, held = entries_of(hashed[first[i]:first[i + 1]])
+                times = np.diff(ends)
                 if windows:
-                    ends = np.concatenate([[0], np.cumsum(np.concatenate(sizes))]).astype(np.int32)
-                    columns += [pa.array(np.concatenate(out[2]).astype(np.int64)),
-                                pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(out[3])))]
-                yield pa.RecordBatch.from_arrays(columns, names=["gram", "doc_id", "start", "windows"][:len(columns)])
+                    packed = held[np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes - at, sizes)]
+                    out.append((grams, np.full(len(grams), key), ahead, sizes, packed, times, ats))
+                else:
+                    named, of, entries = np.unique(grams, return_inverse=True, return_counts=True)
+                    out.append((named, np.full(len(named), key), np.bincount(of, times).astype(np.int64), entries))
+            if not out:
+                continue
+            columns = [np.concatenate(c) for c in zip(*out)]
+            if not windows:
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(columns[0].view(np.int64)), *[pa.array(c.astype(np.int64)) for c in columns[1:]]],
+                    names=["gram", "doc_id", "n", "entries"])
+                continue
+            grams, docs, ahead, sizes, packed, times, ats = columns
+            short = np.ascontiguousarray(packed.view(np.uint8).reshape(-1, 8)[:, :HASH_BYTES])
+            ends = np.concatenate([[0], np.cumsum(sizes)]) * HASH_BYTES
+            held = pa.Array.from_buffers(pa.large_binary(), len(sizes), [
+                None, pa.py_buffer(ends.astype(np.int64)), pa.py_buffer(short)])
+            yield pa.RecordBatch.from_arrays([
+                pa.array(grams.view(np.int64)), pa.array(docs.astype(np.int64)), pa.array(ahead.astype(np.int32)),
+                held.cast(pa.binary()), pa.array(times.astype(np.int64)),
+                listed(pa.array(ats.astype(np.int64)), np.concatenate([[0], np.cumsum(times)]))],
+                names=["gram", "doc_id", "ahead", "windows", "times", "ats"])
+
+
+def agreed(grid: np.ndarray, a: np.ndarray, b: np.ndarray, place: int) -> np.ndarray:
+    """How many places on from ``place`` rows a and b have the same windows."""
+    run, pair = np.zeros(len(a), np.int8), np.arange(len(a))
+    for k in range(place, grid.shape[1]):
+        pair = pair[(grid[a[pair], k] == grid[b[pair], k]) & (grid[a[pair], k] != 0)]
+        if not len(pair):
+            break
+        run[pair] += 1
+    return run
+
+
+def longest_elsewhere(grid: np.ndarray, docs: np.ndarray) -> np.ndarray:
+    """For each row and place, how many places on from there a row of another document agrees.
+
+    Rows are sorted by what stands from the place on. The further two rows are apart in that
+    order the less they agree, so the nearest rows of other documents on both sides decide.
+    """
+    longest = np.zeros(grid.shape, np.int8)
+    rank = np.zeros(len(grid), np.int64)
+    for c in range(grid.shape[1] - 1, -1, -1):
+        order = np.lexsort((docs, rank, grid[:, c]))
+        a, b = order[:-1], order[1:]
+        new = np.concatenate([[True], (grid[a, c] != grid[b, c]) | (rank[a] != rank[b])])
+        rank = rank.copy()
+        rank[order] = np.cumsum(new)
+        # Neighbours of the same document are a run; the rows beside the run are of others.
+        runs = np.flatnonzero(np.concatenate([[True], docs[a] != docs[b]]))
+        sizes = np.diff(runs, append=len(order))
+        before, after = np.repeat(runs - 1, sizes), np.repeat(runs + sizes, sizes)
+        for beside in (before, after):
+            there = np.flatnonzero((beside >= 0) & (beside < len(order)))
+            own = order[there]
+            longest[own, c] = np.maximum(longest[own, c], agreed(grid, own, order[beside[there]], c))
+    return longest
+
 
+def partners(windows: np.ndarray, docs: np.ndarray) -> np.ndarray:
+    """For each window the least other document that has it; NOBODY if none has."""
+    _, of = np.unique(windows, return_inverse=True)
+    least, second = (np.full(int(of.max(initial=-1)) + 1, NOBODY) for _ in range(2))
+    np.minimum.at(least, of, docs)
+    other = docs != least[of]
+    np.minimum.at(second, of[other], docs[other])
+    return np.where(other, least[of], second[of])
 
-def in_two(rows: DataFrame, by: str) -> DataFrame:
-    """Values of ``by`` that two documents or more hold, and the least of these."""
-    held = rows.groupBy(by).agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most"))
-    return held.filter(F.col("least") < F.col("most")).select(by, "least")
+
+def match_block(block: pa.RecordBatch, whole: np.ndarray) -> pa.RecordBatch:
+    """Spans of the suffixes in ``whole``; the other suffixes as they are, for the second way."""
+    own, rest = block.filter(pa.array(whole)), block.filter(pa.array(~whole))
+    packed = own.column("windows").cast(pa.large_binary())
+    _, offsets, data = packed.buffers()
+    ends = np.frombuffer(offsets, np.int64)[packed.offset:packed.offset + len(packed) + 1]
+    hashes = np.zeros(((ends[-1] - ends[0]) // HASH_BYTES, 8), np.uint8)
+    hashes[:, :HASH_BYTES] = np.frombuffer(data or b"", np.uint8)[ends[0]:ends[-1]].reshape(-1, HASH_BYTES)
+    sizes = np.diff(ends) // HASH_BYTES
+    begin = np.cumsum(sizes) - sizes
+    # The gram stands in one column: left context grows with the places before it.
+    first = SHARED - 1 - own.column("ahead").to_numpy().astype(np.int64)
+    docs = own.column("doc_id").to_numpy()
+    # The upper bits number the gram from 1 (a block has fewer grams than these count); 0 is no window.
+    grams = np.unique(own.column("gram").to_numpy(), return_inverse=True)[1].astype(np.uint64) + np.uint64(1)
+    of = np.repeat(np.arange(len(own)), sizes)
+    ids = hashes.view(np.uint64)[:, 0] | grams[of] << np.uint64(8 * HASH_BYTES)
+    grid = np.zeros((len(own), SHARED), np.uint64)
+    grid[of, np.arange(len(ids)) - np.repeat(begin - first, sizes)] = ids
+    longest = longest_elsewhere(grid, docs)
+    partner = partners(ids, docs[of])
+    rows, place, end = np.arange(len(own)), first.copy(), first + sizes
+    out: list[tuple] = []
+    while len(rows):
+        n = longest[rows, place].astype(np.int64)
+        out.append((rows[n > 0], place[n > 0], n[n > 0]))
+        place = place + np.maximum(n, 1)
+        on = place < end[rows]
+        rows, place = rows[on], place[on]
+    row, place, n = (np.concatenate(x) for x in zip(*out)) if out else (np.zeros(0, np.int64),) * 3
+    at = begin[row] + place - first[row]
+    bounds = np.stack([at, at + n], axis=1).ravel()
+    least = np.minimum.reduceat(np.append(partner, NOBODY), bounds)[::2] if len(row) else np.zeros(0, np.int64)
+    ats = own.column("ats").take(pa.array(row))
+    moved = ats.flatten().to_numpy() + np.repeat(place - first[row], np.diff(ats.offsets.to_numpy()))
+    return pa.RecordBatch.from_arrays([
+        pa.concat_arrays([pa.array(docs[row]), rest.column("doc_id")]),
+        pa.concat_arrays([listed(pa.array(moved), ats.offsets.to_numpy() - ats.offsets[0].as_py()), rest.column("ats")]),
+        pa.concat_arrays([pa.array(n + LEAST - 1), pa.nulls(len(rest), pa.int64())]),
+        pa.concat_arrays([pa.array(least), pa.nulls(len(rest), pa.int64())]),
+        *[pa.concat_arrays([pa.nulls(len(row), c.type), c]) for c in (rest.column("gram"), rest.column("windows"))]],
+        names=["doc_id", "ats", "size", "partner", "gram", "windows"])
+
+
+def match_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Compares suffixes (SUFFIXES, n, entries) in blocks of whole grams, as they come sorted by gram."""
+    held: list[pa.RecordBatch] = []
+
+    def done(block: pa.RecordBatch) -> pa.RecordBatch:
+        grams, of = np.unique(block.column("gram").to_numpy(), return_inverse=True)
+        there = np.bincount(of, block.column("times").to_numpy(), len(grams)).astype(np.int64)
+        return match_block(block, there[of] == block.column("n").to_numpy())
+
+    for batch in batches:
+        many = batch.column("entries").to_numpy() > MOST
+        if many.any():
+            yield match_block(batch.filter(pa.array(many)), np.zeros(int(many.sum()), bool))
+            batch = batch.filter(pa.array(~many))
+        held.append(batch)
+        if sum(map(len, held)) >= ROWS_A_BLOCK:
+            block = pa.concat_batches(held)
+            grams = block.column("gram").to_numpy()
+            cut = int(np.flatnonzero(grams != grams[-1])[-1]) + 1 if (grams != grams[-1]).any() else 0
+            held = [block.slice(cut)]
+            if cut:
+                yield done(block.slice(0, cut))
+    if sum(map(len, held)):
+        yield done(pa.concat_batches(held))
+
+
+def counted_spans(rest: DataFrame) -> DataFrame:
+    """The second way, for suffixes (doc_id, ats, gram, windows): windows that two documents hold."""
+    windows = rest.select("doc_id", "ats", "gram", F.posexplode(F.transform(
+        F.sequence(F.lit(0), F.expr(f"cast(octet_length(windows) div {HASH_BYTES} as int) - 1")),
+        lambda i: F.substring("windows", i * HASH_BYTES + 1, HASH_BYTES))).alias("on", "window"))
+    by = ["gram", "window"]
+    shared = windows.groupBy(*by).agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).filter("least < most")
+    hits = kept(windows.join(shared.select(*by, "least"), by), "windows")
+    # The least holder's partner is the next one.
+    second = hits.filter(F.col("doc_id") != F.col("least")).groupBy(*by).agg(F.min("doc_id").alias("partner"))
+    spans = hits.filter(F.col("doc_id") == F.col("least")).join(second, by).select("doc_id", "ats", "on", "partner").unionByName(
+        hits.filter(F.col("doc_id") != F.col("least")).select("doc_id", "ats", "on", F.col("least").alias("partner")))
+    return spans.select(
+        "doc_id", F.transform("ats", lambda at: at + F.col("on")).alias("ats"), F.lit(LEAST).cast("bigint").alias("size"), "partner")
 
 
 def passages(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
     """(doc_id, start, stop, n_words, partner): repeated stretches of words (from 0, end
     exclusive), not overlapping, and the least other document that holds a part of each."""
     rows = docs.select(F.col(key).cast("bigint").alias("doc_id"), F.col(text).alias("text"))
-    grams = in_two(rows.mapInArrow(lambda b: suffix_rows(b, False), GRAMS), "gram")
-    suffixes = kept(
-        rows.mapInArrow(lambda b: suffix_rows(b, True), SUFFIXES)
-        .join(grams, "gram", "left_semi").select("doc_id", "start", "windows"), "suffixes")
-    windows = suffixes.select("doc_id", "start", F.posexplode("windows").alias("at", "window")).select(
-        "doc_id", (F.col("start") + F.col("at")).alias("start"), "window")
-    hits = kept(windows.join(in_two(windows, "window"), "window"), "windows")
-    # The least holder's partner is the next one.
-    second = hits.filter(F.col("doc_id") != F.col("least")).groupBy("window").agg(F.min("doc_id").alias("partner"))
-    matches = hits.filter(F.col("doc_id") == F.col("least")).join(second, "window").select(
-        "doc_id", "start", "partner").unionByName(
-        hits.filter(F.col("doc_id") != F.col("least")).select("doc_id", "start", F.col("least").alias("partner")))
-    order = W.partitionBy("doc_id").orderBy("start")
-    new = F.coalesce(F.col("start") > F.lag("start").over(order) + LEAST, F.lit(True))
+    shared = rows.mapInArrow(lambda b: suffix_rows(b, False), GRAMS).groupBy("gram").agg(
+        F.sum("n").alias("n"), F.sum("entries").alias("entries"), F.min("doc_id").alias("least"), F.max("doc_id").alias("most"),
+    ).filter("least < most").select("gram", "n", "entries")
+    # A merge join brings each gram's suffixes sorted into one task; skewed ones may be split.
+    found = kept(
+        rows.mapInArrow(lambda b: suffix_rows(b, True), SUFFIXES).join(shared.hint("shuffle_merge"), "gram")
+        .mapInArrow(match_blocks, FOUND), "matches")
+    spans = found.filter("windows is null").select("doc_id", "ats", "size", "partner").unionByName(
+        counted_spans(found.filter("windows is not null").select("doc_id", "ats", "gram", "windows")))
+    matches = spans.select("doc_id", F.explode("ats").alias("start"), "size", "partner").select(
+        "doc_id", "start", (F.col("start") + F.col("size")).alias("stop"), "partner")
+    order = W.partitionBy("doc_id").orderBy("start", "stop")
+    new = F.coalesce(F.col("start") > F.max("stop").over(order.rowsBetween(W.unboundedPreceding, -1)), F.lit(True))
     return (
         matches.withColumn("new", new.cast("int"))
-        .withColumn("passage", F.sum("new").over(order))
+        .withColumn("passage", F.sum("new").over(order.rowsBetween(W.unboundedPreceding, W.currentRow)))
         .groupBy("doc_id", "passage")
-        .agg(F.min("start").alias("start"), (F.max("start") + LEAST).alias("stop"), F.min("partner").alias("partner"))
+        .agg(F.min("start").alias("start"), F.max("stop").alias("stop"), F.min("partner").alias("partner"))
         .select("doc_id", "start", "stop", (F.col("stop") - F.col("start")).alias("n_words"), "partner")
     )
 
