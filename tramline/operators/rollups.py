@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from tramline.config import OCCUPANCY_COUNTERS
 from tramline.functions.times import instant
+from tramline.session import stored
 
 
 @dataclass(frozen=True)
@@ -213,7 +214,7 @@ def refresh_rollup(raw: DataFrame, spec: RollupSpec, path: str, now: dt.datetime
     first = floor_to(now - spec.start_offset, "day")
     last = floor_to(now - spec.end_offset, spec.unit)
     rows = since(raw, first).filter(F.col("timestamp") < instant(last))
-    fresh = spec.build(rows)
+    fresh = stored(spec.build(rows), "fresh")   # written and asked for its days: the same rows
     (
         by_bucket_day(fresh).write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
@@ -233,15 +234,15 @@ def refresh_rollup(raw: DataFrame, spec: RollupSpec, path: str, now: dt.datetime
 
 
 def with_live_tail(
-    stored: DataFrame, raw: DataFrame, spec: RollupSpec, watermark: dt.datetime
+    kept: DataFrame, raw: DataFrame, spec: RollupSpec, watermark: dt.datetime
 ) -> DataFrame:
     """Stored buckets before the watermark, fresh ones from the raw rows after it.
 
     The watermark is moved back to a bucket start so no bucket is split.
     """
     edge = floor_to(watermark, spec.unit)
-    old = stored.filter(F.col("bucket") < instant(edge))
-    if "bucket_date" in stored.columns:
+    old = kept.filter(F.col("bucket") < instant(edge))
+    if "bucket_date" in kept.columns:
         old = old.filter(F.col("bucket_date") <= F.lit(edge.date())).drop("bucket_date")
     return old.unionByName(spec.build(since(raw, edge)))
 

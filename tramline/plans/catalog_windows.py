@@ -1,4 +1,5 @@
-"""Queries on look-backs, silences, live windows, keyset pages and polls committed whole.
+"""Queries on look-backs, silences, live windows, keyset pages, polls committed whole, and rollups that
+follow a log of changes.
 
 Event positions are hours apart, so windows are hours and days wide.
 """
@@ -9,10 +10,10 @@ import datetime as dt
 
 from pyspark.sql import functions as F
 
-from tramline.operators import latest
+from tramline.operators import invalidation, latest, rollups
 from tramline.plans import alerts, explorer
 from tramline.plans import standins as data
-from tramline.plans.catalog import DAY, STUCK, WINDOW, query
+from tramline.plans.catalog import DAY, NOW, STUCK, WINDOW, query
 from tramline.plans.catalog_feeds import fresh
 from tramline.streaming import ingest, windows
 
@@ -104,3 +105,24 @@ def _(spark, folder):
             F.lit(name).alias("fact"), F.col("poll").cast("long").alias("poll"), "rows", "id_sum")
         out = rows if out is None else out.unionByName(rows)
     return out
+
+
+@query("rollup_invalidated")
+def _(spark, folder):
+    """A rollup after late rows of some old days came in; only their buckets are of the second version."""
+    spec, root = rollups.ROLLUPS["trip_ontime_hourly"], fresh(spark, "invalidated")
+    raw = data.timed_events(spark, folder)
+    late = F.pmod("id", F.lit(10)) == 0
+    old = F.col("timestamp") < F.lit(dt.datetime(2024, 1, 4, tzinfo=dt.timezone.utc))
+    for batch, rows in enumerate((raw.filter(~late), raw.filter(late & old))):
+        invalidation.log_changes(rows, spec, root, batch)
+        there = raw.filter(~late | (F.lit(batch == 1) & old))
+        invalidation.refresh_changed(there, spec, root, NOW)
+    return invalidation.current(spark, root)
+
+
+@query("rollup_backfill")
+def _(spark, folder):
+    """The first build, over the ninety days before a later day."""
+    spec = rollups.ROLLUPS["trip_ontime_hourly"]
+    return rollups.build_rollup(data.timed_events(spark, folder), spec, dt.datetime(2024, 4, 15, 6, 30, tzinfo=dt.timezone.utc))

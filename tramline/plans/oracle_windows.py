@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from tramline.plans.catalog import STUCK
-from tramline.plans.oracle import haversine, sql
+from tramline.plans.oracle import BANDS, haversine, sql
 
 SQL: dict[str, str] = {}
 
@@ -81,6 +81,19 @@ SQL["poll_append_rows"] = """
     SELECT fact, event_id % 3 AS poll, count(*) AS rows, CAST(sum(event_id) AS BIGINT) AS id_sum
     FROM events, (VALUES ('positions'), ('updates'), ('arrivals')) f(fact)
     WHERE event_id % 3 < 2 GROUP BY 1, 2"""
+SQL["rollup_invalidated"] = sql(
+    f"""SELECT route_id, bucket, {BANDS}, max(CASE WHEN touched THEN 2 ELSE 1 END)::BIGINT AS version FROM (
+          SELECT *, max(late) OVER (PARTITION BY bucket) AS touched FROM (
+            SELECT *, id % 10 = 0 AS late, date_trunc('hour', ts) AS bucket FROM evd
+            WHERE (id % 10 <> 0 OR ts < TIMESTAMP '2024-01-04') AND ts < TIMESTAMP '2024-01-30 23:00:00'))
+        GROUP BY route_id, bucket""",
+    "evd",
+)
+SQL["rollup_backfill"] = sql(
+    f"""SELECT route_id, date_trunc('hour', ts) AS bucket, {BANDS} FROM evd
+        WHERE ts >= TIMESTAMP '2024-01-16 06:00:00' GROUP BY 1, 2""",
+    "evd",
+)
 SQL["shape_simplify"] = """
 WITH RECURSIVE points AS (
   SELECT CAST(user_id AS VARCHAR) AS shape_id, event_id AS seq,
