@@ -36,8 +36,8 @@ from tramline.functions.times import (
     shift,
     wall_seconds,
 )
-from tramline.operators.blocks import range_block, walk
-from tramline.operators.timetable import SEQUENCE_BLOCK
+from tramline.operators.blocks import range_block
+from tramline.operators.timetable import numbered
 from tramline.session import stored
 
 GEOFENCE, SEGMENT = "geofence", "segment"
@@ -72,11 +72,8 @@ class TripLines:
 
 def trip_lines(points: DataFrame) -> TripLines:
     """``points``: trip_id, stop_sequence, stop_id, arrival_secs, stop_lat, stop_lon, dist_m."""
-    around = walk(
-        points, ["trip_id"], ["stop_sequence"], range_block(F.col("stop_sequence"), SEQUENCE_BLOCK),
-        F.struct("stop_lat", "stop_lon", "dist_m"), {"tp_no": F.lit(1)},
-    ).withColumn("tp_no", F.col("tp_no").cast("int"))
     place = F.struct("stop_lat", "stop_lon", "dist_m")
+    around = numbered(points, place)
     end = F.struct("stop_sequence", "arrival_secs", "stop_lat", "stop_lon", "dist_m")
     heads = around.groupBy("trip_id").agg(
         F.max("tp_no").alias("n_tp"),

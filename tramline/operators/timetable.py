@@ -93,6 +93,25 @@ def with_distance(points: DataFrame) -> DataFrame:
     )
 
 
+def numbered(points: DataFrame, place: Column) -> DataFrame:
+    """Add ``tp_no``, a trip's timepoints from 1, and ``prev_sample`` / ``next_sample``, the ``place``
+    of its neighbours. One walk, as in ``with_distance``."""
+    part = ["trip_id", "_block"]
+    rows = points.withColumn("_block", range_block(F.col("stop_sequence"), SEQUENCE_BLOCK)).repartition(*part)
+    inside = Window.partitionBy(*part).orderBy("stop_sequence")
+    along = Window.partitionBy("trip_id").orderBy("_block")
+    rows = rows.withColumn("_place", place).withColumns({
+        "_no": F.row_number().over(inside), "_before": F.lag("_place").over(inside), "_after": F.lead("_place").over(inside)})
+    blocks = rows.groupBy(*part).agg(
+        F.count(F.lit(1)).alias("_rows"), F.min_by("_place", "stop_sequence").alias("_first"),
+        F.max_by("_place", "stop_sequence").alias("_last")).select(
+        *part, F.lag("_last").over(along).alias("_from"), F.lead("_first").over(along).alias("_to"),
+        (F.sum("_rows").over(along) - F.col("_rows")).alias("_offset"))
+    return rows.join(blocks, part).select(
+        *points.columns, (F.col("_offset") + F.col("_no")).cast("int").alias("tp_no"),
+        F.coalesce("_before", "_from").alias("prev_sample"), F.coalesce("_after", "_to").alias("next_sample"))
+
+
 def drop_close_neighbours(points: DataFrame, min_gap_m: float = MIN_GAP_M) -> DataFrame:
     """Drop inner timepoints too close to a neighbour, measured before any is dropped.
 
