@@ -36,6 +36,39 @@ def test_supplied_documents(spark):
     assert marked and not any(r["kept"] for r in marked)
 
 
+def test_bands_against_plain_quartiles(spark):
+    """Kept exactly where the logarithm lies in the band of the language, or of all languages if it is small."""
+    rng = np.random.default_rng(4)
+    rows = [(i, lang, False, int(rng.integers(50, 5000)), float(rng.normal(2 + 0.5 * (lang == "b"), 0.2) + 9 * (i % 41 == 0)))
+            for i, lang in enumerate(["a"] * 300 + ["b"] * 200 + ["c"] * 12)]
+    rows += [(900, "a", True, 100, 2.0), (901, "c", False, 0, None)]
+    got = {r["doc_id"]: r["kept"] for r in quality.judged(spark.createDataFrame(
+        rows, "doc_id int, lang string, base_failed boolean, chars long, log_perplexity double")).collect()}
+
+    def quartiles(some):
+        some = sorted(some)
+        return [some[max(0, -(-len(some) * k // 4) - 1)] for k in (1, 2, 3)]
+
+    known = [(lang, p) for _, lang, failed, _, p in rows if not failed and p is not None]
+    bands = {lang: quartiles([p for g, p in known if g == lang]) for lang in "ab"}
+    bands["c"] = quartiles([p for _, p in known])
+    for key, lang, failed, chars, p in rows:
+        low, middle, high = bands[lang]
+        room = quality.WIDTH * max(1e-3, (high - low) / 1.349) * (1 + quality.SHORT / max(chars, 1)) ** 0.5
+        assert got[key] == (not failed and (p is None or abs(p - middle) <= room)), key
+    assert sum(got.values()) < len(rows) - 2
+
+
+def test_numbers_are_no_prose(spark):
+    """Lists of random numbers lie outside the band of a language."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang")
+    rng = np.random.default_rng(6)
+    numbers = [(10**6 + i, " ".join(str(x) for x in rng.integers(0, 10**6, 400)), lang) for i, lang in enumerate(["en", "de"] * 3)]
+    rows = docs.unionByName(spark.createDataFrame(numbers, docs.schema))
+    got = {r["doc_id"]: r["kept"] for r in quality.judged(quality.scored(rows, quality.trained(rows))).collect()}
+    assert not any(got[k] for k, *_ in numbers)
+
+
 def test_odd_rows(spark, odd, empty):
     rows = plain(QUERIES["op7_quality"](spark, odd))
     assert len(rows) == len(odd_rows())

@@ -1,9 +1,10 @@
 r"""Quality rules: plain counts of a text, and a perplexity band for its language.
 
 The language model is a modified Kneser-Ney model of character 4-grams for each language.
-Characters fall into 64 classes, so a language has 2**24 grams at most: that bounds the model
-whatever the size of the corpus. Spark counts the grams of all documents that pass the plain
-rules and simple character rules; estimates are kept as sorted arrays of gram codes with
+Characters fall into 64 classes (letters, digits and marks apart, capitals in 8, letters beyond
+ASCII in 13), so a language has 2**24 grams at most: that bounds the model whatever the size
+of the corpus. Spark counts the grams of all documents that pass the plain rules and simple
+character rules over their whole texts; estimates are kept as sorted arrays of gram codes with
 their values, looked up by binary search.
 
 Each document gets its perplexity per character. For each language, quartiles over all
@@ -12,8 +13,8 @@ is rejected when it is more than ``WIDTH`` spreads above or below the middle. Th
 widened for short texts, by sqrt(1 + SHORT / characters).
 
 Defined cases: null and empty texts have no words and fail; a null language is a language of
-its own; languages with fewer than ``LEAST_DOCUMENTS`` passing documents have no band and
-reject nothing by perplexity; texts of any length are counted whole; repeated rows count
+its own; languages with fewer than ``LEAST_DOCUMENTS`` passing documents have the band of all
+languages together (none, if those have fewer either); texts of any length are counted whole; repeated rows count
 each; an empty table gives no rows; other columns are not looked at.
 """
 
@@ -35,6 +36,7 @@ from tramline.llm.shingles import mixed
 LEAST_WORDS, MOST_REPEATED = 50, (50, 100)
 ORDER, BITS = 4, 6
 CLASSES = 1 << BITS
+DIGIT, CAPITAL, OTHER, BEYOND = 27, 37, 50, 51   # first class of each kind
 WIDTH, SHORT, LEAST_DOCUMENTS = 8.0, 2000, 30
 SYMBOLS, CAPITALS = 0.05, 0.3      # largest shares of characters in texts that are learned from
 SYMBOL_BYTES = b"#*$%&|<>"
@@ -104,21 +106,28 @@ def plain_counts(column: pa.Array) -> dict[str, np.ndarray]:
 @functools.lru_cache(maxsize=1)
 def classes() -> np.ndarray:
     """Class of each character below 2**16; larger ones are looked up by their low half."""
-    out = np.full(1 << 16, 59, dtype=np.int32)
+    out = np.full(1 << 16, OTHER, dtype=np.int32)
     for c in range(128, 1 << 16):
         if chr(c).isalpha():
-            out[c] = 60 + (c * 2654435761 >> 7) % 4
+            out[c] = BEYOND + (c * 2654435761 >> 7) % (CLASSES - BEYOND)
         elif chr(c).isspace():
             out[c] = 0
     for i in range(26):
-        out[97 + i], out[65 + i] = 1 + i, 27 + i
-    out[48:58] = 53
-    for text, code in ((" \t\n\r\v\f", 0), (".", 54), (",", 55), ("!?", 56), (";:'\"-()", 57), ("#*$%&|<>", 58)):
+        out[97 + i], out[65 + i] = 1 + i, CAPITAL + i % 8
+    out[48:58] = DIGIT + np.arange(10)
+    for text, code in ((" \t\n\r\v\f", 0), (".", 45), (",", 46), ("!?", 47), (";:'\"-()", 48), ("#*$%&|<>", 49)):
         for c in text:
             out[ord(c)] = code
     return out
 
 
+@functools.lru_cache(maxsize=1)
+def kinds() -> tuple[np.ndarray, np.ndarray]:
+    """Of characters below 2**16: capitals, and letters or white space."""
+    shown = [chr(c) for c in range(1 << 16)]
+    return np.array([c.isupper() for c in shown]), np.array([c.isalpha() or c.isspace() for c in shown])
+
+
 def grams(text: str) -> Iterator[np.ndarray]:
     """Codes of the 4-grams of a text (runs of white space as one), slice by slice."""
     carry = np.zeros(ORDER - 1, dtype=np.int32)
@@ -141,9 +150,13 @@ def grams(text: str) -> Iterator[np.ndarray]:
 def learned_from(text: str | None, failed: bool) -> bool:
     if failed or not text:
         return False
-    letters = sum(map(str.isupper, text[::7]))
-    plain = sum(c.isalpha() or c.isspace() for c in text[::7])
-    return letters <= CAPITALS * len(text[::7]) and plain >= (1 - SYMBOLS - 0.05) * len(text[::7])
+    capitals = plain = 0
+    for at in range(0, len(text), SLICE):
+        codes = np.frombuffer(text[at:at + SLICE].encode("utf-32-le", "surrogatepass"), dtype="<u4")
+        low = codes[codes < 1 << 16]
+        capitals += int(kinds()[0][low].sum())
+        plain += int(kinds()[1][low].sum()) + len(codes) - len(low)
+    return capitals <= CAPITALS * len(text) and plain >= (1 - SYMBOLS - 0.05) * len(text)
 
 
 def gram_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -290,16 +303,21 @@ def scored(docs: DataFrame, models: dict[str, Model], text: str = "text", lang:
 def judged(scores: DataFrame) -> DataFrame:
     """Adds each language's band and ``kept``."""
     quartiles = F.percentile_approx("log_perplexity", [0.25, 0.5, 0.75], 10_000)
-    bands = (
-        scores.filter(~F.col("base_failed") & F.col("log_perplexity").isNotNull()).groupBy("lang")
-        .agg(quartiles.alias("q"), F.count(F.lit(1)).alias("known"))
-        .filter(F.col("known") >= LEAST_DOCUMENTS)
-        .select("lang", F.col("q")[1].alias("middle"),
-                F.greatest((F.col("q")[2] - F.col("q")[0]) / 1.349, F.lit(1e-3)).alias("spread"))
-    )
+    known = scores.filter(~F.col("base_failed") & F.col("log_perplexity").isNotNull())
+
+    def band(rows: DataFrame, *names: str) -> DataFrame:
+        middle, spread = names[-2:]
+        return rows.filter(F.col("known") >= LEAST_DOCUMENTS).select(
+            *names[:-2], F.col("q")[1].alias(middle), F.greatest((F.col("q")[2] - F.col("q")[0]) / 1.349, F.lit(1e-3)).alias(spread))
+
+    own = band(known.groupBy("lang").agg(quartiles.alias("q"), F.count(F.lit(1)).alias("known")), "lang", "middle", "spread")
+    every = band(known.agg(quartiles.alias("q"), F.count(F.lit(1)).alias("known")), "all_middle", "all_spread").first()
+    pooled = [F.lit(x).cast("double") for x in (every or (None, None))]
+    rows = scores.join(own, "lang", "left").withColumns({
+        "middle": F.coalesce("middle", pooled[0]), "spread": F.coalesce("spread", pooled[1])})
     room = F.lit(WIDTH) * F.col("spread") * F.sqrt(1 + F.lit(SHORT) / F.greatest("chars", F.lit(1)))
     inside = F.col("log_perplexity").between(F.col("middle") - room, F.col("middle") + room)
-    return scores.join(bands, "lang", "left").withColumn(
+    return rows.withColumn(
         "kept", ~F.col("base_failed") & F.coalesce(inside, F.lit(True)))
 
 
