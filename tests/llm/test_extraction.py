@@ -81,3 +81,25 @@ def test_odd_rows(spark, tmp_path):
     got = plain(QUERIES["op3_html_extraction"](spark, f"{tmp_path}/a"))
     assert len(got) == len(rows) and {r["text"] for r in got if r["page_id"] == 1} == {""}
     assert plain(QUERIES["op3_html_extraction"](spark, f"{tmp_path}/b")) == []
+
+
+def test_depth_and_class_names_don_t_hide_containers(spark):
+    """A page below hundreds of elements with many class words is extracted as the page itself."""
+    chain = extraction.trained(spark.read.parquet("/root/testdata/sf0.01/pages.parquet"))
+    inner = PAGE.split("<body>")[1]
+    plain_text = extraction.main_text(PAGE, chain)[0]
+    for depth in (10, 210, 3000):
+        deep = "<html><body>" + "<div>" * depth + inner + "</div>" * depth
+        assert extraction.main_text(deep, chain)[0] == plain_text, depth
+    utility = " ".join(f"px-{w}" for w in ("flex", "grid", "gap", "mt", "mb", "round", "shadow", "font", "text", "bg", "hover", "focus", "lg", "md"))
+    nested = lambda tag, word: (f'<{tag} class="{word} {utility}">' + f'<div class="{utility}">' * 3)
+    found = dom.blocks(nested("div", "comments") + "<p>One <b><i><u><em><a href=x><span>linked words</span></a></em></u></i></b></p>")
+    assert "comments" in found[0].tokens and found[0].linked == len("linked words") and "div" in found[0].tags
+
+
+def test_scanner_is_linear_in_depth():
+    for page in ("<div>" * 200_000 + "x", "<b>" * 100_000 + "<p>x" * 20_000, "<div><p>x</div>" * 50_000, "</div>" * 300_000,
+                 "".join(f"<div class=c{'abcdefgh'[i % 8]}>" for i in range(100_000)) + "x"):
+        began = time.process_time()
+        dom.blocks(page)
+        assert time.process_time() - began < 10

@@ -28,21 +28,37 @@ WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 @dataclasses.dataclass
 class Block:
     text: str
-    tags: tuple[str, ...]          # open elements, outermost first
-    tokens: tuple[str, ...]        # words of their classes, ids and roles
+    leaf: str                      # the innermost open element
+    tags: frozenset[str]           # all open elements
+    tokens: frozenset[str]         # words of their classes, ids and roles
     linked: int                    # characters inside links
     parent: int = 0                # number of the element that holds it, paragraphs and the like aside
     label: int | None = None       # of the nearest element that carries one, in training pages
 
 
+@dataclasses.dataclass(frozen=True)
+class Element:
+    """An open element, with what holds for all that is inside it, so no block looks up its ancestors."""
+
+    name: str
+    tags: frozenset[str] = frozenset()
+    tokens: frozenset[str] = frozenset()
+    links: int = 0                 # open links
+    parent: int = 0                # number of the nearest element that is no piece of one
+    label: int | None = None
+
+
+OUTSIDE = Element("")
+
+
 class Scanner:
     def __init__(self, page: str):
         self.page = page
-        self.stack: list[tuple[str, tuple[str, ...], int | None]] = []
+        self.stack: list[Element] = []
+        self.open_names: dict[str, int] = {}
         self.parts: list[str] = []
         self.linked = 0
         self.blocks: list[Block] = []
-        self.numbers: list[int] = []         # of the open elements
         self.opened = 0
         self.missing: dict[str, int] = {}    # strings not found from some place on
 
@@ -55,32 +71,34 @@ class Scanner:
             self.missing[what] = at
         return found
 
+    @property
+    def inside(self) -> Element:
+        return self.stack[-1] if self.stack else OUTSIDE
+
     def flush(self) -> None:
         text = " ".join("".join(self.parts).split())
         if text:
-            label = next((x for _, _, x in reversed(self.stack) if x is not None), None)
-            depth = len(self.stack)
-            while depth and self.stack[depth - 1][0] in PIECES:
-                depth -= 1
-            self.blocks.append(Block(
-                text, tuple(n for n, _, _ in self.stack),
-                tuple(w for _, words, _ in self.stack for w in words), self.linked,
-                self.numbers[depth - 1] if depth else 0, label))
+            of = self.inside
+            self.blocks.append(Block(text, of.name, of.tags, of.tokens, self.linked, of.parent, of.label))
         self.parts, self.linked = [], 0
 
     def say(self, text: str) -> None:
         if text:
             plain = html.unescape(text) if "&" in text else text
             self.parts.append(plain)
-            if any(n == "a" for n, _, _ in self.stack[-4:]):
+            if self.inside.links:
                 self.linked += len(plain.strip())
 
     def pop_to(self, name: str, walls: tuple[str, ...] | frozenset = ()) -> None:
+        if not self.open_names.get(name):
+            return
         for i in range(len(self.stack) - 1, -1, -1):
-            if self.stack[i][0] == name:
-                del self.stack[i:], self.numbers[i:]
+            if self.stack[i].name == name:
+                for element in self.stack[i:]:
+                    self.open_names[element.name] -= 1
+                del self.stack[i:]
                 return
-            if self.stack[i][0] in walls:
+            if self.stack[i].name in walls:
                 return
 
     def tag_end(self, at: int) -> int:
@@ -103,12 +121,13 @@ class Scanner:
         if name in SIBLINGS:
             for sibling in ("td", "th") if name in ("td", "th") else ("dt", "dd") if name in ("dt", "dd") else (name,):
                 self.pop_to(sibling, SIBLINGS[name])
-        words = tuple(w.lower() for m in TOKENS.finditer(attributes) for w in WORDS.findall(m[1] or m[2] or m[3] or "")[:12])
-        label = LABEL.search(attributes)
-        if len(self.stack) < 200:
-            self.opened += 1
-            self.stack.append((name, words, int(label[1]) if label else None))
-            self.numbers.append(self.opened)
+        words = frozenset(w.lower() for m in TOKENS.finditer(attributes) for w in WORDS.findall(m[1] or m[2] or m[3] or ""))
+        label, of = LABEL.search(attributes), self.inside
+        self.opened += 1
+        self.open_names[name] = self.open_names.get(name, 0) + 1
+        self.stack.append(Element(
+            name, of.tags if name in of.tags else of.tags | {name}, of.tokens if words <= of.tokens else of.tokens | words,
+            of.links + (name == "a"), of.parent if name in PIECES else self.opened, int(label[1]) if label else of.label))
 
     def run(self) -> list[Block]:
         page, at = self.page, 0
@@ -140,8 +159,7 @@ class Scanner:
             elif name not in INLINE:
                 self.flush()
             if closing:
-                if any(n == name for n, _, _ in self.stack):
-                    self.pop_to(name)
+                self.pop_to(name)
             elif name in RAW and not page.endswith("/>", mark, end):
                 close = re.compile(rf"</{re.escape(name)}[\s/>]", re.I).search(page, end) if self.missing.get("/" + name) is None else None
                 if close is None:

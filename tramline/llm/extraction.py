@@ -10,7 +10,9 @@ It is trained on labelled pages: about ``PAGES`` pages of the corpus (twice as m
 ``<article>``, whose blocks it labels, and ``COMPOSED`` pages composed from the texts of those
 in layouts of many kinds (other containers, menus, sidebars, notices, adverts, forms, reader
 comments), some of them with text in every part. So tags help where they are and text and
-class words decide where they are not.
+class words decide where they are not. Pages of the sample have under ``LONGEST_PAGE`` characters,
+and the chain learns from the first ``LONGEST`` blocks of each, with the features they have in
+the whole page; extraction has no such bounds, neither of blocks nor of depth or class words.
 
 Defined cases: a null or empty page has no text; a page without blocks of main text gives an
 empty string; unclosed tags, comments, scripts and quotes end with the page and cost linear
@@ -21,6 +23,7 @@ result are replaced, all others stay.
 
 from __future__ import annotations
 
+import functools
 import random
 import re
 import zlib
@@ -35,7 +38,7 @@ from tramline.llm import crf, dom
 from tramline.llm.common import drawn, table
 
 PAGES, COMPOSED, SEED = 150, 450, 3
-LONGEST = 80            # blocks of a page to learn from
+LONGEST, LONGEST_PAGE = 80, 200_000   # blocks of a page to learn from, and characters of such a page
 SIZE = 1 << 12          # places for hashed features
 KINDS = 2               # steps within one parent, and to another
 
@@ -54,6 +57,11 @@ def bucket(n: float, limits: tuple) -> int:
     return sum(n > x for x in limits)
 
 
+@functools.lru_cache(maxsize=1 << 16)
+def place(name: str) -> int:
+    return zlib.crc32(name.encode()) % SIZE
+
+
 def features(found: list[dom.Block]) -> tuple[list[list[int]], list[int]]:
     rows, kinds, before = [], [], None
     mass: dict[int, int] = {}
@@ -63,12 +71,12 @@ def features(found: list[dom.Block]) -> tuple[list[list[int]], list[int]]:
     for i, b in enumerate(found):
         words, low = b.text.split(" "), b.text.lower()
         share = b.linked / len(b.text)
-        names = {f"in:{t}" for t in b.tags[-12:]} | {f"word:{t}" for t in b.tokens[-16:]}
+        names = {f"in:{t}" for t in b.tags} | {f"word:{t}" for t in b.tokens}
         names |= {
-            "any", f"leaf:{b.tags[-1] if b.tags else ''}", f"words:{bucket(len(words), (1, 2, 4, 8, 16, 32, 64))}",
+            "any", f"leaf:{b.leaf}", f"words:{bucket(len(words), (1, 2, 4, 8, 16, 32, 64))}",
             f"links:{bucket(share, (0, 0.3, 0.8))}", f"stops:{bucket(len(re.findall('[.!?,;]', b.text)), (0, 1, 3))}",
             f"ends:{b.text[-1] in '.!?:;…”\"'}", f"first:{bucket(i, (0, 2, 5))}", f"last:{bucket(len(found) - 1 - i, (0, 1, 3))}",
-            f"near:{bucket(len(b.text), (40, 150))}:{b.tags[-1] if b.tags and b.tags[-1] in INSIDE else ''}",
+            f"near:{bucket(len(b.text), (40, 150))}:{b.leaf if b.leaf in INSIDE else ''}",
         }
         names |= {f"mass:{bucket(mass[b.parent] / whole, (0.1, 0.3, 0.5, 0.8))}", f"most:{mass[b.parent] == most}"}
         if len(words) < 40:
@@ -76,7 +84,7 @@ def features(found: list[dom.Block]) -> tuple[list[list[int]], list[int]]:
         for tag in ("nav", "footer", "aside", "form", "header", "article", "main", "section"):
             if tag in b.tags:
                 names.add(f"{tag}+{bucket(len(words), (4, 20))}")
-        rows.append([zlib.crc32(n.encode()) % SIZE for n in sorted(names)])
+        rows.append([place(n) for n in sorted(names)])
         kinds.append(int(b.parent == before))
         before = b.parent
     return rows, kinds
@@ -167,23 +175,24 @@ def labelled(pages: list[str]) -> list[tuple[list[dom.Block], list[int]]]:
         found = dom.blocks(page)
         if len(re.findall("<article", page, re.I)) == 1 and found:
             marks = [int("article" in b.tags) for b in found]
-            out.append((found[:LONGEST], marks[:LONGEST]))
+            out.append((found, marks))
             texts += [b.text for b, m in zip(found, marks) if m]
             links += [b.text for b, m in zip(found, marks) if not m and b.linked]
     rng = random.Random(SEED)
     texts = sorted(set(texts)) or [invented(rng, 20) for _ in range(50)]
     links = sorted(set(links)) or [invented(rng, 2) for _ in range(20)]
     for _ in range(COMPOSED):
-        found = dom.blocks(composed(rng, texts, links))[:LONGEST]
+        found = dom.blocks(composed(rng, texts, links))
         out.append((found, [b.label or 0 for b in found]))
     return out
 
 
 def trained(pages: DataFrame, html: str = "html", key: str = "page_id", most: int = PAGES) -> crf.Chain:
-    fit_for_it = pages.filter(F.col(html).isNotNull() & (F.char_length(html) < 200_000))
+    fit_for_it = pages.filter(F.col(html).isNotNull() & (F.char_length(html) < LONGEST_PAGE))
     some = drawn(fit_for_it, key, SEED, most).select(F.col(html).alias("html")).collect()
     rows = labelled(sorted(r["html"] for r in some))
-    return crf.fit([(*features(found), marks) for found, marks in rows], SIZE, KINDS)
+    some = [(*features(found), marks) for found, marks in rows]     # of whole pages, then cut
+    return crf.fit([tuple(x[:LONGEST] for x in row) for row in some], SIZE, KINDS)
 
 
 def main_text(page: str | None, chain: crf.Chain) -> tuple[str, int, int]:
