@@ -22,6 +22,7 @@ QUERIES = {
 }
 
 SQL = {
+    "op4_suffix_passages": suffixes.SQL,
     "op5_chat_format": chat.SQL,
     "op6_mix_sources": mixing.SQL,
     "op8_partenum_join": partenum.SQL,

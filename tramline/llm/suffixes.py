@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from tramline.llm import shingles
-from tramline.llm.common import kept, table
+from tramline.llm.common import WORD, kept, table
 from tramline.llm.relative_lz import listed
 from tramline.llm.shingles import PLACES, mixed
 
@@ -296,3 +296,32 @@ def passages(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFr
 
 def op4_suffix_passages(spark, folder: str) -> DataFrame:
     return passages(table(spark, folder, "documents"))
+
+
+SQL = rf"""
+WITH texts AS MATERIALIZED (
+  SELECT row_number() OVER () AS doc, doc_id, regexp_extract_all(translate(
+    coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{WORD}') AS words
+  FROM documents WHERE doc_id IS NOT NULL
+), singles AS (
+  SELECT doc, doc_id, unnest(words) AS word, unnest(range(0, len(words))) AS place FROM texts
+), windows AS (
+  SELECT doc_id, place, md5(string_agg(word, ' ') OVER following) AS held, count(*) OVER following AS n
+  FROM singles WINDOW following AS (PARTITION BY doc ORDER BY place ROWS BETWEEN CURRENT ROW AND {LEAST - 1} FOLLOWING)
+), whole AS MATERIALIZED (
+  SELECT doc_id, place, held FROM windows WHERE n = {LEAST}
+), shared AS (
+  SELECT held, min(doc_id) AS least FROM whole GROUP BY held HAVING min(doc_id) < max(doc_id)
+), seconds AS (
+  SELECT held, min(doc_id) AS second FROM whole JOIN shared USING (held) WHERE doc_id <> least GROUP BY held
+), hits AS (
+  SELECT doc_id, place, min(CASE WHEN doc_id = least THEN second ELSE least END) AS partner
+  FROM whole JOIN shared USING (held) JOIN seconds USING (held) GROUP BY doc_id, place
+), marked AS (
+  SELECT *, CASE WHEN place <= lag(place) OVER (PARTITION BY doc_id ORDER BY place) + {LEAST} THEN 0 ELSE 1 END AS fresh FROM hits
+), passages AS (
+  SELECT *, sum(fresh) OVER (PARTITION BY doc_id ORDER BY place) AS passage FROM marked
+)
+SELECT doc_id, min(place) AS start, max(place) + {LEAST} AS stop, max(place) + {LEAST} - min(place) AS n_words, min(partner) AS partner
+FROM passages GROUP BY doc_id, passage
+"""
