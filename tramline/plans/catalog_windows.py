@@ -10,7 +10,8 @@ import datetime as dt
 
 from pyspark.sql import functions as F
 
-from tramline.operators import invalidation, latest, rollups
+from tramline.functions.bands import mode_of
+from tramline.operators import invalidation, latest, rollups, sinks
 from tramline.plans import alerts, explorer
 from tramline.plans import standins as data
 from tramline.plans.catalog import DAY, NOW, STUCK, WINDOW, query
@@ -126,3 +127,13 @@ def _(spark, folder):
     """The first build, over the ninety days before a later day."""
     spec = rollups.ROLLUPS["trip_ontime_hourly"]
     return rollups.build_rollup(data.timed_events(spark, folder), spec, dt.datetime(2024, 4, 15, 6, 30, tzinfo=dt.timezone.utc))
+
+
+@query("export_by_mode")
+def _(spark, folder):
+    """The newest positions as JSON, a folder for each mode, read back."""
+    path = fresh(spark, "modes")
+    rows = latest.latest_positions(data.positions(spark, folder)).join(data.event_routes(spark, folder), "route_id")
+    sinks.write_by_mode(rows.select(
+        mode_of(F.col("route_type")).alias("mode"), "id", "vehicle_id", "route_id", "occupancy_status"), path)
+    return spark.read.schema("id long, vehicle_id string, route_id string, occupancy_status string, mode string").json(path)

@@ -39,6 +39,13 @@ SQL["latest_position_live"] = sql(
         QUALIFY row_number() OVER (PARTITION BY vehicle_id ORDER BY ts DESC, id DESC) = 1""",
     "pos",
 )
+SQL["export_by_mode"] = sql(
+    """SELECT l.id, l.vehicle_id, l.route_id, l.occ AS occupancy_status,
+              CASE WHEN r.route_type IN ('0', '1', '2') THEN 'rail' WHEN r.route_type = '3' THEN 'bus' ELSE 'other' END AS mode
+       FROM (SELECT * FROM pos QUALIFY row_number() OVER (PARTITION BY vehicle_id ORDER BY ts DESC, id DESC) = 1) l
+       JOIN ev_routes r USING (route_id)""",
+    "pos", "ev_routes",
+)
 SQL["latest_delay_live"] = sql(
     """SELECT trip_id, arrival_delay AS delay_seconds FROM picked WHERE arrival_delay IS NOT NULL""",
     "upd",
