@@ -253,19 +253,35 @@ def match_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def counted_spans(rest: DataFrame) -> DataFrame:
-    """The second way, for suffixes (doc_id, ats, gram, windows): windows that two documents hold."""
-    windows = rest.select("doc_id", "ats", "gram", F.posexplode(F.transform(
+    """The second way, for suffixes (doc_id, ats, gram, windows): windows that two documents hold.
+
+    Each unlike suffix brings its windows once, with its least two documents; the stretches of
+    it that are shared then meet its entries.
+    """
+    like = ["gram", "windows"]
+    least = rest.groupBy(*like).agg(F.min("doc_id").alias("least"))
+    unlike = rest.join(least, like).groupBy(*like, "least").agg(
+        F.min(F.when(F.col("doc_id") != F.col("least"), F.col("doc_id"))).alias("next"))
+    held = kept(unlike.select(*like, "least", "next", F.posexplode(F.transform(
         F.sequence(F.lit(0), F.expr(f"cast(octet_length(windows) div {HASH_BYTES} as int) - 1")),
-        lambda i: F.substring("windows", i * HASH_BYTES + 1, HASH_BYTES))).alias("on", "window"))
+        lambda i: F.substring("windows", i * HASH_BYTES + 1, HASH_BYTES))).alias("on", "window")), "windows")
     by = ["gram", "window"]
-    shared = windows.groupBy(*by).agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).filter("least < most")
-    hits = kept(windows.join(shared.select(*by, "least"), by), "windows")
-    # The least holder's partner is the next one.
-    second = hits.filter(F.col("doc_id") != F.col("least")).groupBy(*by).agg(F.min("doc_id").alias("partner"))
-    spans = hits.filter(F.col("doc_id") == F.col("least")).join(second, by).select("doc_id", "ats", "on", "partner").unionByName(
-        hits.filter(F.col("doc_id") != F.col("least")).select("doc_id", "ats", "on", F.col("least").alias("partner")))
-    return spans.select(
-        "doc_id", F.transform("ats", lambda at: at + F.col("on")).alias("ats"), F.lit(LEAST).cast("bigint").alias("size"), "partner")
+    first = held.groupBy(*by).agg(F.min("least").alias("first"))
+    shared = held.join(first, by).groupBy(*by, "first").agg(F.min(
+        F.when(F.col("least") != F.col("first"), F.col("least")).otherwise(F.col("next"))).alias("second")).filter("second is not null")
+    # Windows that follow one another are a stretch; its least document, and the least one beside that.
+    place = W.partitionBy(*like).orderBy("on")
+    stretches = (
+        held.select(*like, "on", "window").join(shared, by)
+        .withColumn("stretch", F.col("on") - F.row_number().over(place)).groupBy(*like, "stretch")
+        .agg(F.min("on").alias("on"), F.count(F.lit(1)).alias("n"), F.min("first").alias("least"),
+             F.collect_list(F.struct("first", "second")).alias("both"))
+        .withColumn("other", F.array_min(F.transform("both", lambda w: F.when(
+            w["first"] == F.col("least"), F.least(w["second"], F.lit(NOBODY))).otherwise(w["first"]))))
+    )
+    return rest.join(stretches, like).select(
+        "doc_id", F.transform("ats", lambda at: at + F.col("on")).alias("ats"), (F.col("n") + LEAST - 1).alias("size"),
+        F.when(F.col("doc_id") == F.col("least"), F.col("other")).otherwise(F.col("least")).alias("partner"))
 
 
 def passages(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
