@@ -8,7 +8,7 @@ import pytest
 
 from tramline.config import DetectionConfig
 from tramline.functions.times import micros
-from tramline.operators import detect
+from tramline.operators import detect, timetable
 from tramline.schemas import POSITIONS
 from tramline.session import stored
 from tramline.streaming.detect_stream import stream_events, write_events
@@ -242,3 +242,93 @@ def test_state_stays_level_over_ten_days_of_new_trips(spark, tmp_path):
     assert len(want) > 20
     later = rows[5:]
     assert all(b[i] <= max(r[i] for r in rows[3:6]) for b in later for i in range(2)), rows
+
+
+def plan_nodes(frame):
+    """Name and rows out of every node that ran for ``frame``."""
+    frame.collect()
+    found, todo = [], [frame._jdf.queryExecution().executedPlan()]
+    while todo:
+        node = todo.pop()
+        name = node.nodeName()
+        rows = node.metrics().get("numOutputRows")
+        found.append((name, rows.get().value() if rows.isDefined() else 0))
+        if name == "AdaptiveSparkPlan":
+            todo.append(node.executedPlan())
+        elif "QueryStage" in name:
+            todo.append(node.plan())
+        todo += [node.children().apply(i) for i in range(node.children().size())]
+    return found
+
+
+EVENT = ("n int, trip_id string, route_id string, stop_id string, service_date date, actual_time timestamp,"
+         " emit_time timestamp, delay double")
+SEEN = "trip_id string, bin bigint, first_seen timestamp, last_seen timestamp"
+
+
+def guard_world(seed, trips=9, events=120):
+    """Trips that share few stops and times, events around them, sightings before and after."""
+    rng = random.Random(seed)
+    names = [f"T{i}" for i in range(trips)] + [None]
+    slots = [("R", rng.choice(["A", "B"]), rng.choice([43200, 43260, 45000, 50000, None]), rng.choice(names)) for _ in range(14)]
+    slots += slots[:3]
+    day, rows = NOON.date(), []
+    for n in range(events):
+        at = NOON + timedelta(seconds=rng.choice([0, 60, 1800, 3600, 3601, 6800, 9000]))
+        rows.append((n, rng.choice(names), rng.choice(["R", None]) if n % 9 == 0 else "R", rng.choice(["A", "B"]), day,
+                     at, at + timedelta(seconds=rng.choice([0, 0, 30, 900])), rng.choice([None, 10.0, 5000.0, -5000.0])))
+    sightings = [(rng.choice(names), NOON + timedelta(seconds=rng.randrange(-4000, 13000))) for _ in range(7)]
+    return rows, slots, sightings
+
+
+def guarded(rows, slots, sightings, cfg=CFG):
+    """The guard as a plain loop."""
+    window, kept = timedelta(seconds=cfg.alias_active_window), set()
+    for n, trip, route, stop, day, at, emit, delay in rows:
+        secs = (at - NOON).total_seconds() + 43200
+        rivals = {s[3] for s in slots if trip and s[3] and s[3] != trip and s[0] == route and s[1] == stop
+                  and s[2] is not None and abs(s[2] - secs) <= cfg.alias_max_gap}
+        spans = {}
+        for other, t in sightings:
+            spans.setdefault((other, int(t.timestamp() // cfg.alias_active_window)), []).append(t)
+        vouched = any(other in rivals and max(ts) >= at - window and min(ts) <= min(emit, at + window)
+                      for (other, _), ts in spans.items())
+        if not ((delay is None or abs(delay) >= cfg.alias_min_delay) and rivals and not vouched):
+            kept.add(n)
+    return kept
+
+
+def guard_frames(spark, rows, slots, sightings):
+    seen = spark.createDataFrame([(t, at) for t, at in sightings if t], "trip_id string, timestamp timestamp")
+    return spark.createDataFrame(rows, EVENT), spark.createDataFrame(slots, SLOT), detect.activity(seen, CFG)
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_alias_guard_equals_a_plain_loop(spark, seed):
+    world = guard_world(seed)
+    left = {r.n for r in detect.alias_guard(*guard_frames(spark, *world), CFG).collect()}
+    assert left == guarded(*world) and len(left) < len(world[0])
+
+
+def test_alias_guard_does_not_pair_events_with_the_trips_due(spark):
+    """Three hundred late events at one stop where three hundred trips are due at one time."""
+    n = 300
+    rows = [(i, f"T{i}", "R", "A", NOON.date(), NOON + timedelta(seconds=i), NOON + timedelta(seconds=i), 900.0) for i in range(n)]
+    slots = [("R", "A", 43200, f"T{i}") for i in range(n)]
+    sightings = [(f"T{i}", NOON + timedelta(seconds=i)) for i in range(n)]
+    out = detect.alias_guard(*guard_frames(spark, rows, slots, sightings), CFG)
+    # The first event's trip is the only one seen by then.
+    assert {r.n for r in out.collect()} == guarded(rows, slots, sightings) == set(range(1, n))
+    assert max(made for name, made in plan_nodes(out) if "Join" in name) <= 10 * n
+
+
+def test_rows_of_trips_are_not_broadcast(spark):
+    """A timetable read from files is far larger than they are."""
+    fixes, points, slots = random_world(7)
+    positions, tp, _ = frames(spark, fixes, points, slots)
+    lines = detect.trip_lines(stored(timetable.with_distance(tp.drop("dist_m")).drop("hop_prev", "hop_next"), "timetable")).stored()
+    found = detect.with_stops(detect.candidates(detect.project(positions, lines, None, CFG), CFG), lines, CFG)
+    for frame in (timetable.with_distance(stored(tp, "points")), lines.legs, found):
+        assert not [name for name, _ in plan_nodes(frame) if "Broadcast" in name]
+    built = detect.trip_lines(stored(tp, "points"))
+    assert not [name for frame in (built.numbered, built.legs) for name, _ in plan_nodes(frame) if "Broadcast" in name]

@@ -29,6 +29,16 @@ def range_block(number: Column, width: int) -> Column:
     return F.floor(number / F.lit(width))
 
 
+def by_merge(df: DataFrame) -> DataFrame:
+    """A side of a join that has a row for each trip or timepoint, and so is never broadcast.
+
+    Timetables repeat themselves and shrink in files to a small part of their rows; a join
+    planned by the size of the files would gather millions of rows on the driver, and adaptive
+    execution keeps such a plan where the other one needs a shuffle more.
+    """
+    return df.hint("merge")
+
+
 def walk(
     df: DataFrame, keys: list[str], order: list[str], block: Column,
     sample: Column | None = None, totals: dict[str, Column] | None = None,

@@ -36,7 +36,7 @@ from tramline.functions.times import (
     shift,
     wall_seconds,
 )
-from tramline.operators.blocks import range_block
+from tramline.operators.blocks import by_merge, range_block
 from tramline.operators.timetable import numbered
 from tramline.session import stored
 
@@ -96,7 +96,7 @@ def trip_lines(points: DataFrame) -> TripLines:
         .agg(F.sort_array(F.collect_list(numbered_leg)).alias("n"))
         .select("trip_id", "chunk", "n.leg", F.col("n")[0]["tp_no"].alias("first_no"))
         .withColumnRenamed("leg", "legs")
-        .join(heads, "trip_id")
+        .join(by_merge(heads), "trip_id")
     )
     return TripLines(around.drop("prev_sample", "next_sample"), legs)
 
@@ -125,7 +125,7 @@ def project(
         fixes = fixes.join(rail, "route_id", "left").fillna(False, ["rail"])
     lat, lon = F.col("latitude"), F.col("longitude")
     met = (
-        fixes.join(lines.legs, "trip_id")
+        fixes.join(by_merge(lines.legs), "trip_id")
         .withColumn("_cos", F.cos(F.radians(lat)))
         .withColumn("_terms", F.when(lat.isNotNull() & lon.isNotNull(), leg_terms(lat, lon, F.col("_cos"), F.col("legs"))))
         .withColumn("term", F.array_min("_terms"))
@@ -420,7 +420,7 @@ def with_stops(
     stops = lines.numbered.select(
         "trip_id", "tp_no", "stop_sequence", "stop_id", "arrival_secs", F.col("dist_m").alias("tp_m")
     )
-    rows = found.join(stops, ["trip_id", "tp_no"], "left" if untimed else "inner")
+    rows = found.join(by_merge(stops), ["trip_id", "tp_no"], "left" if untimed else "inner")
     stays = F.col("method") == untimed if untimed else F.lit(False)
     if untimed:
         rows = rows.filter(stays | F.col("stop_id").isNotNull())
@@ -463,19 +463,41 @@ def _bins(value: Column, reach: int, width: int) -> Column:
     return F.explode(F.sequence(low, high))
 
 
+def _outermost(slots: DataFrame, seen: DataFrame, place: list[str]) -> DataFrame:
+    """Sightings that can answer for a place, under the time ``bin`` of the events they answer to:
+    of the two trips seen last in the bin before, and of the two seen first in that and the next.
+
+    ``seen`` has one row for each trip and bin.
+    """
+    sighted = slots.select(*place, "trip_id").distinct().join(by_merge(seen), "trip_id").withColumnRenamed("trip_id", "s_trip")
+
+    def two(order: Column, *bins: Column) -> DataFrame:
+        first = Window.partitionBy(*place, "bin").orderBy(order)
+        return (
+            sighted.withColumn("_no", F.row_number().over(first)).filter(F.col("_no") <= 2).drop("_no")
+            .withColumn("bin", F.explode(F.array(*bins)))
+        )
+
+    bin_ = F.col("bin")
+    return two(F.col("last_seen").desc(), bin_ + 1).unionByName(two(F.col("first_seen").asc(), bin_, bin_ - 1))
+
+
 def alias_guard(
     events: DataFrame, slots: DataFrame, seen: DataFrame, cfg: DetectionConfig = DetectionConfig()
 ) -> DataFrame:
     """Drop very late or early events that fall on another trip's slot at the same
     stop, unless such a trip was itself reported around then.
 
-    Sightings count up to the moment the event became known. The work starts from the
-    suspicious events: their distinct (trip, route, stop, day, times) meet the slots
-    of that stop and time bin, each slot being listed under every bin it can answer
-    for; the few trips found there meet their own sightings of three time bins; one
-    verdict per suspicious key then removes events. Trusted events take no part in it.
+    Sightings count up to the moment the event became known, which is never before it
+    happened. No event meets the trips due, of which one stop can have very many: slots of one
+    place (route, stop, time of day) are one row, and a place's sightings of a time bin are
+    those of the two trips seen last and the two seen first there. Of the bin before an event's
+    only the last sighting counts, of its own and the next only the first, and the second
+    trip answers where the first one is the event's own. Each suspicious event meets
+    the places in reach and at most six sightings of each.
     """
     keys = ["trip_id", "route_id", "stop_id", "service_date", "actual_time", "emit_time"]
+    place = ["route_id", "stop_id", "arrival_secs"]
     reach = cfg.alias_max_gap
     width = 2 * reach
     window = cfg.alias_active_window
@@ -484,23 +506,22 @@ def alias_guard(
         events.alias("e").filter(suspicious_of("e", cfg)).select(*keys).distinct()
         .withColumn("_secs", secs)
         .withColumn("s_bin", F.floor(F.col("_secs") / width))
+        .withColumn("bin", F.floor(micros(F.col("actual_time")) / F.lit(window * 1_000_000)))
     )
-    due = slots.select(
-        "route_id", "stop_id", F.col("trip_id").alias("s_trip"), F.col("arrival_secs").alias("s_secs"),
-        _bins(F.col("arrival_secs"), reach, width).alias("s_bin"),
-    )
+    due = slots.groupBy(*place).agg(F.min("trip_id").alias("_low"), F.max("trip_id").alias("_high"))
     rivals = (
-        suspects.join(due, ["route_id", "stop_id", "s_bin"])
-        .filter((F.col("s_trip") != F.col("trip_id")) & (F.abs(F.col("s_secs") - F.col("_secs")) <= reach))
-        .select(*keys, "s_trip").distinct()
+        suspects.join(due.withColumn("s_bin", _bins(F.col("arrival_secs"), reach, width)), ["route_id", "stop_id", "s_bin"])
+        .filter((F.col("_low") != F.col("trip_id")) | (F.col("_high") != F.col("trip_id")))
+        .filter(F.abs(F.col("arrival_secs") - F.col("_secs")) <= reach)
+        .select(*keys, "arrival_secs", "bin")
+    )
+    around = (
+        (F.col("s_trip") != F.col("trip_id"))
+        & (F.col("last_seen") >= shift(F.col("actual_time"), -window))
+        & (F.col("first_seen") <= F.least("emit_time", shift(F.col("actual_time"), window)))
     )
-    at_bin = F.floor(micros(F.col("actual_time")) / F.lit(window * 1_000_000))
-    asked = rivals.withColumn("bin", F.explode(F.sequence(at_bin - 1, at_bin + 1)))
-    sightings = seen.select(F.col("trip_id").alias("s_trip"), "bin", "first_seen", "last_seen")
-    around = (F.col("last_seen") >= shift(F.col("actual_time"), -window)) & (
-        F.col("first_seen") <= F.least("emit_time", shift(F.col("actual_time"), window)))
     aliases = (
-        asked.join(sightings, ["s_trip", "bin"], "left")
+        rivals.join(_outermost(slots, seen, place), [*place, "bin"], "left")
         .groupBy(*keys).agg(F.max(F.coalesce(around, F.lit(False))).alias("out"))
         .filter(~F.col("out"))
     )

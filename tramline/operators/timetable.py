@@ -9,7 +9,7 @@ from tramline.config import DEFAULT_COLOR, WEEKDAYS
 from tramline.functions.geo import haversine_m
 from tramline.functions.numbers import round1
 from tramline.functions.times import hour_minute
-from tramline.operators.blocks import range_block
+from tramline.operators.blocks import by_merge, range_block
 
 MIN_GAP_M = 150.0
 SEQUENCE_BLOCK = 1000
@@ -84,7 +84,7 @@ def with_distance(points: DataFrame) -> DataFrame:
     gap = F.coalesce(hop(F.col("_from"), F.col("_first")), F.lit(0.0))
     blocks = blocks.select(*part, "_from", "_to", F.sum(F.coalesce("_behind", F.lit(0.0)) + gap).over(along).alias("_offset"))
     so_far = inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    rows = rows.withColumn("_local", F.sum(F.coalesce("_hop", F.lit(0.0))).over(so_far)).join(blocks, part)
+    rows = rows.withColumn("_local", F.sum(F.coalesce("_hop", F.lit(0.0))).over(so_far)).join(by_merge(blocks), part)
     return rows.select(
         *points.columns,
         F.coalesce("_hop", hop(F.col("_from"), F.col("_here"))).alias("hop_prev"),
@@ -107,7 +107,7 @@ def numbered(points: DataFrame, place: Column) -> DataFrame:
         F.max_by("_place", "stop_sequence").alias("_last")).select(
         *part, F.lag("_last").over(along).alias("_from"), F.lead("_first").over(along).alias("_to"),
         (F.sum("_rows").over(along) - F.col("_rows")).alias("_offset"))
-    return rows.join(blocks, part).select(
+    return rows.join(by_merge(blocks), part).select(
         *points.columns, (F.col("_offset") + F.col("_no")).cast("int").alias("tp_no"),
         F.coalesce("_before", "_from").alias("prev_sample"), F.coalesce("_after", "_to").alias("next_sample"))
 
