@@ -332,3 +332,17 @@ def test_rows_of_trips_are_not_broadcast(spark):
         assert not [name for name, _ in plan_nodes(frame) if "Broadcast" in name]
     built = detect.trip_lines(stored(tp, "points"))
     assert not [name for frame in (built.numbered, built.legs) for name, _ in plan_nodes(frame) if "Broadcast" in name]
+
+
+def test_slots_are_made_distinct_before_the_join(spark):
+    points = spark.createDataFrame(
+        [("T1", "A", 10), ("T1", "A", 10), ("T1", None, 10), ("T1", "A", None), ("T2", "A", 10), (None, "A", 10), ("T9", "A", 10)],
+        "trip_id string, stop_id string, arrival_secs int")
+    trips = spark.createDataFrame(
+        [("T1", "R1"), ("T1", "R1"), ("T1", None), ("T2", "R1"), (None, "R1"), ("T8", "R1")], "trip_id string, route_id string")
+    out = timetable.stop_slots(points, trips)
+    got = sorted([tuple(r) for r in out.collect()], key=repr)
+    stops = [("A", 10), (None, 10), ("A", None)]
+    assert got == sorted([(r, *s, "T1") for r in ("R1", None) for s in stops] + [("R1", "A", 10, "T2")], key=repr)
+    names = [name for name, _ in plan_nodes(out)]
+    assert not any("Aggregate" in name for name in names[: next(i for i, x in enumerate(names) if "Join" in x)])

@@ -137,12 +137,18 @@ def ends_of_trips(points: DataFrame) -> DataFrame:
 
 
 def stop_slots(points: DataFrame, trips: DataFrame) -> DataFrame:
-    """Scheduled slots per route and stop: who is due when."""
-    return (
-        points.join(trips.select("trip_id", "route_id"), "trip_id")
-        .select("route_id", "stop_id", "arrival_secs", "trip_id")
-        .distinct()
-    )
+    """Scheduled slots per route and stop: who is due when.
+
+    Repeats go before the join, of each side by itself; its result then has none. One sort
+    by trip serves both, and no task holds a hash table of its slots.
+    """
+    def once(rows: DataFrame) -> DataFrame:
+        alike = Window.partitionBy(*rows.columns).orderBy("trip_id")
+        return rows.repartition("trip_id").withColumn("_no", F.row_number().over(alike)).filter(F.col("_no") == 1).drop("_no")
+
+    stops = once(points.select("trip_id", "stop_id", "arrival_secs"))
+    owners = once(trips.select("trip_id", "route_id"))
+    return stops.join(by_merge(owners), "trip_id").select("route_id", "stop_id", "arrival_secs", "trip_id")
 
 
 def trip_endpoints(stop_times: DataFrame) -> DataFrame:

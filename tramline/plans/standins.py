@@ -151,11 +151,12 @@ def timepoints(spark: SparkSession, folder: str) -> DataFrame:
 
 def timetable_lines(spark: SparkSession, folder: str) -> DataFrame:
     """Order lines as scheduled stops, one row per (order, line number)."""
-    lines = table(spark, folder, "lineitem")
-    return lines.groupBy(
+    lines = table(spark, folder, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.min("l_partkey").alias("part"))
+    return lines.select(
         F.col("l_orderkey").cast("string").alias("trip_id"),
         F.col("l_linenumber").cast("int").alias("stop_sequence"),
-    ).agg(F.min("l_partkey").cast("string").alias("stop_id"))
+        F.col("part").cast("string").alias("stop_id"),
+    )
 
 
 def located_lines(spark: SparkSession, folder: str) -> DataFrame:
