@@ -1,6 +1,7 @@
 """Batch and streaming detection against a plain loop, and single cases."""
 
 import random
+import re
 from datetime import datetime, timedelta, timezone
 
 import naive
@@ -9,6 +10,7 @@ import pytest
 from tramline.config import DetectionConfig
 from tramline.functions.times import micros
 from tramline.operators import detect, timetable
+from tramline.plans import catalog
 from tramline.schemas import POSITIONS
 from tramline.session import stored
 from tramline.streaming.detect_stream import stream_events, write_events
@@ -334,6 +336,32 @@ def test_rows_of_trips_are_not_broadcast(spark):
     assert not [name for frame in (built.numbered, built.legs) for name, _ in plan_nodes(frame) if "Broadcast" in name]
 
 
+def test_segment_arrivals_broadcasts_only_nations_and_routes(spark, tmp_path, monkeypatch):
+    """Also in the jobs that store its timetable: each task counts a broadcast table as its own memory."""
+    at, rng, frames_run = datetime(2024, 1, 1), random.Random(5), []
+    events = [(i, at + timedelta(hours=rng.uniform(0, 336)), i % 40, rng.choice(["click", "view"]), rng.uniform(0, 100),
+               f'{{"k": {rng.randrange(100)}}}') for i in range(2000)]
+    spark.createDataFrame(events, "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
+                          ).write.parquet(f"{tmp_path}/events.parquet")
+    spark.createDataFrame([(i, f"NATION_{i}") for i in range(25)], "n_nationkey int, n_name string").write.parquet(f"{tmp_path}/nation.parquet")
+
+    def kept(df, name):
+        frames_run.append(df)
+        return stored(df, name)
+
+    monkeypatch.setattr(catalog, "stored", kept)
+    monkeypatch.setattr(detect, "stored", kept)
+    frames_run.append(catalog.QUERIES["segment_arrivals"](spark, str(tmp_path)))
+    assert len(frames_run) == 4 and frames_run[-1].count() > 0
+    keys = set()
+    for frame in frames_run:
+        frame.collect()
+        ran = frame._jdf.queryExecution().executedPlan().toString().partition("Initial Plan")[0]
+        keys |= set(re.findall(r"Broadcast\w*Join \[(\w+)", ran))
+        assert "BroadcastNestedLoopJoin" not in ran
+    assert keys == {"n_nationkey", "route_id"}
+
+
 def test_slots_are_made_distinct_before_the_join(spark):
     points = spark.createDataFrame(
         [("T1", "A", 10), ("T1", "A", 10), ("T1", None, 10), ("T1", "A", None), ("T2", "A", 10), (None, "A", 10), ("T9", "A", 10)],
