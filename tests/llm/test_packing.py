@@ -1,6 +1,8 @@
+import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
@@ -100,3 +102,51 @@ def test_long_runs(tokenizer):
     for text in (" " * 1_500_000, "a " + " \n" * 400_000 + "b", "7" * 500_000, "x" * 500_000, "!" * 500_000, "\t" * 9_999 + "y"):
         assert packing.token_ids(text, packing.vocabulary(), special=True).tolist() == [
             *plain_library.encode(text, add_special_tokens=False).ids, packing.END_ID]
+
+
+def by_rows(texts):
+    return [ids.tolist() for ids in packing.ids_of_rows(pa.array(texts, pa.string()), packing.vocabulary())]
+
+
+def by_texts(texts):
+    return [packing.token_ids(t, packing.vocabulary(), special=True).tolist() for t in texts]
+
+
+def test_words_of_a_batch_have_the_ids_of_whole_texts():
+    """Splitting by columns follows the pattern: contractions, blanks, white space, any character."""
+    parts = ["'", "s", "re", "ll", "'t", "'ve", "d", "m", " ", "  ", "\n", "\t", "\xa0", "\u3000", "1", "²", "!", "é", "я", "漢",
+             "’", "…", "<|endoftext|>", "😀", "\u0378", "\r\n", "ab", "\x1c", "\x85"]
+    rng = random.Random(5)
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randrange(30))) for _ in range(5000)]
+    texts += [None, "", " ", "'", "'s", "a'", "a'r", "a're", " " * 30000 + "x", "x" * 30000, None]
+    assert by_rows(texts) == by_texts(texts)
+    assert by_rows([]) == [] and by_rows([None]) == by_texts([None])
+    points = [chr(c) for c in np.flatnonzero(packing.kinds() != packing.UNSURE)]
+    texts = [f"a{c}b1{c} {c}{c} x{c}'s {c}'re\n{c}2" for c in points]
+    assert by_rows(texts) == by_texts(texts)
+
+
+def test_each_word_of_a_batch_is_encoded_once(monkeypatch):
+    real, seen = packing.encoder(packing.vocabulary()), []
+
+    class Counting:
+        def __init__(self):
+            self._core_bpe = self
+
+        def encode_single_piece(self, piece):
+            seen.append(len(piece))
+            return real._core_bpe.encode_single_piece(piece)
+
+        def encode_ordinary(self, text):
+            seen.append(len(text.encode()))
+            return real.encode_ordinary(text)
+
+    monkeypatch.setattr(packing, "encoder", lambda path: Counting())
+    rng = random.Random(6)
+    texts = [" ".join(rng.choice(["some", "words", "été", "12", "don't"]) for _ in range(300)) for _ in range(200)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(200), pa.int64()), pa.array(texts)], names=["doc_id", "text"])
+    rows = pa.Table.from_batches(packing.pieces_of(iter([batch]), packing.vocabulary(), 1024, True)).to_pylist()
+    assert sum(seen) < 200
+    for row in rows:
+        ids = real.encode_ordinary(texts[row["doc_id"]]) + [packing.END_ID]
+        assert np.frombuffer(row["ids"], "<u2").tolist() == ids[row["start"]:row["start"] + row["length"]]

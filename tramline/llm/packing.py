@@ -13,6 +13,10 @@ is opened.
 Ids are shuffled, two bytes each, only for pieces that may be cut once more. The number of shards follows the number of
 characters, so a shard's rows stay about ``rows_a_shard`` at any input size.
 
+A batch of texts is split into the words of the file's pattern by columns, and each different word
+of about ``SLICE`` bytes is encoded once. Texts with characters whose class is not the same in all
+versions of Unicode since 3.2, or above U+FFFF, or with names of added tokens are encoded one by one.
+
 Defined cases: null and empty texts are the end id alone; repeated rows and ids are packed
 each on their own; null ids are kept; an empty table gives no rows; other columns are not
 looked at. Strings that name added tokens of the file become those tokens' ids, as by the
@@ -25,15 +29,18 @@ import functools
 import heapq
 import json
 import re
+import unicodedata
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tramline.llm import shingles
 from tramline.llm.common import table
 
 CAPACITY = 1024
@@ -46,6 +53,10 @@ LEAST_CUT = 64
 # Tiktoken's pattern recurses on white space, so longer runs of it go to the tokenizers library.
 LONG_SPACE = re.compile(r"\s{10000}")
 
+SLICE = 1 << 23   # bytes of text whose words are encoded together
+UNSURE, LETTER, NUMBER, OTHER, SPACE = range(5)
+SPACES = [*range(9, 14), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
+
 PIECES = ("doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, "
           "ordinal bigint, ids binary")
 PACKED = ("doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, "
@@ -99,21 +110,108 @@ def token_ids(text: str | None, path: str, special: bool = False) -> np.ndarray:
     return np.array([*found, END_ID], dtype="<u4")
 
 
+@functools.lru_cache(maxsize=1)
+def kinds() -> np.ndarray:
+    """The kind of each code point up to U+FFFF in the pattern; UNSURE where versions of Unicode differ."""
+    found = np.full(1 << 16, UNSURE, dtype=np.uint8)
+    for code in range(1 << 16):
+        category = unicodedata.category(chr(code))
+        if category == unicodedata.ucd_3_2_0.category(chr(code)) and category not in ("Cn", "Co", "Cs"):
+            found[code] = {"L": LETTER, "N": NUMBER}.get(category[0], OTHER)
+    found[SPACES] = SPACE
+    return found
+
+
+def kinds_of(data: np.ndarray) -> np.ndarray:
+    """The kind of each UTF-8 byte's character; UNSURE above U+FFFF."""
+    found = np.append(kinds()[:128], np.zeros(128, np.uint8))[data]
+    lead = np.flatnonzero(data >= 0xC0)
+    size = 2 + (data[lead] >= 0xE0) + (data[lead] >= 0xF0)
+    for n, mask in ((2, 0x1F), (3, 0x0F)):
+        at = lead[size == n]
+        code = data[at].astype(np.int32) & mask
+        for step in range(1, n):
+            code = code << 6 | data[at + step] & 0x3F
+        kind = kinds()[code]
+        for step in range(n):
+            found[at + step] = kind
+    return found
+
+
+def words_of(values: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where each word of the pattern begins in the bytes of the rows; rows that may be split otherwise."""
+    at, rows = int(offsets[0]), offsets - offsets[0]
+    data = values[at:int(offsets[-1])]
+    if not len(data):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    kind = kinds_of(data)
+    first = np.zeros(len(data) + 1, dtype=bool)
+    first[rows] = True
+    first, last = first[:-1], first[1:]
+    space, blank = kind == SPACE, data == 0x20
+    begin = np.ones(len(data), dtype=bool)
+    begin[1:] = (kind[1:] != kind[:-1]) & (space[1:] | ~blank[:-1])   # one blank goes with what follows it
+    alone = np.flatnonzero(space[:-1] & ~space[1:] & ~last[:-1])   # of white space before a word, the last character
+    while len(inside := np.flatnonzero((data[alone] & 0xC0) == 0x80)):
+        alone[inside] -= 1
+    begin[alone] = True
+    begin[first] = True
+    mark = np.flatnonzero(data == 0x27)
+    mark = mark[first[mark] | (kind[mark - 1] != OTHER) & ~blank[mark - 1]]
+    end = rows[np.searchsorted(rows, mark, side="right")]
+    after = lambda step: np.where(mark + step < len(data), data[np.minimum(mark + step, len(data) - 1)], 0)
+    one, two = after(1), after(2)
+    short = np.isin(one, list(b"stmd")) & (mark + 1 < end)
+    long = np.isin(one.astype(np.int32) << 8 | two, [ord(a) << 8 | ord(b) for a, b in ("re", "ve", "ll")]) & (mark + 2 < end)
+    begin[mark[short | long] + 1] = False
+    rest = np.concatenate([mark[short] + 2, mark[long] + 3])
+    begin[rest[rest < len(data)]] = True
+    unsure = np.unique(np.searchsorted(rows, np.flatnonzero(kind == UNSURE), side="right") - 1)
+    return np.flatnonzero(begin) + at, unsure
+
+
+def ids_of_rows(column: pa.Array, path: str) -> Iterator[np.ndarray]:
+    """``token_ids`` with names of added tokens, for each row of a string column."""
+    values, offsets = shingles.buffers(column)
+    begins, unsure = words_of(values, offsets)
+    names, _ = added(path)
+    if names:
+        named = pc.fill_null(pc.match_substring_regex(column, names.pattern), False)
+        unsure = np.union1d(unsure, np.flatnonzero(named.to_numpy(zero_copy_only=False)))
+    words = pa.Array.from_buffers(pa.large_binary(), len(begins), [
+        None, pa.py_buffer(np.append(begins, offsets[-1])), pa.py_buffer(values)]).dictionary_encode()
+    encode, sizes, found = encoder(path)._core_bpe.encode_single_piece, [], []
+    for different in words.dictionary.to_numpy(zero_copy_only=False).tolist():
+        ids = encode(different)
+        sizes.append(len(ids))
+        found += ids
+    many, flat = np.array(sizes, dtype=np.int64), np.array(found, dtype="<u4")
+    word = words.indices.to_numpy()
+    size = many[word]
+    end = np.cumsum(size)
+    ids = flat[np.repeat((np.cumsum(many) - many)[word] - (end - size), size) + np.arange(int(size.sum()))]
+    row_end = np.concatenate([[0], end])[np.searchsorted(begins, offsets)]
+    single = set(unsure.tolist())
+    for row in range(len(column)):
+        if row in single:
+            yield token_ids(column[row].as_py(), path, special=True)
+        else:
+            yield np.append(ids[row_end[row]:row_end[row + 1]], np.uint32(END_ID))
+
+
 def pieces_of(batches: Iterator[pa.RecordBatch], path: str, capacity: int,
               all_ids: bool) -> Iterator[pa.RecordBatch]:
     """Pieces of at most ``capacity`` ids; the ids go along where a piece may be cut again."""
     schema = pa.schema([(name, pa.int64()) for name in (
         "doc_id", "start", "length", "ids_crc32", "doc_tokens", "ordinal")] + [("ids", pa.binary())])
     ordinal = 0
-    for batch in batches:
+    for part in (p for batch in batches for p in shingles.slices(batch, 1, SLICE)):
         out: list[tuple] = []
-        for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            ids = token_ids(text, path, special=True)
+        for key, ids in zip(part.column(0).to_pylist(), ids_of_rows(part.column(1), path)):
             for start in range(0, len(ids), capacity):
-                part = ids[start:start + capacity]
-                raw = part.tobytes()
-                out.append((key, start, len(part), zlib.crc32(raw), len(ids), ordinal,
-                            part.astype("<u2").tobytes() if all_ids or len(part) < capacity else None))
+                cut = ids[start:start + capacity]
+                out.append((key, start, len(cut), zlib.crc32(cut), len(ids), ordinal,
+                            cut.astype("<u2").tobytes() if all_ids or len(cut) < capacity else None))
             ordinal += 1
         columns = zip(*out) if out else [[]] * 7
         yield pa.RecordBatch.from_arrays(
