@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import pyarrow as pa
 import pytest
 
@@ -46,6 +47,47 @@ def test_large_group_of_near_copies(spark, documents):
     assert got == {k: c for k, (_, c) in expected(texts).items()}
 
 
+def test_passage_in_many_unlike_documents(spark, documents, monkeypatch):
+    """Work on a bucket grows with its members, not their pairs; near copies among them are found."""
+    monkeypatch.setattr(partenum, "BLOCK_ROWS", 16)
+    rng = random.Random(8)
+    passage = [f"p{i}" for i in range(80)]
+    texts = {}
+    for i in range(400):
+        own = [f"d{i}w{j}" for j in range(rng.randint(30, 60))]
+        texts[i] = " ".join(own + passage)
+        if i % 40 == 0:
+            texts[1000 + i] = " ".join(edited(rng, own + passage, 0.01))
+    frame, seen = type(spark.range(0)), []
+    real = frame.repartition
+
+    def counted(self, *given):
+        if given == ("bucket", "one", "two"):
+            seen.append(self.count())
+        return real(self, *given)
+
+    monkeypatch.setattr(frame, "repartition", counted)
+    folder = documents([(k, v, "en", "a") for k, v in texts.items()])
+    got = {r["doc_id"]: r["component_id"] for r in plain(QUERIES["op8_partenum_join"](spark, folder))}
+    assert got == {k: c for k, (_, c) in expected(texts).items()}
+    assert len(seen) == 1 and seen[0] < 4 * len(texts)
+
+
+def test_sketches_never_pass_over_near_sets():
+    rng = random.Random(9)
+    texts = [" ".join(f"w{rng.randrange(3000)}" for _ in range(n)) for n in (30, 31, 700, 720, 5000, 5200, 9000)]
+    texts += [" ".join(edited(rng, t.split(), 0.02)) for t in texts]
+    column = pa.array(texts)
+    hashes, begin = shingles.sets(column)
+    sets = [set(hashes[a:b].tolist()) for a, b in zip(begin[:-1], begin[1:])]
+    sketch = partenum.Sketches(pa.array(partenum.sketches(hashes, begin), pa.binary()))
+    a, b = (x.ravel() for x in np.meshgrid(range(len(texts)), range(len(texts))))
+    apart = np.array([len(sets[i] ^ sets[j]) for i, j in zip(a, b)])
+    assert sketch.near(a, b, apart).all()
+    most = np.array([(len(sets[i]) + len(sets[j])) // 7 for i, j in zip(a, b)])
+    assert sketch.near(a, b, most).sum() < len(a) / 2
+
+
 def test_odd_rows(spark, odd, empty):
     rows = plain(QUERIES["op8_partenum_join"](spark, odd))
     assert len(rows) == len(odd_rows())

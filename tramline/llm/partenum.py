@@ -18,13 +18,20 @@ Signatures are sorted; a bucket is those who share one. First each document is c
 its whole text, with the one that is the least member of most of its buckets (if sizes and
 sketches, see below, allow it), then, in a few rounds, with one of another component of its
 buckets. Then, for every bucket whose members are
-not yet in one component, all pairs between different components are taken up: large buckets
-in pairs of blocks, and pairs whose counts of shingles by ranges of a hash alone (the
+not yet in one component, all pairs between different components are taken up, and pairs whose
+counts of shingles by ranges of a hash alone (the
 sketches) differ by more than two similar sets may are passed over: that difference is never
 larger than the true one. What is left is
 compared by whole text. All links between different classes are thus either found or between
 documents that other links already join, so components are exact.
 
+Buckets of more than ``BLOCK_ROWS`` members, mostly unlike documents that share a passage, are dealt
+anew first: the shingles of their members are put in one order, by the number of members that
+have them, and a member goes to the buckets of its first floor(n/4)+1 shingles. Similar sets meet
+at the first shingle they share, which is in both beginnings, and what follows it has to be enough;
+a common passage stands at the end of that order. Such buckets that are still large are compared
+in pairs of blocks.
+
 Defined cases: null texts and texts without words have no set and link with nothing; fewer
 words than a shingle are one shingle; rows that share an id are linked; a row without an id
 makes no links and shows the component of its class (null if there is none); an empty table
@@ -52,6 +59,7 @@ SKETCH_BITS = (10, 14)
 STAR_ROUNDS = 2
 BLOCK_ROWS = 512
 PAIRS_AT_ONCE = 1 << 20
+MOST_SENT = 1 << 20
 
 U = np.uint64
 SALTS = [U(0xA0761D6478BD642F), U(0xE7037ED1A0B428DB), U(0x8EBC6AF09C88C6E3), U(0x589965CC75374CC3)]
@@ -184,71 +192,96 @@ class Sketches:
     """Sketches of a batch by row, folded to any smaller size once."""
 
     def __init__(self, column: pa.Array):
-        self.own = [np.frombuffer(b, np.uint8) for b in column.to_pylist()]
+        self.own = column.to_pylist()
         self.bits = np.array([len(b).bit_length() + 1 for b in self.own])
-        self.folded: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        self.folded: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
 
-    def at(self, bits: int) -> tuple[np.ndarray, np.ndarray]:
-        """Matrix of all sketches of ``bits`` or more, and each row's place in it."""
+    def at(self, bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Matrix of all sketches of ``bits`` or more, its odd counts as bits, and each row's place in it."""
         if bits not in self.folded:
-            rows = np.flatnonzero(self.bits >= bits)
+            rows = np.flatnonzero(self.bits == bits)
+            raw = np.frombuffer(b"".join(self.own[r] for r in rows), np.uint8)
+            counts = UNPACKED[raw].reshape(len(rows), 1 << bits)
             place = np.full(len(self.own), -1)
+            if (self.bits > bits).any():
+                larger, _, known = self.at(bits + 1)
+                place = np.where(known >= 0, known + len(rows), -1)
+                counts = np.concatenate([counts, larger[:, ::2] + larger[:, 1::2]])
             place[rows] = np.arange(len(rows))
-            self.folded[bits] = np.stack([
-                UNPACKED[self.own[r]].reshape(1 << bits, -1).sum(axis=1, dtype=np.int16) for r in rows]), place
+            odd = np.packbits(counts & 1, axis=1).view(np.uint64)
+            self.folded[bits] = counts, odd, place
         return self.folded[bits]
 
-    def apart(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        """A lower bound of the number of shingles in one of two sets only."""
-        out = np.zeros(len(a), dtype=np.int64)
+    def near(self, a: np.ndarray, b: np.ndarray, most: np.ndarray) -> np.ndarray:
+        """Whether at most ``most`` shingles may be in one of two sets only.
+
+        Counts differ at least where one is odd and the other is not, so these are looked at first.
+        """
+        out = np.zeros(len(a), dtype=bool)
         least = np.minimum(self.bits[a], self.bits[b])
         for bits in np.unique(least):
-            table_, place = self.at(int(bits))
+            counts, odd, place = self.at(int(bits))
             where = np.flatnonzero(least == bits)
-            step = max(1, (1 << 22) >> int(bits))
+            step = max(1, (1 << 25) >> int(bits))
             for i in range(0, len(where), step):
                 w = where[i:i + step]
-                out[w] = np.abs(table_[place[a[w]]] - table_[place[b[w]]]).sum(axis=1, dtype=np.int64)
+                differ = np.bitwise_count(odd[place[a[w]]] ^ odd[place[b[w]]]).sum(axis=1, dtype=np.int64)
+                w = w[differ <= most[w]]
+                for j in range(0, len(w), step >> 3 or 1):
+                    x = w[j:j + (step >> 3 or 1)]
+                    one, two = counts[place[a[x]]], counts[place[b[x]]]
+                    apart = (np.maximum(one, two) - np.minimum(one, two)).sum(axis=1, dtype=np.int64)
+                    out[x] = apart <= most[x]
         return out
 
 
 def pairs_within(batch: pa.RecordBatch) -> pa.RecordBatch:
-    """Pairs of different components in each group of rows (bucket, one, two) that may link."""
-    column = {n: batch.column(n).to_numpy() for n in ("bucket", "one", "two", "block", "id", "component", "n_shingles")}
+    """Pairs of different components in each group of rows (bucket, one, two) that may link.
+
+    Rows of a group come by component. ``place`` is the bucket's place in the order of the row's
+    shingles: no more than those from there on are in both sets.
+    """
+    column = {n: batch.column(n).to_numpy() for n in (
+        "bucket", "one", "two", "block", "id", "component", "n_shingles", "place")}
     size, n = column["n_shingles"], len(batch)
     new = np.ones(n, dtype=bool)
     new[1:] = np.any([column[c][1:] != column[c][:-1] for c in ("bucket", "one", "two")], axis=0)
-    first = np.flatnonzero(new)
-    end = np.concatenate([first[1:], [n]])[np.cumsum(new) - 1]
+    end = np.append(np.flatnonzero(new)[1:], n)[np.cumsum(new) - 1]
+    new[1:] |= column["component"][1:] != column["component"][:-1]
+    other_component = np.append(np.flatnonzero(new)[1:], n)[np.cumsum(new) - 1]
     ids, known = np.unique(column["id"], return_index=True)
     of = np.searchsorted(ids, column["id"])
     sketch = Sketches(batch.column("sketch").take(pa.array(known)))
-    size_of = size[known]
+    size_of, left = size[known], size - column["place"]
+    one_block = column["one"] == column["two"]
     u, v, waiting, count = [], [], [], 0
 
     def settle() -> None:
-        both = np.unique(np.concatenate(waiting))
+        both = np.sort(np.concatenate(waiting))
+        both = both[np.append(True, both[1:] != both[:-1])[:len(both)]]
         a, b = both // len(ids), both % len(ids)
-        near = 7 * sketch.apart(a, b) <= size_of[a] + size_of[b]
+        near = sketch.near(a, b, (size_of[a] + size_of[b]) // 7)
         u.append(ids[a[near]])
         v.append(ids[b[near]])
         waiting.clear()
 
-    active = np.arange(n)
-    for step in range(1, n):
-        active = active[active + step < end[active]]
+    active, other = np.arange(n), other_component
+    while True:
+        more = other < end[active]
+        active, other = active[more], other[more]
         if not len(active):
             break
-        other = active + step
-        may = (column["component"][active] != column["component"][other]) & (
-            (column["one"][active] == column["two"][active]) | (column["block"][active] != column["block"][other]))
-        may &= SIMILAR[0] * np.maximum(size[active], size[other]) <= SIMILAR[1] * np.minimum(size[active], size[other])
+        a, b = size[active], size[other]
+        may = SIMILAR[0] * np.maximum(a, b) <= SIMILAR[1] * np.minimum(a, b)
+        may &= 7 * np.minimum(left[active], left[other]) >= 3 * (a + b)
+        may &= one_block[active] | (column["block"][active] != column["block"][other])
         a, b = of[active[may]], of[other[may]]
         waiting.append(np.minimum(a, b) * len(ids) + np.maximum(a, b))
         count += len(a)
         if count > PAIRS_AT_ONCE:
             settle()
             count = 0
+        other = other + 1
     if waiting:
         settle()
     whole = lambda parts: np.concatenate(parts) if parts else np.zeros(0, np.int64)
@@ -262,10 +295,22 @@ def allowed_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         a, b = batch.column(2).to_numpy(), batch.column(3).to_numpy()
         both = Sketches(pa.chunked_array([batch.column(4), batch.column(5)]).combine_chunks())
         keep = SIMILAR[0] * np.maximum(a, b) <= SIMILAR[1] * np.minimum(a, b)
-        keep &= 7 * both.apart(np.arange(n), np.arange(n) + n) <= a + b
+        keep &= both.near(np.arange(n), np.arange(n) + n, (a + b) // 7)
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["u", "v"]).filter(pa.array(keep))
 
 
+def shingle_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Every shingle of each row (id, component, text), with the row's size and class."""
+    for batch in batches:
+        for part in shingles.slices(batch, 2, 1 << 21):
+            hashes, begin = shingles.sets(part.column(2))
+            high, _ = class_of(hashes, begin)
+            of = np.repeat(np.arange(len(part)), np.diff(begin))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(hashes.view(np.int64)), part.column(0).take(pa.array(of)), part.column(1).take(pa.array(of)),
+                 pa.array(high[of]), pa.array(np.diff(begin)[of])], names=["bucket", "id", "component", "class", "n"])
+
+
 def pair_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """``pairs_within`` of a sorted stream; a group that a batch cuts waits for its rest."""
     rest = None
@@ -318,10 +363,16 @@ def buckets_of(docs: DataFrame, members: DataFrame) -> DataFrame:
     return kept(found, "join-buckets")
 
 
+def sent(ids: DataFrame) -> DataFrame:
+    """Ids to join texts with: to every task up to ``MOST_SENT``, so that no other texts are shuffled."""
+    ids = kept(ids, "join-ids")
+    return F.broadcast(ids) if ids.count() <= MOST_SENT else ids
+
+
 def similar(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     """Those of the pairs (u, v) that link, judged on whole texts."""
     ids = pairs.select(F.explode(F.array("u", "v")).alias("doc_id")).distinct()
-    texts = docs.join(ids, "doc_id", "left_semi")
+    texts = docs.join(sent(ids), "doc_id", "left_semi")
     u = texts.select(F.col("doc_id").alias("u"), F.col("text").alias("text_u"))
     v = texts.select(F.col("doc_id").alias("v"), F.col("text").alias("text_v"))
     both = pairs.join(u, "u").join(v, "v").select("u", "v", "text_u", "text_v")
@@ -347,6 +398,28 @@ def labelled(buckets: DataFrame, edges: DataFrame, name: str) -> DataFrame:
     return found.join(several, "bucket")
 
 
+def dealt_anew(large: DataFrame, docs: DataFrame) -> DataFrame:
+    """(bucket, id, component, place, rows): members of large buckets under their rarest shingles.
+
+    A bucket is a shingle with members of several components; ``place`` is the shingle's in the
+    member's order.
+    """
+    ids = sent(large.select(F.col("id").alias("doc_id"), "component").distinct())
+    together, order = W.partitionBy("bucket"), W.partitionBy("id", "class")
+    return (
+        docs.join(ids, "doc_id").select(F.col("doc_id").alias("id"), "component", "text")
+        .mapInArrow(shingle_rows, "bucket bigint, id bigint, component bigint, class bigint, n bigint")
+        .withColumn("met", F.count(F.lit(1)).over(together)).filter("met > 1")
+        .withColumn("place", F.dense_rank().over(order.orderBy("met", "bucket")))
+        .withColumn("place", F.expr("n - 1") - F.max("place").over(order) + F.col("place"))
+        .filter("4 * place <= n")
+        .withColumn("rows", F.count(F.lit(1)).over(together))
+        .withColumn("least", F.min("component").over(together))
+        .withColumn("most", F.max("component").over(together)).filter("least != most")
+        .select("bucket", "id", "component", "place", "rows")
+    )
+
+
 def across(open_rows: DataFrame) -> DataFrame:
     """For each id the other component's member to try: the least of the first or the last
     component of a bucket, the one that stands so in most of the id's buckets; as pairs (u, v)."""
@@ -385,16 +458,21 @@ def join(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
         near = kept(allowed(pairs.join(tried, ["u", "v"], "left_anti"), sketched), "join-near")
         links = kept(links.unionByName(similar(near, docs)), "join-links")
         tried = tried.unionByName(pairs)
+    last = kept(labelled(buckets, links, "join-last"), "join-open")
+    compared = last.filter(F.col("rows") <= BLOCK_ROWS).withColumn("place", F.lit(0).cast("bigint")).select(
+        "bucket", "id", "component", "place", "rows").unionByName(
+        dealt_anew(last.filter(F.col("rows") > BLOCK_ROWS), docs))
     blocks = F.ceil(F.col("rows") / BLOCK_ROWS).cast("int")
     dealt = (
-        kept(labelled(buckets, links, "join-last"), "join-open")
+        compared
         .withColumn("block", F.pmod(F.xxhash64("id"), blocks).cast("int"))
         .withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
         .select("bucket", F.least("block", "other").alias("one"), F.greatest("block", "other").alias("two"),
-                "block", "id", "component")
+                "block", "id", "component", "place")
         .join(sketched, "id")
     )
-    sorted_groups = dealt.repartition("bucket", "one", "two").sortWithinPartitions("bucket", "one", "two", "id")
+    sorted_groups = dealt.repartition("bucket", "one", "two").sortWithinPartitions(
+        "bucket", "one", "two", "component", "id")
     more = sorted_groups.mapInArrow(pair_rows, "u bigint, v bigint").distinct()
     more = kept(more.join(tried, ["u", "v"], "left_anti"), "join-more")
     links = kept(links.unionByName(similar(more, docs)), "join-all-links")
