@@ -53,7 +53,7 @@ LEAST_CUT = 64
 # Tiktoken's pattern recurses on white space, so longer runs of it go to the tokenizers library.
 LONG_SPACE = re.compile(r"\s{10000}")
 
-SLICE = 1 << 23   # bytes of text whose words are encoded together
+SLICE = 1 << 21   # bytes of text whose words are encoded together
 UNSURE, LETTER, NUMBER, OTHER, SPACE = range(5)
 SPACES = [*range(9, 14), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
 
@@ -213,6 +213,7 @@ def pieces_of(batches: Iterator[pa.RecordBatch], path: str, capacity: int,
                 out.append((key, start, len(cut), zlib.crc32(cut), len(ids), ordinal,
                             cut.astype("<u2").tobytes() if all_ids or len(cut) < capacity else None))
             ordinal += 1
+        pa.default_memory_pool().release_unused()   # else a worker keeps what its largest slice took
         columns = zip(*out) if out else [[]] * 7
         yield pa.RecordBatch.from_arrays(
             [pa.array(c, f.type) for c, f in zip(columns, schema)], schema=schema)
